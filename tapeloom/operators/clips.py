@@ -12,21 +12,20 @@ from pyspark.sql import functions as F
 from tapeloom.functions.ids import derived_uuid
 from tapeloom.functions.timecode import div, midpoint
 from tapeloom.plans.scan import Lag, LastSeen, Lead, MaxBefore, SumBefore, ordered_scan
+from tapeloom.plans.spread import FAN, explode_span
 
 RECORDING = "recording_id"
 # Default width of one scan bucket in source time: a minute.
 TIME_BUCKET_US = 60_000_000
 # Default width of one scan bucket over list positions and sequence numbers.
 ORDINAL_BUCKET = 65_536
-# Chunks emitted from one row before the work is spread again.
-CHUNK_FAN = 4_096
 
 
 def active(clips: DataFrame) -> DataFrame:
     return clips.filter(F.col("status") != "deleted")
 
 
-def plan_chunks(media: DataFrame, max_us: int, fan: int = CHUNK_FAN) -> DataFrame:
+def plan_chunks(media: DataFrame, max_us: int, fan: int = FAN) -> DataFrame:
     """Contiguous ranges of at most ``max_us`` that cover every recording exactly.
 
     A long recording is cut in two steps with an exchange between them, so neither
@@ -35,20 +34,9 @@ def plan_chunks(media: DataFrame, max_us: int, fan: int = CHUNK_FAN) -> DataFram
     if max_us <= 0:
         raise ValueError("maximum chunk duration must be greater than zero")
     size = F.lit(max_us).cast("bigint")
-    counted = media.filter("duration_us > 0").select(
-        RECORDING, "duration_us", (div(F.col("duration_us") - 1, size) + 1).alias("n_chunks")
-    )
-    runs = counted.select(
-        "*",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1, F.lit(fan).cast("bigint"))).alias("run"),
-    ).repartition(RECORDING, "run")
-    chunks = runs.select(
-        RECORDING,
-        "duration_us",
-        F.explode(
-            F.sequence(F.col("run"), F.least(F.col("run") + (fan - 1), F.col("n_chunks") - 1))
-        ).alias("chunk_no"),
-    )
+    sized = media.filter("duration_us > 0").select(RECORDING, "duration_us")
+    last = div(F.col("duration_us") - 1, size)
+    chunks = explode_span(sized, F.lit(0), last, "chunk_no", [RECORDING], fan)
     start = F.col("chunk_no") * size
     left = F.col("duration_us") - start
     return chunks.select(
@@ -161,7 +149,9 @@ def midpoints(clips: DataFrame) -> DataFrame:
     return active(clips).select(RECORDING, "clip_id", midpoint("start_us", "end_us").alias("split_at_us"))
 
 
-def append_clips(clips: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def append_clips(
+    clips: DataFrame, pairs: DataFrame, width: int = TIME_BUCKET_US
+) -> tuple[DataFrame, DataFrame]:
     """Join two touching active clips, named in either order: (new clips, rejects).
 
     ``pairs`` holds (recording_id, first_clip_id, second_clip_id).
@@ -183,18 +173,32 @@ def append_clips(clips: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFra
         .when(~(forward | backward), "clips_not_adjacent")
     )
     judged = joined.withColumn("reason_code", code)
-    made = judged.filter("reason_code is null").select(
+    shaped = judged.filter("reason_code is null").select(
         RECORDING,
         F.when(forward, F.col("first_clip_id")).otherwise(F.col("second_clip_id")).alias("first_clip_id"),
         F.when(forward, F.col("second_clip_id")).otherwise(F.col("first_clip_id")).alias("second_clip_id"),
         F.least("s1", "s2").alias("start_us"),
         F.greatest("e1", "e2").alias("end_us"),
-    )
+    ).distinct()
+    # Taken in source order, a pair whose first clip went into the pair before finds it deleted;
+    # in a chain of pairs that is every second one.
+    one_row = F.lit(1).cast("bigint")
+    linked = ordered_scan(
+        shaped, [RECORDING], "start_us", [Lag("pair_before", "second_clip_id"), SumBefore("rank", one_row)], width
+    )
+    opens = F.when(~F.coalesce(F.col("pair_before") == F.col("first_clip_id"), F.lit(False)), F.col("rank"))
+    chained = ordered_scan(
+        linked.withColumn("opens", opens), [RECORDING], "start_us", [LastSeen("chain", "opens")], width
+    ).withColumn("turn", F.col("rank") - F.coalesce("opens", "chain"))
+    made = chained.filter("turn % 2 = 0").select(*shaped.columns)
     made = made.withColumn("clip_id", derived_uuid("append", RECORDING, "first_clip_id", "second_clip_id"))
+    used = chained.filter("turn % 2 = 1").select(
+        RECORDING, "first_clip_id", "second_clip_id", F.lit("clip_not_active").alias("reason_code")
+    )
     rejects = judged.filter("reason_code is not null").select(
         RECORDING, "first_clip_id", "second_clip_id", "reason_code"
     )
-    return made, rejects
+    return made, rejects.unionByName(used)
 
 
 def adjacent_pairs(clips: DataFrame, width: int = TIME_BUCKET_US) -> DataFrame:
