@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.timecode import col, div
 
@@ -110,7 +111,7 @@ def resample_linear(samples, source_hz: int, target_hz: int) -> Column:
     return s if source_hz == target_hz else F.when(n == 0, s).otherwise(moved)
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def pcm_to_float(payload: pa.Array, sample_format: pa.Array) -> pa.Array:
     """Packed little-endian PCM (pcm16, pcm24, pcm32, float32) as floats, batch at a time."""
     out = [

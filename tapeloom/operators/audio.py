@@ -96,13 +96,15 @@ def resample(blocks: DataFrame, source_hz: Column | int, target_hz: int = SAMPLE
     stop = F.least(scale_ceil(F.col("first_frame") + n_samples(), dst, rate), out_total)
     same = rate == dst
     moved = A.resample_span("samples", "first_frame", "next_sample", lo, stop - 1, rate, dst)
+    # new names first: inside a lambda, an alias of the same select would win over the input column
     shaped = linked.select(
         RECORDING, "profile", "block_no",
-        F.when(same, F.col("first_frame")).otherwise(lo).alias("first_frame"),
-        out_total.alias("total_frames"),
-        F.when(same, F.col("samples")).otherwise(moved).alias("samples"),
+        F.when(same, F.col("first_frame")).otherwise(lo).alias("new_first"),
+        out_total.alias("new_total"),
+        F.when(same, F.col("samples")).otherwise(moved).alias("new_samples"),
     )
-    return shaped.filter(F.size("samples") > 0)
+    named = [F.col(n).alias(o) for n, o in (("new_first", "first_frame"), ("new_total", "total_frames"), ("new_samples", "samples"))]
+    return shaped.select(RECORDING, "profile", "block_no", *named).filter(F.size("samples") > 0)
 
 
 def reblock(blocks: DataFrame, block_frames: int) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions import spectral
 from tapeloom.functions.timecode import div
@@ -101,7 +102,7 @@ def at(mel: DataFrame, mel_bin: int, frame_no: int) -> DataFrame:
     )
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def power_spectrum(frame: pa.Array) -> pa.Array:
     """Hann-windowed power of each frame; frames of one length are transformed together."""
     if len(frame) == 0:

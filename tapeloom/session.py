@@ -31,6 +31,7 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         **{
             "spark.sql.shuffle.partitions": str(cores),
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
             **conf,

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.text import artifact_path, asset_kind, is_supported_media
 from tapeloom.functions.timecode import div, duration_us
@@ -209,12 +210,12 @@ def write_audio(blocks: DataFrame, path: str) -> None:
     blocks.write.mode("append").parquet(path)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def float_bytes(samples: pa.Array) -> pa.Array:
     return pa.array([np.asarray(s.values, "<f4").tobytes() for s in samples], pa.binary())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def wav_header(total_frames: pa.Array) -> pa.Array:
     """RIFF header of a 16 kHz mono 32-bit float file."""
     heads = []
