@@ -134,3 +134,31 @@ def decode_pcm(raw: bytes, sample_format: str) -> np.ndarray:
     if sample_format == "float32":
         return np.clip(np.frombuffer(raw, "<f4", len(raw) // 4), -1, 1)
     raise ValueError(f"unknown sample format {sample_format!r}")
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def packet_samples(
+    payload: pa.Array, sample_format: pa.Array, channels: pa.Array, frames: pa.Array, silent: pa.Array
+) -> pa.Array:
+    """Mono samples of capture packets: zeros for a silent one, else the mean over channels."""
+    out = []
+    for raw, fmt, ch, n, quiet in zip(*(c.to_pylist() for c in (payload, sample_format, channels, frames, silent))):
+        if quiet:
+            out.append(np.zeros(n or 0, np.float32))
+        elif not raw:
+            out.append(np.zeros(0, np.float32))
+        else:
+            out.append(mean_of_channels(decode_pcm(raw, fmt), max(ch or 1, 1)))
+    return pa.array(out, type=pa.list_(pa.float32()))
+
+
+def mean_of_channels(samples: np.ndarray, channels: int) -> np.ndarray:
+    """Channels summed in order in single precision; a cut-off last frame counts missing ones as 0."""
+    if channels == 1:
+        return samples
+    short = -len(samples) % channels
+    shaped = np.concatenate([samples, np.zeros(short, np.float32)]).reshape(-1, channels)
+    total = shaped[:, 0].copy()
+    for c in range(1, channels):
+        total += shaped[:, c]
+    return total / np.float32(channels)

@@ -15,6 +15,7 @@ from tapeloom.functions.text import (
 from tapeloom.functions.timecode import duration_us, midpoint, sample_ceil, sample_floor
 from tapeloom.operators import audio, clips, commands, features, replay, tokens, transcription, validation, views
 from tapeloom.plans import tables as T
+from tapeloom.plans.once import computed_once
 from tapeloom.plans.scan import SumBefore, ordered_scan
 from tapeloom.plans.tables import RECORDING
 from tapeloom.sources.event_log import line_json, parse_log_lines
@@ -195,7 +196,7 @@ def state_equals(spark, d):
 @query
 def event_lines(spark, d):
     """Logs to canonical lines and back."""
-    lines = line_json(T.conversation_log(spark, d)).withColumn("owner", F.col(RECORDING))
+    lines = computed_once(line_json(T.conversation_log(spark, d)), [F.col(RECORDING).alias("owner")], [F.col("value")])
     good, _ = parse_log_lines(lines)
     return good.groupBy(RECORDING, "kind").agg(
         F.count("*").alias("n_events"), F.sum("sequence").alias("sum_sequence"),

@@ -110,5 +110,13 @@ MANIFEST_DDL = (
 )
 
 
+_FLAT = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
+    "binary": T.BinaryType(), "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
 def struct_type(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    """Schema of a flat column list; usable on Python workers, which have no session to parse DDL."""
+    fields = [part.split(" ", 1) for part in ddl.split(", ")]
+    return T.StructType([T.StructField(name, _FLAT[kind]) for name, kind in fields])

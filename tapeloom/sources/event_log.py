@@ -14,6 +14,7 @@ from tapeloom.functions.ids import is_uuid
 from tapeloom.functions.text import is_blank
 from tapeloom.operators.clips import RECORDING
 from tapeloom.operators.replay import Replayed, replay
+from tapeloom.plans.once import computed_once
 from tapeloom.schemas import EVENT_COLUMNS, EVENT_KINDS, LOG_LINE_DDL, MANIFEST_DDL, SCHEMA_VERSION
 from tapeloom.sources.files import write_files
 
@@ -34,6 +35,7 @@ def parse_log_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = lines.filter(~is_blank("value")).withColumn(
         "j", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     )
+    parsed = computed_once(parsed, ["owner", "value"], [F.col("j")])
     event = F.col("j.event")
     filled = [F.when(event[k].isNotNull(), F.lit(k)) for k in EVENT_KINDS]
     kinds = F.filter(F.array(*filled), lambda x: x.isNotNull())
@@ -42,8 +44,7 @@ def parse_log_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.coalesce(*[F.col(f"j.event.{k}.{path}") for k in kinds_with]) if kinds_with else F.lit(None)
 
     clip_kinds = tuple(k for k in EVENT_KINDS if not k.startswith("recording_"))
-    flat = parsed.select(
-        "owner", "value",
+    flat = computed_once(parsed, ["owner", "value"], [
         F.col("j._corrupt").isNotNull().alias("corrupt"),
         F.size(kinds).alias("n_kinds"),
         pick("recording_id", EVENT_KINDS).alias(RECORDING),
@@ -60,7 +61,7 @@ def parse_log_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("j.event.recording_created.source.kind").alias("source_kind"),
         F.col("j.event.recording_created.source.path").alias("source_path"),
         F.col("j.schema_version").alias("schema_version"),
-    )
+    ])
     malformed = (
         F.col("corrupt") | (F.col("n_kinds") != 1) | F.col("sequence").isNull()
         | F.col("schema_version").isNull() | F.col(RECORDING).isNull()

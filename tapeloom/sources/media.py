@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.functions.audio import mean_of_channels, resampled_length
 from tapeloom.functions.text import artifact_path, asset_kind, is_supported_media
 from tapeloom.functions.timecode import div, duration_us
 from tapeloom.operators.audio import BLOCK_SECONDS
@@ -111,13 +112,7 @@ def decode_span(path: str, offset: int, frames: int, channels: int, bits: int, i
         samples = (np.frombuffer(raw, np.uint8).astype(np.int16) - 128).astype(np.float32) / np.float32(2 ** (bits - 1))
     else:
         samples = np.frombuffer(raw, "<i2").astype(np.float32) / np.float32(2 ** (bits - 1))
-    if channels == 1:
-        return samples
-    shaped = samples.reshape(-1, channels)
-    total = shaped[:, 0].copy()
-    for c in range(1, channels):
-        total += shaped[:, c]
-    return total / np.float32(channels)
+    return mean_of_channels(samples, channels)
 
 
 def _decode(batches):
@@ -166,8 +161,6 @@ def normalize(headers: DataFrame, block_seconds: int = BLOCK_SECONDS) -> tuple[D
 
 def normalized_meta(headers: DataFrame) -> DataFrame:
     """media_meta after normalization, straight from the headers."""
-    from tapeloom.functions.audio import resampled_length
-
     frames = resampled_length("frame_count", "sample_rate_hz", SAMPLE_RATE_HZ)
     return headers.select(
         RECORDING, duration_us(frames, SAMPLE_RATE_HZ).alias("duration_us"),
@@ -185,10 +178,7 @@ def decode_with(files: DataFrame, decoder: Callable[[bytes], tuple[int, int, np.
         for batch in batches:
             for recording, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rate, channels, samples = decoder(content.as_py())
-                samples = np.asarray(samples, np.float32)
-                short = -len(samples) % channels
-                shaped = np.concatenate([samples, np.zeros(short, np.float32)]).reshape(-1, channels)
-                mono = shaped.sum(axis=1, dtype=np.float32) / np.float32(channels)
+                mono = mean_of_channels(np.asarray(samples, np.float32), channels)
                 size = rate * block_seconds
                 starts = range(0, len(mono), size)
                 yield pa.RecordBatch.from_arrays(

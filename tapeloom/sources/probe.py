@@ -8,28 +8,41 @@ from pyspark.sql import functions as F
 from tapeloom.functions.text import trim_unicode
 from tapeloom.functions.timecode import clock_us, decimal_seconds_us, frames_in, whole_number
 from tapeloom.operators.clips import RECORDING
+from tapeloom.plans.once import computed_once
 
 # Order of fields in the comma form.
 CSV_FIELDS = ("sample_rate_hz", "channels", "frame_count", "duration")
 # Channel counts of named layouts; all but the first match by prefix.
 LAYOUTS = {"quad": 4, "2.1": 3, "3.0": 3, "4.0": 4, "5.1": 6, "6.1": 7, "7.1": 8}
 
+# Rates are unsigned 32-bit numbers.
+MAX_RATE = 4_294_967_295
 META = ["sample_rate_hz", "channels", "duration_us", "frame_count"]
 
 
-def _csv_columns(text: Column, order: tuple[str, ...]) -> dict[str, Column]:
-    fields = F.transform(F.split(trim_unicode(text), ","), lambda x: trim_unicode(x))
-    get = {name: F.get(fields, F.lit(order.index(name))) for name in CSV_FIELDS}
-    rate = whole_number(get["sample_rate_hz"])
-    duration = decimal_seconds_us(get["duration"])
-    given = get["frame_count"]
-    frames = F.when((given == "") | (given == "N/A"), frames_in(duration, rate)).otherwise(whole_number(given))
-    return {
-        "sample_rate_hz": F.when(rate <= 4294967295, rate),
-        "channels": whole_number(get["channels"], "int"),
-        "duration_us": duration,
-        "frame_count": frames,
-    }
+def _keep(df: DataFrame) -> DataFrame:
+    """Rows whose every field could be read, and the others with their text."""
+    missing = F.lit(False)
+    for name in META:
+        missing = missing | F.col(name).isNull()
+    return df.withColumn("bad", missing)
+
+
+def _read_csv(probe: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    fields = F.transform(F.split(trim_unicode("text"), ","), lambda x: trim_unicode(x))
+    rows = probe.select(RECORDING, "text", fields.alias("fields"))
+    rows = rows.select(RECORDING, "text", *[F.get("fields", F.lit(order.index(n))).alias(n) for n in CSV_FIELDS])
+    rows = rows.select(
+        RECORDING, "text", F.col("frame_count").alias("given"),
+        whole_number(F.col("sample_rate_hz")).alias("rate"),
+        whole_number(F.col("channels"), "int").alias("channels"),
+        decimal_seconds_us(F.col("duration")).alias("duration_us"),
+    )
+    given = F.col("given")
+    return rows.select(
+        RECORDING, "text", F.when(F.col("rate") <= MAX_RATE, F.col("rate")).alias("sample_rate_hz"), "channels", "duration_us",
+        F.when(given.isin("", "N/A"), frames_in("duration_us", "rate")).otherwise(whole_number(given)).alias("frame_count"),
+    )
 
 
 def _channels(field: Column) -> Column:
@@ -41,27 +54,37 @@ def _channels(field: Column) -> Column:
     return named
 
 
-def _log_columns(text: Column) -> dict[str, Column]:
-    clock = trim_unicode(F.regexp_extract(text, r"(?m)^.*?Duration: ([^,\n]*)", 1))
-    line = F.regexp_extract(text, r"(?m)^.*?Audio:(.*)$", 1)
-    fields = F.transform(F.split(line, ","), lambda x: trim_unicode(x))
-    rates = F.filter(fields, lambda x: F.endswith(x, F.lit(" Hz")))
-    layouts = F.filter(
-        fields, lambda x: ~F.endswith(x, F.lit(" Hz")) & (_channels(x).isNotNull() | F.endswith(x, F.lit(" channels")))
+def _read_log(probe: DataFrame) -> DataFrame:
+    details = F.regexp_extract("text", r"(?m)^.*?Audio:(.*)$", 1)
+    rows = probe.select(
+        RECORDING, "text",
+        clock_us(trim_unicode(F.regexp_extract("text", r"(?m)^.*?Duration: ([^,\n]*)", 1))).alias("duration_us"),
+        F.transform(F.split(details, ","), lambda x: trim_unicode(x)).alias("fields"),
     )
+    is_rate = lambda x: F.endswith(x, F.lit(" Hz"))
+    names = F.filter("fields", lambda x: ~is_rate(x))
+    rows = rows.select(
+        RECORDING, "text", "duration_us",
+        F.transform(
+            F.filter("fields", is_rate), lambda x: whole_number(F.regexp_extract(x, "^(.*) Hz$", 1))
+        ).alias("rates"),
+        # a field that names no layout is skipped; an unreadable "N channels" makes the probe bad
+        F.filter(
+            F.transform(names, lambda x: F.struct(_channels(x).alias("n"), F.endswith(x, F.lit(" channels")).alias("must"))),
+            lambda c: c["n"].isNotNull() | c["must"],
+        ).alias("counts"),
+    )
+    readable = F.forall("rates", lambda x: x.isNotNull()) & F.forall("counts", lambda c: c["n"].isNotNull())
     # the last mention wins
-    last = lambda xs: F.when(F.size(xs) > 0, F.element_at(xs, -1))
-    all_read = F.forall(rates, lambda x: whole_number(F.regexp_extract(x, "^(.*) Hz$", 1)).isNotNull()) & F.forall(
-        layouts, lambda x: _channels(x).isNotNull()
+    rows = rows.select(
+        RECORDING, "text", "duration_us",
+        F.when(readable, F.try_element_at("rates", F.lit(-1))).alias("rate"),
+        F.when(readable, F.try_element_at("counts", F.lit(-1))["n"]).alias("channels"),
+    )
+    return rows.select(
+        RECORDING, "text", F.when(F.col("rate") <= MAX_RATE, F.col("rate")).alias("sample_rate_hz"), "channels", "duration_us",
+        frames_in("duration_us", "rate").alias("frame_count"),
     )
-    rate = F.when(all_read, whole_number(F.regexp_extract(last(rates), "^(.*) Hz$", 1)))
-    duration = clock_us(clock)
-    return {
-        "sample_rate_hz": F.when(rate <= 4294967295, rate),
-        "channels": F.when(all_read, _channels(last(layouts))),
-        "duration_us": duration,
-        "frame_count": frames_in(duration, rate),
-    }
 
 
 def parse_probe(probe: DataFrame, order: tuple[str, ...] = CSV_FIELDS) -> tuple[DataFrame, DataFrame]:
@@ -70,16 +93,9 @@ def parse_probe(probe: DataFrame, order: tuple[str, ...] = CSV_FIELDS) -> tuple[
     csv: comma-separated fields in ``order``; an empty or N/A frame count follows from the
     duration. log: the first ``Duration:`` clock and the first ``Audio:`` line.
     """
-    is_csv = F.col("form") == "csv"
-    csv, log = _csv_columns(F.col("text"), order), _log_columns(F.col("text"))
-    picked = probe.select(
-        RECORDING, "text", *[F.when(is_csv, csv[n].cast("bigint")).otherwise(log[n].cast("bigint")).alias(n) for n in META]
-    )
-    whole = F.lit(True)
-    for name in META:
-        whole = whole & F.col(name).isNotNull()
-    good = picked.filter(whole).select(
-        RECORDING, "duration_us", F.col("sample_rate_hz").cast("bigint"), F.col("channels").cast("int"), "frame_count"
-    )
-    bad = picked.filter(~whole).select(RECORDING, F.lit("invalid_probe").alias("reason_code"), F.col("text").alias("raw"))
+    csv = _read_csv(probe.filter("form = 'csv'"), order)
+    log = _read_log(probe.filter("form = 'log'"))
+    read = _keep(computed_once(csv.unionByName(log), [RECORDING, "text"], [F.col(n) for n in META]))
+    good = read.filter("not bad").select(RECORDING, "duration_us", "sample_rate_hz", "channels", "frame_count")
+    bad = read.filter("bad").select(RECORDING, F.lit("invalid_probe").alias("reason_code"), F.col("text").alias("raw"))
     return good, bad

@@ -19,6 +19,28 @@ def frame(spark, rows):
     return spark.createDataFrame([tuple(r[c] for c in EVENT_COLUMNS) for r in rows], EVENTS_DDL)
 
 
+class ListedFold(RecordingFold):
+    """Also keeps list order, source and texts, for comparison."""
+
+    def __init__(self):
+        super().__init__()
+        self.order, self.source, self.texts = [], (None, None), []
+
+    def apply(self, event):
+        number = self.next_sequence
+        super().apply(event)
+        kind, clip = event["kind"], event["clip_id"]
+        if kind == "recording_created":
+            self.source = (event["source_kind"], event["source_path"])
+        elif kind == "clip_added":
+            self.order.append(clip)
+        elif kind == "clip_moved":
+            self.order.remove(clip)
+            self.order.insert(event["target_index"], clip)
+        elif kind == "transcript_committed":
+            self.texts.append((number, event["transcript_id"], clip, event["provenance"], event["text"]))
+
+
 def plain_fold(rows):
     """Expected state and rejects, log by log."""
     logs = {}
@@ -26,7 +48,7 @@ def plain_fold(rows):
         logs.setdefault(row["recording_id"], []).append(row)
     recs, clips, texts, rejects = set(), set(), set(), set()
     for rec, log in logs.items():
-        fold = RecordingFold()
+        fold = ListedFold()
         for row in log:
             try:
                 fold.record(row)
@@ -37,7 +59,7 @@ def plain_fold(rows):
             recs.add((rec, *fold.source, fold.status, fold.failure, fold.next_sequence - 1))
         for position, clip in enumerate(fold.order):
             clips.add((rec, clip, position, *fold.clips[clip]))
-        for number, tid, clip, prov, text in fold.transcripts:
+        for number, tid, clip, prov, text in fold.texts:
             texts.add((rec, number, tid, clip, prov, text))
     return recs, clips, texts, rejects
 
