@@ -15,8 +15,9 @@ from tapeloom.plans.scan import Lag, LastSeen, Lead, MaxBefore, SumBefore, order
 from tapeloom.plans.spread import FAN, explode_span
 
 RECORDING = "recording_id"
-# Default width of one scan bucket in source time: a minute.
-TIME_BUCKET_US = 60_000_000
+# Default width of one scan bucket in source time: ten minutes. Clips of seconds give some dozens
+# of rows per summary row; starts are merged first, so even hostile input stays below 6e8 rows.
+TIME_BUCKET_US = 600_000_000
 # Default width of one scan bucket over list positions and sequence numbers.
 ORDINAL_BUCKET = 65_536
 
@@ -184,11 +185,12 @@ def append_clips(
     # in a chain of pairs that is every second one.
     one_row = F.lit(1).cast("bigint")
     linked = ordered_scan(
-        shaped, [RECORDING], "start_us", [Lag("pair_before", "second_clip_id"), SumBefore("rank", one_row)], width
+        shaped, [RECORDING], "start_us", [Lag("pair_before", "second_clip_id"), SumBefore("rank", one_row)], width, share=True
     )
     opens = F.when(~F.coalesce(F.col("pair_before") == F.col("first_clip_id"), F.lit(False)), F.col("rank"))
     chained = ordered_scan(
-        linked.withColumn("opens", opens), [RECORDING], "start_us", [LastSeen("chain", "opens")], width
+        linked.select(*shaped.columns, "rank", opens.alias("opens")), [RECORDING], "start_us",
+        [LastSeen("chain", "opens")], width, share=True,
     ).withColumn("turn", F.col("rank") - F.coalesce("opens", "chain"))
     made = chained.filter("turn % 2 = 0").select(*shaped.columns)
     made = made.withColumn("clip_id", derived_uuid("append", RECORDING, "first_clip_id", "second_clip_id"))
@@ -206,7 +208,7 @@ def adjacent_pairs(clips: DataFrame, width: int = TIME_BUCKET_US) -> DataFrame:
     steps = [Lead("next_clip_id", "clip_id"), Lead("next_start_us", "start_us")]
     scanned = ordered_scan(
         active(clips).select(RECORDING, "clip_id", "start_us", "end_us"),
-        [RECORDING], "start_us", steps, width, ties=["clip_id"],
+        [RECORDING], "start_us", steps, width, ties=["clip_id"], share=True,
     )
     return scanned.filter("next_start_us = end_us").select(
         RECORDING, F.col("clip_id").alias("first_clip_id"), F.col("next_clip_id").alias("second_clip_id")
@@ -226,10 +228,11 @@ def _by_start(clips: DataFrame) -> DataFrame:
 
 def coalesce_runs(clips: DataFrame, width: int = TIME_BUCKET_US) -> DataFrame:
     """Maximal runs of touching active clips, one row per run."""
-    ends = ordered_scan(_by_start(clips), [RECORDING], "start_us", [MaxBefore("reach", "max_end")], width)
+    starts = _by_start(clips).select(RECORDING, "start_us", "max_end", "n_clips")
+    ends = ordered_scan(starts, [RECORDING], "start_us", [MaxBefore("reach", "max_end")], width, share=True)
     opens = F.col("reach").isNull() | (F.col("reach") < F.col("start_us"))
-    marked = ends.withColumn("opens_at", F.when(opens, F.col("start_us")))
-    runs = ordered_scan(marked, [RECORDING], "start_us", [LastSeen("run_start", "opens_at")], width)
+    marked = ends.select(*starts.columns, F.when(opens, F.col("start_us")).alias("opens_at"))
+    runs = ordered_scan(marked, [RECORDING], "start_us", [LastSeen("run_start", "opens_at")], width, share=True)
     return (
         runs.withColumn("run_start", F.coalesce("opens_at", "run_start"))
         .groupBy(RECORDING, "run_start")
@@ -243,7 +246,8 @@ def find_overlaps(clips: DataFrame, width: int = TIME_BUCKET_US) -> DataFrame:
 
     One row per offending clip, found from the furthest end so far; pairs are not listed.
     """
-    scanned = ordered_scan(_by_start(clips), [RECORDING], "start_us", [MaxBefore("before", "far")], width)
+    starts = _by_start(clips).select(RECORDING, "start_us", "far", "n_clips", "min_clip")
+    scanned = ordered_scan(starts, [RECORDING], "start_us", [MaxBefore("before", "far")], width, share=True)
     hit = F.col("before.end_us") > F.col("start_us")
     suspects = scanned.filter(hit | (F.col("n_clips") > 1)).select(
         RECORDING,
@@ -263,7 +267,8 @@ def find_overlaps(clips: DataFrame, width: int = TIME_BUCKET_US) -> DataFrame:
 def coverage(clips: DataFrame, media: DataFrame, width: int = TIME_BUCKET_US) -> DataFrame:
     """Microseconds of each recording inside and outside its active clips, and whether they
     cover it exactly (no gap, no overlap, nothing past the end)."""
-    scanned = ordered_scan(_by_start(clips), [RECORDING], "start_us", [MaxBefore("reach", "max_end")], width)
+    starts = _by_start(clips).select(RECORDING, "start_us", "max_end")
+    scanned = ordered_scan(starts, [RECORDING], "start_us", [MaxBefore("reach", "max_end")], width, share=True)
     reach = F.coalesce("reach", F.lit(0).cast("bigint"))
     fresh = F.greatest(F.col("max_end") - F.greatest(F.col("start_us"), reach), F.lit(0))
     per_clip = active(clips).groupBy(RECORDING).agg(
@@ -313,7 +318,7 @@ def locate(clips: DataFrame, points: DataFrame, width: int = TIME_BUCKET_US) ->
     )
     merged = ordered_scan(
         clip_rows.unionByName(point_rows), [RECORDING], "at_us",
-        [LastSeen("held_by", "clip")], width, ties=["is_point"],
+        [LastSeen("held_by", "clip")], width, ties=["is_point"], share=True,
     )
     inside = F.col("held_by.end_us") > F.col("at_us")
     return merged.filter("is_point = 1").select(

@@ -179,7 +179,7 @@ def _ever_overlapping(lives: DataFrame, width: int) -> DataFrame:
         F.max("end_us").alias("max_end"), F.count("*").alias("n")
     )
     seen = ordered_scan(
-        starts, [RECORDING], "start_us", [MaxBefore("reach", "max_end"), Lead("next_start", "start_us")], width
+        starts, [RECORDING], "start_us", [MaxBefore("reach", "max_end"), Lead("next_start", "start_us")], width, share=True
     )
     met = (F.col("reach") > F.col("start_us")) | (F.col("next_start") < F.col("max_end")) | (F.col("n") > 1)
     return lives.join(seen.filter(met).select(RECORDING, "start_us"), [RECORDING, "start_us"], "left_semi")
@@ -242,7 +242,7 @@ def _overlap_findings(rows: DataFrame, width: int, time_width: int) -> DataFrame
     )
     seen = ordered_scan(
         per_step, [RECORDING, "level", "node"], "sequence",
-        [SumBefore("points", "d_points"), SumBefore("ranges", "d_ranges")], width,
+        [SumBefore("points", "d_points"), SumBefore("ranges", "d_ranges")], width, share=True,
     )
     hit = ((F.col("new_points") > 0) & (F.col("ranges") > 0)) | ((F.col("new_ranges") > 0) & (F.col("points") > 0))
     return seen.filter(hit).select(RECORDING, _finding(6, "clip_overlaps").alias("f"))
@@ -339,7 +339,7 @@ def list_positions(accepted: DataFrame, width: int = ORDINAL_BUCKET) -> DataFram
     )
     moved = changes.filter("kind = 'clip_moved'").select(RECORDING).distinct()
     plain = ordered_scan(
-        changes.join(moved, RECORDING, "left_anti"), [RECORDING], "sequence",
+        changes.join(moved, RECORDING, "left_anti").select(*KEY, "sequence"), [RECORDING], "sequence",
         [SumBefore("position", F.lit(1).cast("bigint"))], width,
     ).select(*KEY, "position")
     walked = (

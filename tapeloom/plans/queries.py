@@ -23,7 +23,8 @@ from tapeloom.sources.probe import parse_probe
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-DAY_BUCKET_US = 32 * 86_400_000_000
+# Ship dates are whole days, so a bucket holds at most this many distinct starts of one order.
+DAY_BUCKET_US = 4_096 * 86_400_000_000
 
 
 def query(make: Callable[[SparkSession, str], DataFrame]):

@@ -163,15 +163,26 @@ def ordered_scan(
     steps: Sequence[Step],
     width: int,
     ties: Sequence[str] = (),
+    share: bool = False,
 ) -> DataFrame:
     """Add one column per step, reading each key in ``order`` (then ``ties``).
 
     ``order`` is an integer column; ``width`` is the span of it that one bucket
     holds. Keys must not be null.
+
+    ``df`` feeds both the windows and the summaries. Over files, each reads its own columns.
+    With ``share``, for a ``df`` that is costly to compute, both read one exchange instead;
+    the caller should then pass only columns it goes on to use, and rows that have their keys.
     """
     keys = list(keys)
+    if share:
+        # the join would add this filter to one side only, and the exchange could not be shared
+        for key in keys:
+            df = df.filter(F.col(key).isNotNull())
     offset = F.pmod(F.col(order), F.lit(width))
     base = df.withColumn(BUCKET, F.call_function("div", F.col(order) - offset, F.lit(width)))
+    if share:
+        base = base.repartition(*keys, BUCKET)
     here = Window.partitionBy(*keys, BUCKET).orderBy(order, *ties)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
     after = here.rowsBetween(1, Window.unboundedFollowing)
@@ -182,9 +193,17 @@ def ordered_scan(
     across_after = (across.rowsBetween(1, Window.unboundedFollowing), across)
     across_all = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
+    # the same columns on both sides, or Spark would prune them apart and compute df twice
+    touch = [F.max(F.xxhash64(*df.columns)).alias("__touched")] if share else []
     summaries = base.groupBy(*keys, BUCKET).agg(
-        *[s.summary(rank).alias(f"__s{i}") for i, s in enumerate(steps)]
+        *[s.summary(rank).alias(f"__s{i}") for i, s in enumerate(steps)], *touch
     )
+    if share:
+        summaries = summaries.filter("__touched is not null")
+    if not any(isinstance(s, FirstOfKey) for s in steps):
+        # a key of one bucket inherits nothing; what is left to join is usually small
+        n_buckets = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        summaries = summaries.withColumn("__n", n_buckets).filter("__n > 1")
     carried = summaries.select(
         *keys,
         BUCKET,
