@@ -74,15 +74,11 @@ def decimal_seconds_us(text: Column) -> Column:
     return F.when(whole != "", total)
 
 
-def clock_us(text: Column) -> Column:
-    """``HH:MM:SS[.ffffff]`` as microseconds, null where malformed."""
-    parts = F.split(text, ":")
-    last = F.when(F.contains(parts[2], F.lit(".")), parts[2]).otherwise(
-        F.concat(parts[2], F.lit(".0"))
-    )
+def clock_sum_us(hours: Column, minutes: Column, seconds: Column) -> Column:
+    """Hours, minutes and decimal seconds of a clock as microseconds, null where one is malformed."""
     total = (
-        whole_number(parts[0]).cast("decimal(20,0)") * 3_600_000_000
-        + whole_number(parts[1]).cast("decimal(20,0)") * 60_000_000
-        + decimal_seconds_us(last)
+        whole_number(hours).cast("decimal(20,0)") * 3_600_000_000
+        + whole_number(minutes).cast("decimal(20,0)") * 60_000_000
+        + decimal_seconds_us(seconds)
     )
-    return F.when(F.size(parts) == 3, total.try_cast("bigint"))
+    return total.try_cast("bigint")

@@ -170,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT CAST(o_orderkey AS VARCHAR) AS recording_id, CASE WHEN media.recording_id IS NULL THEN 'CLICK PREPARE TO NORMALIZE AUDIO'
           WHEN h.recording_id IS NULL THEN 'CLICK TRANSCRIBE TO CREATE TEXT' ELSE 'REVIEW TEXT, THEN CLICK EXPORT' END AS next_action
         FROM orders LEFT JOIN media ON media.recording_id = CAST(o_orderkey AS VARCHAR) LEFT JOIN h ON h.recording_id = CAST(o_orderkey AS VARCHAR)"""
-    q["next_recording"] = """WITH r AS (SELECT printf('%08X', c_custkey) AS recording_id FROM customer)
+    q["next_recording"] = f"""WITH r AS (SELECT {_uuid("'customer'", "CAST(c_custkey AS VARCHAR)")} AS recording_id FROM customer)
         SELECT recording_id, coalesce(lead(recording_id) OVER (ORDER BY recording_id), min(recording_id) OVER ()) AS next_recording_id FROM r"""
     q["failure_report"] = f"""WITH {USER_EVENTS}, {TIMELINE}
         SELECT recording_id, NULL AS clip_id, 'recording failed: ' || failure AS message, 'error' AS severity FROM latest WHERE failure IS NOT NULL
@@ -319,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
         en AS (SELECT recording_id, fr, mel_bin, log10(greatest(sum(w * (re * re + im * im)), 1e-10)) AS v FROM dft JOIN filt USING (k) GROUP BY 1, 2, 3),
         mx AS (SELECT recording_id, max(v) AS top FROM en GROUP BY 1),
         pb AS (SELECT recording_id, mel_bin, min(v) AS lo, max(v) AS hi, count(*) AS seen FROM en GROUP BY 1, 2)
-        SELECT recording_id, mel_bin, 3000 AS n_frames,
+        SELECT recording_id, mel_bin, CAST(3000 AS BIGINT) AS n_frames,
           round((greatest(CASE WHEN seen < 3000 THEN least(lo, -10) ELSE lo END, top - 8) + 4) / 4, 3) AS min_level, round((greatest(hi, top - 8) + 4) / 4, 3) AS max_level
         FROM pb JOIN mx USING (recording_id)"""
 
@@ -334,9 +334,9 @@ def oracle_sql() -> dict[str, str]:
         SELECT recording_id, clip_id, start_us, end_us, status FROM li WHERE status IN ('pending', 'failed')
           AND NOT EXISTS (SELECT 1 FROM done WHERE done.recording_id = li.recording_id AND done.clip_id = li.clip_id)"""
     q["transcribe_fixed"] = f"""WITH {LABEL_CLIPS} SELECT recording_id, clip_id, start_us, 'raw_asr' AS provenance, '[fake transcription]' AS text, CAST(NULL AS VARCHAR) AS error, 'fake' AS backend_id FROM lc"""
-    q["text_outcomes"] = f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS recording_id, turn, {trim('text')} AS tx FROM conversations),
-        g AS (SELECT recording_id, coalesce(string_agg(tx, ' ' ORDER BY turn) FILTER (WHERE tx <> ''), '') AS text FROM t GROUP BY 1)
-        SELECT recording_id, nullif(text, '') AS text, CASE WHEN text = '' THEN 'transcription returned empty text' END AS error FROM g"""
+    q["text_outcomes"] = f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS recording_id, conv_id || '-' || (turn // 2) AS clip_id, turn, {trim('text')} AS tx FROM conversations),
+        g AS (SELECT recording_id, clip_id, coalesce(string_agg(tx, ' ' ORDER BY turn) FILTER (WHERE tx <> ''), '') AS text FROM t GROUP BY 1, 2)
+        SELECT recording_id, clip_id, nullif(text, '') AS text, CASE WHEN text = '' THEN 'transcription returned empty text' END AS error FROM g"""
     q["live_level"] = f"""SELECT CAST(user_id AS VARCHAR) AS recording_id, epoch_us(ts) - epoch_us(ts) % 3600000000 AS window_start_us, count(*) AS n_samples,
         {_rounded('max(abs(CAST(value AS FLOAT)))')} AS peak FROM events GROUP BY 1, 2"""
     return q

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import audio as A
+from tapeloom.functions.ids import derived_uuid
 from tapeloom.functions.text import (
     artifact_path, asset_kind, extension, is_blank, is_supported_media, next_profile, profile_label,
     profile_short_label, trim_unicode,
@@ -126,7 +127,7 @@ def next_action(spark, d):
 
 @query
 def next_recording(spark, d):
-    ids = T.read(spark, d, "customer").select(F.lpad(F.hex("c_custkey"), 8, "0").alias(RECORDING))
+    ids = T.read(spark, d, "customer").select(derived_uuid("customer", "c_custkey").alias(RECORDING))
     return views.next_recording(ids)
 
 
@@ -396,7 +397,7 @@ def probe_rejects(spark, d):
 
 def _vector_query(spark, d, change):
     return T.read(spark, d, "embeddings").select("vec_id", F.posexplode(change(F.col("embedding"))).alias("i", "x")).select(
-        "vec_id", "i", _rounded("x").alias("sample")
+        "vec_id", F.col("i").cast("bigint").alias("i"), _rounded("x").alias("sample")
     )
 
 
@@ -432,7 +433,9 @@ def pcm_to_float(spark, d):
     """Bytes of the page addresses as 16-bit samples."""
     pages = T.read(spark, d, "pages").select("page_id", F.encode("url", "UTF-8").alias("payload"))
     heard = pages.select("page_id", A.pcm_to_float("payload", F.lit("pcm16")).alias("samples"))
-    return heard.select("page_id", F.posexplode("samples").alias("i", "x")).select("page_id", "i", _rounded("x").alias("sample"))
+    return heard.select("page_id", F.posexplode("samples").alias("i", "x")).select(
+        "page_id", F.col("i").cast("bigint").alias("i"), _rounded("x").alias("sample")
+    )
 
 
 @query
@@ -496,7 +499,9 @@ def level_stats(spark, d):
 @query
 def power_spectrum(spark, d):
     power = T.read(spark, d, "embeddings").select("vec_id", features.power_spectrum("embedding").alias("p"))
-    return power.select("vec_id", F.posexplode("p").alias("bin", "x")).select("vec_id", "bin", _rounded("x", 5).alias("power"))
+    return power.select("vec_id", F.posexplode("p").alias("bin", "x")).select(
+        "vec_id", F.col("bin").cast("bigint").alias("bin"), _rounded("x", 5).alias("power")
+    )
 
 
 def _label_clips(media: DataFrame) -> DataFrame:
@@ -512,7 +517,8 @@ def log_mel(spark, d):
     whole = media.select(RECORDING, F.lit("all").alias("clip_id"), F.lit(0).cast("bigint").alias("start_us"), F.col("duration_us").alias("end_us"), F.lit("pending").alias("status"))
     pieces, _ = audio.cut_clips(whole, T.label_blocks(spark, d), media, T.VECTOR)
     mel = features.log_mel(features.assemble(pieces))
-    return mel.select(RECORDING, F.posexplode("mel").alias("mel_bin", "x")).groupBy(RECORDING, "mel_bin").agg(
+    levels = mel.select(RECORDING, F.posexplode("mel").alias("mel_bin", "x")).withColumn("mel_bin", F.col("mel_bin").cast("bigint"))
+    return levels.groupBy(RECORDING, "mel_bin").agg(
         F.count("*").alias("n_frames"), F.round(F.min("x").cast("double"), 3).alias("min_level"),
         F.round(F.max("x").cast("double"), 3).alias("max_level"),
     )
@@ -554,12 +560,12 @@ def transcribe_fixed(spark, d):
 
 @query
 def text_outcomes(spark, d):
-    """Conversation turns as window texts of one clip, put back together."""
+    """Two conversation turns in a row as the window texts of one clip, put back together."""
     rows = T.read(spark, d, "conversations").select(
-        T.text_id("conv_id"), F.lit("whole").alias("clip_id"), F.col("turn").alias("window_no"), F.lit(0).cast("bigint").alias("clip_start_us"),
+        T.text_id("conv_id"), F.concat_ws("-", F.col("conv_id"), F.expr("turn div 2")).alias("clip_id"), F.col("turn").alias("window_no"), F.lit(0).cast("bigint").alias("clip_start_us"),
         F.lit("raw_asr").alias("provenance"), "text", F.lit(None).cast("string").alias("error"), F.lit("fake").alias("backend_id"),
     )
-    return transcription.clip_outcomes(rows).select(RECORDING, "text", "error")
+    return transcription.clip_outcomes(rows).select(RECORDING, "clip_id", "text", "error")
 
 
 # --- streams' batch twins --------------------------------------------------

@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 SCHEMA_VERSION = 1
 SAMPLE_RATE_HZ = 16_000
+# Storage buckets of event tables.
+N_BUCKETS = 256
 
 # Names stored in event logs and manifests.
 ASSET_KINDS = ("audio_file", "video_file", "microphone_recording")

@@ -15,10 +15,9 @@ from tapeloom.functions.text import is_blank
 from tapeloom.operators.clips import RECORDING
 from tapeloom.operators.replay import Replayed, replay
 from tapeloom.plans.once import computed_once
-from tapeloom.schemas import EVENT_COLUMNS, EVENT_KINDS, LOG_LINE_DDL, MANIFEST_DDL, SCHEMA_VERSION
+from tapeloom.schemas import EVENT_COLUMNS, EVENT_KINDS, LOG_LINE_DDL, MANIFEST_DDL, N_BUCKETS, SCHEMA_VERSION
 from tapeloom.sources.files import write_files
 
-N_BUCKETS = 256
 _FOLDER = r"/recordings/([^/]+)/[^/]+$"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.text import trim_unicode
-from tapeloom.functions.timecode import clock_us, decimal_seconds_us, frames_in, whole_number
+from tapeloom.functions.timecode import clock_sum_us, decimal_seconds_us, frames_in, whole_number
 from tapeloom.operators.clips import RECORDING
 from tapeloom.plans.once import computed_once
 
@@ -47,7 +47,7 @@ def _read_csv(probe: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 def _channels(field: Column) -> Column:
     named = F.when(field == "mono", 1).when(field == "stereo", 2)
-    named = named.when(field.rlike("^.* channels$"), whole_number(F.regexp_extract(field, "^(.*) channels$", 1), "int"))
+    named = named.when(F.endswith(field, F.lit(" channels")), whole_number(F.substring_index(field, " channels", 1), "int"))
     for layout, count in LAYOUTS.items():
         hit = field == layout if layout == "quad" else F.startswith(field, F.lit(layout))
         named = named.when(hit, count)
@@ -55,18 +55,27 @@ def _channels(field: Column) -> Column:
 
 
 def _read_log(probe: DataFrame) -> DataFrame:
-    details = F.regexp_extract("text", r"(?m)^.*?Audio:(.*)$", 1)
+    # one step per projection: each later step refers to a column several times
     rows = probe.select(
         RECORDING, "text",
-        clock_us(trim_unicode(F.regexp_extract("text", r"(?m)^.*?Duration: ([^,\n]*)", 1))).alias("duration_us"),
-        F.transform(F.split(details, ","), lambda x: trim_unicode(x)).alias("fields"),
+        F.regexp_extract("text", r"Duration: ([^,\n]*)", 1).alias("clock"),
+        F.regexp_extract("text", r"Audio:([^\n]*)", 1).alias("details"),
+    )
+    rows = rows.select(
+        RECORDING, "text", F.split(trim_unicode("clock"), ":").alias("clock"),
+        F.transform(F.split("details", ","), lambda x: trim_unicode(x)).alias("fields"),
+    )
+    rows = rows.select(RECORDING, "text", "fields", *[F.get("clock", F.lit(i)).alias(n) for i, n in enumerate("hms")], F.size("clock").alias("n_parts"))
+    rows = rows.withColumn("s", F.when(F.contains("s", F.lit(".")), F.col("s")).otherwise(F.concat("s", F.lit(".0"))))
+    rows = rows.select(
+        RECORDING, "text", "fields", F.when(F.col("n_parts") == 3, clock_sum_us(F.col("h"), F.col("m"), F.col("s"))).alias("duration_us")
     )
     is_rate = lambda x: F.endswith(x, F.lit(" Hz"))
     names = F.filter("fields", lambda x: ~is_rate(x))
     rows = rows.select(
         RECORDING, "text", "duration_us",
         F.transform(
-            F.filter("fields", is_rate), lambda x: whole_number(F.regexp_extract(x, "^(.*) Hz$", 1))
+            F.filter("fields", is_rate), lambda x: whole_number(F.substring_index(x, " Hz", 1))
         ).alias("rates"),
         # a field that names no layout is skipped; an unreadable "N channels" makes the probe bad
         F.filter(

@@ -19,7 +19,7 @@ from tapeloom.operators.clips import RECORDING
 from tapeloom.operators.fold import RecordingFold, Refused
 from tapeloom.operators.replay import Replayed, clips_of, recordings_of, transcripts_of
 from tapeloom.plans.stage import written
-from tapeloom.schemas import EVENT_COLUMNS, EVENTS_DDL, PAYLOAD, PAYLOAD_COLUMNS, struct_type
+from tapeloom.schemas import EVENT_COLUMNS, EVENTS_DDL, N_BUCKETS, PAYLOAD, PAYLOAD_COLUMNS, struct_type
 
 JUDGED_DDL = EVENTS_DDL + ", outcome string"
 _HELD_DDL = "kind string, " + ", ".join(f"{n} {t}" for n, t in PAYLOAD) + ", schema_version int"
@@ -156,17 +156,24 @@ def judged_sink(path: str):
     """foreachBatch writer of judged records, one folder per batch: a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        batch.withColumn("bucket", bucket_of()).write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{path.rstrip('/')}/batch={batch_id}"
+        )
 
     return write
 
 
+def bucket_of():
+    """Storage bucket of a recording; there are few enough to list."""
+    return F.pmod(F.xxhash64(RECORDING), F.lit(N_BUCKETS)).cast("int")
+
+
 def snapshot_sink(judged_path: str, snapshot_path: str):
     """foreachBatch writer that keeps judged records and refreshes the snapshots they touch.
 
-    Snapshots are versions keyed by batch: a batch writes new rows for its own recordings
-    only, and a repeated batch overwrites exactly what it wrote before. ``read_snapshots``
-    picks the latest version of each recording.
+    Only storage buckets with a touched recording are read back. Snapshots are versions
+    keyed by batch: a batch writes rows for its own recordings only, and a repeated batch
+    overwrites exactly what it wrote before. ``read_snapshots`` picks the latest version.
     """
     keep = judged_sink(judged_path)
 
@@ -175,10 +182,11 @@ def snapshot_sink(judged_path: str, snapshot_path: str):
         batch = written(batch, "batch")
         keep(batch, batch_id)
         touched = batch.filter("outcome = 'accepted'").select(RECORDING).distinct()
-        history = spark.read.schema(JUDGED_DDL + ", batch bigint").parquet(judged_path)
-        accepted = history.filter((F.col("outcome") == "accepted") & (F.col("batch") <= batch_id)).join(
-            touched, RECORDING, "left_semi"
-        )
+        buckets = [r.bucket for r in touched.select(bucket_of().alias("bucket")).distinct().collect()]
+        history = spark.read.schema(JUDGED_DDL + ", batch bigint, bucket int").parquet(judged_path)
+        accepted = history.filter(
+            F.col("bucket").isin(buckets) & (F.col("outcome") == "accepted") & (F.col("batch") <= batch_id)
+        ).join(touched, RECORDING, "left_semi")
         for name, table in _state(accepted).items():
             table.write.mode("overwrite").parquet(f"{snapshot_path.rstrip('/')}/{name}/batch={batch_id}")
 
