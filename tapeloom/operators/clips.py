@@ -309,21 +309,20 @@ def locate(clips: DataFrame, points: DataFrame, width: int = TIME_BUCKET_US) ->
     the point is the only candidate: one merged ordered scan, no range join.
     """
     clip_rows = active(clips).select(
-        RECORDING, F.col("start_us").alias("at_us"), F.lit(0).alias("is_point"),
-        F.lit(None).cast("string").alias("point_id"), F.struct("clip_id", "start_us", "end_us").alias("clip"),
+        RECORDING, F.col("start_us").alias("at_us"), F.lit(0).alias("is_point"), F.struct("clip_id", "end_us").alias("clip")
     )
-    point_rows = points.select(
-        RECORDING, "at_us", F.lit(1).alias("is_point"), F.col("point_id").cast("string").alias("point_id"),
-        F.lit(None).cast(clip_rows.schema["clip"].dataType).alias("clip"),
+    # points at the same time share one look-up, so a popular moment does not fill a bucket
+    times = points.select(RECORDING, "at_us").distinct().select(
+        RECORDING, "at_us", F.lit(1).alias("is_point"), F.lit(None).cast(clip_rows.schema["clip"].dataType).alias("clip")
     )
     merged = ordered_scan(
-        clip_rows.unionByName(point_rows), [RECORDING], "at_us",
+        clip_rows.unionByName(times), [RECORDING], "at_us",
         [LastSeen("held_by", "clip")], width, ties=["is_point"], share=True,
     )
-    inside = F.col("held_by.end_us") > F.col("at_us")
-    return merged.filter("is_point = 1").select(
-        RECORDING, "point_id", "at_us", F.when(inside, F.col("held_by.clip_id")).alias("clip_id")
-    )
+    found = merged.filter("is_point = 1 and held_by.end_us > at_us").select(RECORDING, "at_us", "held_by.clip_id")
+    return points.select(RECORDING, F.col("point_id").cast("string").alias("point_id"), "at_us").join(
+        found, [RECORDING, "at_us"], "left"
+    ).select(RECORDING, "point_id", "at_us", "clip_id")
 
 
 def active_target_index(clips: DataFrame, width: int = ORDINAL_BUCKET) -> DataFrame:

@@ -20,6 +20,8 @@ from tapeloom.plans.scan import SumBefore, ordered_scan
 from tapeloom.plans.stage import written
 from tapeloom.schemas import COMMAND_EVENTS, EVENT_COLUMNS, EVENTS_DDL, PAYLOAD_COLUMNS, SCHEMA_VERSION
 
+# Span of ordinals per scan bucket where ordinals are multiples of source microseconds.
+TIME_ORDINALS = 4 * TIME_BUCKET_US
 JUDGED_DDL = EVENTS_DDL + ", ordinal bigint, reason_code string"
 
 
@@ -30,16 +32,19 @@ def as_events(commands: DataFrame) -> DataFrame:
 
 
 def apply_commands(
-    log: DataFrame, commands: DataFrame, width: int = ORDINAL_BUCKET, time_width: int = TIME_BUCKET_US
+    log: DataFrame, commands: DataFrame, width: int = ORDINAL_BUCKET, time_width: int = TIME_BUCKET_US,
+    ordinal_width: int = ORDINAL_BUCKET,
 ) -> tuple[DataFrame, DataFrame]:
     """(new events to append, rejects).
 
     ``log`` holds accepted events; ``commands`` the columns of COMMANDS_DDL, with
-    ``ordinal`` giving the order within a recording (unique per recording).
+    ``ordinal`` giving the order within a recording (unique per recording). Pass
+    ``ordinal_width=TIME_ORDINALS`` for commands ordered by source time.
     """
-    sound, unsound = split_rejects(as_events(commands), payload_code(), [RECORDING, "ordinal", "kind"])
+    commands = written(as_events(commands), "commands")
+    sound, unsound = split_rejects(commands, payload_code(), [RECORDING, "ordinal", "kind"])
     tail = log.groupBy(RECORDING).agg(F.max("sequence").alias("last_sequence"))
-    ranked = ordered_scan(sound, [RECORDING], "ordinal", [SumBefore("rank", F.lit(1).cast("bigint"))], width)
+    ranked = ordered_scan(sound, [RECORDING], "ordinal", [SumBefore("rank", F.lit(1).cast("bigint"))], ordinal_width)
     numbered = ranked.join(tail, RECORDING, "left").withColumn(
         "sequence", F.coalesce("last_sequence", F.lit(0).cast("bigint")) + F.col("rank") + 1
     ).withColumn("schema_version", F.lit(SCHEMA_VERSION))

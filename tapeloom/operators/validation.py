@@ -42,12 +42,14 @@ def payload_code() -> Column:
 
 def sequence_audit(events: DataFrame, width: int = ORDINAL_BUCKET) -> DataFrame:
     """Per log: records, how many do not follow the number before, and the first such number."""
-    seen = ordered_scan(events.select(RECORDING, "sequence"), [RECORDING], "sequence", [Lag("was", "sequence")], width)
-    off = F.col("sequence") != F.coalesce(F.col("was"), F.lit(0).cast("bigint")) + 1
-    return seen.groupBy(RECORDING).agg(
-        F.count("*").alias("n_records"),
-        F.sum(F.when(off, 1).otherwise(0)).alias("n_out_of_order"),
-        F.min(F.when(off, F.col("sequence"))).alias("first_bad_sequence"),
+    numbers = events.groupBy(RECORDING, "sequence").agg(F.count("*").alias("copies"))
+    seen = ordered_scan(numbers, [RECORDING], "sequence", [Lag("was", "sequence")], width, share=True)
+    jumps = F.col("sequence") != F.coalesce(F.col("was"), F.lit(0).cast("bigint")) + 1
+    off = F.when(jumps, F.col("copies")).otherwise(F.col("copies") - 1)
+    return seen.withColumn("off", off).groupBy(RECORDING).agg(
+        F.sum("copies").alias("n_records"),
+        F.sum("off").alias("n_out_of_order"),
+        F.min(F.when(F.col("off") > 0, F.col("sequence"))).alias("first_bad_sequence"),
     )
 
 
