@@ -211,7 +211,9 @@ def _tree_nodes(lives: DataFrame) -> DataFrame:
     ranges = inside.select(
         RECORDING, "level", F.explode(pieces).alias("node"), F.lit(0).alias("is_point"), "added_at", "deleted_at"
     )
-    return points.unionByName(ranges)
+    # a start only matters on levels where its recording has range nodes, two or three of the nineteen
+    used = ranges.select(RECORDING, "level").distinct()
+    return points.join(used, [RECORDING, "level"], "left_semi").unionByName(ranges)
 
 
 def _overlap_findings(rows: DataFrame, width: int, time_width: int) -> DataFrame:

@@ -339,4 +339,19 @@ def oracle_sql() -> dict[str, str]:
         SELECT recording_id, clip_id, nullif(text, '') AS text, CASE WHEN text = '' THEN 'transcription returned empty text' END AS error FROM g"""
     q["live_level"] = f"""SELECT CAST(user_id AS VARCHAR) AS recording_id, epoch_us(ts) - epoch_us(ts) % 3600000000 AS window_start_us, count(*) AS n_samples,
         {_rounded('max(abs(CAST(value AS FLOAT)))')} AS peak FROM events GROUP BY 1, 2"""
+    q["clip_windows"] = f"""WITH {LINES}, w AS (SELECT recording_id, duration_us, unnest(range((duration_us - 1) // 30000000 + 1)) AS window_no FROM media WHERE duration_us > 0)
+        SELECT recording_id, 'all#' || window_no AS window_id, window_no, 7 + window_no * 30000000 AS start_us,
+          least(7 + (window_no + 1) * 30000000, duration_us + 7) AS end_us, duration_us > 30000000 AS is_long FROM w"""
+    q["transcribable"] = """SELECT l_orderkey, l_partkey,
+        CASE WHEN l_linestatus = 'O' THEN 'empty_audio_path' WHEN l_returnflag = 'N' OR l_linenumber > 5 THEN 'not_16khz_mono' END AS transcribe_code,
+        CASE WHEN l_returnflag = 'N' OR l_linenumber > 5 THEN 'profile_needs_16khz_mono' END AS profile_code FROM lineitem"""
+    q["block_faults"] = """SELECT CAST(a.label AS VARCHAR) AS recording_id, 'original' AS profile, a.vec_id AS block_no, 'block_missing_before' AS reason_code
+        FROM embeddings a LEFT JOIN embeddings b ON b.label = a.label AND b.vec_id = a.vec_id - 1 WHERE b.vec_id IS NULL AND a.vec_id > 0"""
+    packets = """p AS (SELECT CAST(conv_id AS VARCHAR) AS recording_id, turn, role = 'assistant' AS stop,
+        CASE WHEN role = 'system' THEN 480 ELSE strlen(text) // 2 END AS n FROM conversations)"""
+    q["capture_blocks"] = f"""WITH {packets} SELECT recording_id, row_number() OVER w - 1 AS block_no, CAST(sum(n) OVER w - n AS BIGINT) AS first_frame,
+        CAST(sum(n) OVER (PARTITION BY recording_id) AS BIGINT) AS total_frames, n AS n_samples FROM p WHERE n > 0
+        WINDOW w AS (PARTITION BY recording_id ORDER BY turn)"""
+    q["capture_report"] = f"""WITH {packets} SELECT recording_id, 16000 AS sample_rate_hz, CAST(sum(n) AS BIGINT) AS frame_count,
+        CAST(sum(n) * 1000000 // 16000 AS BIGINT) AS duration_us, bool_or(stop) AS stopped FROM p GROUP BY 1"""
     return q

@@ -21,6 +21,8 @@ from tapeloom.plans.scan import SumBefore, ordered_scan
 from tapeloom.plans.tables import RECORDING
 from tapeloom.sources.event_log import line_json, parse_log_lines
 from tapeloom.sources.probe import parse_probe
+from tapeloom.streaming import capture
+from tapeloom.streaming.level import level_by_window
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -568,12 +570,64 @@ def text_outcomes(spark, d):
     return transcription.clip_outcomes(rows).select(RECORDING, "clip_id", "text", "error")
 
 
+@query
+def clip_windows(spark, d):
+    """Orders as clips of a second per unit, cut into feature windows."""
+    whole = T.order_media(spark, d).select(
+        RECORDING, F.lit("all").alias("clip_id"), F.lit(7).cast("bigint").alias("start_us"),
+        (F.col("duration_us") + 7).alias("end_us"), F.lit("pending").alias("status"),
+    )
+    return features.clip_windows(whole).select(RECORDING, "window_id", "window_no", "start_us", "end_us", "is_long")
+
+
+@query
+def transcribable(spark, d):
+    """Line items as prepared audio: what may be transcribed and what may take a profile."""
+    rate = F.when(F.col("l_returnflag") == "N", 8000).otherwise(16000)
+    held = T.read(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", rate.alias("sample_rate_hz"), F.when(F.col("l_linenumber") > 5, 2).otherwise(1).alias("channels"),
+        F.when(F.col("l_linestatus") == "O", "").otherwise("a.wav").alias("audio_path"),
+    )
+    return held.select(
+        "l_orderkey", "l_partkey", validation.transcribable_code().alias("transcribe_code"),
+        validation.profile_input_code().alias("profile_code"),
+    )
+
+
+@query
+def block_faults(spark, d):
+    """Vectors of a label numbered by their own ids: holes between nearly all of them."""
+    held = T.read(spark, d, "embeddings").select(
+        T.text_id("label"), F.lit("original").alias("profile"), F.col("vec_id").alias("block_no"),
+        (F.col("vec_id") * T.VECTOR).alias("first_frame"), F.col("embedding").alias("samples"),
+    )
+    return audio.block_faults(held)
+
+
 # --- streams' batch twins --------------------------------------------------
 
+def _turn_packets(spark, d):
+    """Turns as capture packets: the text's bytes are 16-bit samples, system turns are silent."""
+    return T.read(spark, d, "conversations").select(
+        T.text_id("conv_id"), F.col("turn").alias("packet_no"), F.lit("pcm16").alias("sample_format"), F.lit(1).alias("channels"),
+        F.lit(16_000).alias("sample_rate_hz"), (F.col("role") == "system").alias("silent"), F.lit(480).alias("frames"),
+        F.encode("text", "UTF-8").alias("payload"), (F.col("role") == "assistant").alias("stop"),
+    )
+
+
 @query
-def live_level(spark, d):
-    from tapeloom.streaming.level import level_by_window
+def capture_blocks(spark, d):
+    blocks, _ = capture.assemble_capture(capture.decode_packets(_turn_packets(spark, d)))
+    return blocks.select(RECORDING, "block_no", "first_frame", "total_frames", F.size("samples").cast("bigint").alias("n_samples"))
 
+
+@query
+def capture_report(spark, d):
+    return capture.assemble_capture(capture.decode_packets(_turn_packets(spark, d)))[1]
+
+
+@query
+def live_level(spark, d):
     rows = T.read(spark, d, "events").select(
         T.text_id("user_id"), T.micros("ts").alias("at_us"), F.array(F.col("value").cast("float")).alias("samples")
     )
