@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import op9_exact_dedup
+from tapeloom.llm import (
+    op4_simhash,
+    op9_exact_dedup,
+)
 
 QUERIES = {
+    "op4_simhash": op4_simhash.op4_simhash,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
 }
 
