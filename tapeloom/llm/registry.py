@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tapeloom.llm import (
     op4_simhash,
+    op7_language_id,
     op9_exact_dedup,
 )
 
 QUERIES = {
     "op4_simhash": op4_simhash.op4_simhash,
+    "op7_language_id": op7_language_id.op7_language_id,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
 }
 
