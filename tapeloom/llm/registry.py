@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from tapeloom.llm import (
+    op1_decontamination,
     op4_simhash,
     op7_language_id,
     op9_exact_dedup,
 )
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination.op1_decontamination,
     "op4_simhash": op4_simhash.op4_simhash,
     "op7_language_id": op7_language_id.op7_language_id,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": op1_decontamination.SQL,
     "op9_exact_dedup": op9_exact_dedup.SQL,
 }
