@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tapeloom.llm import (
     op1_decontamination,
+    op3_sentencepiece,
     op4_simhash,
     op7_language_id,
     op9_exact_dedup,
@@ -11,6 +12,7 @@ from tapeloom.llm import (
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.op1_decontamination,
+    "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
     "op4_simhash": op4_simhash.op4_simhash,
     "op7_language_id": op7_language_id.op7_language_id,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
