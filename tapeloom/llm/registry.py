@@ -7,6 +7,7 @@ from tapeloom.llm import (
     op3_sentencepiece,
     op4_simhash,
     op7_language_id,
+    op8_token_counts,
     op9_exact_dedup,
 )
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
     "op4_simhash": op4_simhash.op4_simhash,
     "op7_language_id": op7_language_id.op7_language_id,
+    "op8_token_counts": op8_token_counts.op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
 }
 
