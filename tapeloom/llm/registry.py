@@ -6,6 +6,7 @@ from tapeloom.llm import (
     op1_decontamination,
     op3_sentencepiece,
     op4_simhash,
+    op6_html_text,
     op7_language_id,
     op8_token_counts,
     op9_exact_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination.op1_decontamination,
     "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
     "op4_simhash": op4_simhash.op4_simhash,
+    "op6_html_text": op6_html_text.op6_html_text,
     "op7_language_id": op7_language_id.op7_language_id,
     "op8_token_counts": op8_token_counts.op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
