@@ -6,6 +6,7 @@ from tapeloom.llm import (
     op1_decontamination,
     op3_sentencepiece,
     op4_simhash,
+    op5_warc,
     op6_html_text,
     op7_language_id,
     op8_token_counts,
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination.op1_decontamination,
     "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
     "op4_simhash": op4_simhash.op4_simhash,
+    "op5_warc": op5_warc.op5_warc,
     "op6_html_text": op6_html_text.op6_html_text,
     "op7_language_id": op7_language_id.op7_language_id,
     "op8_token_counts": op8_token_counts.op8_token_counts,
@@ -24,5 +26,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": op1_decontamination.SQL,
+    "op5_warc": op5_warc.SQL,
     "op9_exact_dedup": op9_exact_dedup.SQL,
 }
