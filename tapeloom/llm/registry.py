@@ -11,6 +11,7 @@ from tapeloom.llm import (
     op7_language_id,
     op8_token_counts,
     op9_exact_dedup,
+    op10_quality,
 )
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_language_id": op7_language_id.op7_language_id,
     "op8_token_counts": op8_token_counts.op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
+    "op10_quality": op10_quality.op10_quality,
 }
 
 ORACLE_SQL = {
