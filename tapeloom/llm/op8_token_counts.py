@@ -122,7 +122,9 @@ def token_counts(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     digest = fill_cache(rows, cache, path)
     narrow = written(with_digest(rows).drop("text"), "digests")
-    counted = narrow.join(read_cache(docs.sparkSession, cache, digest), "content")
+    # written, so that the join can split a content that very many rows share
+    counts = written(read_cache(docs.sparkSession, cache, digest), "counts")
+    counted = narrow.join(counts, "content")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
