@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tapeloom.llm import (
     op1_decontamination,
+    op2_chat,
     op3_sentencepiece,
     op4_simhash,
     op5_warc,
@@ -16,6 +17,7 @@ from tapeloom.llm import (
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.op1_decontamination,
+    "op2_chat": op2_chat.op2_chat,
     "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
     "op4_simhash": op4_simhash.op4_simhash,
     "op5_warc": op5_warc.op5_warc,
@@ -28,6 +30,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": op1_decontamination.SQL,
+    "op2_chat": op2_chat.SQL,
     "op5_warc": op5_warc.SQL,
     "op9_exact_dedup": op9_exact_dedup.SQL,
 }
