@@ -226,7 +226,7 @@ def _read(batches):
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """A row per record of the listed archives; each archive is read by one task."""
-    return archives.select("path").repartition("path").mapInArrow(_read, ROWS_DDL)
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(_read, ROWS_DDL)
 
 
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
