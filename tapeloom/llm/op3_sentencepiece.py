@@ -34,6 +34,7 @@ UNIGRAM, BPE = 1, 2
 #: Text that one call encodes, in bytes.
 CALL_BYTES = 1 << 20
 KEPT_WORDS = 300_000
+HIDDEN = "\U0010ffff"
 
 
 def default_model() -> bytes:
@@ -104,9 +105,11 @@ def tokenizer(model: bytes):
         name = pieces[unknown][0] if unknown is not None else None
         core = models.BPE(rank, merges(pieces), unk_token=name, fuse_unk=True, byte_fallback=fallback)
     elif spec["type"] == UNIGRAM:
-        # pieces that text must not match keep their place at a score no path takes
+        # pieces that text must not match get names that it does not have; their scores must not
+        # lower that of an unknown character, and bytes are filled in by ``encode``
         hidden = (UNKNOWN, CONTROL, UNUSED, BYTE)
-        core = models.Unigram([(p, -1e6 if kind in hidden else s) for p, s, kind in pieces], unknown, fallback)
+        least = min((s for _, s, kind in pieces if kind not in hidden), default=0.0)
+        core = models.Unigram([(HIDDEN + p, least) if kind in hidden else (p, s) for p, s, kind in pieces], unknown, False)
     else:
         raise ValueError("only unigram and BPE models can be rebuilt")
     steps = [normalizers.Precompiled(spec["charsmap"])] if spec["charsmap"] else []
@@ -139,22 +142,52 @@ def use_threads(threads: int) -> None:
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
 
 
+@lru_cache(4)
+def _plain(model: bytes):
+    """The same tokenizer for text that is normalised already."""
+    from tokenizers import Tokenizer, normalizers
+
+    plain = Tokenizer.from_str(tokenizer(model).to_str())
+    plain.normalizer = normalizers.Sequence([])
+    return plain
+
+
 @lru_cache(4)
 def _words(model: bytes):
     """The same tokenizer for text that is normalised, one integer object per id, ids of words met before.
 
     None where words depend on each other or the normaliser does more than mark blanks.
     """
-    from tokenizers import Tokenizer, normalizers
-
     spec = parse(model)
     if spec["charsmap"] or spec["squeeze"] or not spec["prefix"] or not spec["escape"]:
         return None
     if any(MARK in p.lstrip(MARK) or kind == USER_DEFINED for p, _, kind in spec["pieces"]):
         return None
-    plain = Tokenizer.from_str(tokenizer(model).to_str())
-    plain.normalizer = normalizers.Sequence([])
-    return plain, list(range(len(spec["pieces"]))), {}
+    return _plain(model), list(range(len(spec["pieces"]))), {}
+
+
+@lru_cache(4)
+def _bytes(model: bytes) -> tuple[int, list[int]] | None:
+    """The unknown id and the ids of the 256 bytes, where unknown characters are spelled in bytes."""
+    spec = parse(model)
+    spelled = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(spec["pieces"]) if kind == BYTE}
+    if spec["type"] != UNIGRAM or not spec["byte_fallback"] or len(spelled) < 256:
+        return None
+    return spec["unknown"], [spelled[b] for b in range(256)]
+
+
+def _spelled(model: bytes, texts: list[str]) -> list[list[int]]:
+    """Ids of each text by a unigram model, unknown stretches spelled in bytes."""
+    unknown, spelled = _bytes(model)
+    normal = [tokenizer(model).normalizer.normalize_str(t) for t in texts]
+    plain = _plain(model).encode_batch(normal, add_special_tokens=False)
+    found = []
+    for text, e in zip(normal, plain):
+        ids = []
+        for i, (a, b) in zip(e.ids, e.offsets):
+            ids += [i] if i != unknown else [spelled[x] for x in text[a:b].encode()]
+        found.append(ids)
+    return found
 
 
 def encode(model: bytes, texts: list[str]) -> list[list[int]]:
@@ -164,6 +197,8 @@ def encode(model: bytes, texts: list[str]) -> list[list[int]]:
     encoded once, and its ids are kept (at most ``KEPT_WORDS`` words). Texts with runs of blanks
     are encoded whole.
     """
+    if _bytes(model):
+        return _spelled(model, texts)
     words = _words(model)
     rows = [
         t.split(" ") if words and t and t[0] != " " and "  " not in t and MARK not in t else None for t in texts
