@@ -60,7 +60,7 @@ def apply_commands(
     calm = everything.join(stops, RECORDING, "left_anti").filter("ordinal is not null")
     judged = (
         everything.join(stops, RECORDING, "left_semi")
-        .select(*EVENT_COLUMNS, "ordinal")
+        .select(*EVENT_COLUMNS, "ordinal", payload_code().alias("problem"))
         .repartition(RECORDING)
         .sortWithinPartitions(RECORDING, F.col("ordinal").asc_nulls_first(), "sequence")
         .mapInArrow(_judge, JUDGED_DDL)
@@ -92,6 +92,7 @@ def _judge(batches):
                     fold.apply(row)
                 except Refused as stop:
                     row["reason_code"] = stop.code
+            del row["problem"]
             out.append(row)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_judged_schema())

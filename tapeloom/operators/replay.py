@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.text import is_blank
 from tapeloom.operators.clips import ORDINAL_BUCKET, RECORDING, TIME_BUCKET_US
+from tapeloom.operators.validation import payload_code
 from tapeloom.plans.scan import Lag, LastSeen, Lead, MaxBefore, SumBefore, ordered_scan
 from tapeloom.plans.stage import written
 from tapeloom.schemas import EVENT_COLUMNS, PAYLOAD_COLUMNS, RECORDING_KINDS, SCHEMA_VERSION
@@ -84,12 +84,11 @@ def _finding(rank: int, code: str | Column, copy: int | Column = 0) -> Column:
 
 
 def _log_findings(rows: DataFrame, width: int) -> DataFrame:
-    """Version, numbering, blank text, ranges, recording life cycle and move targets."""
+    """Version, numbering, payloads on their own, recording life cycle and move targets."""
     kind = F.col("kind")
     is_recording = kind.isin(*RECORDING_KINDS)
     narrow = rows.select(
-        RECORDING, "sequence", "kind", "copies", "schema_version", "start_us", "end_us", "target_index",
-        is_blank("text").alias("blank_text"), is_blank("reason").alias("blank_reason"),
+        RECORDING, "sequence", "kind", "copies", "schema_version", "target_index", payload_code().alias("problem"),
     )
     seen = ordered_scan(
         narrow, [RECORDING], "sequence",
@@ -110,10 +109,7 @@ def _log_findings(rows: DataFrame, width: int) -> DataFrame:
     checks = [
         (0, F.coalesce(F.col("schema_version"), F.lit(-1)) != SCHEMA_VERSION, "unsupported_schema"),
         (1, F.col("sequence") != expected, "event_out_of_order"),
-        (2, (kind == "recording_failed") & F.col("blank_reason"), "empty_recording_failure"),
-        (2, (kind == "transcription_failed") & F.col("blank_reason"), "empty_transcription_failure"),
-        (2, (kind == "transcript_committed") & F.col("blank_text"), "empty_transcript"),
-        (2, (kind == "clip_added") & ~F.coalesce(F.col("end_us") > F.col("start_us"), F.lit(False)), "invalid_time_range"),
+        (2, F.col("problem").isNotNull(), F.col("problem")),
         (3, (kind == "recording_created") & last.isNotNull(), "recording_already_exists"),
         (3, (kind != "recording_created") & last.isNull(), "recording_not_found"),
         (4, is_recording & (kind != "recording_created") & transition, "invalid_recording_transition"),

@@ -21,8 +21,9 @@ def split_rejects(df: DataFrame, code: Column, keep: list[str] | None = None) ->
 
 
 def range_code() -> Column:
-    """A range must end after it starts."""
-    return F.when(~F.coalesce(F.col("end_us") > F.col("start_us"), F.lit(False)), "invalid_time_range")
+    """A range starts at or after zero and ends after it starts."""
+    sound = (F.col("start_us") >= 0) & (F.col("end_us") > F.col("start_us"))
+    return F.when(~F.coalesce(sound, F.lit(False)), "invalid_time_range")
 
 
 def payload_code() -> Column:

@@ -115,7 +115,7 @@ def write_event_logs(events: DataFrame, root: str) -> DataFrame:
 def append_events(events: DataFrame, path: str) -> None:
     """Append flat events to the parquet table."""
     bucket = F.pmod(F.xxhash64(RECORDING), F.lit(N_BUCKETS)).cast("int")
-    events.select(*EVENT_COLUMNS).withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
+    events.select(*EVENT_COLUMNS).withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

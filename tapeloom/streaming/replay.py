@@ -18,11 +18,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tapeloom.operators.clips import RECORDING
 from tapeloom.operators.fold import RecordingFold, Refused
 from tapeloom.operators.replay import Replayed, clips_of, recordings_of, transcripts_of
-from tapeloom.plans.stage import written
-from tapeloom.schemas import EVENT_COLUMNS, EVENTS_DDL, N_BUCKETS, PAYLOAD, PAYLOAD_COLUMNS, struct_type
+from tapeloom.operators.validation import payload_code
+from tapeloom.schemas import (
+    EVENT_COLUMNS, EVENTS_DDL, N_BUCKETS, PAYLOAD, PAYLOAD_COLUMNS, SCHEMA_VERSION, struct_type,
+)
 
 JUDGED_DDL = EVENTS_DDL + ", outcome string"
-_HELD_DDL = "kind string, " + ", ".join(f"{n} {t}" for n, t in PAYLOAD) + ", schema_version int"
+_HELD = ["kind", *PAYLOAD_COLUMNS, "schema_version", "problem"]
+_HELD_DDL = "kind string, " + ", ".join(f"{n} {t}" for n, t in PAYLOAD) + ", schema_version int, problem string"
 _LONGS = {"sequence", "start_us", "end_us", "target_index", "schema_version"}
 
 
@@ -46,17 +49,17 @@ class _StateMapping:
 class LogJudge(StatefulProcessor):
     """Accept records in sequence; the first bad one closes the log.
 
-    With ``hold`` above 0, up to that many records that came too early wait for the gap
-    to fill, at most ``patience_ms``; those left over then are rejected.
+    With ``patience_ms`` above 0, records that came too early wait that long for the gap to
+    fill; those left over then are rejected. A closed log keeps nothing but that it is closed.
     """
 
-    def __init__(self, hold: int = 0, patience_ms: int = 60_000):
-        self.hold, self.patience_ms = hold, patience_ms
+    def __init__(self, patience_ms: int = 0):
+        self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.facts = handle.getValueState(
-            "facts", struct_type("next_sequence bigint, status string, failure string, n_clips bigint, closed boolean, n_held bigint")
+            "facts", struct_type("next_sequence bigint, status string, failure string, n_clips bigint, closed boolean, n_held bigint, timer bigint"),
         )
         self.clips = handle.getMapState(
             "clips", struct_type("clip_id string"), struct_type("start_us bigint, end_us bigint, status string, failure string")
@@ -66,17 +69,24 @@ class LogJudge(StatefulProcessor):
 
     def _load(self):
         fold = RecordingFold(_StateMapping(self.clips), _StateMapping(self.versions))
-        closed, held = False, 0
+        closed, held, self.timer = False, 0, 0
         if self.facts.exists():
-            fold.next_sequence, fold.status, fold.failure, fold.n_clips, closed, held = self.facts.get()
+            fold.next_sequence, fold.status, fold.failure, fold.n_clips, closed, held, self.timer = self.facts.get()
         return fold, bool(closed), int(held)
 
     def _save(self, fold, closed, held):
-        self.facts.update((fold.next_sequence, fold.status, fold.failure, fold.n_clips, closed, held))
+        if closed:
+            held = 0
+            for state in (self.clips, self.versions, self.early):
+                state.clear()
+        if self.timer and not held:
+            self.handle.deleteTimer(self.timer)
+            self.timer = 0
+        self.facts.update((fold.next_sequence, fold.status, fold.failure, fold.n_clips, closed, held, self.timer))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fold, closed, held = self._load()
-        arrived = sorted((r for part in rows for r in _records(part)), key=lambda r: r["sequence"])
+        arrived = sorted((r for part in rows for r in _records(part)), key=lambda r: (r["sequence"] is None, r["sequence"] or 0))
         out = []
 
         def judge(row):
@@ -92,12 +102,13 @@ class LogJudge(StatefulProcessor):
                 out.append({**row, "outcome": stop.code})
 
         for row in arrived:
-            too_early = row["sequence"] > fold.next_sequence and row["schema_version"] == 1
-            if not closed and too_early and held < self.hold and not self.early.containsKey((row["sequence"],)):
-                self.early.updateValue((row["sequence"],), tuple(row[c] for c in ["kind", *PAYLOAD_COLUMNS, "schema_version"]))
+            too_early = (row["sequence"] or 0) > fold.next_sequence and row["schema_version"] == SCHEMA_VERSION
+            if not closed and too_early and self.patience_ms and not self.early.containsKey((row["sequence"],)):
+                self.early.updateValue((row["sequence"],), tuple(row[c] for c in _HELD))
                 held += 1
                 if held == 1:
-                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+                    self.timer = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+                    self.handle.registerTimer(self.timer)
                 continue
             judge(row)
             while held and self.early.containsKey((fold.next_sequence,)):
@@ -105,19 +116,27 @@ class LogJudge(StatefulProcessor):
                 held -= 1
                 if closed:
                     break
+            if closed and held:
+                out += self._left_over(key, "log_closed")
+                held = 0
         self._save(fold, closed, held)
         yield _frame(out)
 
     def _take(self, key, sequence) -> dict:
         value = self.early.getValue((sequence,))
         self.early.removeKey((sequence,))
-        return {RECORDING: key[0], "sequence": sequence, **dict(zip(["kind", *PAYLOAD_COLUMNS, "schema_version"], value))}
+        return {RECORDING: key[0], "sequence": sequence, **dict(zip(_HELD, value))}
+
+    def _left_over(self, key, outcome) -> list[dict]:
+        return [{**self._take(key, s), "outcome": outcome} for s in sorted(k[0] for k in self.early.keys())]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         fold, closed, held = self._load()
-        waiting = sorted(k[0] for k in self.early.keys()) if held else []
-        out = [{**self._take(key, s), "outcome": "event_out_of_order"} for s in waiting]
-        self._save(fold, closed or bool(out), 0)
+        if not held or expiredTimerInfo.getExpiryTimeInMs() != self.timer:
+            return
+        out = self._left_over(key, "event_out_of_order")
+        self.timer = 0
+        self._save(fold, True, 0)
         yield _frame(out)
 
     def close(self) -> None:
@@ -141,14 +160,15 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return out
 
 
-def replay_stream(events: DataFrame, hold: int = 0, patience_ms: int = 60_000) -> DataFrame:
+def replay_stream(events: DataFrame, patience_ms: int = 0) -> DataFrame:
     """Every record with its outcome: accepted, a reject code, or log_closed after one.
 
     Needs the RocksDB state store.
     """
-    return events.select(*EVENT_COLUMNS).groupBy(RECORDING).transformWithStateInPandas(
-        statefulProcessor=LogJudge(hold, patience_ms), outputStructType=struct_type(JUDGED_DDL),
-        outputMode="Append", timeMode="ProcessingTime" if hold else "None",
+    rows = events.select(*EVENT_COLUMNS, payload_code().alias("problem"))
+    return rows.groupBy(RECORDING).transformWithStateInPandas(
+        statefulProcessor=LogJudge(patience_ms), outputStructType=struct_type(JUDGED_DDL),
+        outputMode="Append", timeMode="ProcessingTime" if patience_ms else "None",
     )
 
 
@@ -156,7 +176,7 @@ def judged_sink(path: str):
     """foreachBatch writer of judged records, one folder per batch: a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("bucket", bucket_of()).write.mode("overwrite").partitionBy("bucket").parquet(
+        batch.withColumn("bucket", bucket_of()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
             f"{path.rstrip('/')}/batch={batch_id}"
         )
 
@@ -179,8 +199,8 @@ def snapshot_sink(judged_path: str, snapshot_path: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = written(batch, "batch")
         keep(batch, batch_id)
+        batch = spark.read.schema(JUDGED_DDL).parquet(f"{judged_path.rstrip('/')}/batch={batch_id}")
         touched = batch.filter("outcome = 'accepted'").select(RECORDING).distinct()
         buckets = [r.bucket for r in touched.select(bucket_of().alias("bucket")).distinct().collect()]
         history = spark.read.schema(JUDGED_DDL + ", batch bigint, bucket int").parquet(judged_path)

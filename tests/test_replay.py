@@ -6,7 +6,7 @@ import pytest
 
 from tapeloom.operators.fold import RecordingFold, Refused
 from tapeloom.operators.replay import replay, state_differences, transition_audit
-from tapeloom.schemas import EVENT_COLUMNS, EVENTS_DDL, PAYLOAD_COLUMNS
+from tapeloom.schemas import ASSET_KINDS, EVENT_COLUMNS, EVENT_KINDS, EVENTS_DDL, PAYLOAD_COLUMNS, PROVENANCES
 
 
 def ev(rec, seq, kind, version=1, **payload):
@@ -19,7 +19,41 @@ def frame(spark, rows):
     return spark.createDataFrame([tuple(r[c] for c in EVENT_COLUMNS) for r in rows], EVENTS_DDL)
 
 
-class ListedFold(RecordingFold):
+WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def problem(row):
+    """What a payload breaks on its own, written out again."""
+    def blank(text):
+        return not (text or "").strip(WHITE)
+
+    kind = row["kind"]
+    if kind not in EVENT_KINDS:
+        return "unknown_kind"
+    if kind == "recording_created" and not row["source_path"]:
+        return "empty_source_path"
+    if kind == "recording_created" and row["source_kind"] not in ASSET_KINDS:
+        return "unknown_source_kind"
+    if kind == "recording_failed" and blank(row["reason"]):
+        return "empty_recording_failure"
+    if kind == "transcription_failed" and blank(row["reason"]):
+        return "empty_transcription_failure"
+    if kind == "transcript_committed" and blank(row["text"]):
+        return "empty_transcript"
+    if kind == "transcript_committed" and row["provenance"] not in PROVENANCES:
+        return "unknown_provenance"
+    start, end = row["start_us"], row["end_us"]
+    if kind == "clip_added" and (start is None or end is None or start < 0 or end <= start):
+        return "invalid_time_range"
+    return None
+
+
+class PlainFold(RecordingFold):
+    def apply(self, event):
+        super().apply({**event, "problem": problem(event)})
+
+
+class ListedFold(PlainFold):
     """Also keeps list order, source and texts, for comparison."""
 
     def __init__(self):
@@ -78,22 +112,22 @@ def random_log(rng, rec):
     """Mostly sensible events over few clips, so that every rule is met and broken."""
     rows, seq = [], 0
     legal_until = rng.choice([0, 5, 15, 30, 60])
-    fold = RecordingFold()
+    fold = PlainFold()
     for step in range(rng.randint(1, 60)):
         legal = step < legal_until
         kinds = ["recording_created", "recording_started", "recording_saved", "recording_failed"] + [
             "clip_added", "clip_moved", "clip_deleted", "transcription_started",
-            "transcription_failed", "transcript_committed"] * 6
+            "transcription_failed", "transcript_committed"] * 6 + ["no_such_kind"]
         kind = "recording_created" if seq == 0 and rng.random() < 0.95 else rng.choice(kinds)
-        start = rng.randint(0, 12) * rng.choice([1, 7, 10, 100])
+        start = rng.randint(0, 12) * rng.choice([1, 7, 10, 100]) - (0 if legal else rng.choice([0] * 9 + [5]))
         row = ev(
             rec, seq + 1 if legal or rng.random() < 0.98 else seq + rng.choice([0, 2]), kind,
             version=1 if legal or rng.random() < 0.99 else 2,
             clip_id=f"c{rng.randint(0, 7)}" if kind not in ("recording_created",) else None,
             transcript_id=f"t{rng.randint(0, 400 if legal else 12)}",
             start_us=start, end_us=start + rng.choice([-1, 1, 3, 10, 25, 110, 999]),
-            target_index=rng.randint(0, 5), provenance=rng.choice(["raw_asr", "user_edit", "imported"]),
-            text=rng.choice(["hello", "　\t", "more words"]) if not legal else f"w{seq}",
+            target_index=rng.randint(0, 5), provenance=rng.choice(["raw_asr", "user_edit", "imported"] * 3 + ([] if legal else ["nonsense"])),
+            text=rng.choice(["hello", "　\t", "more words", "\x1c"]) if not legal else f"w{seq}",
             reason=rng.choice(["broke", "  ", "other"]) if not legal else "broke",
             source_kind="audio_file", source_path="a.wav",
         )

@@ -75,7 +75,7 @@ def test_gap_is_rejected_or_held(spark):
     stream = spark.readStream.schema(struct_type(EVENTS_DDL)).option("maxFilesPerTrigger", 1).parquet(source)
     strict = drain(replay_stream(stream), "strict").filter("recording_id = 'r'").collect()
     assert {r.sequence: r.outcome for r in strict} == {1: "accepted", 2: "accepted", 4: "event_out_of_order", 3: "log_closed"}
-    held = drain(replay_stream(stream, hold=5, patience_ms=2_000), "held", rows=6).collect()
+    held = drain(replay_stream(stream, patience_ms=2_000), "held", rows=6).collect()
     assert {(r.recording_id, r.sequence): r.outcome for r in held} == {
         ("r", 1): "accepted", ("r", 2): "accepted", ("r", 3): "accepted", ("r", 4): "invalid_recording_transition",
         ("g", 1): "accepted", ("g", 3): "event_out_of_order",

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from tapeloom.operators import clips as C
 from tapeloom.operators import commands as K
 from tapeloom.operators import transcription as X
-from tapeloom.operators.fold import RecordingFold, Refused
+from tapeloom.operators.fold import Refused
 from tapeloom.operators.replay import replay, state_differences
 from tapeloom.operators.views import failure_report, latest_transcript, transcript_document
 from tapeloom.schemas import AUDIO_BLOCKS_DDL, COMMANDS_DDL, MEDIA_META_DDL, PAYLOAD_COLUMNS
 from tapeloom.sources.event_log import append_events, list_recordings, read_event_log, read_events, write_event_logs, write_manifests
 from tapeloom.sources.export import export_transcripts, write_report
-from tests.test_replay import ev, frame, random_log
+from tests.test_replay import PlainFold, ev, frame, random_log
 from tests.test_streaming import folder
 
 A, B = "00000000-0000-4000-8000-00000000000a", "00000000-0000-4000-8000-00000000000b"
@@ -44,7 +44,7 @@ def test_random_commands_match_one_by_one(spark):
         rec = f"k{i:02d}"
         log = log_of(rec)
         logs += log
-        fold = RecordingFold()
+        fold = PlainFold()
         for e in log:
             fold.record(e)
         batch = [r for r in random_log(rng, rec) if r["kind"] != "recording_created" or rng.random() < 0.3]
