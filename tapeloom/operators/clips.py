@@ -122,29 +122,41 @@ def ensure_full_clip(clips: DataFrame, media: DataFrame) -> DataFrame:
 def split_clips(clips: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut active clips at ``split_at_us``: (two rows per accepted split, rejects).
 
-    ``points`` holds (recording_id, clip_id, split_at_us).
+    ``points`` holds (recording_id, clip_id, split_at_us). Points are taken in source order, so
+    of several points inside one clip the first splits it; the others find it gone.
     """
     target = active(clips).select(RECORDING, "clip_id", "start_us", "end_us")
-    joined = points.join(target, [RECORDING, "clip_id"], "left")
+    asked = points.groupBy(RECORDING, "clip_id", "split_at_us").agg(F.count("*").alias("n"))
+    joined = asked.join(target, [RECORDING, "clip_id"], "left")
     inside = (F.col("split_at_us") > F.col("start_us")) & (F.col("split_at_us") < F.col("end_us"))
     code = F.when(F.col("start_us").isNull(), "clip_not_active").when(~inside, "split_outside_clip")
-    judged = joined.withColumn("reason_code", code)
+    judged = joined.withColumn("code", code)
+    first = judged.filter("code is null").groupBy(RECORDING, "clip_id").agg(F.min("split_at_us").alias("first_us"))
+    judged = judged.join(first, [RECORDING, "clip_id"], "left").withColumn(
+        "splits", F.col("code").isNull() & (F.col("split_at_us") == F.col("first_us"))
+    )
     halves = F.array(
         F.struct(F.lit("left").alias("side"), F.col("start_us"), F.col("split_at_us").alias("end_us")),
         F.struct(F.lit("right").alias("side"), F.col("split_at_us").alias("start_us"), F.col("end_us")),
     )
     made = (
-        judged.filter("reason_code is null")
+        judged.filter("splits")
         .select(RECORDING, F.col("clip_id").alias("original_clip_id"), "split_at_us", F.explode(halves).alias("h"))
         .select(RECORDING, "original_clip_id", "split_at_us", "h.side", "h.start_us", "h.end_us")
         .withColumn("clip_id", derived_uuid("split", RECORDING, "original_clip_id", "split_at_us", "side"))
     )
-    rejects = judged.filter("reason_code is not null").select(
-        RECORDING, "clip_id", "split_at_us", "reason_code"
+    refused = judged.withColumn("n", F.col("n") - F.col("splits").cast("int")).filter("n > 0")
+    rejects = repeat_rows(refused, [RECORDING, "clip_id", "split_at_us"]).select(
+        RECORDING, "clip_id", "split_at_us", F.coalesce("code", F.lit("clip_not_active")).alias("reason_code")
     )
     return made, rejects
 
 
+def repeat_rows(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row of ``counted`` as often as its ``n`` says."""
+    return explode_span(counted, F.lit(1), F.col("n"), "copy_no", keys)
+
+
 def midpoints(clips: DataFrame) -> DataFrame:
     """A split point in the middle of every active clip."""
     return active(clips).select(RECORDING, "clip_id", midpoint("start_us", "end_us").alias("split_at_us"))
@@ -180,7 +192,10 @@ def append_clips(
         F.when(forward, F.col("second_clip_id")).otherwise(F.col("first_clip_id")).alias("second_clip_id"),
         F.least("s1", "s2").alias("start_us"),
         F.greatest("e1", "e2").alias("end_us"),
-    ).distinct()
+    )
+    counted = shaped.groupBy(*shaped.columns).agg(F.count("*").alias("n"))
+    again = repeat_rows(counted.withColumn("n", F.col("n") - 1).filter("n > 0"), [RECORDING, "first_clip_id"])
+    shaped = counted.drop("n")
     # Taken in source order, a pair whose first clip went into the pair before finds it deleted;
     # in a chain of pairs that is every second one.
     one_row = F.lit(1).cast("bigint")
@@ -200,7 +215,8 @@ def append_clips(
     rejects = judged.filter("reason_code is not null").select(
         RECORDING, "first_clip_id", "second_clip_id", "reason_code"
     )
-    return made, rejects.unionByName(used)
+    repeated = again.select(RECORDING, "first_clip_id", "second_clip_id", F.lit("clip_not_active").alias("reason_code"))
+    return made, rejects.unionByName(used).unionByName(repeated)
 
 
 def adjacent_pairs(clips: DataFrame, width: int = TIME_BUCKET_US) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tapeloom.functions import spectral
 from tapeloom.functions.timecode import div
+from tapeloom.operators.audio import cut_clips
 from tapeloom.operators.clips import RECORDING, active
 from tapeloom.plans.spread import explode_span
 
@@ -23,12 +24,12 @@ WINDOW_US = spectral.CLIP_SECONDS * 1_000_000
 def clip_windows(clips: DataFrame) -> DataFrame:
     """Active clips in windows of at most 30 s: window_no, and the window's own range as start / end.
 
-    A window is a whole number of samples, so the windows of a clip tile its samples.
+    A window is a whole number of samples, so the windows of a clip tile its samples. A clip
+    whose range is not sound keeps it in a single window, to be rejected where it is cut.
     """
     span = F.col("end_us") - F.col("start_us")
-    cut = explode_span(
-        active(clips).filter("end_us > start_us"), F.lit(0), div(span - 1, WINDOW_US), "window_no", [RECORDING, "clip_id"]
-    )
+    last = F.when(span > 0, div(span - 1, WINDOW_US)).otherwise(F.lit(0).cast("bigint"))
+    cut = explode_span(active(clips), F.lit(0), last, "window_no", [RECORDING, "clip_id"])
     start = F.col("start_us") + F.col("window_no") * WINDOW_US
     return cut.select(
         RECORDING,
@@ -41,11 +42,13 @@ def clip_windows(clips: DataFrame) -> DataFrame:
 
 
 def assemble(pieces: DataFrame) -> DataFrame:
-    """One row per clip with its first 480,000 samples (more never reach the features)."""
+    """One row per clip of at most 480,000 samples; a longer one must be cut into windows before."""
     limit = spectral.N_SAMPLES
-    inside = pieces.filter(F.col("first_frame") < limit)
+    too_long = F.concat(F.lit("clip longer than a feature window: "), F.col("clip_id"))
+    fits = F.when(F.col("total_frames") <= limit, F.col("total_frames")).otherwise(F.raise_error(too_long).cast("bigint"))
     return (
-        inside.groupBy(RECORDING, "clip_id", "profile")
+        pieces.withColumn("total_frames", fits)
+        .groupBy(RECORDING, "clip_id", "profile")
         .agg(
             F.array_sort(F.collect_list(F.struct("first_frame", "samples"))).alias("ps"),
             F.max("total_frames").alias("total_frames"),
@@ -54,12 +57,32 @@ def assemble(pieces: DataFrame) -> DataFrame:
         )
         .select(
             RECORDING, "clip_id", "profile", "start_us", "end_us", "total_frames",
-            (F.col("total_frames") > limit).alias("truncated"),
-            F.slice(F.flatten(F.col("ps.samples")), 1, limit).alias("samples"),
+            F.flatten(F.col("ps.samples")).alias("samples"),
         )
     )
 
 
+def window_audio(clips: DataFrame, blocks: DataFrame, media: DataFrame, block_frames: int) -> tuple[DataFrame, DataFrame]:
+    """(a row per feature window of the clips, with its samples; rejects).
+
+    A window's ``clip_id`` stays that of its clip; ``window_id`` names the window.
+    """
+    windows = clip_windows(clips)
+    as_clips = windows.select(
+        RECORDING, F.col("window_id").alias("clip_id"), "start_us", "end_us", F.lit("pending").alias("status")
+    )
+    pieces, rejects = cut_clips(as_clips, blocks, media, block_frames)
+    keys = windows.select(RECORDING, "window_id", "clip_id", "window_no", "clip_start_us", "is_long")
+    named = assemble(pieces).withColumnRenamed("clip_id", "window_id").join(keys, [RECORDING, "window_id"])
+    return named, rejects.withColumnRenamed("clip_id", "window_id").join(keys, [RECORDING, "window_id"])
+
+
+def clip_log_mel(clips: DataFrame, blocks: DataFrame, media: DataFrame, block_frames: int) -> tuple[DataFrame, DataFrame]:
+    """(3,000 frames of 80 mel levels per feature window, rejects); ``clip_id`` is the window's id."""
+    audio, rejects = window_audio(clips, blocks, media, block_frames)
+    return log_mel(audio.select(RECORDING, F.col("window_id").alias("clip_id"), "profile", "samples")), rejects
+
+
 def _mel_rows(batches):
     for batch in batches:
         recordings, clips, profiles = (batch.column(i).to_pylist() for i in range(3))

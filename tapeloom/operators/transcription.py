@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -11,15 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.ids import derived_uuid
 from tapeloom.functions.text import trim_unicode
 from tapeloom.operators import features
-from tapeloom.operators.audio import cut_clips
 from tapeloom.operators.clips import RECORDING, active, first_active_clip
 from tapeloom.operators.commands import commands_of
-from tapeloom.operators.tokens import MAX_TOKENS
 from tapeloom.plans.stage import written
+from tapeloom.session import fresh_folder
 
 # Fixed value: what the stand-in backend answers by default.
 FIXED_TEXT = "[fake transcription]"
@@ -52,7 +51,11 @@ class Request:
 
 
 class Backend(Protocol):
-    """Made once per Python worker by a factory, then called clip by clip."""
+    """Made once per Python worker by a factory, then called window by window.
+
+    A backend that also has ``transcribe_batch(requests)``, giving a (provenance, text) pair or
+    an exception for each, is called with several windows at once.
+    """
 
     def capabilities(self) -> Capabilities: ...
 
@@ -78,27 +81,6 @@ class FixedTextBackend:
         return "raw_asr", self.text
 
 
-# Files a model directory must have, weights in one of two forms.
-MODEL_PARTS = {
-    "weights": ("model.bpk", ("encoder", "decoder")),
-    "dims": ("dims.json", ("encoder",)),
-    "tokenizer": ("tokenizer.json", ()),
-}
-
-
-def check_model_directory(path: str, max_decode_tokens: int = MAX_TOKENS, parts: dict = MODEL_PARTS) -> list[str]:
-    """Names of what is missing before any work starts; empty when the run may begin."""
-    problems = [] if max_decode_tokens > 0 else ["max_decode_tokens"]
-    if not os.path.isdir(path):
-        return [*problems, "model_dir"]
-    for part, (single, folders) in parts.items():
-        one_file = os.path.isfile(os.path.join(path, single))
-        in_folders = bool(folders) and all(os.path.isdir(os.path.join(path, f)) for f in folders)
-        if not (one_file or in_folders):
-            problems.append(part)
-    return problems
-
-
 _loaded: dict = {}
 
 
@@ -110,41 +92,58 @@ def _worker_backend(key: str, factory: Callable[[], Backend]) -> Backend:
     return _loaded[key]
 
 
-def call_backend(windows: DataFrame, factory: Callable[[], Backend], run_key: str = "default") -> DataFrame:
+def ask(backend: Backend, requests: list[Request]) -> list[tuple[str | None, str | None, str | None]]:
+    """(provenance, text, error) of each request, through ``transcribe_batch`` where a backend has it.
+
+    A backend may raise anything; a failure stays with its request. A failed batch call is
+    repeated one by one.
+    """
+    together = getattr(backend, "transcribe_batch", None)
+    if together and len(requests) > 1:
+        try:
+            answers = list(together(requests))
+            if len(answers) == len(requests):
+                return [(*a, None) if not isinstance(a, Exception) else (None, None, _message(a)) for a in answers]
+        except Exception:  # noqa: BLE001, S110
+            pass
+    found = []
+    for request in requests:
+        try:
+            found.append((*backend.transcribe(request), None))
+        except Exception as failure:  # noqa: BLE001
+            found.append((None, None, _message(failure)))
+    return found
+
+
+def _message(failure: Exception) -> str:
+    return str(failure).strip() or type(failure).__name__
+
+
+def call_backend(
+    windows: DataFrame, factory: Callable[[], Backend], run_key: str = "default", batch: int = 16
+) -> DataFrame:
     """One result row per window: text, or the error that failed it. A failure stays with its window.
 
-    ``windows``: recording_id, clip_id, window_no, clip_start_us, audio_path, samples.
+    ``windows``: recording_id, clip_id, window_no, clip_start_us, audio_path, samples. At most
+    ``batch`` windows are held as requests at once.
     """
+    names = [f.split()[0] for f in RESULTS_DDL.split(", ")]
 
     def run(batches):
         backend = _worker_backend(run_key, factory)
         name = backend.capabilities().backend_id
-        for batch in batches:
-            rows = {n: batch.column(n).to_pylist() for n in ("recording_id", "clip_id", "window_no", "clip_start_us", "audio_path")}
-            samples = batch.column("samples")
-            out = {"provenance": [], "text": [], "error": []}
-            for i in range(batch.num_rows):
-                provenance = text = error = None
-                try:
-                    request = Request(
-                        rows["recording_id"][i], rows["clip_id"][i], rows["audio_path"][i] or "",
-                        np.asarray(samples[i].values, np.float32),
-                    )
-                    provenance, text = backend.transcribe(request)
-                except Exception as failure:  # a backend may raise anything; the clip fails, the job goes on
-                    error = str(failure).strip() or type(failure).__name__
-                out["provenance"].append(provenance)
-                out["text"].append(text)
-                out["error"].append(error)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows["recording_id"], pa.string()), pa.array(rows["clip_id"], pa.string()),
-                    pa.array(rows["window_no"], pa.int64()), pa.array(rows["clip_start_us"], pa.int64()),
-                    pa.array(out["provenance"], pa.string()), pa.array(out["text"], pa.string()),
-                    pa.array(out["error"], pa.string()), pa.array([name] * batch.num_rows, pa.string()),
-                ],
-                names=[f.split()[0] for f in RESULTS_DDL.split(", ")],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                recordings, clips, numbers, starts, paths = (c.to_pylist() for c in part.columns[:5])
+                requests = [
+                    Request(r, c, p or "", np.asarray(s.values, np.float32))
+                    for r, c, p, s in zip(recordings, clips, paths, part.column(5))
+                ]
+                provenance, text, error = zip(*ask(backend, requests))
+                types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
+                values = [recordings, clips, numbers, starts, provenance, text, error, [name] * part.num_rows]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
 
     wanted = [RECORDING, "clip_id", "window_no", "clip_start_us", "audio_path", "samples"]
     return windows.select(*wanted).mapInArrow(run, RESULTS_DDL)
@@ -203,41 +202,25 @@ def choose_clips(clips: DataFrame, mode: str = "all_active") -> DataFrame:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def clip_audio(
-    clips: DataFrame, blocks: DataFrame, media: DataFrame, block_frames: int, long_clips: str = "split"
-) -> tuple[DataFrame, DataFrame]:
-    """(one row per feature window with its samples, rejects).
-
-    ``split`` cuts clips over 30 s into windows; ``truncate`` keeps only their first
-    window, as a backend that sees one feature window would.
-    """
-    if long_clips not in ("split", "truncate"):
-        raise ValueError(f"unknown long_clips {long_clips!r}")
-    windows = features.clip_windows(clips)
-    if long_clips == "truncate":
-        windows = windows.filter("window_no = 0")
-    as_clips = windows.select(
-        RECORDING, F.col("window_id").alias("clip_id"), "start_us", "end_us", F.lit("pending").alias("status")
-    )
-    pieces, rejects = cut_clips(as_clips, blocks, media, block_frames)
-    named = features.assemble(pieces).withColumnRenamed("clip_id", "window_id")
-    rejects = rejects.withColumnRenamed("clip_id", "window_id")
-    keys = windows.select(RECORDING, "window_id", "clip_id", "window_no", "clip_start_us", "is_long")
-    sampled = named.join(keys, [RECORDING, "window_id"]).withColumn(
-        "audio_path", F.concat_ws("/", RECORDING, F.lit("audio/clips"), "window_id")
-    )
-    return sampled, rejects.join(keys, [RECORDING, "window_id"])
+def clip_audio(clips: DataFrame, blocks: DataFrame, media: DataFrame, block_frames: int) -> tuple[DataFrame, DataFrame]:
+    """(one row per feature window with its samples and path, rejects)."""
+    sampled, rejects = features.window_audio(clips, blocks, media, block_frames)
+    path = F.concat_ws("/", RECORDING, F.lit("audio/clips"), "window_id")
+    return sampled.withColumn("audio_path", path), rejects
 
 
 def transcribe(
     clips: DataFrame, blocks: DataFrame, media: DataFrame, block_frames: int,
-    factory: Callable[[], Backend] = FixedTextBackend, mode: str = "all_active",
-    long_clips: str = "split", run_key: str = "default",
+    factory: Callable[[], Backend] = FixedTextBackend, mode: str = "all_active", run_key: str = "default",
 ) -> DataFrame:
-    """Outcome per chosen clip. Clips that cannot be cut fail like any other, with their code."""
+    """Outcome per chosen clip. Clips that cannot be cut fail like any other, with their code.
+
+    What the backend answered is written before anything reads it, so each window is asked
+    for once, however often the outcomes are used.
+    """
     chosen = choose_clips(clips, mode)
-    windows, rejects = clip_audio(chosen, blocks, media, block_frames, long_clips)
-    results = call_backend(windows, factory, run_key)
+    windows, rejects = clip_audio(chosen, blocks, media, block_frames)
+    results = written(call_backend(windows, factory, run_key), "results")
     uncut = rejects.select(
         RECORDING, "clip_id", "window_no", "clip_start_us", F.lit(None).cast("string").alias("provenance"),
         F.lit(None).cast("string").alias("text"), F.col("reason_code").alias("error"),
@@ -250,21 +233,28 @@ def transcribe_in_steps(
     clips: DataFrame, run: Callable[[DataFrame], DataFrame], steps: int,
     progress: Callable[[int, int], None] = lambda done, total: None,
     stop: Callable[[], bool] = lambda: False,
+    stop_on_error: bool = False,
 ) -> tuple[list[DataFrame], bool]:
     """Run clips in ``steps`` jobs; (written outcomes of the finished jobs, cancelled).
 
-    Progress is reported once before work and after every job; a stop request is seen
-    between jobs, and what is finished is kept.
+    Clips are dealt to the jobs by recording and written once, so a job reads its own clips only.
+    Progress is reported once before work and after every job; a stop request is seen between
+    jobs, and so is a failed clip with ``stop_on_error``. What is finished is kept.
     """
-    total = clips.count()
+    step = F.pmod(F.xxhash64(RECORDING), F.lit(steps)).cast("int")
+    dealt = fresh_folder(clips.sparkSession, "steps")
+    clips.withColumn("step", step).repartition("step").write.partitionBy("step").parquet(dealt)
+    dealt = clips.sparkSession.read.schema(T.StructType([*clips.schema.fields, T.StructField("step", T.IntegerType())])).parquet(dealt)
+    total = dealt.count()
     progress(0, total)
-    step = F.pmod(F.xxhash64(RECORDING, "clip_id"), F.lit(steps))
     done, finished = 0, []
     for i in range(steps):
         if stop():
             return finished, True
-        out = written(run(clips.filter(step == i)), "outcomes")
+        out = written(run(dealt.filter(F.col("step") == i).drop("step")), "outcomes")
         finished.append(out)
         done += out.count()
         progress(done, total)
+        if stop_on_error and not out.filter("error is not null").isEmpty():
+            return finished, True
     return finished, False

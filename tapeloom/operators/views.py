@@ -9,9 +9,6 @@ from tapeloom.functions.text import trim_unicode
 from tapeloom.operators.clips import ORDINAL_BUCKET, RECORDING, active, first_active_clip
 from tapeloom.plans.scan import FirstOfKey, Lag, LastOfKey, Lead, SumBefore, SumOfKey, ordered_scan
 
-# Clips whose text is put together in one row; a longer document has several parts.
-PART_CLIPS = 1_024
-
 
 def latest_transcript(transcripts: DataFrame) -> DataFrame:
     """Last committed version of every clip, pre-aggregated before the shuffle."""
@@ -23,12 +20,11 @@ def latest_transcript(transcripts: DataFrame) -> DataFrame:
     )
 
 
-def transcript_document(clips: DataFrame, transcripts: DataFrame, part_clips: int = PART_CLIPS) -> DataFrame:
-    """Latest text of the active clips in list order, as numbered parts of a document.
+def transcript_document(clips: DataFrame, transcripts: DataFrame, width: int = ORDINAL_BUCKET) -> DataFrame:
+    """Latest text of the active clips in list order, a row per clip.
 
-    Concatenating a recording's parts in order, a blank line between them, gives the
-    whole document. A part covers ``part_clips`` list positions, so no recording is
-    ever gathered whole; most have one part.
+    The pieces of a recording in order, a blank line between two, are its document;
+    ``byte_offset`` says where in it a piece begins. No recording is gathered.
     """
     texts = active(clips).select(RECORDING, "clip_id", "position").join(
         latest_transcript(transcripts), [RECORDING, "clip_id"]
@@ -36,31 +32,22 @@ def transcript_document(clips: DataFrame, transcripts: DataFrame, part_clips: in
     piece = F.concat(
         F.lit("[clip "), F.col("clip_id"), F.lit(" | "), F.col("provenance"), F.lit("]\n"), trim_unicode("text")
     )
-    part = F.call_function("div", F.col("position"), F.lit(part_clips)).cast("bigint")
-    gathered = texts.groupBy(RECORDING, part.alias("part_no")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("position"), piece.alias("piece")))).alias("pieces")
-    )
-    document = F.array_join(F.col("pieces.piece"), "\n\n")
-    return gathered.select(
-        RECORDING,
-        "part_no",
-        document.alias("document"),
-        F.size("pieces").cast("bigint").alias("transcript_count"),
-        F.octet_length(document).cast("bigint").alias("byte_count"),
-    )
+    pieces = texts.select(RECORDING, "position", piece.alias("piece"))
+    sized = pieces.withColumn("byte_count", F.octet_length("piece").cast("bigint"))
+    return ordered_scan(sized, [RECORDING], "position", [SumBefore("byte_offset", F.col("byte_count") + 2)], width)
 
 
-def document_totals(parts: DataFrame) -> DataFrame:
-    """Whole-document counts: the blank line between two parts counts two bytes."""
-    return parts.groupBy(RECORDING).agg(
-        F.sum("transcript_count").alias("transcript_count"),
-        (F.sum("byte_count") + 2 * (F.count("*") - 1)).alias("byte_count"),
+def document_totals(pieces: DataFrame) -> DataFrame:
+    """Clips and bytes of each document."""
+    return pieces.groupBy(RECORDING).agg(
+        F.count("*").alias("transcript_count"),
+        (F.sum(F.col("byte_count") + 2) - 2).alias("byte_count"),
     )
 
 
-def documents_missing(recordings: DataFrame, parts: DataFrame) -> DataFrame:
+def documents_missing(recordings: DataFrame, pieces: DataFrame) -> DataFrame:
     """Recordings with nothing to export."""
-    return recordings.select(RECORDING).join(parts, RECORDING, "left_anti").select(
+    return recordings.select(RECORDING).join(pieces.select(RECORDING).distinct(), RECORDING, "left_anti").select(
         RECORDING, F.lit("no_committed_transcripts").alias("reason_code")
     )
 
@@ -108,10 +95,11 @@ def clip_navigation(clips: DataFrame, width: int = ORDINAL_BUCKET) -> DataFrame:
 def next_recording(recordings: DataFrame) -> DataFrame:
     """The recording after each one in id order, wrapping at the end.
 
-    Ids are bucketed by their first four hex digits, so the walk over all recordings is
-    cut the same way a long recording is.
+    Ids are bucketed by their first four bytes, which order as the ids do, so the walk over
+    all recordings is cut the same way a long recording is.
     """
-    spread = F.conv(F.substring(RECORDING, 1, 4), 16, 10).cast("bigint")
+    lead = F.substring(F.encode(RECORDING, "UTF-8"), 1, 4)
+    spread = F.conv(F.rpad(F.hex(lead), 8, "0"), 16, 10).cast("bigint")
     keyed = recordings.select(RECORDING, F.lit(1).alias("all_rows"), spread.alias("lead_digits"))
     walked = ordered_scan(
         keyed, ["all_rows"], "lead_digits",

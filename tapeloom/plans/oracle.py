@@ -22,11 +22,10 @@ l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY recording_id, clip
 """
 
 DOCUMENT = f"""
-WITH {VERSIONS}
-SELECT c.recording_id, c.position // 1024 AS part_no,
-  string_agg('[clip ' || c.clip_id || ' | ' || l.provenance || ']' || chr(10) || {trim('l.text')}, chr(10) || chr(10) ORDER BY c.position) AS document,
-  count(*) AS transcript_count
-FROM c JOIN l USING (recording_id, clip_id) WHERE NOT c.deleted GROUP BY 1, 2
+WITH {VERSIONS}, d AS (SELECT c.recording_id, c.position, '[clip ' || c.clip_id || ' | ' || l.provenance || ']' || chr(10) || {trim('l.text')} AS piece
+  FROM c JOIN l USING (recording_id, clip_id) WHERE NOT c.deleted)
+SELECT *, strlen(piece) AS byte_count,
+  CAST(coalesce(sum(strlen(piece) + 2) OVER (PARTITION BY recording_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM d
 """
 
 TURNS = """
@@ -47,25 +46,26 @@ media AS (SELECT CAST(l_orderkey AS VARCHAR) AS recording_id, CAST(sum(l_quantit
 
 TIMELINE = """
 e0 AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, event_id, event_type, props,
-        CAST(round(value * 100) AS BIGINT) * 10000 AS len FROM events),
+        greatest(CAST(round(value * 100) AS BIGINT), 1) * 10000 AS len FROM events),
 tl AS (SELECT recording_id, CAST(event_id AS VARCHAR) AS clip_id, event_id AS position,
         CAST(sum(len) OVER w - len AS BIGINT) AS start_us, CAST(sum(len) OVER w AS BIGINT) AS end_us,
         CASE WHEN event_type = 'error' THEN 'failed' ELSE 'pending' END AS status,
         CASE WHEN event_type = 'error' THEN props END AS failure
-       FROM e0 WHERE len > 0 WINDOW w AS (PARTITION BY recording_id ORDER BY event_id))
+       FROM e0 WINDOW w AS (PARTITION BY recording_id ORDER BY event_id))
 """
 
 USER_EVENTS = """
 ue AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, event_id AS sequence, props,
         CASE event_type WHEN 'signup' THEN 'recording_created' WHEN 'view' THEN 'recording_started'
           WHEN 'click' THEN 'recording_saved' WHEN 'error' THEN 'recording_failed' ELSE 'clip_added' END AS kind FROM events),
-re AS (SELECT *, CASE kind WHEN 'recording_created' THEN 'created' WHEN 'recording_started' THEN 'recording'
-          WHEN 'recording_saved' THEN 'saved' ELSE 'failed' END AS st FROM ue WHERE kind <> 'clip_added'),
+ra AS (SELECT *, CASE kind WHEN 'recording_created' THEN 'created' WHEN 'recording_started' THEN 'recording'
+          WHEN 'recording_saved' THEN 'saved' WHEN 'recording_failed' THEN 'failed' END AS st FROM ue),
+re AS (SELECT * FROM ra WHERE st IS NOT NULL),
 latest AS (SELECT recording_id, CASE WHEN bool_or(kind = 'recording_created') THEN 'microphone_recording' END AS source_kind,
         CASE WHEN bool_or(kind = 'recording_created') THEN 'u' || recording_id END AS source_path,
-        arg_max(st, sequence) AS status,
-        CASE WHEN arg_max(st, sequence) = 'failed' THEN arg_max(props, sequence) END AS failure,
-        max(sequence) AS last_sequence FROM re GROUP BY 1)
+        arg_max(st, sequence) FILTER (WHERE st IS NOT NULL) AS status,
+        CASE WHEN arg_max(st, sequence) FILTER (WHERE st IS NOT NULL) = 'failed' THEN arg_max(props, sequence) FILTER (WHERE st IS NOT NULL) END AS failure,
+        max(sequence) AS last_sequence FROM ra GROUP BY 1)
 """
 
 # A system turn's commit finds its clip deleted, which is where that conversation's log stops.
@@ -136,12 +136,31 @@ filt AS (SELECT l.i AS mel_bin, k, greatest(least((k * 40.0 - l.hz) / (c.hz - l.
 """
 
 
+def _mel_levels(windows: str) -> str:
+    """Least and greatest level per mel band of feature windows (recording_id, window_id, f, s, n)."""
+    return f"""
+WITH {VECTORS}, {MEL}, ws AS ({windows}),
+live AS (SELECT DISTINCT recording_id, window_id, unnest(range(least(n // 160 + 4, 3000))) AS fr FROM ws),
+idx AS (SELECT recording_id, window_id, fr, j, CASE WHEN fr * 160 + j - 200 > 479999 THEN 959998 - (fr * 160 + j - 200) ELSE abs(fr * 160 + j - 200) END AS f
+  FROM live, (SELECT unnest(range(400)) AS j)),
+wv AS (SELECT idx.recording_id, idx.window_id, fr, j, CAST(s AS DOUBLE) * (0.5 - 0.5 * cos(2 * pi() * j / 400)) AS v
+  FROM idx JOIN ws ON ws.recording_id = idx.recording_id AND ws.window_id = idx.window_id AND ws.f = idx.f),
+tw AS (SELECT k, m, cos(2 * pi() * m / 400) AS c, sin(2 * pi() * m / 400) AS sn FROM fb, (SELECT unnest(range(400)) AS m)),
+dft AS (SELECT recording_id, window_id, fr, tw.k, sum(v * c) AS re, sum(v * sn) AS im FROM wv JOIN fb ON true JOIN tw ON tw.k = fb.k AND tw.m = (fb.k * wv.j) % 400 GROUP BY 1, 2, 3, 4),
+en AS (SELECT recording_id, window_id, fr, mel_bin, log10(greatest(sum(w * (re * re + im * im)), 1e-10)) AS v FROM dft JOIN filt USING (k) GROUP BY 1, 2, 3, 4),
+mx AS (SELECT recording_id, window_id, max(v) AS top FROM en GROUP BY 1, 2),
+pb AS (SELECT recording_id, window_id, mel_bin, min(v) AS lo, max(v) AS hi, count(*) AS seen FROM en GROUP BY 1, 2, 3)
+SELECT recording_id, window_id, mel_bin, CAST(3000 AS BIGINT) AS n_frames,
+  round((greatest(CASE WHEN seen < 3000 THEN least(lo, -10) ELSE lo END, top - 8) + 4) / 4, 3) AS min_level, round((greatest(hi, top - 8) + 4) / 4, 3) AS max_level
+FROM pb JOIN mx USING (recording_id, window_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
 
-    q["transcript_document"] = f"SELECT *, strlen(document) AS byte_count FROM ({DOCUMENT})"
-    q["document_totals"] = f"""SELECT recording_id, CAST(sum(transcript_count) AS BIGINT) AS transcript_count,
-        CAST(sum(strlen(document)) + 2 * (count(*) - 1) AS BIGINT) AS byte_count FROM ({DOCUMENT}) GROUP BY 1"""
+    q["transcript_document"] = DOCUMENT
+    q["document_totals"] = f"""SELECT recording_id, count(*) AS transcript_count,
+        CAST(sum(byte_count) + 2 * (count(*) - 1) AS BIGINT) AS byte_count FROM ({DOCUMENT}) GROUP BY 1"""
     q["latest_transcript"] = f"WITH {VERSIONS} SELECT recording_id, clip_id, version_no, provenance, text FROM l"
     q["version_history"] = f"""WITH {VERSIONS}
         SELECT recording_id, clip_id, version_no, row_number() OVER w - 1 AS version_index, provenance,
@@ -184,7 +203,8 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN role = 'user' THEN 'user_edit' ELSE 'raw_asr' END AS provenance, text FROM lt WHERE NOT stops"""
     q["replay_rejects"] = f"""WITH {CONV_LOG} SELECT recording_id, turn * 3 + 4 AS sequence, 'transcript_committed' AS kind, 'clip_deleted' AS reason_code FROM lt WHERE stops"""
     q["life_cycle_rejects"] = f"""WITH {USER_EVENTS}, n AS (SELECT recording_id, kind, row_number() OVER w AS sequence,
-          lag(kind) OVER w AS was FROM re WINDOW w AS (PARTITION BY recording_id ORDER BY sequence)),
+          last_value(CASE WHEN kind <> 'clip_added' THEN kind END IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was
+          FROM ra WINDOW w AS (PARTITION BY recording_id ORDER BY sequence)),
         b AS (SELECT *, CASE WHEN kind = 'recording_created' THEN CASE WHEN was IS NOT NULL THEN 'recording_already_exists' END
             WHEN was IS NULL THEN 'recording_not_found'
             WHEN kind = 'recording_started' AND was <> 'recording_created' THEN 'invalid_recording_transition'
@@ -192,6 +212,16 @@ def oracle_sql() -> dict[str, str]:
             WHEN kind = 'recording_failed' AND was NOT IN ('recording_created', 'recording_started') THEN 'invalid_recording_transition' END AS reason_code FROM n)
         SELECT recording_id, sequence, kind, reason_code FROM b WHERE reason_code IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY sequence) = 1"""
+    q["numbering_rejects"] = f"""WITH {USER_EVENTS}, n AS (SELECT recording_id, kind, sequence, row_number() OVER w AS rank,
+          last_value(CASE WHEN kind <> 'clip_added' THEN kind END IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was
+          FROM ra WINDOW w AS (PARTITION BY recording_id ORDER BY sequence)),
+        b AS (SELECT *, CASE WHEN sequence <> rank THEN 'event_out_of_order' WHEN kind = 'recording_created' THEN CASE WHEN was IS NOT NULL THEN 'recording_already_exists' END
+            WHEN was IS NULL THEN 'recording_not_found'
+            WHEN kind = 'recording_started' AND was <> 'recording_created' THEN 'invalid_recording_transition'
+            WHEN kind = 'recording_saved' AND was <> 'recording_started' THEN 'invalid_recording_transition'
+            WHEN kind = 'recording_failed' AND was NOT IN ('recording_created', 'recording_started') THEN 'invalid_recording_transition' END AS reason_code FROM n)
+        SELECT recording_id, sequence, kind, reason_code FROM b WHERE reason_code IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY sequence) = 1"""
     q["latest_state"] = f"WITH {USER_EVENTS} SELECT * FROM latest"
     q["transition_audit"] = f"""WITH {USER_EVENTS}, t AS (SELECT coalesce(lag(st) OVER (PARTITION BY recording_id ORDER BY sequence), 'none') AS from_status, st AS to_status FROM re)
         SELECT from_status, to_status, from_status || '>' || to_status IN ('none>created', 'created>recording', 'recording>saved', 'created>failed', 'recording>failed') AS legal,
@@ -310,18 +340,13 @@ def oracle_sql() -> dict[str, str]:
     q["power_spectrum"] = f"""WITH {VECTORS}, w AS (SELECT vec_id, i, CAST(s AS DOUBLE) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS v FROM sig), k AS (SELECT unnest(range(33)) AS bin),
         d AS (SELECT vec_id, bin, sum(v * cos(2 * pi() * bin * i / 64)) AS re, sum(v * sin(2 * pi() * bin * i / 64)) AS im FROM w, k GROUP BY 1, 2)
         SELECT vec_id, bin, round(re * re + im * im, 5) AS power FROM d"""
-    q["log_mel"] = f"""WITH {VECTORS}, {MEL},
-        live AS (SELECT DISTINCT recording_id, unnest(range(n // 160 + 4)) AS fr FROM sig),
-        idx AS (SELECT recording_id, fr, j, abs(fr * 160 + j - 200) AS f FROM live, (SELECT unnest(range(400)) AS j)),
-        wv AS (SELECT idx.recording_id, fr, j, CAST(s AS DOUBLE) * (0.5 - 0.5 * cos(2 * pi() * j / 400)) AS v FROM idx JOIN sig ON sig.recording_id = idx.recording_id AND sig.f = idx.f),
-        tw AS (SELECT k, m, cos(2 * pi() * m / 400) AS c, sin(2 * pi() * m / 400) AS sn FROM fb, (SELECT unnest(range(400)) AS m)),
-        dft AS (SELECT recording_id, fr, tw.k, sum(v * c) AS re, sum(v * sn) AS im FROM wv JOIN fb ON true JOIN tw ON tw.k = fb.k AND tw.m = (fb.k * wv.j) % 400 GROUP BY 1, 2, 3),
-        en AS (SELECT recording_id, fr, mel_bin, log10(greatest(sum(w * (re * re + im * im)), 1e-10)) AS v FROM dft JOIN filt USING (k) GROUP BY 1, 2, 3),
-        mx AS (SELECT recording_id, max(v) AS top FROM en GROUP BY 1),
-        pb AS (SELECT recording_id, mel_bin, min(v) AS lo, max(v) AS hi, count(*) AS seen FROM en GROUP BY 1, 2)
-        SELECT recording_id, mel_bin, CAST(3000 AS BIGINT) AS n_frames,
-          round((greatest(CASE WHEN seen < 3000 THEN least(lo, -10) ELSE lo END, top - 8) + 4) / 4, 3) AS min_level, round((greatest(hi, top - 8) + 4) / 4, 3) AS max_level
-        FROM pb JOIN mx USING (recording_id)"""
+    q["log_mel"] = _mel_levels("SELECT recording_id, 'all#' || f // 480000 AS window_id, f % 480000 AS f, s, least(480000, n - f // 480000 * 480000) AS n FROM sig")
+    q["spectrogram_stats"] = f"""SELECT recording_id, window_id, CAST(3000 AS BIGINT) AS n_frames, min(min_level) AS min_value, max(max_level) AS max_value
+        FROM ({_mel_levels("SELECT recording_id, recording_id || '-0#0' AS window_id, f, s, least(160, n) AS n FROM sig WHERE f < 160")}) GROUP BY 1, 2"""
+    q["window_samples"] = """WITH l AS (SELECT CAST(l_linenumber AS VARCHAR) AS recording_id, l_partkey AS part, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+          row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) - 1 AS b FROM lineitem),
+        x AS (SELECT recording_id, (b * 64 + i) // 480000 AS window_no, (cents + i * part) % 128 - 64 AS v FROM l, (SELECT unnest(range(64)) AS i))
+        SELECT recording_id, 'all#' || window_no AS window_id, window_no, count(*) AS n_samples, CAST(sum(v) AS BIGINT) AS sum_64ths FROM x GROUP BY 1, 2, 3"""
 
     toks = """u AS (SELECT CAST(user_id AS VARCHAR) AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, event_type AS token FROM events),
         r AS (SELECT *, token = lag(token, 1) OVER w AND token = lag(token, 2) OVER w AND token = lag(token, 3) OVER w AS rep FROM u WHERE step < 64 WINDOW w AS (PARTITION BY clip_id ORDER BY step)),
@@ -334,6 +359,15 @@ def oracle_sql() -> dict[str, str]:
         SELECT recording_id, clip_id, start_us, end_us, status FROM li WHERE status IN ('pending', 'failed')
           AND NOT EXISTS (SELECT 1 FROM done WHERE done.recording_id = li.recording_id AND done.clip_id = li.clip_id)"""
     q["transcribe_fixed"] = f"""WITH {LABEL_CLIPS} SELECT recording_id, clip_id, start_us, 'raw_asr' AS provenance, '[fake transcription]' AS text, CAST(NULL AS VARCHAR) AS error, 'fake' AS backend_id FROM lc"""
+    checked = f"""{VECTORS}, {LABEL_CLIPS}, r AS (SELECT *, start_us * 16000 // 1000000 AS lo, least((end_us * 16000 + 999999) // 1000000, n) AS hi FROM lc),
+        h AS (SELECT r.recording_id, r.clip_id, r.start_us, count(*) AS n, count(*) FILTER (WHERE abs(sig.s) > CAST(0.1 AS FLOAT)) AS loud FROM r JOIN sig ON sig.recording_id = r.recording_id AND sig.f >= r.lo AND sig.f < r.hi GROUP BY 1, 2, 3),
+        o AS (SELECT recording_id, clip_id, start_us, CASE WHEN loud % 5 = 4 THEN NULL ELSE 'raw_asr' END AS provenance, CASE WHEN loud % 5 = 4 THEN NULL ELSE loud || ' of ' || n END AS text,
+            CASE WHEN loud % 5 = 4 THEN 'no speech in ' || n || ' samples' END AS error FROM h
+          UNION ALL SELECT recording_id, recording_id || '-past', 5, NULL, NULL, 'invalid_clip_range' FROM lm)"""
+    q["transcribe_checked"] = f"WITH {checked} SELECT * FROM o"
+    q["transcribe_events"] = f"""WITH {checked}
+        SELECT recording_id, start_us * 2 AS ordinal, 'begin_transcription' AS kind, clip_id, NULL AS provenance, NULL AS text, NULL AS reason FROM o
+        UNION ALL SELECT recording_id, start_us * 2 + 1, CASE WHEN error IS NULL THEN 'commit_transcript' ELSE 'fail_transcription' END, clip_id, provenance, text, error FROM o"""
     q["text_outcomes"] = f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS recording_id, conv_id || '-' || (turn // 2) AS clip_id, turn, {trim('text')} AS tx FROM conversations),
         g AS (SELECT recording_id, clip_id, coalesce(string_agg(tx, ' ' ORDER BY turn) FILTER (WHERE tx <> ''), '') AS text FROM t GROUP BY 1, 2)
         SELECT recording_id, clip_id, nullif(text, '') AS text, CASE WHEN text = '' THEN 'transcription returned empty text' END AS error FROM g"""

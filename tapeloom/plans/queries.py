@@ -135,7 +135,7 @@ def next_recording(spark, d):
 
 @query
 def failure_report(spark, d):
-    recordings = replay.latest_status(T.user_events(spark, d).filter("kind <> 'clip_added'"))
+    recordings = replay.latest_status(T.user_events(spark, d))
     return views.failure_report(recordings, T.user_timeline(spark, d))
 
 
@@ -163,20 +163,29 @@ def replay_rejects(spark, d):
 
 @query
 def life_cycle_rejects(spark, d):
+    """Events as logs numbered anew, purchases as clips; numbering faults are in ``numbering_rejects``."""
     one = F.lit(1).cast("bigint")
-    log = T.user_events(spark, d).filter("kind <> 'clip_added'")
-    dense = ordered_scan(log, [RECORDING], "sequence", [SumBefore("n", one)], 65_536).withColumn(
+    dense = ordered_scan(T.user_events(spark, d), [RECORDING], "sequence", [SumBefore("n", one)], 65_536).withColumn(
         "sequence", F.col("n") + 1
     ).drop("n")
-    for name, kind in [("clip_id", "string"), ("transcript_id", "string"), ("start_us", "bigint"), ("end_us", "bigint"),
-                       ("target_index", "bigint"), ("provenance", "string"), ("text", "string")]:
+    return replay.replay(_as_log(dense)).rejects
+
+
+@query
+def numbering_rejects(spark, d):
+    """The same events under their own numbers: gaps stop nearly every log at once."""
+    return replay.replay(_as_log(T.user_events(spark, d))).rejects
+
+
+def _as_log(dense: DataFrame) -> DataFrame:
+    for name, kind in [("transcript_id", "string"), ("target_index", "bigint"), ("provenance", "string"), ("text", "string")]:
         dense = dense.withColumn(name, F.lit(None).cast(kind))
-    return replay.replay(dense.withColumn("schema_version", F.lit(1))).rejects
+    return dense.withColumn("schema_version", F.lit(1))
 
 
 @query
 def latest_state(spark, d):
-    return replay.latest_status(T.user_events(spark, d).filter("kind <> 'clip_added'"))
+    return replay.latest_status(T.user_events(spark, d))
 
 
 @query
@@ -512,20 +521,47 @@ def _label_clips(media: DataFrame) -> DataFrame:
     )
 
 
+def _whole(media: DataFrame) -> DataFrame:
+    """One clip over each recording."""
+    return media.select(
+        RECORDING, F.lit("all").alias("clip_id"), F.lit(0).cast("bigint").alias("start_us"),
+        F.col("duration_us").alias("end_us"), F.lit("pending").alias("status"),
+    )
+
+
 @query
 def log_mel(spark, d):
-    """Features of each label recording, summed up per mel band over all 3,000 frames."""
+    """Features of each label recording, summed up per mel band over the 3,000 frames of each window."""
     media = T.label_media(spark, d)
-    whole = media.select(RECORDING, F.lit("all").alias("clip_id"), F.lit(0).cast("bigint").alias("start_us"), F.col("duration_us").alias("end_us"), F.lit("pending").alias("status"))
-    pieces, _ = audio.cut_clips(whole, T.label_blocks(spark, d), media, T.VECTOR)
-    mel = features.log_mel(features.assemble(pieces))
-    levels = mel.select(RECORDING, F.posexplode("mel").alias("mel_bin", "x")).withColumn("mel_bin", F.col("mel_bin").cast("bigint"))
-    return levels.groupBy(RECORDING, "mel_bin").agg(
+    mel, _ = features.clip_log_mel(_whole(media), T.label_blocks(spark, d), media, T.VECTOR)
+    levels = mel.select(RECORDING, F.col("clip_id").alias("window_id"), F.posexplode("mel").alias("mel_bin", "x"))
+    return levels.withColumn("mel_bin", F.col("mel_bin").cast("bigint")).groupBy(RECORDING, "window_id", "mel_bin").agg(
         F.count("*").alias("n_frames"), F.round(F.min("x").cast("double"), 3).alias("min_level"),
         F.round(F.max("x").cast("double"), 3).alias("max_level"),
     )
 
 
+@query
+def spectrogram_stats(spark, d):
+    """Least and greatest level of each 10 ms clip, from its features."""
+    media = T.label_media(spark, d)
+    mel, _ = features.clip_log_mel(_label_clips(media).filter("start_us = 0"), T.label_blocks(spark, d), media, T.VECTOR)
+    return features.spectrogram_stats(mel).select(
+        RECORDING, F.col("clip_id").alias("window_id"), "n_frames", _rounded("min_value", 3).alias("min_value"), _rounded("max_value", 3).alias("max_value")
+    )
+
+
+@query
+def window_samples(spark, d):
+    """Line items as blocks of recordings that are far longer than a feature window."""
+    blocks, media = T.line_blocks(spark, d)
+    audio_rows, _ = features.window_audio(_whole(media), blocks, media, T.LINE_BLOCK)
+    total = F.aggregate("samples", F.lit(0).cast("bigint"), lambda acc, x: acc + F.round(x * 64).cast("bigint"))
+    return audio_rows.select(
+        RECORDING, "window_id", "window_no", F.size("samples").cast("bigint").alias("n_samples"), total.alias("sum_64ths")
+    )
+
+
 # --- transcription ---------------------------------------------------------
 
 @query
@@ -560,6 +596,52 @@ def transcribe_fixed(spark, d):
     )
 
 
+class LoudCount:
+    """A backend whose answer is a function of the samples, so that every sample is checked."""
+
+    def capabilities(self):
+        return transcription.Capabilities("loud-count")
+
+    def transcribe(self, request):
+        loud = int((abs(request.samples) > 0.1).sum())
+        if loud % 5 == 4:
+            raise ValueError(f"no speech in {len(request.samples)} samples")
+        return "raw_asr", f"{loud} of {len(request.samples)}"
+
+    def transcribe_batch(self, requests):
+        answers = []
+        for request in requests:
+            try:
+                answers.append(self.transcribe(request))
+            except ValueError as failure:
+                answers.append(failure)
+        return answers
+
+
+def _checked(spark, d):
+    """The 10 ms clips, and one per recording that reaches past its end."""
+    media = T.label_media(spark, d)
+    past = media.select(
+        RECORDING, F.concat_ws("-", RECORDING, F.lit("past")).alias("clip_id"), F.lit(5).cast("bigint").alias("start_us"),
+        (F.col("duration_us") + 1).alias("end_us"), F.lit("pending").alias("status"),
+    )
+    held = _label_clips(media).unionByName(past)
+    return transcription.transcribe(held, T.label_blocks(spark, d), media, T.VECTOR, LoudCount, run_key="loud-count")
+
+
+@query
+def transcribe_checked(spark, d):
+    return _checked(spark, d).select(RECORDING, "clip_id", "start_us", "provenance", "text", "error")
+
+
+@query
+def transcribe_events(spark, d):
+    """Begin, commit and fail commands of the same clips."""
+    return transcription.outcome_commands(_checked(spark, d)).select(
+        RECORDING, "ordinal", "kind", "clip_id", "provenance", "text", "reason"
+    )
+
+
 @query
 def text_outcomes(spark, d):
     """Two conversation turns in a row as the window texts of one clip, put back together."""

@@ -106,6 +106,9 @@ def user_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == "signup", "recording_created").when(kind == "view", "recording_started")
         .when(kind == "click", "recording_saved").when(kind == "error", "recording_failed")
         .otherwise("clip_added").alias("kind"),
+        F.when(kind == "purchase", F.col("event_id").cast("string")).alias("clip_id"),
+        F.when(kind == "purchase", F.col("event_id") * 1_000_000).alias("start_us"),
+        F.when(kind == "purchase", F.col("event_id") * 1_000_000 + 1_000_000).alias("end_us"),
         F.col("props").alias("reason"),
         F.lit("microphone_recording").alias("source_kind"),
         F.concat(F.lit("u"), F.col("user_id")).alias("source_path"),
@@ -113,15 +116,15 @@ def user_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def user_timeline(spark: SparkSession, folder: str) -> DataFrame:
-    """Events of positive value as clips laid end to end; value is the length in seconds."""
+    """Events as clips laid end to end; value is the length in seconds, a hundredth at least."""
     items = read(spark, folder, "events").select(
         text_id("user_id"),
         F.col("event_id").cast("string").alias("clip_id"),
         F.col("event_id").alias("position"),
-        (F.round(F.col("value") * 100).cast("bigint") * 10_000).alias("length_us"),
+        (F.greatest(F.round(F.col("value") * 100).cast("bigint"), F.lit(1)) * 10_000).alias("length_us"),
         F.when(F.col("event_type") == "error", "failed").otherwise("pending").alias("status"),
         F.when(F.col("event_type") == "error", F.col("props")).alias("failure"),
-    ).filter("length_us > 0")
+    )
     return timeline(items, "position", "length_us").drop("length_us")
 
 
@@ -159,6 +162,33 @@ def label_blocks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Samples that one line item stands for.
+LINE_BLOCK = 64
+
+
+def line_blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(blocks, media): a recording per line number, its items in key order, 64 samples each."""
+    one = F.lit(1).cast("bigint")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    lines = read(spark, folder, "lineitem").select(
+        text_id("l_linenumber"), "l_orderkey", F.col("l_partkey").cast("bigint").alias("part"), F.col("l_suppkey").cast("bigint").alias("supp"), cents.alias("cents")
+    )
+    ranked = ordered_scan(
+        lines, [RECORDING], "l_orderkey", [SumBefore("block_no", one), SumOfKey("n", one)], 65_536, ties=["part", "supp", "cents"]
+    )
+    steps = F.sequence(F.lit(0), F.lit(LINE_BLOCK - 1))
+    wave = F.transform(steps, lambda i: (F.pmod(F.col("cents") + i * F.col("part"), F.lit(128)) / 64 - 1).cast("float"))
+    blocks = ranked.select(
+        RECORDING, F.lit("original").alias("profile"), "block_no", (F.col("block_no") * LINE_BLOCK).alias("first_frame"),
+        (F.col("n") * LINE_BLOCK).alias("total_frames"), wave.alias("samples"),
+    )
+    frames = F.count("*") * LINE_BLOCK
+    media = lines.groupBy(RECORDING).agg(
+        F.expr(f"count(*) * {LINE_BLOCK} * 1000000 div 16000").alias("duration_us"), frames.alias("frame_count")
+    )
+    return blocks, media
+
+
 def label_media(spark: SparkSession, folder: str) -> DataFrame:
     frames = F.count("*") * VECTOR
     return read(spark, folder, "embeddings").groupBy(text_id("label")).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.clips import RECORDING
 from tapeloom.operators.views import document_totals, documents_missing, transcript_document
+from tapeloom.plans.stage import written
 from tapeloom.sources.files import write_files
 
 
@@ -15,24 +16,20 @@ def export_transcripts(
 ) -> tuple[DataFrame, DataFrame]:
     """One text file per recording: (reports with path and counts, rejects).
 
-    Parts are streamed to the file in order, a blank line between two, a newline at the end.
-    byte_count leaves that last newline out.
+    Pieces are written once to a stage table, then streamed to the file in order, a blank line
+    between two, a newline at the end. byte_count leaves that last newline out.
     """
-    parts = transcript_document(clips, transcripts)
-    first = parts.groupBy(RECORDING).agg(F.min("part_no").alias("first_part"))
+    pieces = written(transcript_document(clips, transcripts), "pieces")
     path = F.concat(F.lit(f"{root.rstrip('/')}/recordings/"), F.col(RECORDING), F.lit("/transcripts/transcript.txt"))
-    body = parts.join(first, RECORDING).select(
-        path.alias("path"), F.col("part_no").alias("part"),
-        F.concat(F.when(F.col("part_no") > F.col("first_part"), "\n\n").otherwise(""), F.col("document")).cast("binary").alias("data"),
-    )
-    ends = first.select(
-        path.alias("path"), F.lit(2**62).cast("bigint").alias("part"), F.lit("\n").cast("binary").alias("data")
+    gap = F.when(F.col("byte_offset") > 0, "\n\n").otherwise("")
+    body = pieces.select(
+        path.alias("path"), F.col("position").alias("part"), F.concat(gap, F.col("piece")).cast("binary").alias("data")
     )
+    totals = document_totals(pieces).withColumn("path", path)
+    ends = totals.select("path", F.lit(2**62).cast("bigint").alias("part"), F.lit("\n").cast("binary").alias("data"))
     done = write_files(body.unionByName(ends)).select("path")
-    totals = document_totals(parts).withColumn("path", path)
-    return done.join(totals, "path").select(RECORDING, "path", "transcript_count", "byte_count"), documents_missing(
-        recordings, parts
-    )
+    report = done.join(totals, "path").select(RECORDING, "path", "transcript_count", "byte_count")
+    return report, documents_missing(recordings, pieces)
 
 
 def write_report(report: DataFrame, path: str, form: str = "json") -> None:

@@ -17,6 +17,8 @@ LAYOUTS = {"quad": 4, "2.1": 3, "3.0": 3, "4.0": 4, "5.1": 6, "6.1": 7, "7.1": 8
 
 # Rates are unsigned 32-bit numbers.
 MAX_RATE = 4_294_967_295
+# Channel counts are unsigned 16-bit numbers.
+MAX_CHANNELS = 65_535
 META = ["sample_rate_hz", "channels", "duration_us", "frame_count"]
 
 
@@ -40,7 +42,8 @@ def _read_csv(probe: DataFrame, order: tuple[str, ...]) -> DataFrame:
     )
     given = F.col("given")
     return rows.select(
-        RECORDING, "text", F.when(F.col("rate") <= MAX_RATE, F.col("rate")).alias("sample_rate_hz"), "channels", "duration_us",
+        RECORDING, "text", F.when(F.col("rate") <= MAX_RATE, F.col("rate")).alias("sample_rate_hz"),
+        F.when(F.col("channels") <= MAX_CHANNELS, F.col("channels")).alias("channels"), "duration_us",
         F.when(given.isin("", "N/A"), frames_in("duration_us", "rate")).otherwise(whole_number(given)).alias("frame_count"),
     )
 
@@ -91,7 +94,8 @@ def _read_log(probe: DataFrame) -> DataFrame:
         F.when(readable, F.try_element_at("counts", F.lit(-1))["n"]).alias("channels"),
     )
     return rows.select(
-        RECORDING, "text", F.when(F.col("rate") <= MAX_RATE, F.col("rate")).alias("sample_rate_hz"), "channels", "duration_us",
+        RECORDING, "text", F.when(F.col("rate") <= MAX_RATE, F.col("rate")).alias("sample_rate_hz"),
+        F.when(F.col("channels") <= MAX_CHANNELS, F.col("channels")).alias("channels"), "duration_us",
         frames_in("duration_us", "rate").alias("frame_count"),
     )
 

@@ -12,7 +12,7 @@ from tapeloom.operators import commands as K
 from tapeloom.operators import transcription as X
 from tapeloom.operators.fold import Refused
 from tapeloom.operators.replay import replay, state_differences
-from tapeloom.operators.views import failure_report, latest_transcript, transcript_document
+from tapeloom.operators.views import document_totals, failure_report, latest_transcript, transcript_document
 from tapeloom.schemas import AUDIO_BLOCKS_DDL, COMMANDS_DDL, MEDIA_META_DDL, PAYLOAD_COLUMNS
 from tapeloom.sources.event_log import append_events, list_recordings, read_event_log, read_events, write_event_logs, write_manifests
 from tapeloom.sources.export import export_transcripts, write_report
@@ -136,10 +136,9 @@ def test_transcribe_retry_and_export(spark):
     state = replay(log.unionByName(events))
     row = state.clips.filter("clip_id = 'bad'").collect()[0]
     assert (row.status, row.failure) == ("transcribed", None)
-    parts = transcript_document(state.clips, state.transcripts).collect()
-    assert parts[0].document == "[clip long | raw_asr]\n480000 480000 16000\n\n[clip bad | raw_asr]\n[fake transcription]"
-    short = X.transcribe(clips.filter("clip_id = 'long'"), blocks, meta, 16_000, Picky, long_clips="truncate", run_key="picky")
-    assert short.collect()[0].text == "480000"
+    pieces = transcript_document(state.clips, state.transcripts).orderBy("position").collect()
+    assert [r.piece for r in pieces] == ["[clip long | raw_asr]\n480000 480000 16000", "[clip bad | raw_asr]\n[fake transcription]"]
+    assert [r.byte_offset for r in pieces] == [0, len(pieces[0].piece) + 2]
 
 
 def test_blank_backend_text_fails(spark):
@@ -158,14 +157,6 @@ def test_steps_progress_and_stop(spark):
     assert not cancelled and sum(d.count() for d in done) == 20
 
 
-def test_model_directory(tmp_path):
-    assert X.check_model_directory(str(tmp_path / "none"), 0) == ["max_decode_tokens", "model_dir"]
-    assert X.check_model_directory(str(tmp_path)) == ["weights", "dims", "tokenizer"]
-    for name in ("model.bpk", "dims.json", "tokenizer.json"):
-        (tmp_path / name).write_text("{}")
-    assert X.check_model_directory(str(tmp_path)) == []
-
-
 def test_store_round_trip(spark):
     root = folder()
     log = frame(spark, log_of(A) + log_of(B) + [ev(B, 6, "clip_deleted", clip_id="q"), ev(B, 7, "recording_failed", reason='said "no"\n')])
@@ -206,9 +197,12 @@ def test_store_round_trip(spark):
         write_report(reports, root, "xml")
 
 
-def test_document_in_parts_is_one_file(spark):
+def test_document_offsets_do_not_depend_on_buckets(spark):
     clips = spark.createDataFrame([("r", f"c{i}", i, "transcribed") for i in range(10)], "recording_id string, clip_id string, position bigint, status string")
     texts = spark.createDataFrame([("r", i, f"t{i}", f"c{i}", "raw_asr", f" w{i}　") for i in range(10)], "recording_id string, version_no bigint, transcript_id string, clip_id string, provenance string, text string")
-    whole = transcript_document(clips, texts).collect()
-    parts = sorted(transcript_document(clips, texts, part_clips=3).collect(), key=lambda r: r.part_no)
-    assert len(whole) == 1 and len(parts) == 4 and "\n\n".join(p.document for p in parts) == whole[0].document
+    whole = sorted(transcript_document(clips, texts).collect(), key=lambda r: r.position)
+    assert whole == sorted(transcript_document(clips, texts, 3).collect(), key=lambda r: r.position)
+    body = "\n\n".join(r.piece for r in whole).encode()
+    assert len(whole) == 10 and all(body[r.byte_offset :].startswith(r.piece.encode()) for r in whole)
+    total = document_totals(transcript_document(clips, texts, 3)).collect()
+    assert [(r.transcript_count, r.byte_count) for r in total] == [(10, len(body))]
