@@ -101,6 +101,29 @@ def resample_span(samples, first_frame, following, lo, hi, source_hz, target_hz)
     return F.when(col(hi) < col(lo), empty).otherwise(F.transform(F.sequence(col(lo), col(hi)), one))
 
 
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def resample_blocks(
+    samples: pa.Array, first: pa.Array, following: pa.Array, lo: pa.Array, stop: pa.Array, source: pa.Array, target: pa.Array
+) -> pa.Array:
+    """Output samples ``lo .. stop - 1`` of a linear resampling, each from one block.
+
+    ``following`` is the sample after the block, null at the end of the recording,
+    where the last sample stands in for it.
+    """
+    out = []
+    for s, begin, after, a, b, src, dst in zip(samples, *(c.to_pylist() for c in (first, following, lo, stop, source, target))):
+        held = np.asarray(s.values, np.float32) if s.is_valid else np.zeros(0, np.float32)
+        if src == dst or b <= a or not len(held):
+            out.append(held if src == dst else held[:0])
+            continue
+        at = np.arange(a, b, dtype=np.int64) * src
+        k = at // dst - begin
+        share = (at % dst) / dst
+        reach = np.append(held, np.float32(held[-1] if after is None else after)).astype(np.float64)
+        out.append((reach[k] * (1.0 - share) + reach[k + 1] * share).astype(np.float32))
+    return pa.array(out, pa.list_(pa.float32()))
+
+
 def resample_linear(samples, source_hz: int, target_hz: int) -> Column:
     """Linear resampling of a whole signal held in one array."""
     s = col(samples)

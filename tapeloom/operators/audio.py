@@ -2,8 +2,9 @@
 
 ``audio_blocks``: recording_id, profile, block_no, first_frame, total_frames, samples.
 Blocks of a recording are numbered without holes and unique on (recording_id, profile,
-block_no). The few samples an operator needs from a neighbouring block come over an
-equi-join on the block number; no operator gathers a recording.
+block_no). Where blocks carry ``previous_sample`` and ``next_sample``, as decoded files do,
+operators that need a neighbouring sample read it there and move no audio; otherwise it comes
+over an equi-join on the block number. No operator gathers a recording.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ BLOCK_KEY = [RECORDING, "profile", "block_no"]
 # Seconds of audio in one block; every whole rate then gives blocks that stay aligned when resampled.
 BLOCK_SECONDS = 4
 PEAK_BINS = 180
+HALO = ("previous_sample", "next_sample")
 
 
 def n_samples() -> Column:
@@ -30,18 +32,22 @@ def n_samples() -> Column:
 
 def with_previous_sample(blocks: DataFrame) -> DataFrame:
     """Add the last sample of the block before, null for the first block."""
+    if "previous_sample" in blocks.columns:
+        return blocks
     tails = blocks.select(
         RECORDING, "profile", (F.col("block_no") + 1).alias("block_no"),
-        F.element_at("samples", -1).alias("previous_sample"),
+        F.try_element_at("samples", F.lit(-1)).alias("previous_sample"),
     )
     return blocks.join(tails, BLOCK_KEY, "left")
 
 
 def with_next_sample(blocks: DataFrame) -> DataFrame:
     """Add the first sample of the block after, null for the last block."""
+    if "next_sample" in blocks.columns:
+        return blocks
     heads = blocks.select(
         RECORDING, "profile", (F.col("block_no") - 1).alias("block_no"),
-        F.element_at("samples", 1).alias("next_sample"),
+        F.try_element_at("samples", F.lit(1)).alias("next_sample"),
     )
     return blocks.join(heads, BLOCK_KEY, "left")
 
@@ -50,24 +56,28 @@ def apply_profile(blocks: DataFrame, profile: str) -> DataFrame:
     """Derive one profile from the original 16 kHz mono blocks; the originals are kept."""
     if profile not in PROFILES:
         raise ValueError(f"unknown audio profile {profile!r}")
-    source = blocks.filter("profile = 'original'")
-    if profile == "original":
-        return source
-    if profile == "gain6_db":
-        done = source.withColumn("samples", A.gain_6db("samples"))
-    elif profile == "noise_gate":
-        done = source.withColumn("samples", A.noise_gate("samples"))
-    else:
-        linked = with_previous_sample(source)
-        done = linked.withColumn("samples", A.voice_eq("samples", "previous_sample")).drop("previous_sample")
-    return done.withColumn("profile", F.lit(profile)).select(*blocks.columns)
+    return _profiles(blocks, [profile])
 
 
 def all_profiles(blocks: DataFrame) -> DataFrame:
-    out = apply_profile(blocks, "original")
-    for profile in PROFILES[1:]:
-        out = out.unionByName(apply_profile(blocks, profile))
-    return out
+    """Every profile of the original blocks, from one pass over them."""
+    return _profiles(blocks, list(PROFILES))
+
+
+def _profiles(blocks: DataFrame, names: list[str]) -> DataFrame:
+    source = blocks.filter("profile = 'original'")
+    if "voice_eq" in names:
+        source = with_previous_sample(source)
+    changes = {
+        "original": lambda: F.col("samples"),
+        "gain6_db": lambda: A.gain_6db("samples"),
+        "noise_gate": lambda: A.noise_gate("samples"),
+        "voice_eq": lambda: A.voice_eq("samples", "previous_sample"),
+    }
+    made = F.array(*[F.struct(F.lit(n).alias("profile"), changes[n]().alias("samples")) for n in names])
+    wanted = [c for c in blocks.columns if c not in HALO]
+    rows = source.select(*[c for c in wanted if c not in ("profile", "samples")], F.explode(made).alias("made"))
+    return rows.select(*[F.col(f"made.{c}") if c in ("profile", "samples") else F.col(c) for c in wanted])
 
 
 def profile_receipts(blocks: DataFrame, root: str) -> DataFrame:
@@ -86,25 +96,34 @@ def profile_receipts(blocks: DataFrame, root: str) -> DataFrame:
 
 def resample(blocks: DataFrame, source_hz: Column | int, target_hz: int = SAMPLE_RATE_HZ) -> DataFrame:
     """Linear resampling block by block; every output sample is made by the block its left
-    neighbour lies in. Blocks too short to own an output sample vanish."""
+    neighbour lies in. A last block too short to own an output sample vanishes; one in the
+    middle stays as an empty block, so that numbers keep no hole. A rate of zero is an error.
+    """
     src = F.lit(source_hz).cast("bigint") if isinstance(source_hz, int) else source_hz.cast("bigint")
     dst = F.lit(target_hz).cast("bigint")
-    linked = with_next_sample(blocks.withColumn("source_hz", src).filter("source_hz > 0"))
-    rate = F.col("source_hz")
+    rate = F.col("__rate")
+    known = F.when(src > 0, src).otherwise(F.raise_error("sample rate must be above zero").cast("bigint"))
+    linked = with_next_sample(blocks.withColumn("__rate", known))
     out_total = A.resampled_length("total_frames", rate, dst)
+    after = F.col("first_frame") + n_samples()
     lo = scale_ceil("first_frame", dst, rate)
-    stop = F.least(scale_ceil(F.col("first_frame") + n_samples(), dst, rate), out_total)
+    stop = F.least(scale_ceil(after, dst, rate), out_total)
     same = rate == dst
-    moved = A.resample_span("samples", "first_frame", "next_sample", lo, stop - 1, rate, dst)
-    # new names first: inside a lambda, an alias of the same select would win over the input column
-    shaped = linked.select(
-        RECORDING, "profile", "block_no",
-        F.when(same, F.col("first_frame")).otherwise(lo).alias("new_first"),
+    # new names first: an alias of the same select would win over the input column
+    placed = linked.select(
+        RECORDING, "profile", "block_no", "first_frame", "samples", "next_sample", "__rate",
+        F.when(same, F.col("first_frame")).otherwise(F.least(lo, out_total)).alias("new_first"),
+        F.when(same, after).otherwise(stop).alias("new_stop"),
         out_total.alias("new_total"),
-        F.when(same, F.col("samples")).otherwise(moved).alias("new_samples"),
+        (after < F.col("total_frames")).alias("inner"),
+    )
+    empty = F.col("new_stop") <= F.col("new_first")
+    moved = A.resample_blocks("samples", "first_frame", "next_sample", "new_first", "new_stop", "__rate", dst)
+    shaped = placed.withColumn("new_samples", moved).filter(~empty | F.col("inner"))
+    return shaped.select(
+        RECORDING, "profile", "block_no", F.col("new_first").alias("first_frame"), F.col("new_total").alias("total_frames"),
+        F.col("new_samples").alias("samples"),
     )
-    named = [F.col(n).alias(o) for n, o in (("new_first", "first_frame"), ("new_total", "total_frames"), ("new_samples", "samples"))]
-    return shaped.select(RECORDING, "profile", "block_no", *named).filter(F.size("samples") > 0)
 
 
 def reblock(blocks: DataFrame, block_frames: int) -> DataFrame:

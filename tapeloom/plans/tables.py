@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators.clips import timeline
-from tapeloom.plans.scan import SumBefore, SumOfKey, ordered_scan
+from tapeloom.plans.scan import Lag, Lead, SumBefore, SumOfKey, ordered_scan
 
 RECORDING = "recording_id"
 VECTOR = 64
@@ -155,10 +155,13 @@ def label_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """The vectors of one label in id order as the 64-sample blocks of one recording."""
     one = F.lit(1).cast("bigint")
     vectors = read(spark, folder, "embeddings").select(text_id("label"), "vec_id", "embedding")
-    ranked = ordered_scan(vectors, [RECORDING], "vec_id", [SumBefore("block_no", one), SumOfKey("n_blocks", one)], 4096)
+    ranked = ordered_scan(vectors, [RECORDING], "vec_id", [
+        SumBefore("block_no", one), SumOfKey("n_blocks", one),
+        Lag("previous_sample", F.element_at("embedding", -1)), Lead("next_sample", F.element_at("embedding", 1)),
+    ], 4096)
     return ranked.select(
         RECORDING, F.lit("original").alias("profile"), "block_no", (F.col("block_no") * VECTOR).alias("first_frame"),
-        (F.col("n_blocks") * VECTOR).alias("total_frames"), F.col("embedding").alias("samples"),
+        (F.col("n_blocks") * VECTOR).alias("total_frames"), F.col("embedding").alias("samples"), "previous_sample", "next_sample",
     )
 
 

@@ -25,6 +25,10 @@ HEADER_DDL = (
     "data_offset bigint, data_bytes bigint, frame_count bigint, error string"
 )
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+MAX_RIFF = 0xFFFFFFFF
+# Blocks that a decoding task hands on at a time.
+DECODED_AT_ONCE = 8
+DECODED_DDL = AUDIO_BLOCKS_DDL + ", previous_sample float, next_sample float, source_hz bigint"
 
 
 def scan_media(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,9 +44,9 @@ def read_header(path: str) -> dict:
     files, inner = open_path(path)
     with files.open_input_file(inner) as f:
         riff = f.read(12)
-        if len(riff) < 12 or riff[:4] != b"RIFF" or riff[8:] != b"WAVE":
+        if len(riff) < 12 or riff[:4] not in (b"RIFF", b"RF64") or riff[8:] != b"WAVE":
             raise ValueError("not_a_wav_file")
-        at, form = 12, None
+        at, form, long_size = 12, None, None
         while True:
             f.seek(at)
             head = f.read(8)
@@ -51,7 +55,10 @@ def read_header(path: str) -> dict:
             name, size = head[:4], struct.unpack("<I", head[4:])[0]
             if name == b"fmt ":
                 form = f.read(size)
+            elif name == b"ds64":
+                long_size = struct.unpack("<QQ", f.read(16))[1]
             elif name == b"data":
+                size = long_size if long_size is not None and size == MAX_RIFF else size
                 break
             at += 8 + size + (size & 1)
         if form is None or len(form) < 16:
@@ -116,26 +123,33 @@ def decode_span(path: str, offset: int, frames: int, channels: int, bits: int, i
 
 
 def _decode(batches):
+    names = [c.split()[0] for c in DECODED_DDL.split(", ")]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.float32(), pa.float32(), pa.int64()]
+
+    def handed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
+
     for batch in batches:
-        out = {n: [] for n in ("recording_id", "profile", "block_no", "first_frame", "total_frames", "samples")}
+        rows = []
         for row in batch.to_pylist():
             width = 4 if row["is_float"] else (row["bits"] + 7) // 8
-            first = row["block_no"] * row["block_frames"]
-            frames = min(row["block_frames"], row["frame_count"] - first)
-            start = row["data_offset"] + first * row["channels"] * width
-            samples = decode_span(row["path"], start, frames, row["channels"], row["bits"], row["is_float"])
-            for name, value in zip(out, (row["recording_id"], "original", row["block_no"], first, row["frame_count"], samples)):
-                out[name].append(value)
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
-
-
-def decode_wav(headers: DataFrame, block_seconds: int = BLOCK_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """Mono blocks at the file's own rate, plus rejects.
-
-    ``headers`` is ``inspect_wav`` output with a recording_id. Work is one byte span per
-    block, exchanged by block number, so one long file is read by many tasks.
-    """
+            first, total = row["block_no"] * row["block_frames"], row["frame_count"]
+            stop = min(first + row["block_frames"], total)
+            # one frame more on either side, for operators that look at a neighbour
+            a, b = max(first - 1, 0), min(stop + 1, total)
+            start = row["data_offset"] + a * row["channels"] * width
+            read = decode_span(row["path"], start, b - a, row["channels"], row["bits"], row["is_float"])
+            before, after = (read[0] if a < first else None), (read[-1] if b > stop else None)
+            body = read[first - a : stop - a]
+            rows.append((row["recording_id"], "original", row["block_no"], first, total, body, before, after, row["sample_rate_hz"]))
+            if len(rows) == DECODED_AT_ONCE:
+                yield handed(rows)
+                rows = []
+        if rows:
+            yield handed(rows)
+
+
+def _decoded(headers: DataFrame, block_seconds: int) -> tuple[DataFrame, DataFrame]:
     judged = headers.withColumn("reason_code", decode_code())
     good = judged.filter("reason_code is null and frame_count > 0").withColumn(
         "block_frames", F.col("sample_rate_hz") * block_seconds
@@ -143,18 +157,29 @@ def decode_wav(headers: DataFrame, block_seconds: int = BLOCK_SECONDS) -> tuple[
     spans = explode_span(
         good, F.lit(0), div(F.col("frame_count") - 1, F.col("block_frames")), "block_no", [RECORDING], fan=64
     )
-    wanted = [RECORDING, "path", "block_no", "block_frames", "frame_count", "data_offset", "channels", "bits", "is_float"]
-    blocks = spans.select(*wanted).mapInArrow(_decode, AUDIO_BLOCKS_DDL)
+    wanted = [
+        RECORDING, "path", "block_no", "block_frames", "frame_count", "data_offset", "channels", "bits", "is_float", "sample_rate_hz",
+    ]
+    blocks = spans.select(*wanted).mapInArrow(_decode, DECODED_DDL)
     return blocks, judged.filter("reason_code is not null").select(RECORDING, "path", "reason_code")
 
 
+def decode_wav(headers: DataFrame, block_seconds: int = BLOCK_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """Mono blocks at the file's own rate with their neighbouring samples, plus rejects.
+
+    ``headers`` is ``inspect_wav`` output with a recording_id. Work is one byte span per
+    block, exchanged by block number, so one long file is read by many tasks.
+    """
+    blocks, rejects = _decoded(headers, block_seconds)
+    return blocks.drop("source_hz"), rejects
+
+
 def normalize(headers: DataFrame, block_seconds: int = BLOCK_SECONDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(16 kHz mono blocks, their media_meta, rejects) for WAV sources."""
+    """(16 kHz mono blocks, their media_meta, rejects) for WAV sources; no audio is exchanged."""
     from tapeloom.operators.audio import resample
 
-    blocks, rejects = decode_wav(headers, block_seconds)
-    rates = headers.select(RECORDING, F.col("sample_rate_hz").alias("rate"))
-    normal = resample(blocks.join(rates, RECORDING), F.col("rate"))
+    blocks, rejects = _decoded(headers, block_seconds)
+    normal = resample(blocks, F.col("source_hz"))
     ok = headers.withColumn("reason_code", decode_code()).filter("reason_code is null")
     return normal, normalized_meta(ok), rejects
 
@@ -180,17 +205,13 @@ def decode_with(files: DataFrame, decoder: Callable[[bytes], tuple[int, int, np.
                 rate, channels, samples = decoder(content.as_py())
                 mono = mean_of_channels(np.asarray(samples, np.float32), channels)
                 size = rate * block_seconds
-                starts = range(0, len(mono), size)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([recording] * len(starts), pa.string()), pa.array(["original"] * len(starts), pa.string()),
-                        pa.array(range(len(starts)), pa.int64()), pa.array(list(starts), pa.int64()),
-                        pa.array([len(mono)] * len(starts), pa.int64()),
-                        pa.array([mono[s : s + size] for s in starts], pa.list_(pa.float32())),
-                        pa.array([rate] * len(starts), pa.int64()),
-                    ],
-                    names=["recording_id", "profile", "block_no", "first_frame", "total_frames", "samples", "rate"],
-                )
+                for number, at in enumerate(range(0, len(mono), size)):
+                    values = [recording, "original", number, at, len(mono), mono[at : at + size], rate]
+                    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.int64()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([v], t) for v, t in zip(values, types)],
+                        names=["recording_id", "profile", "block_no", "first_frame", "total_frames", "samples", "rate"],
+                    )
 
     return files.select(RECORDING, "content").mapInArrow(run, AUDIO_BLOCKS_DDL + ", rate bigint")
 
@@ -207,13 +228,17 @@ def float_bytes(samples: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BinaryType())
 def wav_header(total_frames: pa.Array) -> pa.Array:
-    """RIFF header of a 16 kHz mono 32-bit float file."""
-    heads = []
-    for n in total_frames.to_pylist():
-        size = n * 4
-        form = struct.pack("<HHIIHH", FLOAT, 1, SAMPLE_RATE_HZ, SAMPLE_RATE_HZ * 4, 4, 32)
-        heads.append(b"RIFF" + struct.pack("<I", 36 + size) + b"WAVEfmt " + struct.pack("<I", 16) + form + b"data" + struct.pack("<I", size))
-    return pa.array(heads, pa.binary())
+    """RIFF header of a 16 kHz mono 32-bit float file; RF64, with sizes of 64 bits, above 4 GiB."""
+    return pa.array([header_bytes(n) for n in total_frames.to_pylist()], pa.binary())
+
+
+def header_bytes(frames: int) -> bytes:
+    size = frames * 4
+    form = b"fmt " + struct.pack("<IHHIIHH", 16, FLOAT, 1, SAMPLE_RATE_HZ, SAMPLE_RATE_HZ * 4, 4, 32)
+    if 36 + size <= MAX_RIFF:
+        return b"RIFF" + struct.pack("<I", 36 + size) + b"WAVE" + form + b"data" + struct.pack("<I", size)
+    long_sizes = b"ds64" + struct.pack("<IQQQI", 28, 72 + size, size, frames, 0)
+    return b"RF64" + struct.pack("<I", MAX_RIFF) + b"WAVE" + long_sizes + form + b"data" + struct.pack("<I", MAX_RIFF)
 
 
 def write_wav(blocks: DataFrame, root: str) -> DataFrame:

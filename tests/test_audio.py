@@ -172,3 +172,15 @@ def test_user_decoder(spark):
     files = spark.createDataFrame([("x", bytearray([0, 64, 128, 192]))], "recording_id string, content binary")
     out = M.decode_with(files, lambda raw: (2, 2, np.frombuffer(raw, np.uint8) / 256), block_seconds=1).collect()
     assert [(r.block_no, list(r.samples), r.rate) for r in out] == [(0, [0.125, 0.625], 2)]
+
+
+def test_large_files_get_64_bit_sizes(tmp_path):
+    frames = 2**31
+    assert M.header_bytes(10)[:4] == b"RIFF" and M.header_bytes(frames)[:4] == b"RF64"
+    path = tmp_path / "long.wav"
+    with open(path, "wb") as f:
+        head = M.header_bytes(frames)
+        f.write(head)
+        f.truncate(len(head) + frames * 4)  # a hole on disk
+    found = M.read_header(str(path))
+    assert (found["frame_count"], found["data_offset"]) == (frames, len(head))
