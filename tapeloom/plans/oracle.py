@@ -239,6 +239,17 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT conv_id, turn * 3 + 4, 'transcript_committed', text, NULL FROM conversations)
         SELECT CAST(conv_id AS VARCHAR) AS recording_id, kind, count(*) AS n_events, CAST(sum(sequence) AS BIGINT) AS sum_sequence,
           CAST(sum(strlen(text)) AS BIGINT) AS text_bytes, CAST(sum(start_us) AS BIGINT) AS sum_start_us FROM l GROUP BY 1, 2"""
+    own = _uuid("'log'", "CAST(conv_id AS VARCHAR)")
+    q["file_order_rejects"] = f"""SELECT {own} AS recording_id, CAST(3 AS BIGINT) AS line_no, CAST(4 AS BIGINT) AS sequence, 'transcript_committed' AS kind, 'event_out_of_order' AS reason_code
+        FROM conversations WHERE conv_id % 5 = 1 AND turn = 0"""
+    q["list_recordings"] = f"""SELECT {own} AS recording_id, 'audio_file' AS source_kind, 'created' AS status, max(turn) * 3 + 4 AS last_sequence
+        FROM conversations WHERE conv_id % 5 <> 1 GROUP BY conv_id HAVING NOT bool_or(role = 'system')"""
+    q["manifest_round_trip"] = f"""WITH {CONV_LOG} SELECT {own} AS recording_id, 'created' AS status, count(*) AS n_clips, CAST(sum((turn + 1) * 1000000) AS BIGINT) AS sum_end_us,
+        nullif(count(*) FILTER (WHERE NOT stops), 0) AS n_transcripts, CAST(sum(strlen(text)) FILTER (WHERE NOT stops) AS BIGINT) AS text_bytes FROM lt GROUP BY conv_id"""
+    q["export_reports"] = q["document_totals"]
+    q["export_missing"] = f"""WITH {VERSIONS} SELECT DISTINCT recording_id, 'no_committed_transcripts' AS reason_code FROM v
+        WHERE recording_id NOT IN (SELECT recording_id FROM c WHERE NOT deleted)"""
+    q["wav_round_trip"] = f"""WITH {VECTORS} SELECT recording_id, f AS frame_no, {_rounded('s')} AS sample, n AS frame_count, n * 1000000 // 16000 AS duration_us FROM sig"""
     q["malformed_lines"] = f"""SELECT CAST(doc_id AS VARCHAR) AS recording_id, 'invalid_event_line' AS reason_code, strlen(text) AS raw_bytes
         FROM documents WHERE regexp_matches(text, '[^{WS}]')"""
     q["apply_commands"] = f"""WITH {CONV_LOG}

@@ -19,6 +19,8 @@ from tapeloom.plans import tables as T
 from tapeloom.plans.once import computed_once
 from tapeloom.plans.scan import SumBefore, ordered_scan
 from tapeloom.plans.tables import RECORDING
+from tapeloom.session import fresh_folder
+from tapeloom.sources import event_log, export, media
 from tapeloom.sources.event_log import line_json, parse_log_lines
 from tapeloom.sources.probe import parse_probe
 from tapeloom.streaming import capture
@@ -217,6 +219,56 @@ def event_lines(spark, d):
     )
 
 
+def _log_files(spark, d) -> str:
+    root = fresh_folder(spark, "store")
+    event_log.write_event_logs(T.uuid_log(spark, d), root, "line")
+    return root
+
+
+@query
+def file_order_rejects(spark, d):
+    """Logs as files, two lines of every fifth swapped: where reading each one stops."""
+    events, _ = event_log.read_event_log(spark, _log_files(spark, d), line_numbers=True)
+    return event_log.in_file_order(events)[1]
+
+
+@query
+def list_recordings(spark, d):
+    """What can be loaded whole from the same files."""
+    found = event_log.list_recordings(spark, _log_files(spark, d))
+    return found.recordings.select(RECORDING, "source_kind", "status", "last_sequence")
+
+
+@query
+def manifest_round_trip(spark, d):
+    """Replayed logs as manifests and back."""
+    root = fresh_folder(spark, "store")
+    event_log.write_manifests(replay.replay(T.uuid_log(spark, d).drop("line")), root)
+    read, _ = event_log.read_manifests(spark, root)
+    held = read.clips.groupBy(RECORDING).agg(F.count("*").alias("n_clips"), F.sum("end_us").alias("sum_end_us"))
+    texts = read.transcripts.groupBy(RECORDING).agg(
+        F.count("*").alias("n_transcripts"), F.sum(F.octet_length("text")).cast("bigint").alias("text_bytes")
+    )
+    return read.recordings.select(RECORDING, "status").join(held, RECORDING, "left").join(texts, RECORDING, "left")
+
+
+@query
+def export_reports(spark, d):
+    """Latest texts as files, one per conversation."""
+    versions = T.conversation_versions(spark, d)
+    recordings = versions.select(RECORDING).distinct()
+    made, _ = export.export_transcripts(recordings, T.conversation_clips(versions), versions.drop("position"), fresh_folder(spark, "store"))
+    return made.drop("path")
+
+
+@query
+def export_missing(spark, d):
+    versions = T.conversation_versions(spark, d)
+    recordings = versions.select(RECORDING).distinct()
+    pieces = views.transcript_document(T.conversation_clips(versions), versions.drop("position"))
+    return views.documents_missing(recordings, pieces)
+
+
 @query
 def malformed_lines(spark, d):
     """Document texts are no log lines: every one that is not blank is rejected with its raw text."""
@@ -676,6 +728,17 @@ def transcribable(spark, d):
     )
 
 
+@query
+def wav_round_trip(spark, d):
+    """Label recordings to WAV files, found, inspected, decoded and normalised again."""
+    root = fresh_folder(spark, "store")
+    media.write_wav(T.label_blocks(spark, d), root)
+    found = media.inspect_wav(media.scan_media(spark, root))
+    owner = F.regexp_extract("path", r"/recordings/([^/]+)/", 1)
+    normal, meta, _ = media.normalize(found.withColumn(RECORDING, owner), 1)
+    return _samples(normal).join(meta.select(RECORDING, "frame_count", "duration_us"), RECORDING).drop("profile")
+
+
 @query
 def block_faults(spark, d):
     """Vectors of a label numbered by their own ids: holes between nearly all of them."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.ids import derived_uuid
 from tapeloom.operators.clips import timeline
 from tapeloom.plans.scan import Lag, Lead, SumBefore, SumOfKey, ordered_scan
 
@@ -97,6 +98,17 @@ def conversation_log(spark: SparkSession, folder: str) -> DataFrame:
     return per_turn.unionByName(created).select(RECORDING, "e.*")
 
 
+def uuid_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversation logs under ids that folders may have; ``line`` shuffles two lines of every fifth."""
+    log = conversation_log(spark, folder)
+    swapped = F.when(F.col("sequence") == 3, 4).when(F.col("sequence") == 4, 3).otherwise(F.col("sequence"))
+    fifth = F.expr("cast(recording_id as bigint) % 5 = 1")
+    log = log.withColumn("line", F.when(fifth, swapped).otherwise(F.col("sequence")).cast("bigint"))
+    for name in (RECORDING, "clip_id", "transcript_id"):
+        log = log.withColumn(name, F.when(F.col(name).isNotNull(), derived_uuid("log", name)))
+    return log
+
+
 def user_events(spark: SparkSession, folder: str) -> DataFrame:
     """Event rows as life-cycle records of one recording per user, numbered by event id."""
     kind = F.col("event_type")

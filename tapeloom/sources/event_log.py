@@ -7,15 +7,19 @@ a directory of its own, and the folder layout ``<root>/recordings/<uuid>/`` with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.ids import is_uuid
 from tapeloom.functions.text import is_blank
-from tapeloom.operators.clips import RECORDING
+from tapeloom.operators.clips import ORDINAL_BUCKET, RECORDING
 from tapeloom.operators.replay import Replayed, replay
 from tapeloom.plans.once import computed_once
-from tapeloom.schemas import EVENT_COLUMNS, EVENT_KINDS, LOG_LINE_DDL, MANIFEST_DDL, N_BUCKETS, SCHEMA_VERSION
+from tapeloom.plans.scan import SumBefore, ordered_scan
+from tapeloom.plans.stage import written
+from tapeloom.schemas import (
+    ASSET_KINDS, CLIP_KINDS, EVENT_COLUMNS, EVENT_KINDS, LOG_LINE_DDL, MANIFEST_DDL, N_BUCKETS, PROVENANCES, SCHEMA_VERSION,
+)
 from tapeloom.sources.files import write_files
 
 _FOLDER = r"/recordings/([^/]+)/[^/]+$"
@@ -25,16 +29,47 @@ def _owner(path) -> F.Column:
     return F.regexp_extract(path, _FOLDER, 1)
 
 
-def parse_log_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _untyped(uuids: bool) -> F.Column:
+    """Whether a parsed line lacks a field its kind needs, or a value is not of the field's type."""
+    kind = F.col("kind")
+
+    def lacks(kinds: tuple[str, ...], *names: str):
+        missing = F.lit(False)
+        for name in names:
+            missing = missing | F.col(name).isNull()
+        return kind.isin(*kinds) & missing
+
+    wrong = (
+        lacks(CLIP_KINDS, "clip_id")
+        | lacks(("recording_failed", "transcription_failed"), "reason")
+        | lacks(("recording_created",), "source_kind", "source_path")
+        | lacks(("clip_added",), "start_us", "end_us")
+        | lacks(("clip_moved",), "target_index")
+        | lacks(("transcript_committed",), "transcript_id", "provenance", "text")
+        | ~F.col("source_kind").isin(*ASSET_KINDS)
+        | ~F.col("provenance").isin(*PROVENANCES)
+    )
+    for name in ("sequence", "start_us", "end_us", "target_index"):
+        wrong = F.coalesce(wrong, F.lit(False)) | F.coalesce(F.col(name) < 0, F.lit(False))
+    if uuids:
+        for name in (RECORDING, "clip_id", "transcript_id"):
+            wrong = wrong | F.coalesce(~is_uuid(name), F.lit(False))
+    return wrong
+
+
+def parse_log_lines(lines: DataFrame, uuids: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(owner, value)`` text lines to (flat events, rejects with the raw line).
 
-    Blank lines are skipped. A line is malformed unless it parses and holds exactly one event.
+    Blank lines are skipped. A line is malformed unless it parses, holds exactly one event, and
+    that event has the fields of its kind: known names, numbers from zero up, and with ``uuids``
+    ids that are UUIDs. A ``line_no`` column is kept.
     """
+    kept = ["owner", "value", *(c for c in ("line_no",) if c in lines.columns)]
     shape = LOG_LINE_DDL + ", _corrupt string"
     parsed = lines.filter(~is_blank("value")).withColumn(
         "j", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     )
-    parsed = computed_once(parsed, ["owner", "value"], [F.col("j")])
+    parsed = computed_once(parsed, kept, [F.col("j")])
     event = F.col("j.event")
     filled = [F.when(event[k].isNotNull(), F.lit(k)) for k in EVENT_KINDS]
     kinds = F.filter(F.array(*filled), lambda x: x.isNotNull())
@@ -43,7 +78,7 @@ def parse_log_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.coalesce(*[F.col(f"j.event.{k}.{path}") for k in kinds_with]) if kinds_with else F.lit(None)
 
     clip_kinds = tuple(k for k in EVENT_KINDS if not k.startswith("recording_"))
-    flat = computed_once(parsed, ["owner", "value"], [
+    flat = computed_once(parsed, kept, [
         F.col("j._corrupt").isNotNull().alias("corrupt"),
         F.size(kinds).alias("n_kinds"),
         pick("recording_id", EVENT_KINDS).alias(RECORDING),
@@ -63,30 +98,64 @@ def parse_log_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ])
     malformed = (
         F.col("corrupt") | (F.col("n_kinds") != 1) | F.col("sequence").isNull()
-        | F.col("schema_version").isNull() | F.col(RECORDING).isNull()
+        | F.col("schema_version").isNull() | F.col(RECORDING).isNull() | _untyped(uuids)
     )
     code = F.when(malformed, "invalid_event_line").when(
         F.lower(RECORDING) != F.lower("owner"), "wrong_recording"
     )
     judged = flat.withColumn("reason_code", code)
     bad = judged.filter("reason_code is not null").select(
-        F.col("owner").alias(RECORDING), "sequence", "kind", "reason_code", F.col("value").alias("raw")
+        F.col("owner").alias(RECORDING), *kept[2:], "sequence", "kind", "reason_code", F.col("value").alias("raw")
     )
-    good = judged.filter("reason_code is null").withColumn(RECORDING, F.lower(RECORDING)).select(*EVENT_COLUMNS)
+    good = judged.filter("reason_code is null").withColumn(RECORDING, F.lower(RECORDING)).select(*EVENT_COLUMNS, *kept[2:])
     return good, bad
 
 
-def read_event_log(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """All logs below ``root`` whose folder is named by a UUID; other folders are ignored."""
+def read_event_log(spark: SparkSession, root: str, line_numbers: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All logs below ``root`` whose folder is named by a UUID; other folders are ignored.
+
+    With ``line_numbers`` events and rejects have ``line_no``, counted from 1 in each file.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "events.ndjson").text(
         f"{root.rstrip('/')}/recordings"
     )
-    owned = lines.select(_owner(F.col("_metadata.file_path")).alias("owner"), "value").filter(is_uuid("owner"))
-    return parse_log_lines(owned)
+    owned = lines.select(
+        _owner(F.col("_metadata.file_path")).alias("owner"), "value",
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+    ).filter(is_uuid("owner"))
+    return parse_log_lines(_numbered(owned) if line_numbers else owned.select("owner", "value"), uuids=True)
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``(owner, line_no, value)``: a reader takes a block's lines in order, blocks add up their counts."""
+    held = written(lines.withColumn("at", F.monotonically_increasing_id()), "lines")
+    blocks = held.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return held.join(offsets, ["path", "block"]).select(
+        "owner", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value"
+    )
+
+
+def in_file_order(events: DataFrame, width: int = ORDINAL_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(events up to the first line out of sequence in its file, that line as a reject).
+
+    A log's k-th event must have the number k. ``events`` come with ``line_no``.
+    """
+    one = F.lit(1).cast("bigint")
+    ranked = ordered_scan(
+        events.select(RECORDING, "line_no", "sequence", "kind"), [RECORDING], "line_no", [SumBefore("rank", one)], width
+    )
+    off = ranked.filter(F.col("sequence") != F.col("rank") + 1)
+    first = off.groupBy(RECORDING).agg(F.min(F.struct("line_no", "sequence", "kind")).alias("f"))
+    rejects = first.select(RECORDING, "f.*", F.lit("event_out_of_order").alias("reason_code"))
+    stops = rejects.select(RECORDING, F.col("line_no").alias("stop_line"))
+    sound = events.join(stops, RECORDING, "left").filter("stop_line is null or line_no < stop_line").drop("stop_line")
+    return sound, rejects
 
 
-def line_json(events: DataFrame) -> DataFrame:
-    """Flat events as canonical one-line JSON: (recording_id, sequence, value)."""
+def line_json(events: DataFrame, order: str = "sequence") -> DataFrame:
+    """Flat events as canonical one-line JSON: (recording_id, ``order``, value)."""
     clip = [F.col(RECORDING), F.col("clip_id")]
     payload = {
         "recording_created": F.struct(RECORDING, F.struct(F.col("source_kind").alias("kind"), F.col("source_path").alias("path")).alias("source")),
@@ -102,13 +171,13 @@ def line_json(events: DataFrame) -> DataFrame:
     }
     event = F.struct(*[F.when(F.col("kind") == k, payload[k]).alias(k) for k in EVENT_KINDS])
     line = F.to_json(F.struct("schema_version", "sequence", event.alias("event")), {"ignoreNullFields": "true"})
-    return events.select(RECORDING, "sequence", line.alias("value"))
+    return events.select(RECORDING, order, line.alias("value"))
 
 
-def write_event_logs(events: DataFrame, root: str) -> DataFrame:
-    """Whole logs in the folder layout, one file per recording; returns what was written."""
+def write_event_logs(events: DataFrame, root: str, order: str = "sequence") -> DataFrame:
+    """Whole logs in the folder layout, one file per recording, lines by ``order``; returns what was written."""
     path = F.concat(F.lit(f"{root.rstrip('/')}/recordings/"), F.col(RECORDING), F.lit("/events.ndjson"))
-    lines = line_json(events).select(path.alias("path"), F.col("sequence").alias("part"), F.concat("value", F.lit("\n")).cast("binary").alias("data"))
+    lines = line_json(events, order).select(path.alias("path"), F.col(order).alias("part"), F.concat("value", F.lit("\n")).cast("binary").alias("data"))
     return write_files(lines)
 
 
@@ -212,18 +281,21 @@ def list_recordings(spark: SparkSession, root: str) -> Replayed:
     A recording that cannot be loaded whole is reported in ``rejects`` and left out;
     the others are unaffected.
     """
-    events, bad_lines = read_event_log(spark, root)
-    state = replay(events.join(bad_lines.select(RECORDING).distinct(), RECORDING, "left_anti"))
+    read, bad_lines = read_event_log(spark, root, line_numbers=True)
+    events, disordered = in_file_order(written(read, "events"))
+    unread = bad_lines.select(RECORDING).distinct()
+    state = replay(events.join(unread, RECORDING, "left_anti").drop("line_no"))
     manifests, bad_manifests = read_manifests(spark, root)
     logged = events.select(RECORDING).unionByName(bad_lines.select(RECORDING)).distinct()
-    broken = state.rejects.select(RECORDING).distinct()
+    broken = state.rejects.select(RECORDING).unionByName(disordered.select(RECORDING)).distinct()
+    late = disordered.join(unread.unionByName(state.rejects.select(RECORDING)).distinct(), RECORDING, "left_anti")
 
     def both(name: str) -> DataFrame:
         from_log = getattr(state, name).join(broken, RECORDING, "left_anti")
         return from_log.unionByName(getattr(manifests, name).join(logged, RECORDING, "left_anti"))
 
     cols = [RECORDING, "sequence", "kind", "reason_code"]
-    rejects = state.rejects.select(*cols).unionByName(bad_lines.select(*cols)).unionByName(
+    rejects = state.rejects.select(*cols).unionByName(late.select(*cols)).unionByName(bad_lines.select(*cols)).unionByName(
         bad_manifests.join(logged, RECORDING, "left_anti").select(*cols)
     )
     return Replayed(both("recordings").orderBy(RECORDING), both("clips"), both("transcripts"), rejects, state.accepted)
