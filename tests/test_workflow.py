@@ -1,7 +1,9 @@
 """Commands, transcription, storage and export end to end."""
 
+import json
 import os
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from tapeloom.operators.fold import Refused
 from tapeloom.operators.replay import replay, state_differences
 from tapeloom.operators.views import document_totals, failure_report, latest_transcript, transcript_document
 from tapeloom.schemas import AUDIO_BLOCKS_DDL, COMMANDS_DDL, MEDIA_META_DDL, PAYLOAD_COLUMNS
-from tapeloom.sources.event_log import append_events, list_recordings, read_event_log, read_events, write_event_logs, write_manifests
+from tapeloom.sources.event_log import append_events, in_file_order, list_recordings, read_event_log, read_events, write_event_logs, write_manifests
 from tapeloom.sources.export import export_transcripts, write_report
 from tests.test_replay import PlainFold, ev, frame, random_log
 from tests.test_streaming import folder
@@ -157,9 +159,57 @@ def test_steps_progress_and_stop(spark):
     assert not cancelled and sum(d.count() for d in done) == 20
 
 
+def as_uuid(name):
+    return str(uuid.uuid5(uuid.NAMESPACE_OID, name))
+
+
+def line(sequence, kind, **event):
+    return json.dumps({"schema_version": 1, "sequence": sequence, "event": {kind: {"recording_id": A, **event}}})
+
+
+def test_lines_have_types_and_places(spark):
+    p, t = as_uuid("p"), as_uuid("t")
+    texts = [
+        line(1, "recording_created", source={"kind": "audio_file", "path": "x.wav"}),
+        "",
+        line(2, "clip_added", clip_id=p, source_range={"start_us": 0, "end_us": 5}),
+        line(4, "transcription_started", clip_id=p),
+        line(3, "clip_deleted", clip_id=p),
+    ]
+    bad = [
+        line(1, "recording_created", source={"kind": "tape", "path": "x.wav"}),
+        line(1, "recording_created", source={"kind": "audio_file"}),
+        line(2, "clip_added", clip_id=p, source_range={"start_us": -1, "end_us": 5}),
+        line(2, "clip_added", clip_id="p", source_range={"start_us": 0, "end_us": 5}),
+        line(2, "clip_moved", clip_id=p),
+        line(2, "clip_moved", clip_id=p, target_index=-1),
+        line(2, "transcription_failed", clip_id=p),
+        line(2, "transcript_committed", clip_id=p, transcript_id=t, provenance="nonsense", text="x"),
+        line(2, "transcript_committed", clip_id=p, transcript_id=t, provenance="raw_asr"),
+        line(-2, "recording_started"),
+        line(2, "recording_paused"),
+    ]
+    root = folder()
+    for rec, lines in ((A, texts), (B, [x.replace(A, B) for x in bad])):
+        os.makedirs(f"{root}/recordings/{rec}")
+        open(f"{root}/recordings/{rec}/events.ndjson", "w").write("\n".join(lines) + "\n")
+    events, rejects = read_event_log(spark, root, line_numbers=True)
+    assert sorted((r.line_no, r.sequence) for r in events.collect()) == [(1, 1), (3, 2), (4, 4), (5, 3)]
+    assert sorted((r.recording_id, r.line_no, r.reason_code) for r in rejects.collect()) == [
+        (B, n + 1, "invalid_event_line") for n in range(len(bad))]
+    sound, late = in_file_order(events)
+    assert sorted(r.sequence for r in sound.collect()) == [1, 2]
+    assert [(r.line_no, r.sequence, r.kind) for r in late.collect()] == [(4, 4, "transcription_started")]
+    listed = list_recordings(spark, root)
+    assert listed.recordings.count() == 0 and {r.reason_code for r in listed.rejects.collect()} == {"event_out_of_order", "invalid_event_line"}
+
+
 def test_store_round_trip(spark):
     root = folder()
-    log = frame(spark, log_of(A) + log_of(B) + [ev(B, 6, "clip_deleted", clip_id="q"), ev(B, 7, "recording_failed", reason='said "no"\n')])
+    rows = log_of(A) + log_of(B) + [ev(B, 6, "clip_deleted", clip_id="q"), ev(B, 7, "recording_failed", reason='said "no"\n')]
+    for row in rows:  # ids in files are UUIDs
+        row.update({name: as_uuid(row[name]) for name in ("clip_id", "transcript_id") if row[name]})
+    log = frame(spark, rows)
     write_event_logs(log, root)
     os.makedirs(f"{root}/recordings/cache")
     open(f"{root}/recordings/cache/events.ndjson", "w").write("junk\n")
@@ -189,7 +239,7 @@ def test_store_round_trip(spark):
     reports, missing = export_transcripts(state.recordings, state.clips, state.transcripts, root)
     got = {r.recording_id: r for r in reports.collect()}
     body = open(f"{root}/recordings/{A}/transcripts/transcript.txt").read()
-    assert body == "[clip p | raw_asr]\nraw words\n" and got[A].byte_count == len(body) - 1 and missing.count() == 0
+    assert body == f"[clip {as_uuid('p')} | raw_asr]\nraw words\n" and got[A].byte_count == len(body) - 1 and missing.count() == 0
     for form in ("json", "csv", "text"):
         write_report(reports, f"{root}/report-{form}", form)
     assert spark.read.json(f"{root}/report-json").count() == 2
@@ -197,6 +247,38 @@ def test_store_round_trip(spark):
         write_report(reports, root, "xml")
 
 
+def test_several_splits_and_repeated_pairs(spark):
+    clips = spark.createDataFrame([("r", "a", 0, 100, "pending"), ("r", "b", 100, 200, "pending")], "recording_id string, clip_id string, start_us bigint, end_us bigint, status string")
+    points = spark.createDataFrame([("r", "a", 60), ("r", "a", 30), ("r", "a", 30), ("r", "a", 100), ("r", "x", 1)], "recording_id string, clip_id string, split_at_us bigint")
+    made, bad = C.split_clips(clips, points)
+    assert sorted((r.start_us, r.end_us) for r in made.collect()) == [(0, 30), (30, 100)]
+    assert sorted((r.split_at_us, r.reason_code) for r in bad.collect()) == [
+        (1, "clip_not_active"), (30, "clip_not_active"), (60, "clip_not_active"), (100, "split_outside_clip")]
+    pairs = spark.createDataFrame([("r", "a", "b"), ("r", "b", "a")], "recording_id string, first_clip_id string, second_clip_id string")
+    made, bad = C.append_clips(clips, pairs)
+    assert made.count() == 1 and [r.reason_code for r in bad.collect()] == ["clip_not_active"]
+
+
+def test_backend_is_asked_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    class Counting:
+        def capabilities(self):
+            return X.Capabilities("counting")
+
+        def transcribe(self, request):
+            with open(calls, "a") as f:
+                f.write("x")
+            return "raw_asr", "said"
+
+    blocks = spark.createDataFrame([("r", "original", i, i * 160, 640, [0.1] * 160) for i in range(4)], AUDIO_BLOCKS_DDL)
+    meta = spark.createDataFrame([("r", 40_000, 16_000, 1, 640)], MEDIA_META_DDL)
+    clips = spark.createDataFrame([("r", f"c{i}", i * 10_000, i * 10_000 + 10_000, "pending") for i in range(4)], "recording_id string, clip_id string, start_us bigint, end_us bigint, status string")
+    out = X.transcribe(clips, blocks, meta, 160, Counting, run_key="counting")
+    assert X.outcome_commands(out).count() == 8 and out.count() == 4
+    assert len(open(calls).read()) == 4
+
+
 def test_document_offsets_do_not_depend_on_buckets(spark):
     clips = spark.createDataFrame([("r", f"c{i}", i, "transcribed") for i in range(10)], "recording_id string, clip_id string, position bigint, status string")
     texts = spark.createDataFrame([("r", i, f"t{i}", f"c{i}", "raw_asr", f" w{i}　") for i in range(10)], "recording_id string, version_no bigint, transcript_id string, clip_id string, provenance string, text string")
