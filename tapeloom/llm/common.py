@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 #: The white space of the contracts, as bytes and as a Java / RE2 class.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
+#: Rows whose texts a task holds as Python objects at once.
+ROWS = 512
 
 
 def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -33,13 +35,15 @@ def utf8(column: pa.Array) -> list[bytes]:
 def add_columns(
     df: DataFrame, source: str, fields: list[T.StructField], compute: Callable[[pa.Array], list[pa.Array]]
 ) -> DataFrame:
-    """Append columns that ``compute`` derives from the column ``source``, batch by batch."""
+    """Append columns that ``compute`` derives from the column ``source``, ``ROWS`` rows at a time."""
     place = df.columns.index(source)
     names = [*df.columns, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(place))], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(place))], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 

@@ -185,10 +185,18 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     kept = classes(narrow).groupBy("__root").agg(best).select(
         F.col("__best.__first").alias("__id"), F.col("__best.__fp").alias("__kept")
     )
-    row = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col(text))).alias("__row")
-    one = marked.groupBy(F.col(doc_id).alias("__doc"), "__fp").agg(row)
-    same = F.col("__doc").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept"))
-    return one.join(kept, same, "left_semi").select("__row.*")
+    rows = narrow.groupBy("doc_id", "__fp").agg(F.count(F.lit(1)).alias("__n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept"))
+    judged = rows.join(kept, stays, "left").select("doc_id", F.col("__fp").alias("__name"), "__n", F.col("__kept").isNotNull().alias("__stays"))
+    # rows to take out: those that go, and repeated ones, of which one comes back
+    out = written(judged.filter("not __stays or __n > 1").withColumnRenamed("doc_id", "__id"), "taken_out")
+    same = F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__name"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = marked.join(out, same, "left_anti").select(*columns)
+    repeated = marked.join(out.filter("__stays"), same, "left_semi")
+    row = F.min_by(F.struct(*columns), F.struct(F.col(text))).alias("__row")
+    one = repeated.groupBy(F.col(doc_id).alias("__doc"), "__fp").agg(row)
+    return rest.unionAll(one.select("__row.*"))
 
 
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:

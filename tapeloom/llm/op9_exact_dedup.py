@@ -140,10 +140,12 @@ def verified_groups(docs: DataFrame, repeated: DataFrame, doc_id: str = "doc_id"
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``, and its rows ``n_rows``."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     narrow = written(with_marks(docs).drop("text", "__cp"), "fingerprints")
-    groups = verified_groups(docs, repeated_fingerprints(narrow))
+    # written, so that Spark knows its size and may spare the texts an exchange
+    repeated = written(repeated_fingerprints(narrow), "repeated")
+    groups = verified_groups(docs, repeated)
     rows = narrow.groupBy("doc_id", "__sha").agg(F.count(F.lit(1)).alias("__n"))
     found = rows.join(groups, "__sha", "left")
     single = F.col("__size").isNull()
@@ -154,23 +156,28 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.coalesce("__size", "__n").alias("group_size"),
         keep.eqNullSafe(F.col("doc_id")).alias("kept"),
         F.lower(F.hex("__sha")).alias("text_sha256"),
+        F.col("__n").alias("n_rows"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay; repeated rows of the kept id give one."""
-    found = exact_duplicates(docs, doc_id, text).filter("kept")
-    kept = found.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__kept_sha"))
+    found = exact_duplicates(docs, doc_id, text)
+    name = [F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__name"), "n_rows"]
+    # rows to take out: those that go, and repeated ones, of which one comes back
+    out = written(found.filter("not kept or n_rows > 1").select(*name, "kept"), "taken_out")
     marked = with_marks(docs, text)
+    same = F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__name"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = marked.join(out, same, "left_anti").select(*columns)
     order = F.struct(F.col("__cp"), F.col(text))
-    row = F.max_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("__row")
-    one = marked.groupBy(F.col(doc_id).alias("__doc"), "__sha").agg(row)
-    same = F.col("__doc").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha"))
-    return one.join(kept, same, "left_semi").select("__row.*")
+    repeated = marked.join(out.filter("kept"), same, "left_semi")
+    one = repeated.groupBy(F.col(doc_id).alias("__doc"), "__sha").agg(F.max_by(F.struct(*columns), order).alias("__row"))
+    return rest.unionAll(one.select("__row.*"))
 
 
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_duplicates(read(spark, folder, "documents", "doc_id", "text"))
+    return exact_duplicates(read(spark, folder, "documents", "doc_id", "text")).drop("n_rows")
 
 
 SQL = """
