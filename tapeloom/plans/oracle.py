@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tapeloom.plans.full_log import fold_sql
+
 # Unicode white space as a RE2 class.
 WS = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -202,6 +204,12 @@ def oracle_sql() -> dict[str, str]:
     q["replay_transcripts"] = f"""WITH {CONV_LOG} SELECT recording_id, turn * 3 + 4 AS version_no, 'v-' || conv_id || '-' || turn AS transcript_id, clip_id,
         CASE WHEN role = 'user' THEN 'user_edit' ELSE 'raw_asr' END AS provenance, text FROM lt WHERE NOT stops"""
     q["replay_rejects"] = f"""WITH {CONV_LOG} SELECT recording_id, turn * 3 + 4 AS sequence, 'transcript_committed' AS kind, 'clip_deleted' AS reason_code FROM lt WHERE stops"""
+    q["replay_full_recordings"] = fold_sql("SELECT recording_id, source_kind, source_path, status, failure, last AS last_sequence FROM fin")
+    q["replay_full_clips"] = fold_sql("""SELECT recording_id, u.c.id AS clip_id, u.i - 1 AS position, u.c.s AS start_us, u.c.e AS end_us, u.c.st AS status, u.c.fail AS failure
+        FROM (SELECT recording_id, unnest(clips) AS c, generate_subscripts(clips, 1) AS i FROM fin) u""")
+    q["replay_full_transcripts"] = fold_sql("""SELECT recording_id, t.no AS version_no, t.id AS transcript_id, t.clip AS clip_id, t.prov AS provenance, t.text AS text
+        FROM (SELECT recording_id, unnest(texts) AS t FROM fin)""")
+    q["replay_full_rejects"] = fold_sql("""SELECT st.recording_id, ev.sequence, st.kind, st.code AS reason_code FROM st JOIN ev ON ev.recording_id = st.recording_id AND ev.i = st.i WHERE code IS NOT NULL""")
     q["life_cycle_rejects"] = f"""WITH {USER_EVENTS}, n AS (SELECT recording_id, kind, row_number() OVER w AS sequence,
           last_value(CASE WHEN kind <> 'clip_added' THEN kind END IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was
           FROM ra WINDOW w AS (PARTITION BY recording_id ORDER BY sequence)),

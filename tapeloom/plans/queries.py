@@ -16,6 +16,7 @@ from tapeloom.functions.text import (
 from tapeloom.functions.timecode import duration_us, midpoint, sample_ceil, sample_floor
 from tapeloom.operators import audio, clips, commands, features, replay, tokens, transcription, validation, views
 from tapeloom.plans import tables as T
+from tapeloom.plans.full_log import full_log
 from tapeloom.plans.once import computed_once
 from tapeloom.plans.scan import SumBefore, ordered_scan
 from tapeloom.plans.tables import RECORDING
@@ -163,6 +164,27 @@ def replay_rejects(spark, d):
     return replay.replay(T.conversation_log(spark, d)).rejects
 
 
+@query
+def replay_full_recordings(spark, d):
+    """Logs with all ten kinds and every reject code, one per order."""
+    return replay.replay(full_log(spark, d)).recordings
+
+
+@query
+def replay_full_clips(spark, d):
+    return replay.replay(full_log(spark, d)).clips
+
+
+@query
+def replay_full_transcripts(spark, d):
+    return replay.replay(full_log(spark, d)).transcripts
+
+
+@query
+def replay_full_rejects(spark, d):
+    return replay.replay(full_log(spark, d)).rejects
+
+
 @query
 def life_cycle_rejects(spark, d):
     """Events as logs numbered anew, purchases as clips; numbering faults are in ``numbering_rejects``."""
