@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.plans.full_log import fold_sql
+from tapeloom.plans.full_log import command_fold_sql, fold_sql
 
 # Unicode white space as a RE2 class.
 WS = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -265,6 +265,17 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN lt.clip_id IS NULL THEN 'clip_not_found' WHEN lt.stops THEN 'clip_deleted' ELSE 'accepted' END AS outcome
         FROM conversations c LEFT JOIN lt ON lt.conv_id = c.conv_id AND lt.turn = c.turn"""
 
+    q["command_log"] = command_fold_sql("""SELECT recording_id, CASE WHEN code IS NULL THEN last ELSE num END AS sequence, kind, CASE WHEN code IS NULL THEN clip_id END AS clip_id, code AS reason_code
+        FROM (SELECT st.*, ev.sequence * 2 + ev.copy AS num, ev.clip_id FROM st JOIN ev ON ev.recording_id = st.recording_id AND ev.i = st.i)""")
+    orders = "k AS (SELECT CAST(l_orderkey AS VARCHAR) AS recording_id, count(*) AS n FROM lineitem GROUP BY 1)"
+    q["command_splits"] = f"""WITH {orders}, r AS (SELECT recording_id, n, unnest(range(n)) AS r FROM k)
+        SELECT recording_id, n + 2 + 3 * r AS sequence, 'clip_deleted' AS kind, NULL AS start_us, NULL AS end_us FROM r
+        UNION ALL SELECT recording_id, n + 3 + 3 * r, 'clip_added', r * 10, r * 10 + 5 FROM r
+        UNION ALL SELECT recording_id, n + 4 + 3 * r, 'clip_added', r * 10 + 5, r * 10 + 10 FROM r"""
+    q["command_appends"] = f"""WITH {orders}, r AS (SELECT recording_id, n, unnest(range(n // 2)) AS r FROM k)
+        SELECT recording_id, n + 2 + 3 * r AS sequence, 'clip_deleted' AS kind, NULL AS start_us, NULL AS end_us FROM r
+        UNION ALL SELECT recording_id, n + 3 + 3 * r, 'clip_deleted', NULL, NULL FROM r
+        UNION ALL SELECT recording_id, n + 4 + 3 * r, 'clip_added', r * 20, r * 20 + 20 FROM r"""
     q["plan_chunks"] = f"""WITH {LINES}, k AS (SELECT recording_id, duration_us, unnest(range((duration_us - 1) // 30000000 + 1)) AS chunk_no FROM media WHERE duration_us > 0)
         SELECT recording_id, chunk_no, chunk_no * 30000000 AS start_us, least((chunk_no + 1) * 30000000, duration_us) AS end_us FROM k"""
     q["clip_timeline"] = f"WITH {TIMELINE} SELECT recording_id, clip_id, start_us, end_us, start_us + (end_us - start_us) // 2 AS middle_us FROM tl"
@@ -405,6 +416,21 @@ def oracle_sql() -> dict[str, str]:
     q["capture_blocks"] = f"""WITH {packets} SELECT recording_id, row_number() OVER w - 1 AS block_no, CAST(sum(n) OVER w - n AS BIGINT) AS first_frame,
         CAST(sum(n) OVER (PARTITION BY recording_id) AS BIGINT) AS total_frames, n AS n_samples FROM p WHERE n > 0
         WINDOW w AS (PARTITION BY recording_id ORDER BY turn)"""
+    q["stream_blocks"] = q["capture_blocks"]
+    q["stream_capture"] = f"""WITH {packets}, e AS (SELECT recording_id, min(turn) AS st FROM p WHERE stop GROUP BY 1),
+        f AS (SELECT recording_id, CAST(sum(n) AS BIGINT) AS n FROM p JOIN e USING (recording_id) WHERE turn <= st GROUP BY 1), ids AS (SELECT DISTINCT recording_id FROM p)
+        SELECT recording_id, 'recording_created' AS kind, NULL AS reason, NULL AS sample_rate_hz, NULL AS frame_count, NULL AS duration_us FROM ids
+        UNION ALL SELECT recording_id, 'recording_started', NULL, NULL, NULL, NULL FROM ids
+        UNION ALL SELECT recording_id, CASE WHEN n = 0 THEN 'recording_failed' ELSE 'recording_saved' END,
+          CASE WHEN n = 0 THEN 'microphone recording stopped before any audio frames were captured' END, 16000, n, n * 1000000 // 16000 FROM f
+        UNION ALL SELECT recording_id, 'packets_rejected', 'recording_ended', NULL, count(*), NULL FROM p JOIN e USING (recording_id) WHERE turn > st GROUP BY 1"""
+    q["stream_replay"] = f"""WITH s AS (SELECT conv_id, min(turn) AS st FROM conversations WHERE role = 'system' GROUP BY 1),
+        l AS (SELECT conv_id, 1 AS sequence, 'recording_created' AS kind FROM conversations WHERE turn = 0
+          UNION ALL SELECT conv_id, turn * 3 + 2, 'clip_added' FROM conversations
+          UNION ALL SELECT conv_id, turn * 3 + 3, CASE WHEN role = 'system' THEN 'clip_deleted' ELSE 'transcription_started' END FROM conversations
+          UNION ALL SELECT conv_id, turn * 3 + 4, 'transcript_committed' FROM conversations)
+        SELECT CAST(conv_id AS VARCHAR) AS recording_id, sequence, kind,
+          CASE WHEN st IS NULL OR sequence < st * 3 + 4 THEN 'accepted' WHEN sequence = st * 3 + 4 THEN 'clip_deleted' ELSE 'log_closed' END AS outcome FROM l LEFT JOIN s USING (conv_id)"""
     q["capture_report"] = f"""WITH {packets} SELECT recording_id, 16000 AS sample_rate_hz, CAST(sum(n) AS BIGINT) AS frame_count,
         CAST(sum(n) * 1000000 // 16000 AS BIGINT) AS duration_us, bool_or(stop) AS stopped FROM p GROUP BY 1"""
     return q

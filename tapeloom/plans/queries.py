@@ -21,10 +21,13 @@ from tapeloom.plans.once import computed_once
 from tapeloom.plans.scan import SumBefore, ordered_scan
 from tapeloom.plans.tables import RECORDING
 from tapeloom.session import fresh_folder
+from tapeloom.schemas import COMMAND_EVENTS, EVENTS_DDL, struct_type
 from tapeloom.sources import event_log, export, media
 from tapeloom.sources.event_log import line_json, parse_log_lines
 from tapeloom.sources.probe import parse_probe
 from tapeloom.streaming import capture
+from tapeloom.streaming.bounded import drained, table_stream
+from tapeloom.streaming.replay import replay_stream
 from tapeloom.streaming.level import level_by_window
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,6 +317,58 @@ def apply_commands(spark, d):
     return done.unionByName(refused)
 
 
+@query
+def command_log(spark, d):
+    """Every record of the full logs as a command on an empty log: refused ones change nothing."""
+    named = F.create_map(*[F.lit(x) for pair in COMMAND_EVENTS.items() for x in reversed(pair)])
+    rows = full_log(spark, d, copies=True).withColumn("kind", F.coalesce(named[F.col("kind")], F.col("kind")))
+    asked = rows.withColumn("ordinal", F.col("sequence") * 2 + F.col("copy")).drop("copy", "sequence", "schema_version")
+    empty = spark.createDataFrame([], EVENTS_DDL)
+    events, refused = commands.apply_commands(empty, asked)
+    done = events.select(RECORDING, "sequence", "kind", "clip_id", F.lit(None).cast("string").alias("reason_code"))
+    return done.unionByName(refused.select(
+        RECORDING, F.col("ordinal").alias("sequence"), "kind", F.lit(None).cast("string").alias("clip_id"), "reason_code"
+    ))
+
+
+def _order_log(spark, d) -> DataFrame:
+    """A created recording per order and its line items as clips of 10 µs, one after the other."""
+    one = F.lit(1).cast("bigint")
+    lines = T.order_clips(spark, d).select(RECORDING, F.col("clip_id").alias("item"), "start_us")
+    ranked = ordered_scan(lines, [RECORDING], "start_us", [SumBefore("rank", one)], DAY_BUCKET_US, ties=["item"])
+    rows = ranked.select(
+        RECORDING, (F.col("rank") + 2).alias("sequence"), F.lit("clip_added").alias("kind"),
+        F.concat(F.lit("c"), F.col("rank")).alias("clip_id"), (F.col("rank") * 10).alias("start_us"), (F.col("rank") * 10 + 10).alias("end_us"),
+    )
+    made = lines.select(RECORDING).distinct().select(
+        RECORDING, F.lit(1).cast("bigint").alias("sequence"), F.lit("recording_created").alias("kind"),
+        F.lit("audio_file").alias("source_kind"), F.lit("x").alias("source_path"),
+    )
+    both = rows.unionByName(made, allowMissingColumns=True).withColumn("schema_version", F.lit(1))
+    wanted = struct_type(EVENTS_DDL)
+    return both.select(*[F.col(f.name) if f.name in both.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def _command_query(spark, d, change) -> DataFrame:
+    log = _order_log(spark, d)
+    held = log.filter("kind = 'clip_added'").select(RECORDING, "clip_id", "start_us", "end_us", F.lit("pending").alias("status"))
+    events, refused = commands.apply_commands(log, change(held), ordinal_width=commands.TIME_ORDINALS)
+    done = events.select(RECORDING, "sequence", "kind", "start_us", "end_us")
+    return done.unionByName(refused.select(RECORDING, "ordinal", "kind", F.lit(-1).alias("start_us"), F.lit(-1).alias("end_us")).toDF(*done.columns))
+
+
+@query
+def command_splits(spark, d):
+    """Every line item split in the middle: each clip deleted, two added."""
+    return _command_query(spark, d, lambda held: commands.split_commands(clips.split_clips(held, clips.midpoints(held))[0]))
+
+
+@query
+def command_appends(spark, d):
+    """Neighbouring line items joined, as far as a pair's clips are still there."""
+    return _command_query(spark, d, lambda held: commands.append_commands(clips.append_clips(held, clips.adjacent_pairs(held))[0]))
+
+
 # --- clip algebra ----------------------------------------------------------
 
 @query
@@ -773,9 +828,10 @@ def block_faults(spark, d):
 
 # --- streams' batch twins --------------------------------------------------
 
-def _turn_packets(spark, d):
+def _turn_packets(spark, d, turns: DataFrame | None = None):
     """Turns as capture packets: the text's bytes are 16-bit samples, system turns are silent."""
-    return T.read(spark, d, "conversations").select(
+    turns = T.read(spark, d, "conversations") if turns is None else turns
+    return turns.select(
         T.text_id("conv_id"), F.col("turn").alias("packet_no"), F.lit("pcm16").alias("sample_format"), F.lit(1).alias("channels"),
         F.lit(16_000).alias("sample_rate_hz"), (F.col("role") == "system").alias("silent"), F.lit(480).alias("frames"),
         F.encode("text", "UTF-8").alias("payload"), (F.col("role") == "assistant").alias("stop"),
@@ -793,6 +849,33 @@ def capture_report(spark, d):
     return capture.assemble_capture(capture.decode_packets(_turn_packets(spark, d)))[1]
 
 
+@query
+def stream_replay(spark, d):
+    """The conversation logs judged by the stream."""
+    turns = table_stream(spark, f"{d}/conversations.parquet")
+    judged = drained(replay_stream(T.conversation_log(spark, d, turns)), "judged")
+    return judged.select(RECORDING, "sequence", "kind", "outcome")
+
+
+@query
+def stream_capture(spark, d):
+    """Life cycles of the turns as packets: an assistant's turn ends the capture, later ones are refused."""
+    turns = table_stream(spark, f"{d}/conversations.parquet")
+    packets = capture.decode_packets(_turn_packets(spark, d, turns))
+    return drained(capture.capture_lifecycle(packets), "life").select(
+        RECORDING, "kind", "reason", "sample_rate_hz", "frame_count", "duration_us"
+    )
+
+
+@query
+def stream_blocks(spark, d):
+    """Decoded packets of a stream, placed set-wise once they have landed."""
+    turns = table_stream(spark, f"{d}/conversations.parquet")
+    landed = drained(capture.decode_packets(_turn_packets(spark, d, turns)), "packets")
+    blocks, _ = capture.assemble_capture(landed)
+    return blocks.select(RECORDING, "block_no", "first_frame", "total_frames", F.size("samples").cast("bigint").alias("n_samples"))
+
+
 @query
 def live_level(spark, d):
     rows = T.read(spark, d, "events").select(

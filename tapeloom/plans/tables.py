@@ -62,13 +62,13 @@ def turn_clips(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def conversation_log(spark: SparkSession, folder: str) -> DataFrame:
+def conversation_log(spark: SparkSession, folder: str, turns: DataFrame | None = None) -> DataFrame:
     """A log per conversation: creation, then per turn add, begin, commit.
 
     A system turn skips its begin event's right to commit: it deletes the clip first, which
     stops the log there.
     """
-    turns = read(spark, folder, "conversations")
+    turns = read(spark, folder, "conversations") if turns is None else turns
     role = F.col("role")
     none = F.lit(None)
     start = F.col("turn") * 1_000_000

@@ -22,6 +22,7 @@ from tapeloom.schemas import PACKETS_DDL, struct_type
 
 # Fixed value: why a capture without sound fails.
 NO_FRAMES = "microphone recording stopped before any audio frames were captured"
+ENDED = "recording_ended"
 
 LIFE_DDL = "recording_id string, kind string, reason string, sample_rate_hz int, frame_count bigint, duration_us bigint"
 
@@ -63,40 +64,64 @@ def assemble_capture(decoded: DataFrame, width: int = ORDINAL_BUCKET) -> tuple[D
 
 
 class CaptureLife(StatefulProcessor):
-    """Started on the first packet; saved, or failed without sound, on a stop packet or deadline."""
+    """Started on the first packet; saved, or failed without sound, on a stop packet or deadline.
 
-    def __init__(self, deadline_ms: int):
-        self.deadline_ms = deadline_ms
+    Packets after the end are reported as ``packets_rejected`` with their frames. With ``forget_ms``
+    above 0, the last trace of a recording is removed so long after its end.
+    """
+
+    def __init__(self, deadline_ms: int, forget_ms: int):
+        self.deadline_ms, self.forget_ms = deadline_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.facts = handle.getValueState("facts", struct_type("frames bigint, rate int, ended boolean"))
+        self.facts = handle.getValueState("facts", struct_type("frames bigint, rate int, ended boolean, timer bigint"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        out, timer = [], 0
         if self.facts.exists():
-            frames, rate, ended = self.facts.get()
+            frames, rate, ended, timer = self.facts.get()
         else:
             frames, rate, ended = 0, 0, False
             out += [self._row(key, "recording_created"), self._row(key, "recording_started")]
-            if self.deadline_ms:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.deadline_ms)
-        stop = False
-        for part in rows:
-            frames += int(part["n"].sum())
-            rate = max(rate, int(part["sample_rate_hz"].max()))
-            stop = stop or bool(part["stop"].any())
-        if stop and not ended:
+            timer = self._wake(timerValues, self.deadline_ms)
+        late, stopped = 0, None
+        packets = pd.concat(list(rows)).sort_values("packet_no", kind="stable")
+        for n, hz, stop in zip(packets["n"], packets["sample_rate_hz"], packets["stop"]):
+            if ended:
+                late += 1
+                continue
+            frames, rate = frames + int(n), max(rate, 0 if pd.isna(hz) else int(hz))
+            if stop:
+                ended = stopped = True
+        if stopped:
             out.append(self._end(key, frames, rate))
-            ended = True
-        self.facts.update((frames, rate, ended))
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = self._wake(timerValues, self.forget_ms)
+        if late:
+            out.append(self._row(key, "packets_rejected", ENDED, None, late))
+        self.facts.update((frames, rate, ended, timer))
         yield _life_frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        frames, rate, ended = self.facts.get()
-        out = [] if ended else [self._end(key, frames, rate)]
-        self.facts.update((frames, rate, True))
-        yield _life_frame(out)
+        if not self.facts.exists():
+            return
+        frames, rate, ended, timer = self.facts.get()
+        if expiredTimerInfo.getExpiryTimeInMs() != timer:
+            return
+        if ended:
+            self.facts.clear()
+            return
+        self.facts.update((frames, rate, True, self._wake(timerValues, self.forget_ms)))
+        yield _life_frame([self._end(key, frames, rate)])
+
+    def _wake(self, timerValues, after_ms: int) -> int:
+        if not after_ms:
+            return 0
+        at = timerValues.getCurrentProcessingTimeInMs() + after_ms
+        self.handle.registerTimer(at)
+        return at
 
     def _end(self, key, frames, rate):
         if frames == 0:
@@ -118,12 +143,17 @@ def _life_frame(rows) -> pd.DataFrame:
     return out
 
 
-def capture_lifecycle(decoded: DataFrame, deadline_ms: int = 0) -> DataFrame:
-    """Life-cycle events of live recordings; ``deadline_ms`` 0 waits for a stop packet."""
+def capture_lifecycle(decoded: DataFrame, deadline_ms: int = 0, forget_ms: int = 0) -> DataFrame:
+    """Life-cycle events of live recordings; ``deadline_ms`` 0 waits for a stop packet.
+
+    ``packets_rejected`` rows count, as ``frame_count``, the packets that came after the end.
+    Without ``forget_ms`` an ended recording leaves one small state row for good.
+    """
     counts = decoded.select(
-        RECORDING, F.size("samples").cast("bigint").alias("n"), F.col("sample_rate_hz"), F.coalesce("stop", F.lit(False)).alias("stop")
+        RECORDING, "packet_no", F.size("samples").cast("bigint").alias("n"), F.col("sample_rate_hz"),
+        F.coalesce("stop", F.lit(False)).alias("stop"),
     )
     return counts.groupBy(RECORDING).transformWithStateInPandas(
-        statefulProcessor=CaptureLife(deadline_ms), outputStructType=struct_type(LIFE_DDL),
-        outputMode="Append", timeMode="ProcessingTime" if deadline_ms else "None",
+        statefulProcessor=CaptureLife(deadline_ms, forget_ms), outputStructType=struct_type(LIFE_DDL),
+        outputMode="Append", timeMode="ProcessingTime" if deadline_ms or forget_ms else "None",
     )
