@@ -50,14 +50,21 @@ def one_row_per_sequence(events: DataFrame, position: str | None = None) -> Data
     """The record each (recording, sequence) is taken from, and how many claim that number.
 
     With a ``position`` column the first in the file wins; otherwise the pick is by
-    content hash, so it does not depend on how the table is split.
+    content hash, so it does not depend on how the table is split. Numbers are counted on two
+    columns first; only rows that share one are brought together whole.
     """
+    key = [RECORDING, "sequence"]
+    counts = events.groupBy(*key).agg(F.count("*").alias("copies"))
+    repeated = written(counts.filter("copies > 1"), "repeated")
+    once = events.join(repeated, key, "left_anti").select(
+        *key, "kind", *PAYLOAD_COLUMNS, "schema_version", F.lit(1).cast("bigint").alias("copies")
+    )
+    shared = events.join(repeated.drop("copies"), key, "left_semi")
     tie = F.col(position) if position else F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("kind", *PAYLOAD_COLUMNS)])
     row = F.struct(tie.alias("tie"), "kind", *PAYLOAD_COLUMNS, "schema_version")
-    return (
-        events.groupBy(RECORDING, "sequence")
-        .agg(F.min(row).alias("r"), F.count("*").alias("copies"))
-        .select(RECORDING, "sequence", "r.kind", *[f"r.{c}" for c in PAYLOAD_COLUMNS], "r.schema_version", "copies")
+    picked = shared.groupBy(*key).agg(F.min(row).alias("r"), F.count("*").alias("copies"))
+    return once.unionByName(
+        picked.select(*key, "r.kind", *[f"r.{c}" for c in PAYLOAD_COLUMNS], "r.schema_version", "copies")
     )
 
 
@@ -212,15 +219,15 @@ def _tree_nodes(lives: DataFrame) -> DataFrame:
     return points.join(used, [RECORDING, "level"], "left_semi").unionByName(ranges)
 
 
-def _overlap_findings(rows: DataFrame, width: int, time_width: int) -> DataFrame:
-    """A clip added while an active clip of its recording overlaps it.
+def _overlap_findings(lives: DataFrame, width: int) -> DataFrame:
+    """A clip added while an active clip of its recording overlaps it, among ``lives`` that meet another.
 
     Two ranges overlap when one's start lies in the other. On every tree node, walk
     additions and deletions in sequence order, counting active ranges and active
     starts: a start that arrives while ranges are active there, or a range that
     arrives while starts are, is an overlap. No pair is ever formed.
     """
-    nodes = _tree_nodes(_ever_overlapping(clip_lives(rows), time_width))
+    nodes = _tree_nodes(lives)
     step = F.explode(F.array(
         F.struct(F.col("added_at").alias("sequence"), F.lit(1).alias("d")),
         F.struct(F.col("deleted_at").alias("sequence"), F.lit(-1).alias("d")),
@@ -252,8 +259,10 @@ def first_findings(rows: DataFrame, width: int = ORDINAL_BUCKET, time_width: int
         _log_findings(rows, width)
         .unionByName(_clip_findings(rows, width))
         .unionByName(_transcript_findings(rows))
-        .unionByName(_overlap_findings(rows, width, time_width))
     )
+    met = written(_ever_overlapping(clip_lives(rows), time_width), "overlapping")
+    if not met.isEmpty():  # most logs never have two clips over the same time
+        found = found.unionByName(_overlap_findings(met, width))
     return found.groupBy(RECORDING).agg(F.min("f").alias("f")).select(
         RECORDING, F.col("f.sequence").alias("stop_sequence"), F.col("f.copy").alias("stop_copy"), F.col("f.code").alias("reason_code")
     )
