@@ -82,6 +82,55 @@ def test_gap_is_rejected_or_held(spark):
     }
 
 
+def test_poison_record_is_a_reject(spark):
+    rows = [ev("p", 1, "recording_created", source_kind="audio_file", source_path="x"), ev("p", 2, "no_such_kind"), ev("p", 3, "recording_started"),
+            ev("q", 1, "recording_created", source_kind="tape", source_path="x"), ev("n", None, "recording_created", source_kind="audio_file", source_path="x"),
+            ev("m", 1, "recording_created", source_kind="audio_file", source_path="x"), ev("m", 2, "clip_added", clip_id="c", start_us=-5, end_us=10)]
+    source = folder()
+    frame(spark, rows).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(struct_type(EVENTS_DDL)).parquet(source)
+    got = drain(replay_stream(stream), "poison").collect()
+    assert {(r.recording_id, r.sequence): r.outcome for r in got} == {
+        ("p", 1): "accepted", ("p", 2): "unknown_kind", ("p", 3): "log_closed", ("q", 1): "unknown_source_kind",
+        ("n", None): "event_out_of_order", ("m", 1): "accepted", ("m", 2): "invalid_time_range"}
+
+
+def test_timer_of_a_filled_gap_is_gone(spark):
+    """Two gaps one after the other: the first one's timer must not cut the second one's patience short."""
+    path, source = folder(), folder()
+    parts = [
+        [ev("r", 1, "recording_created", source_kind="audio_file", source_path="x"), ev("r", 3, "recording_saved")],
+        [ev("r", 2, "recording_started")],
+        [ev("r", 5, "clip_deleted", clip_id="c")],
+    ]
+    stream = spark.readStream.schema(struct_type(EVENTS_DDL)).parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    q = replay_stream(stream, patience_ms=9_000).writeStream.format("memory").queryName("gaps").option("checkpointLocation", path).start()
+    began = time.time()
+    for i, part in enumerate(parts):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(source)
+        want = (1, 3, 3)[i]
+        while spark.table("gaps").count() < want and time.time() < began + 60:
+            time.sleep(0.2)
+    while time.time() < began + 10:
+        time.sleep(0.2)
+    early = {(r.sequence, r.outcome) for r in spark.table("gaps").collect()}
+    q.stop()
+    assert q.exception() is None
+    assert {(1, "accepted"), (2, "accepted"), (3, "accepted")} == {x for x in early if x[0] < 4}
+    assert all(sequence != 5 for sequence, _ in early)
+
+
+def test_packets_after_the_end(spark):
+    pcm = np.array([1, 2], "<i2").tobytes()
+    rows = [("a", i, "pcm16", 1, 16000, False, 2, pcm, i == 2) for i in range(5)]
+    source = folder()
+    spark.createDataFrame(rows, PACKETS_DDL).coalesce(1).write.mode("append").parquet(source)
+    life = drain(capture_lifecycle(decode_packets(read_capture_stream(spark, source))), "late").collect()
+    assert [(r.kind, r.frame_count) for r in life] == [
+        ("recording_created", None), ("recording_started", None), ("recording_saved", 6), ("packets_rejected", 2)]
+
+
 def packets(spark):
     left = np.array([0.5, -0.5, 0.25], "<f4")
     stereo = np.stack([left, np.zeros(3, "<f4")], 1).astype("<f4").tobytes()
