@@ -73,6 +73,19 @@ def downmix(samples, channels) -> Column:
     return F.when(F.size(s) == 0, s).otherwise(mixed)
 
 
+def downmix_callback(samples, channels) -> Column:
+    """Mean of what each frame of a device buffer holds, within [-1, 1]; a cut-off last frame counts what is there."""
+    s, ch = col(samples), col(channels).cast("int")
+    frames = F.ceil(F.size(s) / ch).cast("int")
+
+    def one(i: Column) -> Column:
+        frame = F.slice(s, i * ch + 1, ch)
+        total = F.aggregate(frame, f32(0.0), lambda acc, x: acc + x)
+        return F.greatest(F.least((total / F.size(frame).cast("float")).cast("float"), f32(1.0)), f32(-1.0))
+
+    return F.when(F.size(s) == 0, s).otherwise(F.transform(F.sequence(F.lit(0), frames - 1), one))
+
+
 def resampled_length(frames, source_hz, target_hz) -> Column:
     n = col(frames)
     scaled = div(n * col(target_hz), col(source_hz))

@@ -12,18 +12,20 @@ REPEAT_LIMIT = 4
 
 def cut_token_stream(
     tokens: DataFrame, end_token: int | str, max_tokens: int = MAX_TOKENS,
-    repeat_limit: int = REPEAT_LIMIT, special: list | None = None,
+    repeat_limit: int = REPEAT_LIMIT, special: list | None = None, limit: str | None = None,
 ) -> DataFrame:
     """Tokens kept per clip, with why the stream stopped.
 
     ``tokens`` holds (clip_id, step, token) with unique steps from 0. Steps at or past
     ``max_tokens`` can never be kept, so a clip brings at most that many rows to its
-    window. The end token is dropped, the token that completes a repeat is kept.
+    window. The end token is dropped, the token that completes a repeat is kept. ``limit`` may
+    name a column with a lower limit per clip, such as the room that a prompt leaves in the context.
     """
     if max_tokens <= 0:
-        raise ValueError("max decode tokens must be greater than zero")
+        raise ValueError("the limit of decoded tokens must be above zero")
     by_step = Window.partitionBy("clip_id").orderBy("step")
-    near = tokens.filter((F.col("step") >= 0) & (F.col("step") < max_tokens))
+    room = F.lit(max_tokens) if limit is None else F.least(F.lit(max_tokens), F.greatest(F.col(limit), F.lit(0)))
+    near = tokens.filter((F.col("step") >= 0) & (F.col("step") < room))
     same = F.lit(repeat_limit >= 2)
     for back in range(1, repeat_limit):
         same = same & F.coalesce(F.lag("token", back).over(by_step) == F.col("token"), F.lit(False))

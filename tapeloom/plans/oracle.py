@@ -346,6 +346,14 @@ def oracle_sql() -> dict[str, str]:
     q["downmix"] = f"""WITH {VECTORS}, m AS (SELECT vec_id, i // 3 AS i, CAST(0 AS FLOAT) + max(CASE WHEN i % 3 = 0 THEN s END) + coalesce(max(CASE WHEN i % 3 = 1 THEN s END), CAST(0 AS FLOAT))
             + coalesce(max(CASE WHEN i % 3 = 2 THEN s END), CAST(0 AS FLOAT)) AS t FROM sig GROUP BY 1, 2)
         SELECT vec_id, i, {_rounded('CAST(t / CAST(3 AS FLOAT) AS FLOAT)')} AS sample FROM m"""
+    q["downmix_callback"] = f"""WITH {VECTORS}, m AS (SELECT vec_id, i // 3 AS i, CAST(0 AS FLOAT) + max(CASE WHEN i % 3 = 0 THEN s END) + coalesce(max(CASE WHEN i % 3 = 1 THEN s END), CAST(0 AS FLOAT))
+            + coalesce(max(CASE WHEN i % 3 = 2 THEN s END), CAST(0 AS FLOAT)) AS t, count(*) AS k FROM sig GROUP BY 1, 2)
+        SELECT vec_id, i, {_rounded('greatest(least(CAST(t / CAST(k AS FLOAT) AS FLOAT), CAST(1 AS FLOAT)), CAST(-1 AS FLOAT))')} AS sample FROM m"""
+    for name, width in (("pcm24_to_float", 3), ("pcm32_to_float", 4)):
+        value = " + ".join(f"{256 ** k} * CAST(ascii(substr(url, i * {width} + {k + 1}, 1)) AS BIGINT)" for k in range(width))
+        top = 256 ** width // 2
+        q[name] = f"""WITH g AS (SELECT page_id, url, unnest(range(length(url) // {width})) AS i FROM pages), w AS (SELECT page_id, i, {value} AS u FROM g)
+        SELECT page_id, i, {_rounded(f'CAST(CASE WHEN u >= {top} THEN u - {2 * top} ELSE u END AS FLOAT) / CAST({top} AS FLOAT)')} AS sample FROM w"""
     q["pcm_to_float"] = f"""WITH g AS (SELECT page_id, url, unnest(range(length(url) // 2)) AS i FROM pages),
         w AS (SELECT page_id, i, ascii(substr(url, i * 2 + 1, 1)) + 256 * ascii(substr(url, i * 2 + 2, 1)) AS u FROM g)
         SELECT page_id, i, {_rounded('CAST(CASE WHEN u > 32767 THEN u - 65536 ELSE u END AS FLOAT) / CAST(32768 AS FLOAT)')} AS sample FROM w"""
@@ -384,6 +392,8 @@ def oracle_sql() -> dict[str, str]:
         g AS (SELECT *, CASE WHEN e IS NOT NULL AND (c IS NULL OR e < c) THEN 'end_of_text' WHEN c IS NOT NULL THEN 'repeated_token_collapse' ELSE 'max_decode_tokens' END AS stop_reason FROM z),
         kept AS (SELECT r.clip_id, step, token, stop_reason FROM r JOIN g USING (clip_id) WHERE CASE stop_reason WHEN 'end_of_text' THEN step < e WHEN 'repeated_token_collapse' THEN step <= c ELSE true END)"""
     q["cut_tokens"] = f"WITH {toks} SELECT * FROM kept"
+    limited = toks.replace("FROM u WHERE step < 64 WINDOW", "FROM u WHERE step < 64 - CAST(clip_id AS BIGINT) % 60 WINDOW")
+    q["cut_tokens_limited"] = f"WITH {limited} SELECT * FROM kept WHERE token <> 'error'"
     q["stop_reasons"] = f"WITH {toks} SELECT g.clip_id, count(kept.step) AS n_tokens, g.stop_reason FROM g LEFT JOIN kept USING (clip_id) GROUP BY 1, 3"
     q["pending_work"] = f"""WITH {LINES}, done AS (SELECT DISTINCT recording_id, clip_id FROM li WHERE line_status = 'F')
         SELECT recording_id, clip_id, start_us, end_us, status FROM li WHERE status IN ('pending', 'failed')

@@ -569,15 +569,35 @@ def downmix(spark, d):
 
 
 @query
-def pcm_to_float(spark, d):
-    """Bytes of the page addresses as 16-bit samples."""
+def downmix_callback(spark, d):
+    """The same vectors as a device buffer of three channels."""
+    return _vector_query(spark, d, lambda x: A.downmix_callback(x, F.lit(3)))
+
+
+def _page_pcm(spark, d, form: str) -> DataFrame:
     pages = T.read(spark, d, "pages").select("page_id", F.encode("url", "UTF-8").alias("payload"))
-    heard = pages.select("page_id", A.pcm_to_float("payload", F.lit("pcm16")).alias("samples"))
+    heard = pages.select("page_id", A.pcm_to_float("payload", F.lit(form)).alias("samples"))
     return heard.select("page_id", F.posexplode("samples").alias("i", "x")).select(
         "page_id", F.col("i").cast("bigint").alias("i"), _rounded("x").alias("sample")
     )
 
 
+@query
+def pcm24_to_float(spark, d):
+    return _page_pcm(spark, d, "pcm24")
+
+
+@query
+def pcm32_to_float(spark, d):
+    return _page_pcm(spark, d, "pcm32")
+
+
+@query
+def pcm_to_float(spark, d):
+    """Bytes of the page addresses as 16-bit samples."""
+    return _page_pcm(spark, d, "pcm16")
+
+
 @query
 def profiles(spark, d):
     return _samples(audio.all_profiles(T.label_blocks(spark, d)))
@@ -698,6 +718,14 @@ def cut_tokens(spark, d):
     return tokens.cut_token_stream(_user_tokens(spark, d), "purchase")
 
 
+@query
+def cut_tokens_limited(spark, d):
+    """The same streams under a limit per user, error tokens taken out at the end."""
+    room = F.lit(64) - F.expr("cast(clip_id as bigint) % 60")
+    limited = _user_tokens(spark, d).withColumn("room", room)
+    return tokens.cut_token_stream(limited, "purchase", special=["error"], limit="room")
+
+
 @query
 def stop_reasons(spark, d):
     return tokens.stop_reasons(_user_tokens(spark, d), "purchase")
