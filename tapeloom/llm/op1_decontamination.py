@@ -165,8 +165,8 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are linked to no benchmark item."""
-    leaked = contaminated(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["__leaked"]), "left_anti")
+    leaked = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
+    return docs.join(leaked.hint("merge"), docs["doc_id"].eqNullSafe(leaked["__leaked"]), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -190,10 +190,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     judged = rows.join(kept, stays, "left").select("doc_id", F.col("__fp").alias("__name"), "__n", F.col("__kept").isNotNull().alias("__stays"))
     # rows to take out: those that go, and repeated ones, of which one comes back
     out = written(judged.filter("not __stays or __n > 1").withColumnRenamed("doc_id", "__id"), "taken_out")
+    again = written(out.filter("__stays"), "repeated")
     same = F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__name"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rest = marked.join(out, same, "left_anti").select(*columns)
-    repeated = marked.join(out.filter("__stays"), same, "left_semi")
+    rest = marked.join(out.hint("merge"), same, "left_anti").select(*columns)
+    repeated = marked.join(again, same, "left_semi")
     row = F.min_by(F.struct(*columns), F.struct(F.col(text))).alias("__row")
     one = repeated.groupBy(F.col(doc_id).alias("__doc"), "__fp").agg(row)
     return rest.unionAll(one.select("__row.*"))

@@ -127,7 +127,8 @@ def repeated_fingerprints(narrow: DataFrame) -> DataFrame:
 def verified_groups(docs: DataFrame, repeated: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(__sha, __keep, __size)`` of the texts behind ``repeated``, compared byte for byte."""
     full = add_columns(docs.select(doc_id, text), text, [*_MARKS, _TEXT], _marks_and_text).drop(text)
-    suspects = full.join(repeated, "__fp", "left_semi")
+    # merged at every size, so that what is measured on a small table holds for a large one
+    suspects = full.join(repeated.hint("merge"), "__fp", "left_semi")
     # one number orders by code points, then by smaller id, a null id last
     room = f"coalesce(cast(9223372036854775808 as decimal(20,0)) - cast(`{doc_id}` as decimal(20,0)), cast(0 as decimal(20,0)))"
     groups = suspects.groupBy("__plain", "__sha").agg(
@@ -143,9 +144,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``, and its rows ``n_rows``."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     narrow = written(with_marks(docs).drop("text", "__cp"), "fingerprints")
-    # written, so that Spark knows its size and may spare the texts an exchange
-    repeated = written(repeated_fingerprints(narrow), "repeated")
-    groups = verified_groups(docs, repeated)
+    groups = verified_groups(docs, repeated_fingerprints(narrow))
     rows = narrow.groupBy("doc_id", "__sha").agg(F.count(F.lit(1)).alias("__n"))
     found = rows.join(groups, "__sha", "left")
     single = F.col("__size").isNull()
@@ -166,12 +165,13 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     name = [F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__name"), "n_rows"]
     # rows to take out: those that go, and repeated ones, of which one comes back
     out = written(found.filter("not kept or n_rows > 1").select(*name, "kept"), "taken_out")
+    again = written(out.filter("kept"), "repeated")
     marked = with_marks(docs, text)
     same = F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__name"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rest = marked.join(out, same, "left_anti").select(*columns)
+    rest = marked.join(out.hint("merge"), same, "left_anti").select(*columns)
     order = F.struct(F.col("__cp"), F.col(text))
-    repeated = marked.join(out.filter("kept"), same, "left_semi")
+    repeated = marked.join(again, same, "left_semi")
     one = repeated.groupBy(F.col(doc_id).alias("__doc"), "__sha").agg(F.max_by(F.struct(*columns), order).alias("__row"))
     return rest.unionAll(one.select("__row.*"))
 
