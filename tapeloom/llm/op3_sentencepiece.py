@@ -34,6 +34,7 @@ UNIGRAM, BPE = 1, 2
 #: Text that one call encodes, in bytes.
 CALL_BYTES = 1 << 20
 KEPT_WORDS = 300_000
+GROUP_WORDS = 256
 HIDDEN = "\U0010ffff"
 
 
@@ -154,7 +155,8 @@ def _plain(model: bytes):
 
 @lru_cache(4)
 def _words(model: bytes):
-    """The same tokenizer for text that is normalised, one integer object per id, ids of words met before.
+    """The same tokenizer for text that is normalised, one integer object per id, whether it opens a word,
+    and ids of words met before.
 
     None where words depend on each other or the normaliser does more than mark blanks.
     """
@@ -163,7 +165,8 @@ def _words(model: bytes):
         return None
     if any(MARK in p.lstrip(MARK) or kind == USER_DEFINED for p, _, kind in spec["pieces"]):
         return None
-    return _plain(model), list(range(len(spec["pieces"]))), {}
+    opens = [p.startswith(MARK) for p, _, _ in spec["pieces"]]
+    return _plain(model), list(range(len(spec["pieces"]))), opens, {}
 
 
 @lru_cache(4)
@@ -207,13 +210,19 @@ def encode(model: bytes, texts: list[str]) -> list[list[int]]:
     rest = iter(tokenizer(model).encode_batch_fast(whole, add_special_tokens=False) if whole else [])
     if not words:
         return [e.ids for e in rest]
-    plain, same, known = words
+    plain, same, opens, known = words
     if len(known) > KEPT_WORDS:
         known.clear()
     new = list({w for row in rows if row for w in row if w not in known})
-    for a, b in in_bytes(new, len, CALL_BYTES):
-        found = plain.encode_batch_fast([MARK + w for w in new[a:b]], add_special_tokens=False)
-        known.update(zip(new[a:b], [tuple(map(same.__getitem__, e.ids)) for e in found]))
+    # many words make one text; a piece that starts with the mark opens the next word
+    groups = [[w for w in new[a : a + GROUP_WORDS] if w] for a in range(0, len(new), GROUP_WORDS)]
+    groups = [g for g in groups if g] + [[w] for w in new if not w]
+    for group, e in zip(groups, plain.encode_batch_fast(["".join(MARK + w for w in g) for g in groups], add_special_tokens=False)):
+        ids = list(map(same.__getitem__, e.ids))
+        starts = [k for k, i in enumerate(ids) if opens[i]]
+        if len(starts) != len(group):
+            raise ValueError("a piece reached over the start of a word")
+        known.update(zip(group, [tuple(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)])]))
     return [
         next(rest).ids if row is None else list(chain.from_iterable(map(known.__getitem__, row))) for row in rows
     ]
