@@ -77,6 +77,7 @@ def next_profile(profile: Column | str) -> Column:
     return _profile_lookup(profile, 3)
 
 
+# The folders and file names of a store, in the three functions below.
 def recording_folder(root: str, recording_id: Column | str) -> Column:
     return F.concat_ws("/", F.lit(root.rstrip("/")), F.lit("recordings"), _c(recording_id))
 

@@ -33,7 +33,7 @@ def plan_chunks(media: DataFrame, max_us: int, fan: int = FAN) -> DataFrame:
     one array nor one task has to hold all of its chunks.
     """
     if max_us <= 0:
-        raise ValueError("maximum chunk duration must be greater than zero")
+        raise ValueError("chunks need a length above zero")
     size = F.lit(max_us).cast("bigint")
     sized = media.filter("duration_us > 0").select(RECORDING, "duration_us")
     last = div(F.col("duration_us") - 1, size)

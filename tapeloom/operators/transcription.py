@@ -75,9 +75,9 @@ class FixedTextBackend:
 
     def transcribe(self, request: Request) -> tuple[str, str]:
         if not request.audio_path:
-            raise ValueError("audio path cannot be empty")
+            raise ValueError("empty_audio_path")
         if not self.text.strip():
-            raise ValueError("transcription returned empty text")
+            raise ValueError("empty_transcript")
         return "raw_asr", self.text
 
 
@@ -163,7 +163,7 @@ def clip_outcomes(results: DataFrame) -> DataFrame:
         F.max("backend_id").alias("backend_id"),
     )
     joined = F.array_join(F.col("texts.text"), " ")
-    error = F.coalesce("error", F.when(joined == "", "transcription returned empty text"))
+    error = F.coalesce("error", F.when(joined == "", "empty_transcript"))
     return per.select(
         RECORDING, "clip_id", "start_us", "provenance",
         F.when(error.isNull(), joined).alias("text"), error.alias("error"), "backend_id",

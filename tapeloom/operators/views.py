@@ -112,11 +112,11 @@ def failure_report(recordings: DataFrame, clips: DataFrame) -> DataFrame:
     """Failed recordings and active clips with their reasons, one row each."""
     whole = recordings.filter("failure is not null").select(
         RECORDING, F.lit(None).cast("string").alias("clip_id"),
-        F.concat(F.lit("recording failed: "), F.col("failure")).alias("message"),
+        F.concat(F.lit("recording: "), F.col("failure")).alias("message"),
     )
     parts = active(clips).filter("failure is not null").select(
         RECORDING, "clip_id",
-        F.concat(F.lit("clip "), F.col("clip_id"), F.lit(" failed: "), F.col("failure")).alias("message"),
+        F.concat(F.lit("clip "), F.col("clip_id"), F.lit(": "), F.col("failure")).alias("message"),
     )
     return whole.unionByName(parts).withColumn("severity", F.lit("error"))
 

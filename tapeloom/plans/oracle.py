@@ -194,8 +194,8 @@ def oracle_sql() -> dict[str, str]:
     q["next_recording"] = f"""WITH r AS (SELECT {_uuid("'customer'", "CAST(c_custkey AS VARCHAR)")} AS recording_id FROM customer)
         SELECT recording_id, coalesce(lead(recording_id) OVER (ORDER BY recording_id), min(recording_id) OVER ()) AS next_recording_id FROM r"""
     q["failure_report"] = f"""WITH {USER_EVENTS}, {TIMELINE}
-        SELECT recording_id, NULL AS clip_id, 'recording failed: ' || failure AS message, 'error' AS severity FROM latest WHERE failure IS NOT NULL
-        UNION ALL SELECT recording_id, clip_id, 'clip ' || clip_id || ' failed: ' || failure, 'error' FROM tl WHERE failure IS NOT NULL"""
+        SELECT recording_id, NULL AS clip_id, 'recording: ' || failure AS message, 'error' AS severity FROM latest WHERE failure IS NOT NULL
+        UNION ALL SELECT recording_id, clip_id, 'clip ' || clip_id || ': ' || failure, 'error' FROM tl WHERE failure IS NOT NULL"""
 
     q["replay_recordings"] = f"""WITH {CONV_LOG} SELECT recording_id, 'audio_file' AS source_kind, 'c' || recording_id AS source_path,
         'created' AS status, CAST(NULL AS VARCHAR) AS failure, max(turn * 3 + CASE WHEN stops THEN 3 ELSE 4 END) AS last_sequence FROM lt GROUP BY 1"""
@@ -410,7 +410,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT recording_id, start_us * 2 + 1, CASE WHEN error IS NULL THEN 'commit_transcript' ELSE 'fail_transcription' END, clip_id, provenance, text, error FROM o"""
     q["text_outcomes"] = f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS recording_id, conv_id || '-' || (turn // 2) AS clip_id, turn, {trim('text')} AS tx FROM conversations),
         g AS (SELECT recording_id, clip_id, coalesce(string_agg(tx, ' ' ORDER BY turn) FILTER (WHERE tx <> ''), '') AS text FROM t GROUP BY 1, 2)
-        SELECT recording_id, clip_id, nullif(text, '') AS text, CASE WHEN text = '' THEN 'transcription returned empty text' END AS error FROM g"""
+        SELECT recording_id, clip_id, nullif(text, '') AS text, CASE WHEN text = '' THEN 'empty_transcript' END AS error FROM g"""
     q["live_level"] = f"""SELECT CAST(user_id AS VARCHAR) AS recording_id, epoch_us(ts) - epoch_us(ts) % 3600000000 AS window_start_us, count(*) AS n_samples,
         {_rounded('max(abs(CAST(value AS FLOAT)))')} AS peak FROM events GROUP BY 1, 2"""
     q["clip_windows"] = f"""WITH {LINES}, w AS (SELECT recording_id, duration_us, unnest(range((duration_us - 1) // 30000000 + 1)) AS window_no FROM media WHERE duration_us > 0)

@@ -130,7 +130,7 @@ def test_transcribe_retry_and_export(spark):
     state = replay(log)
     assert {r.clip_id: r.status for r in state.clips.collect()} == {"long": "transcribed", "bad": "failed", "past": "failed"}
     assert sorted(r.message for r in failure_report(state.recordings, state.clips).collect()) == [
-        "clip bad failed: local worker exited", "clip past failed: invalid_clip_range"]
+        "clip bad: local worker exited", "clip past: invalid_clip_range"]
     again = X.pending_work(state.clips, state.transcripts)
     assert sorted(r.clip_id for r in again.collect()) == ["bad", "past"]
     retry = X.transcribe(state.clips.filter("clip_id = 'bad'"), blocks, meta, 16_000)
@@ -147,7 +147,7 @@ def test_blank_backend_text_fails(spark):
     blocks, meta = audio_fixture(spark, 1)
     clips = spark.createDataFrame([("r", "c", 0, 0, 1_000_000, "pending")], "recording_id string, clip_id string, position bigint, start_us bigint, end_us bigint, status string")
     out = X.transcribe(clips, blocks, meta, 16_000, lambda: X.FixedTextBackend(" "), run_key="blank").collect()
-    assert [(r.text, r.error) for r in out] == [(None, "transcription returned empty text")]
+    assert [(r.text, r.error) for r in out] == [(None, "empty_transcript")]
 
 
 def test_steps_progress_and_stop(spark):
