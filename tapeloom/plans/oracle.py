@@ -179,6 +179,13 @@ def oracle_sql() -> dict[str, str]:
     q["recording_view"] = f"""WITH {VERSIONS}, f AS (SELECT recording_id, arg_min(clip_id, position) AS clip_id FROM c WHERE NOT deleted GROUP BY 1)
         SELECT r.recording_id, 'saved' AS status, f.clip_id AS selected_clip_id, l.provenance, l.text, l.transcript_id IS NOT NULL AS committed
         FROM (SELECT DISTINCT recording_id FROM v) r LEFT JOIN f USING (recording_id) LEFT JOIN l ON l.recording_id = r.recording_id AND l.clip_id = f.clip_id"""
+    q["recording_view_selected"] = f"""WITH {VERSIONS}, a AS (SELECT * FROM c WHERE NOT deleted), f AS (SELECT recording_id, arg_min(clip_id, position) AS clip_id FROM a GROUP BY 1),
+        z AS (SELECT recording_id, arg_max(clip_id, position) AS clip_id, bool_or(deleted) FILTER (WHERE deleted) AS any_deleted FROM c GROUP BY 1),
+        s AS (SELECT z.recording_id, CASE WHEN a.clip_id IS NOT NULL THEN a.clip_id ELSE f.clip_id END AS clip_id FROM z LEFT JOIN a ON a.recording_id = z.recording_id AND a.clip_id = z.clip_id LEFT JOIN f ON f.recording_id = z.recording_id),
+        n AS (SELECT recording_id, count(*) AS n_notes, min('clip ' || clip_id || ': odd ' || clip_id) AS first_note FROM a WHERE position % 2 = 1 GROUP BY 1)
+        SELECT s.recording_id, s.clip_id AS selected_clip_id, l.provenance, l.text, l.transcript_id IS NOT NULL AS committed, n_notes, first_note
+        FROM s LEFT JOIN l ON l.recording_id = s.recording_id AND l.clip_id = s.clip_id LEFT JOIN n ON n.recording_id = s.recording_id"""
+    q["report_lines"] = f"SELECT 'recording_id: ' || recording_id || ', transcript_count: ' || transcript_count || ', byte_count: ' || byte_count AS value FROM ({q['document_totals']})"
     q["show_recordings"] = f"""WITH {LINES} SELECT CAST(o_orderkey AS VARCHAR) AS recording_id, o_orderstatus AS status,
         count(li.recording_id) AS clip_count, count(*) FILTER (WHERE li.line_status = 'F') AS transcript_count
         FROM orders LEFT JOIN li ON li.recording_id = CAST(o_orderkey AS VARCHAR) GROUP BY 1, 2"""
@@ -312,6 +319,12 @@ def oracle_sql() -> dict[str, str]:
         z AS (SELECT *, (duration_us - 1) // 30000000 + 1 AS p30, (duration_us - 1) // 10000000 + 1 AS p10 FROM o WHERE duration_us > 0)
         SELECT recording_id, CASE st WHEN 'O' THEN 'add' WHEN 'F' THEN 'reuse' ELSE CASE WHEN duration_us <= 10000000 THEN 'reuse' ELSE 'mismatch' END END AS decision,
           CASE st WHEN 'O' THEN 0 WHEN 'F' THEN p30 ELSE p10 END AS n_active, p30 AS n_planned FROM z"""
+    plan = f"""WITH {LINES}, o AS (SELECT m.recording_id, duration_us, o_orderstatus AS st FROM media m JOIN orders ON CAST(o_orderkey AS VARCHAR) = m.recording_id WHERE duration_us > 0),
+        c AS (SELECT *, unnest(range((duration_us - 1) // 30000000 + 1)) AS i FROM o WHERE st <> 'P' OR duration_us <= 10000000),
+        r AS (SELECT recording_id, st, i, i * 30000000 AS start_us, least((i + 1) * 30000000, duration_us) AS end_us FROM c)"""
+    new = _uuid("'chunk'", "recording_id", "CAST(start_us AS VARCHAR)", "CAST(end_us AS VARCHAR)")
+    q["ensure_chunks_use"] = f"{plan} SELECT recording_id, CASE WHEN st = 'O' THEN {new} ELSE 'k' || i END AS clip_id, start_us, end_us FROM r"
+    q["ensure_chunks_add"] = f"{plan} SELECT recording_id, {new} AS clip_id, start_us, end_us FROM r WHERE st = 'O'"
     q["ensure_full_clip"] = f"""WITH {LINES}, f AS (SELECT * FROM li WHERE status = 'pending' QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY start_us, clip_id) = 1)
         SELECT media.recording_id, coalesce(f.start_us, 0) AS start_us, coalesce(f.end_us, duration_us) AS end_us, f.clip_id IS NULL AS is_new
         FROM media LEFT JOIN f USING (recording_id) WHERE duration_us > 0"""
@@ -366,6 +379,9 @@ def oracle_sql() -> dict[str, str]:
     q["upsample"] = _resample(11_025)
     q["reblock"] = f"""WITH {VECTORS} SELECT recording_id, f // 100 AS block_no, f // 100 * 100 AS first_frame, n AS total_frames, count(*) AS n_samples FROM sig GROUP BY 1, 2, 3, 4"""
     q["waveform_peaks"] = f"""WITH {VECTORS} SELECT recording_id, f * least(180, n) // n AS bin, {_rounded('max(abs(s))')} AS peak FROM sig GROUP BY 1, 2"""
+    q["peaks_of_empty"] = f"""WITH {VECTORS} SELECT recording_id, 'original' AS profile, f * least(7, n) // n AS bin, {_rounded('max(abs(s))')} AS peak FROM sig
+          WHERE CAST(recording_id AS BIGINT) % 3 <> 0 GROUP BY 1, 2, 3
+        UNION ALL SELECT DISTINCT recording_id, 'original', 0, 0 FROM sig WHERE CAST(recording_id AS BIGINT) % 3 = 0"""
     q["cut_clips"] = f"""WITH {VECTORS}, {LABEL_CLIPS}, r AS (SELECT *, start_us * 16000 // 1000000 AS lo, least((end_us * 16000 + 999999) // 1000000, n) AS hi FROM lc)
         SELECT r.recording_id, r.clip_id, sig.f - r.lo AS frame_no, {_rounded('sig.s')} AS sample FROM r JOIN sig ON sig.recording_id = r.recording_id AND sig.f >= r.lo AND sig.f < r.hi"""
     q["cut_rejects"] = f"""WITH {LABEL_CLIPS}, c AS (SELECT CAST(l_linenumber AS VARCHAR) AS recording_id, l_orderkey * 10 AS start_us, l_orderkey * 10 + l_partkey AS end_us FROM lineitem),

@@ -108,6 +108,30 @@ def recording_view(spark, d):
     return header.select(RECORDING, "status", "selected_clip_id", "provenance", "text", "committed")
 
 
+@query
+def recording_view_selected(spark, d):
+    """The same view with a clip named per conversation: its last one, which may be deleted."""
+    versions = T.conversation_versions(spark, d)
+    recordings = versions.select(RECORDING).distinct().withColumn("status", F.lit("saved")).withColumn(
+        "failure", F.lit(None).cast("string")
+    )
+    held = T.conversation_clips(versions).withColumn("start_us", F.col("position")).withColumn(
+        "end_us", F.col("position") + 1
+    ).withColumn("failure", F.when(F.col("position") % 2 == 1, F.concat(F.lit("odd "), "clip_id")))
+    named = held.groupBy(RECORDING).agg(F.max_by("clip_id", "position").alias("clip_id"))
+    header, _, diagnostics = views.recording_view(recordings, held, versions.drop("position"), named)
+    notes = diagnostics.groupBy(RECORDING).agg(F.count("*").alias("n_notes"), F.min("message").alias("first_note"))
+    return header.select(RECORDING, "selected_clip_id", "provenance", "text", "committed").join(notes, RECORDING, "left")
+
+
+@query
+def report_lines(spark, d):
+    """A report written as text and read back."""
+    path = f"{fresh_folder(spark, 'report')}/totals"
+    export.write_report(document_totals(spark, d), path, "text")
+    return spark.read.text(path)
+
+
 @query
 def show_recordings(spark, d):
     recordings = T.read(spark, d, "orders").select(T.text_id("o_orderkey"), F.col("o_orderstatus").alias("status"))
@@ -432,9 +456,8 @@ def append_pairs(spark, d):
     return made
 
 
-@query
-def ensure_chunks(spark, d):
-    """Finished orders already hold the plan, partial ones another plan, open ones nothing."""
+def _planned(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(clips held, plan): finished orders hold the plan, partial ones another plan, open ones nothing."""
     media = T.order_media(spark, d)
     status = T.read(spark, d, "orders").select(T.text_id("o_orderkey"), "o_orderstatus")
     known = media.join(status, RECORDING)
@@ -442,7 +465,23 @@ def ensure_chunks(spark, d):
     have = clips.plan_chunks(known.filter("o_orderstatus = 'F'"), 30_000_000).unionByName(
         clips.plan_chunks(known.filter("o_orderstatus = 'P'"), 10_000_000)
     ).withColumn("status", F.lit("pending"))
-    return clips.compare_with_plan(have, plan)
+    return have.withColumn("clip_id", F.concat(F.lit("k"), "chunk_no")), plan
+
+
+@query
+def ensure_chunks(spark, d):
+    return clips.compare_with_plan(*_planned(spark, d))
+
+
+@query
+def ensure_chunks_use(spark, d):
+    """The clips to work on: those held where they match, new ones where there are none."""
+    return clips.ensure_chunks(*_planned(spark, d))[0]
+
+
+@query
+def ensure_chunks_add(spark, d):
+    return clips.ensure_chunks(*_planned(spark, d))[1]
 
 
 @query
@@ -629,6 +668,14 @@ def waveform_peaks(spark, d):
     return audio.waveform_peaks(T.label_blocks(spark, d)).select(RECORDING, "bin", _rounded("peak").alias("peak"))
 
 
+@query
+def peaks_of_empty(spark, d):
+    """Peaks where every third label has no frame at all."""
+    media = T.label_media(spark, d).withColumn("frame_count", F.when(F.expr("cast(recording_id as bigint) % 3 = 0"), 0).otherwise(F.col("frame_count")))
+    sounding = T.label_blocks(spark, d).filter("cast(recording_id as bigint) % 3 <> 0")
+    return audio.waveform_peaks(sounding, 7, media).select(RECORDING, "profile", "bin", _rounded("peak").alias("peak"))
+
+
 @query
 def cut_clips(spark, d):
     media = T.label_media(spark, d)
