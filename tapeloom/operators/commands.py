@@ -61,7 +61,9 @@ def apply_commands(
     judged = (
         everything.join(stops, RECORDING, "left_semi")
         .select(*EVENT_COLUMNS, "ordinal", payload_code().alias("problem"))
-        .repartition(RECORDING)
+        # by a hash of the key: Spark drops an exchange by the key itself below a join on it, and
+        # adaptive reads may then split a key
+        .repartition(F.xxhash64(RECORDING))
         .sortWithinPartitions(RECORDING, F.col("ordinal").asc_nulls_first(), "sequence")
         .mapInArrow(_judge, JUDGED_DDL)
     )

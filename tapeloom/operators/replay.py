@@ -352,7 +352,9 @@ def list_positions(accepted: DataFrame, width: int = ORDINAL_BUCKET) -> DataFram
     walked = (
         changes.join(moved, RECORDING, "left_semi")
         .select(*KEY, "sequence", F.when(F.col("kind") == "clip_moved", F.col("target_index")).alias("target"))
-        .repartition(RECORDING)
+        # by a hash of the key: Spark drops an exchange by the key itself below a join on it, and
+        # adaptive reads may then split a key
+        .repartition(F.xxhash64(RECORDING))
         .sortWithinPartitions(RECORDING, "sequence")
         .mapInArrow(_walk_moves, "recording_id string, clip_id string, position bigint")
     )

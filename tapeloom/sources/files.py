@@ -11,6 +11,7 @@ import os
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WRITTEN_DDL = "path string, byte_count bigint"
 
@@ -75,7 +76,9 @@ def write_files(rows: DataFrame) -> DataFrame:
     """
     done = (
         rows.select("path", "part", "data")
-        .repartition("path")
+        # by a hash of the key: Spark drops an exchange by the key itself below a join on it, and
+        # adaptive reads may then split a key
+        .repartition(F.xxhash64("path"))
         .sortWithinPartitions("path", "part")
         .select("path", "data")
         .mapInArrow(_write, WRITTEN_DDL)
