@@ -14,6 +14,10 @@ A key with many members is cut into blocks and every two blocks meet in a task o
 no task holds an unbounded group. A task returns a spanning forest of its links, never all
 pairs. Components of the forest edges are those of all links.
 
+``near_duplicates`` links by these fingerprints. ``drop_near_duplicates`` does too unless it is
+given a similarity; then it links texts whose sets of word shingles have that Jaccard similarity
+or more (``tapeloom.llm.shingles``), which two of 64 bits nearly always miss.
+
 Every row gets a result. Null text counts as empty. Rows that repeat an id are linked like any
 others; a null id never names a component unless all ids in it are null.
 """
@@ -31,6 +35,8 @@ from pyspark.sql import types as T
 
 from tapeloom.llm.common import add_columns, read, utf8
 from tapeloom.llm.components import components
+from tapeloom.llm.shingles import links as shingle_links
+from tapeloom.llm.shingles import with_shingles
 from tapeloom.plans.stage import written
 
 SEED, WORDS, BITS, REACH = 42, 3, 64, 2
@@ -159,8 +165,12 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 def classes(narrow: DataFrame) -> DataFrame:
     """``(__fp, __first, __root)`` of each distinct fingerprint of ``narrow(doc_id, __fp)``."""
     distinct = written(narrow.groupBy("__fp").agg(F.min("doc_id").alias("__first")), "fingerprints")
+    return _classes(distinct, links(distinct))
+
+
+def _classes(distinct: DataFrame, linked: DataFrame) -> DataFrame:
     # XXH64 maps 64-bit integers one to one, so its values name the fingerprints
-    found = components(links(distinct).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    found = components(linked.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
     named = distinct.withColumn("node", F.xxhash64("__fp"))
     return named.join(found, "node", "left").select("__fp", "__first", F.coalesce("root", "node").alias("__root"))
 
@@ -177,12 +187,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each component the one with the smallest id."""
-    marked = with_fingerprint(docs, text)
-    narrow = written(marked.select(F.col(doc_id).cast("bigint").alias("doc_id"), "__fp"), "marked")
+def _similar(docs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, __fp)`` of each row and the classes of similar shingle sets, as ``classes`` gives them."""
+    rows = with_shingles(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text), text, words, "__fp", "__bands")
+    narrow = written(rows.select("doc_id", "__fp", "__bands"), "marked")
+    sets = narrow.groupBy("__fp").agg(F.min("doc_id").alias("__first"), F.first("__bands").alias("__bands"))
+    distinct = written(sets, "shingle_sets")
+    found = _classes(distinct.drop("__bands"), shingle_links(docs, distinct, text, words, similarity))
+    return narrow.drop("__bands"), found
+
+
+def drop_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None, words: int = 5
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the one with the smallest id.
+
+    With a ``similarity``, components are those of shingles of ``words`` words at that similarity.
+    """
+    if similarity is None:
+        marked = with_fingerprint(docs, text)
+        narrow = written(marked.select(F.col(doc_id).cast("bigint").alias("doc_id"), "__fp"), "marked")
+        named = classes(narrow)
+    else:
+        marked = with_shingles(docs, text, words, "__fp")
+        narrow, named = _similar(docs, doc_id, text, words, similarity)
     best = F.min(F.struct(F.col("__first").isNull().alias("late"), "__first", "__fp")).alias("__best")
-    kept = classes(narrow).groupBy("__root").agg(best).select(
+    kept = named.groupBy("__root").agg(best).select(
         F.col("__best.__first").alias("__id"), F.col("__best.__fp").alias("__kept")
     )
     rows = narrow.groupBy("doc_id", "__fp").agg(F.count(F.lit(1)).alias("__n"))
