@@ -6,10 +6,13 @@ number, a capitalised word inside a sentence, and a unit after a number become t
 words, are hash-joined between documents and benchmark items, so a question whose numbers, names
 or units were replaced still meets its template.
 
+The same windows are also joined word for word in lower case, without marks of names, so a copy in
+other case, in which no name can be told, is found as well. White space before a name may be any.
+
 Slot consistency: on one alignment of a document with an item, a value of the item must always
-stand for the same value of the document. Alignments that break this count for nothing. A
-document is linked to an item when the windows of consistent alignments cover at least half of
-the item's windows.
+stand for the same value of the document. Template windows with a slot whose value breaks this
+count for nothing; windows that are equal word for word always count. A document is linked to an
+item when the windows found either way cover at least half of the item's windows.
 
 Before the join, a bitmap of the items' window hashes (16 bits a window, at most 16 MB) removes
 nearly all windows of documents inside the scan. It only removes windows that cannot join, and
@@ -42,7 +45,7 @@ UNITS = (
 def tokens(text: Column) -> Column:
     """Lower-case tokens; a name keeps its mark."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    text = F.regexp_replace(text, r"([^.!?:;\s] )(\p{Lu}\p{Ll})", f"$1{NAME}$2")
+    text = F.regexp_replace(text, r"([^.!?:;\s]\s+)(\p{Lu}\p{Ll})", f"$1{NAME}$2")
     text = F.regexp_replace(text, r"([0-9])[.,]([0-9])", f"$1{POINT}$2")
     text = F.regexp_replace(F.lower(text), r"([0-9])(\p{L})", "$1 $2")
     return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{N}}{NAME}{POINT}]+"), "")
@@ -69,29 +72,38 @@ def template(words: Column) -> Column:
 
 def _tokenised(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     words = df.select(F.col(key).alias(name), tokens(F.col(text)).alias("__words"))
-    return words.select(name, "__words", template(F.col("__words")).alias("__template"))
+    return words.select(name, "__words", template(F.col("__words")).alias("__template"), _plain(F.col("__words")).alias("__plain"))
+
+
+def _plain(words: Column) -> Column:
+    return F.transform(words, lambda w: F.ltrim(w, F.lit(NAME)))
 
 
 def _spread(df: DataFrame, position: str) -> DataFrame:
-    """A row per window start, with the window's hash."""
+    """A row per window start, with the hashes of the window's template and of its plain words."""
     last = F.size("__template") - WINDOW
     # a filter on the length would be pushed below and tokenise every text twice
     starts = df.withColumn(position, F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
     parts = [F.get("__template", F.col(position) + k) for k in range(WINDOW)]
-    return starts.withColumn("__hash", F.xxhash64(*parts))
+    plain = [F.get("__plain", F.col(position) + k) for k in range(WINDOW)]
+    return starts.withColumn("__hash", F.xxhash64(*parts)).withColumn("__hash_plain", F.xxhash64(*plain))
 
 
-def _cut(df: DataFrame, key: str, position: str, values: str) -> DataFrame:
+def _cut(df: DataFrame, key: str, position: str, values: str, flag: str) -> DataFrame:
+    """A row per window and form, ``flag`` on templates; a window without slots is its own template."""
     at = F.col(position) + 1
-    return df.select(
-        key, position, "__hash", F.slice("__template", at, WINDOW).alias("__window"), F.slice("__words", at, WINDOW).alias(values)
-    )
+    form = F.struct(F.col("__hash"), F.slice("__template", at, WINDOW).alias("__window"), F.lit(True).alias(flag))
+    plain = F.struct(F.col("__hash_plain").alias("__hash"), F.slice("__plain", at, WINDOW).alias("__window"), F.lit(False).alias(flag))
+    forms = F.when(form["__window"] == plain["__window"], F.array(form)).otherwise(F.array(form, plain))
+    both = df.select(key, position, F.slice("__words", at, WINDOW).alias(values), F.explode(forms).alias("__form"))
+    return both.select(key, position, "__form.*", values)
 
 
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    found = _cut(_spread(_tokenised(benchmark, item_id, text, "item_id"), "__at"), "item_id", "__at", "__theirs")
-    slots = F.size(F.filter("__window", lambda w: w.startswith("<")))
-    return found.filter(F.lit(WINDOW) - slots >= WORDS)
+    spread = _spread(_tokenised(benchmark, item_id, text, "item_id"), "__at")
+    window = F.slice("__template", F.col("__at") + 1, WINDOW)
+    slots = F.size(F.filter(window, lambda w: w.startswith("<")))
+    return _cut(spread.filter(F.lit(WINDOW) - slots >= WORDS), "item_id", "__at", "__theirs", "__their_template")
 
 
 def _bitmap(items: DataFrame) -> tuple[Column, int]:
@@ -111,10 +123,13 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     """Windows of documents that equal a window of an item, with the words behind both."""
     bitmap, bits = _bitmap(items)
     spread = _spread(_tokenised(docs, doc_id, text, "doc_id"), "__from")
-    spot = F.col("__hash").bitwiseAND(F.lit(bits - 1))
-    word = F.get(bitmap, F.shiftright(spot, 6).cast("int"))
-    bit = F.call_function("shiftright", word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    found = _cut(spread.filter(bit == 1), "doc_id", "__from", "__ours")
+
+    def held(name: str) -> Column:
+        spot = F.col(name).bitwiseAND(F.lit(bits - 1))
+        word = F.get(bitmap, F.shiftright(spot, 6).cast("int"))
+        return F.call_function("shiftright", word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    found = _cut(spread.filter(held("__hash") | held("__hash_plain")), "doc_id", "__from", "__ours", "__our_template")
     return found.join(items, ["__hash", "__window"]).withColumn("__line", F.col("__from") - F.col("__at"))
 
 
@@ -127,9 +142,14 @@ def contaminated(
     item_text: str = "text",
     coverage: float = COVERAGE,
 ) -> DataFrame:
-    """``doc_id, item_id, matched_windows, item_windows, slots, changed_slots`` of each link."""
+    """``doc_id, item_id, matched_windows, item_windows, slots, changed_slots`` of each link.
+
+    The counts are those of whole consistent alignments of templates, as in the SQL. The link itself
+    counts every window found, so ``matched_windows`` of a copy in other case may be below half.
+    """
     items = written(item_windows(benchmark, item_id, item_text), "items")
-    found = written(matches(docs, items, doc_id, text), "matches")
+    every = written(matches(docs, items, doc_id, text), "matches")
+    found = every.filter("__our_template and __their_template")
 
     pairs = F.arrays_zip(F.col("__window").alias("kind"), F.col("__theirs").alias("theirs"), F.col("__ours").alias("ours"))
     slots = found.select("doc_id", "item_id", "__line", "__at", F.posexplode(pairs).alias("k", "pair")).filter("pair.kind like '<%'")
@@ -144,10 +164,12 @@ def contaminated(
         F.countDistinct(spot).alias("slots"),
         F.countDistinct(F.when(F.col("pair.ours") != F.col("pair.theirs"), spot)).alias("changed_slots"),
     )
-    links = sound.groupBy(*pair).agg(F.countDistinct("__at").alias("matched_windows"))
+    plain = every.filter("not (__our_template and __their_template)")
+    whole = sound.withColumn("__whole", F.col("__at")).unionByName(plain.withColumn("__whole", F.lit(None).cast("int")))
+    links = whole.groupBy(*pair).agg(F.countDistinct("__at").alias("__covered"), F.countDistinct("__whole").alias("matched_windows"))
     totals = items.groupBy("item_id").agg(F.countDistinct("__at").alias("item_windows"))
     counted = _null_safe(_null_safe(links, totals, ["item_id"], "inner"), filled, pair, "left")
-    return counted.filter(F.col("matched_windows") >= coverage * F.col("item_windows")).select(
+    return counted.filter(F.col("__covered") >= coverage * F.col("item_windows")).select(
         *pair,
         "matched_windows",
         "item_windows",
