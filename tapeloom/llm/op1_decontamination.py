@@ -157,7 +157,9 @@ def contaminated(
     values = slots.groupBy(*line, F.col("pair.kind").alias("kind"), F.col("pair.theirs").alias("theirs")).agg(
         F.min("pair.ours").alias("low"), F.max("pair.ours").alias("high")
     )
-    broken = values.filter("low <> high").select(*line).distinct()
+    value = [*line, "__kind", "__value"]
+    breaking = written(values.filter("low <> high").select(*line, F.col("kind").alias("__kind"), F.col("theirs").alias("__value")), "breaking")
+    broken = breaking.select(*line).distinct()
     sound = _null_safe(found, broken, line, "left_anti")
     spot = F.struct("__line", F.col("__at") + F.col("k"))
     filled = _null_safe(slots, broken, line, "left_anti").groupBy(*pair).agg(
@@ -165,7 +167,11 @@ def contaminated(
         F.countDistinct(F.when(F.col("pair.ours") != F.col("pair.theirs"), spot)).alias("changed_slots"),
     )
     plain = every.filter("not (__our_template and __their_template)")
-    whole = sound.withColumn("__whole", F.col("__at")).unionByName(plain.withColumn("__whole", F.lit(None).cast("int")))
+    # of a broken alignment, the windows without a value that breaks it
+    spots = slots.select(*line, "__at", F.col("pair.kind").alias("__kind"), F.col("pair.theirs").alias("__value"))
+    failed = _null_safe(spots, breaking, value, "left_semi").select(*line, "__at").distinct()
+    partly = _null_safe(_null_safe(found, broken, line, "left_semi"), failed, [*line, "__at"], "left_anti")
+    whole = sound.withColumn("__whole", F.col("__at")).unionByName(plain.unionByName(partly).withColumn("__whole", F.lit(None).cast("int")))
     links = whole.groupBy(*pair).agg(F.countDistinct("__at").alias("__covered"), F.countDistinct("__whole").alias("matched_windows"))
     totals = items.groupBy("item_id").agg(F.countDistinct("__at").alias("item_windows"))
     counted = _null_safe(_null_safe(links, totals, ["item_id"], "inner"), filled, pair, "left")

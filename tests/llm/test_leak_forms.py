@@ -19,3 +19,25 @@ def test_copies_in_another_form(spark, form):
     df = docs(spark, [(1, f"Well, {COPIES[form]} And more.", "en"), (2, "a clean text of quite a few words", "en")])
     assert [(r.doc_id, r.item_id) for r in leaks.contaminated(df, benchmark(spark)).collect()] == [(1, 9)]
     assert [r.doc_id for r in leaks.drop_contaminated(df, benchmark(spark)).collect()] == [2]
+
+
+LONG = (
+    "a farmer has 3 fields with rows of green corn and keeps them well watered over the whole summer while the "
+    "old miller next door counts 3 coins every evening and wonders how much flour one could buy with them at market today"
+)
+
+
+@pytest.mark.parametrize("copy", [LONG.replace("3 coins", "4 coins"), LONG.replace("3 fields", "5 fields").replace("3 coins", "6 coins")])
+def test_one_changed_slot_frees_no_leak(spark, copy):
+    bench = spark.createDataFrame([(5, LONG)], "item_id bigint, text string")
+    df = docs(spark, [(1, copy, "en"), (2, "a clean text of quite a few words", "en")])
+    assert [(r.doc_id, r.item_id) for r in leaks.contaminated(df, bench).collect()] == [(1, 5)]
+    assert [r.doc_id for r in leaks.drop_contaminated(df, bench).collect()] == [2]
+
+
+def test_windows_with_an_inconsistent_slot_fail(spark):
+    """Every window holds the number that is replaced in two ways: no leak."""
+    item = "one needs 7 red bricks then 7 blue bricks then 7 more"
+    bench = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+    df = docs(spark, [(1, "one needs 8 red bricks then 9 blue bricks then 10 more", "en"), (2, item.replace("7", "8"), "en")])
+    assert [r.doc_id for r in leaks.contaminated(df, bench).collect()] == [2]
