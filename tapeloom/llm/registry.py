@@ -13,6 +13,7 @@ from tapeloom.llm import (
     op8_token_counts,
     op9_exact_dedup,
     op10_quality,
+    op11_whitening,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts.op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
     "op10_quality": op10_quality.op10_quality,
+    "op11_whitening": op11_whitening.op11_whitening,
 }
 
 ORACLE_SQL = {
