@@ -14,6 +14,7 @@ from tapeloom.llm import (
     op9_exact_dedup,
     op10_quality,
     op11_whitening,
+    op13_hard_negatives,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
     "op10_quality": op10_quality.op10_quality,
     "op11_whitening": op11_whitening.op11_whitening,
+    "op13_hard_negatives": op13_hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op2_chat": op2_chat.SQL,
     "op5_warc": op5_warc.SQL,
     "op9_exact_dedup": op9_exact_dedup.SQL,
+    "op13_hard_negatives": op13_hard_negatives.SQL,
 }
