@@ -14,6 +14,7 @@ from tapeloom.llm import (
     op9_exact_dedup,
     op10_quality,
     op11_whitening,
+    op12_pii,
     op13_hard_negatives,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
     "op10_quality": op10_quality.op10_quality,
     "op11_whitening": op11_whitening.op11_whitening,
+    "op12_pii": op12_pii.op12_pii,
     "op13_hard_negatives": op13_hard_negatives.op13_hard_negatives,
 }
 
