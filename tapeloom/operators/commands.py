@@ -1,7 +1,7 @@
 """Commands to events: accepted ones get the next numbers, refused ones change nothing.
 
-Commands are first numbered as if all were accepted and checked set-wise together with
-the log they extend. Only recordings where that finds a conflict need their commands
+Commands are first numbered as if all were accepted and checked set-wise against the state they
+meet. No old event is read. Only recordings where that finds a conflict need their commands
 judged one after another; those are streamed in order, holding one recording's state.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.ids import derived_uuid
 from tapeloom.operators.clips import ORDINAL_BUCKET, RECORDING, TIME_BUCKET_US
 from tapeloom.operators.fold import RecordingFold, Refused
-from tapeloom.operators.replay import first_findings
+from tapeloom.operators.replay import LIFE, UNKNOWN_LAST, Known, Replayed, first_findings, known_log, known_state
 from tapeloom.operators.validation import payload_code, split_rejects
 from tapeloom.plans.scan import SumBefore, ordered_scan
 from tapeloom.plans.stage import written
@@ -32,68 +32,86 @@ def as_events(commands: DataFrame) -> DataFrame:
 
 
 def apply_commands(
-    log: DataFrame, commands: DataFrame, width: int = ORDINAL_BUCKET, time_width: int = TIME_BUCKET_US,
+    before: Replayed | DataFrame, commands: DataFrame, width: int = ORDINAL_BUCKET, time_width: int = TIME_BUCKET_US,
     ordinal_width: int = ORDINAL_BUCKET,
 ) -> tuple[DataFrame, DataFrame]:
     """(new events to append, rejects).
 
-    ``log`` holds accepted events; ``commands`` the columns of COMMANDS_DDL, with
+    ``before`` is the state the commands meet: state tables, of which only the rows of the
+    recordings, clips and ids that the commands name are read, or a log of accepted events, from
+    which the same facts are taken first. ``commands`` has the columns of COMMANDS_DDL, with
     ``ordinal`` giving the order within a recording (unique per recording). Pass
-    ``ordinal_width=TIME_ORDINALS`` for commands ordered by source time.
+    ``ordinal_width=TIME_ORDINALS`` for commands ordered by source time. Commands that name no
+    recording or have no ordinal are refused.
     """
     commands = written(as_events(commands), "commands")
-    sound, unsound = split_rejects(commands, payload_code(), [RECORDING, "ordinal", "kind"])
-    tail = log.groupBy(RECORDING).agg(F.max("sequence").alias("last_sequence"))
-    ranked = ordered_scan(sound, [RECORDING], "ordinal", [SumBefore("rank", F.lit(1).cast("bigint"))], ordinal_width)
-    numbered = ranked.join(tail, RECORDING, "left").withColumn(
-        "sequence", F.coalesce("last_sequence", F.lit(0).cast("bigint")) + F.col("rank") + 1
-    ).withColumn("schema_version", F.lit(SCHEMA_VERSION))
-    none = F.lit(None).cast("bigint")
-    touched = commands.select(RECORDING).distinct()
-    everything = written(
-        log.join(touched, RECORDING, "left_semi").select(*EVENT_COLUMNS, none.alias("ordinal"))
-        .unionByName(numbered.select(*EVENT_COLUMNS, "ordinal")),
-        "tentative",
+    code = F.coalesce(payload_code(), F.when(F.col("ordinal").isNull(), "missing_field"))
+    sound, unsound = split_rejects(commands, code, [RECORDING, "ordinal", "kind"])
+    known = (known_state(before) if isinstance(before, Replayed) else known_log(before)).of(sound)
+    known = Known(*(written(getattr(known, n), f"known-{n}") for n in ("heads", "clips", "versions")))
+    # a state that does not say where its log ended cannot be continued
+    endless = known.heads.filter(F.col("last_sequence") == UNKNOWN_LAST).select(RECORDING)
+    lost = sound.join(endless, RECORDING, "left_semi").select(RECORDING, "ordinal", "kind", F.lit("unknown_sequence").alias("reason_code"))
+    sound = sound.join(endless, RECORDING, "left_anti")
+    tail = known.heads.select(RECORDING, "last_sequence")
+    ranked = ordered_scan(
+        sound.select(RECORDING, "ordinal"), [RECORDING], "ordinal", [SumBefore("rank", F.lit(1).cast("bigint"))], ordinal_width
     )
-    checked = everything.withColumn("copies", F.lit(1))
-    stops = written(first_findings(checked, width, time_width), "conflicts")
-    calm = everything.join(stops, RECORDING, "left_anti").filter("ordinal is not null")
+    numbers = ranked.join(tail, RECORDING, "left").select(
+        RECORDING, "ordinal", (F.coalesce("last_sequence", F.lit(0).cast("bigint")) + F.col("rank") + 1).alias("sequence")
+    )
+    numbered = written(
+        sound.join(numbers, [RECORDING, "ordinal"]).withColumn("schema_version", F.lit(SCHEMA_VERSION)).select(*EVENT_COLUMNS, "ordinal"), "tentative"
+    )
+    stops = written(first_findings(numbered.withColumn("copies", F.lit(1)), width, time_width, known), "conflicts")
+    calm = numbered.join(stops, RECORDING, "left_anti")
+    none = F.lit(None)
+    asked = numbered.join(stops, RECORDING, "left_semi").select(*EVENT_COLUMNS, "ordinal", none.cast("string").alias("problem"))
     judged = (
-        everything.join(stops, RECORDING, "left_semi")
-        .select(*EVENT_COLUMNS, "ordinal", payload_code().alias("problem"))
+        asked.unionByName(_facts(known.of(stops)), allowMissingColumns=True)
         # by a hash of the key: Spark drops an exchange by the key itself below a join on it, and
         # adaptive reads may then split a key
         .repartition(F.xxhash64(RECORDING))
-        .sortWithinPartitions(RECORDING, F.col("ordinal").asc_nulls_first(), "sequence")
+        .sortWithinPartitions(RECORDING, F.col("ordinal").asc_nulls_first())
         .mapInArrow(_judge, JUDGED_DDL)
     )
     judged = written(judged, "judged")
     events = calm.select(*EVENT_COLUMNS).unionByName(judged.filter("reason_code is null").select(*EVENT_COLUMNS))
     refused = judged.filter("reason_code is not null").select(RECORDING, "ordinal", "kind", "reason_code")
-    return events, unsound.unionByName(refused)
+    return events, unsound.unionByName(lost).unionByName(refused)
+
+
+def _facts(known: Known) -> DataFrame:
+    """What is known of recordings as rows that come before their commands; they have no ordinal."""
+    return (
+        known.heads.select(RECORDING, F.lit("head").alias("kind"), F.col("last_sequence").alias("sequence"), F.col("n_clips").alias("target_index"), F.col("last_kind").alias("text"))
+        .unionByName(known.clips.select(RECORDING, F.lit("clip").alias("kind"), "clip_id", "start_us", "end_us", F.col("status").alias("text")), allowMissingColumns=True)
+        .unionByName(known.versions.select(RECORDING, F.lit("version").alias("kind"), "transcript_id"), allowMissingColumns=True)
+    )
 
 
 def _judge(batches):
-    """Fold log rows silently, then emit every command with its number or its refusal."""
-    current, fold, broken = None, None, None
+    """Take in the known facts of a recording, then emit every command with its number or its refusal."""
+    status_of = dict(LIFE)
+    current, fold = None, None
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             if row["recording_id"] != current:
-                current, fold, broken = row["recording_id"], RecordingFold(), None
+                current, fold = row["recording_id"], RecordingFold()
             if row["ordinal"] is None:
-                try:
-                    if broken is None:
-                        fold.record(row)
-                except Refused as stop:
-                    broken = stop.code
+                if row["kind"] == "head":
+                    fold.next_sequence, fold.status, fold.n_clips = row["sequence"] + 1, status_of[row["text"]], row["target_index"]
+                elif row["kind"] == "clip":
+                    fold.clips[row["clip_id"]] = (row["start_us"], row["end_us"], row["text"], None)
+                else:
+                    fold.versions[row["transcript_id"]] = 0
                 continue
-            row["sequence"], row["reason_code"] = fold.next_sequence, broken
-            if broken is None:
-                try:
-                    fold.apply(row)
-                except Refused as stop:
-                    row["reason_code"] = stop.code
+            row["sequence"], row["reason_code"] = fold.next_sequence, None
+            try:
+                fold.apply(row)
+            except Refused as stop:
+                row["reason_code"] = stop.code
             del row["problem"]
             out.append(row)
         if out:

@@ -8,6 +8,11 @@ fold would have stopped. What remains is ordinary aggregation: the checks are
 windows over (recording, clip) or bucketed scans, the state is ``max_by`` over the
 accepted prefix. No task has to walk a recording's log.
 
+A replay may go on from a state: what the checks need to know of the records before (``Known``)
+is one narrow row per log, clip and version id, and joins the scans as a record of its own that
+comes first. Only the rows of the recordings, clips and ids that the new records name take part,
+so no old event is read.
+
 The one thing with a true order dependence, list positions after moves, is walked in
 sequence order over clip ids alone, and only for recordings that have moves.
 """
@@ -15,6 +20,7 @@ sequence order over clip ids alone, and only for recordings that have moves.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +33,15 @@ from tapeloom.plans.stage import written
 from tapeloom.schemas import EVENT_COLUMNS, PAYLOAD_COLUMNS, RECORDING_KINDS, SCHEMA_VERSION
 
 KEY = [RECORDING, "clip_id"]
-# Levels of the decimal tree used for the overlap check; 10**18 covers BIGINT.
-TREE_LEVELS = 19
+# Kind of the rows that stand for what is known already, and a last number that no record follows:
+# that of a state which does not say where its log ended.
+KNOWN = "known"
+UNKNOWN_LAST = 2**62
+# Clips that meet in one stretch of source time up to which they are compared in one row.
+ISLAND = 32
+# Clip statuses, and the recording kinds with the status each leaves, by their codes.
+STATUS_CODES = ("pending", "ready", "processing", "failed", "transcribed", "edited", "deleted")
+LIFE = (("recording_created", "created"), ("recording_started", "recording"), ("recording_saved", "saved"), ("recording_failed", "failed"))
 
 # From which clip status each transcription event is allowed.
 STARTABLE = ("pending", "ready", "failed", "transcribed", "edited")
@@ -42,8 +55,52 @@ class Replayed:
     recordings: DataFrame
     clips: DataFrame
     transcripts: DataFrame
-    rejects: DataFrame
-    accepted: DataFrame
+    rejects: DataFrame | None = None
+    accepted: DataFrame | None = None
+
+
+@dataclass
+class Known:
+    """What the records before left that later ones are judged by."""
+
+    heads: DataFrame  # recording_id, last_sequence, last_kind, n_clips
+    clips: DataFrame  # recording_id, clip_id, status, start_us, end_us
+    versions: DataFrame  # recording_id, transcript_id
+
+    def of(self, rows: DataFrame) -> Known:
+        """Only the recordings that ``rows`` name."""
+        named = rows.select(RECORDING).distinct()
+        return Known(*(t.join(named, RECORDING, "left_semi") for t in (self.heads, self.clips, self.versions)))
+
+
+def known_state(state: Replayed) -> Known:
+    """From state tables. A recording whose last number is not known takes no further record."""
+    life = F.create_map(*[F.lit(x) for kind, status in LIFE for x in (status, kind)])
+    counts = state.clips.groupBy(RECORDING).agg(F.count("*").alias("n_clips"))
+    heads = state.recordings.join(counts, RECORDING, "left").select(
+        RECORDING, F.coalesce("last_sequence", F.lit(UNKNOWN_LAST)).alias("last_sequence"), life[F.col("status")].alias("last_kind"),
+        F.coalesce("n_clips", F.lit(0).cast("bigint")).alias("n_clips"),
+    )
+    return Known(heads, state.clips.select(*KEY, "status", "start_us", "end_us"), state.transcripts.select(RECORDING, "transcript_id"))
+
+
+def _decoded(last: Column, names) -> Column:
+    """The name whose code is in the last three bits; an array of non-null names alone would turn null into one of them."""
+    return F.when(last.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(last, F.lit(8)) + 1).cast("int")))
+
+
+def known_log(accepted: DataFrame) -> Known:
+    """From a log of accepted events; positions are left out, as no check asks for them."""
+    kind = F.col("kind")
+    life = F.coalesce(*[F.when(kind == k, F.lit(i)) for i, (k, _) in enumerate(LIFE)])
+    last = F.max(F.col("sequence") * 8 + life)
+    heads = accepted.groupBy(RECORDING).agg(
+        F.max("sequence").alias("last_sequence"),
+        _decoded(last, [k for k, _ in LIFE]).alias("last_kind"),
+        F.sum(F.when(kind == "clip_added", 1).otherwise(0)).cast("bigint").alias("n_clips"),
+    )
+    versions = accepted.filter("kind = 'transcript_committed'").select(RECORDING, "transcript_id")
+    return Known(heads, clip_states(accepted).select(*KEY, "status", "start_us", "end_us"), versions)
 
 
 def one_row_per_sequence(events: DataFrame, position: str | None = None) -> DataFrame:
@@ -51,18 +108,21 @@ def one_row_per_sequence(events: DataFrame, position: str | None = None) -> Data
 
     With a ``position`` column the first in the file wins; otherwise the pick is by
     content hash, so it does not depend on how the table is split. Numbers are counted on two
-    columns first; only rows that share one are brought together whole.
+    columns first; only rows that share one are brought together whole, and if there are none the
+    events are read as they are.
     """
     key = [RECORDING, "sequence"]
+    columns = [*key, "kind", *PAYLOAD_COLUMNS, "schema_version"]
     counts = events.groupBy(*key).agg(F.count("*").alias("copies"))
-    repeated = written(counts.filter("copies > 1"), "repeated")
-    once = events.join(repeated, key, "left_anti").select(
-        *key, "kind", *PAYLOAD_COLUMNS, "schema_version", F.lit(1).cast("bigint").alias("copies")
-    )
-    shared = events.join(repeated.drop("copies"), key, "left_semi")
+    repeated = written(counts.filter("copies > 1").select(*key), "repeated")
+    single = F.lit(1).cast("bigint").alias("copies")
+    if repeated.isEmpty():
+        return events.select(*columns, single)
+    once = events.join(repeated, key, "left_anti").select(*columns, single)
+    shared = events.join(repeated, key, "left_semi")
     tie = F.col(position) if position else F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("kind", *PAYLOAD_COLUMNS)])
     row = F.struct(tie.alias("tie"), "kind", *PAYLOAD_COLUMNS, "schema_version")
-    picked = shared.groupBy(*key).agg(F.min(row).alias("r"), F.count("*").alias("copies"))
+    picked = written(shared.groupBy(*key).agg(F.min(row).alias("r"), F.count("*").alias("copies")), "picked")
     return once.unionByName(
         picked.select(*key, "r.kind", *[f"r.{c}" for c in PAYLOAD_COLUMNS], "r.schema_version", "copies")
     )
@@ -90,22 +150,23 @@ def _finding(rank: int, code: str | Column, copy: int | Column = 0) -> Column:
     )
 
 
-def _log_findings(rows: DataFrame, width: int) -> DataFrame:
+def _log_findings(rows: DataFrame, width: int, known: Known | None = None) -> DataFrame:
     """Version, numbering, payloads on their own, recording life cycle and move targets."""
     kind = F.col("kind")
     is_recording = kind.isin(*RECORDING_KINDS)
     narrow = rows.select(
         RECORDING, "sequence", "kind", "copies", "schema_version", "target_index", payload_code().alias("problem"),
+        F.when(kind == "clip_added", 1).otherwise(0).cast("bigint").alias("adds"), F.lit(False).alias("old"),
     )
+    if known is not None:
+        narrow = narrow.unionByName(known.heads.select(
+            RECORDING, F.col("last_sequence").alias("sequence"), F.col("last_kind").alias("kind"), F.col("n_clips").alias("adds"), F.lit(True).alias("old"),
+        ), allowMissingColumns=True)
     seen = ordered_scan(
         narrow, [RECORDING], "sequence",
-        [
-            Lag("previous_sequence", "sequence"),
-            LastSeen("last_kind", F.when(is_recording, kind)),
-            SumBefore("n_clips", F.when(kind == "clip_added", 1).otherwise(0).cast("bigint")),
-        ],
+        [Lag("previous_sequence", "sequence"), LastSeen("last_kind", F.when(is_recording, kind)), SumBefore("n_clips", "adds")],
         width,
-    )
+    ).filter("not old")
     last = F.col("last_kind")
     expected = F.coalesce(F.col("previous_sequence"), F.lit(0).cast("bigint")) + 1
     transition = (
@@ -129,16 +190,22 @@ def _log_findings(rows: DataFrame, width: int) -> DataFrame:
     return seen.select(RECORDING, F.coalesce(found, repeated).alias("f")).filter("f is not null")
 
 
-def _clip_findings(rows: DataFrame, width: int) -> DataFrame:
-    """Clip existence, uniqueness and transcription life cycle, per clip."""
+def _clip_findings(rows: DataFrame, width: int, known: Known | None = None) -> DataFrame:
+    """Clip existence, uniqueness and transcription life cycle, per clip; unnamed clips are found by their payload."""
     kind = F.col("kind")
-    narrow = rows.filter(~kind.isin(*RECORDING_KINDS)).select(
+    narrow = rows.filter(~kind.isin(*RECORDING_KINDS) & F.col("clip_id").isNotNull()).select(
         *KEY, "sequence", "kind", status_after().alias("after")
-    ).withColumn("clip_id", F.coalesce("clip_id", F.lit("")))
+    )
+    if known is not None:
+        named = known.clips.join(narrow.select(*KEY).distinct(), KEY, "left_semi")
+        narrow = narrow.unionByName(named.select(
+            *KEY, F.lit(0).cast("bigint").alias("sequence"), F.lit(KNOWN).alias("kind"), F.col("status").alias("after")
+        ))
     seen = ordered_scan(narrow, KEY, "sequence", [LastSeen("was", "after")], width)
     was = F.col("was")
     code = (
         F.when(kind == "clip_added", F.when(was.isNotNull(), "clip_already_exists"))
+        .when(kind == KNOWN, F.lit(None).cast("string"))
         .when(was.isNull(), "clip_not_found")
         .when((kind == "transcription_started") & ~was.isin(*STARTABLE), "invalid_clip_transition")
         .when((kind == "transcription_failed") & ~was.isin(*SETTLING), "invalid_clip_transition")
@@ -148,24 +215,36 @@ def _clip_findings(rows: DataFrame, width: int) -> DataFrame:
     return seen.select(RECORDING, F.when(code.isNotNull(), _finding(5, code)).alias("f")).filter("f is not null")
 
 
-def _transcript_findings(rows: DataFrame) -> DataFrame:
+def _transcript_findings(rows: DataFrame, known: Known | None = None) -> DataFrame:
     """A transcript id committed a second time in its recording.
 
     Only the two earliest uses of an id are kept, and Spark prunes to them before the shuffle.
     """
-    uses = rows.filter("kind = 'transcript_committed'").select(RECORDING, "transcript_id", "sequence")
-    nth = F.row_number().over(Window.partitionBy(RECORDING, "transcript_id").orderBy("sequence"))
+    ids = [RECORDING, "transcript_id"]
+    uses = rows.filter("kind = 'transcript_committed' and transcript_id is not null").select(*ids, "sequence")
+    if known is not None:
+        named = known.versions.join(uses.select(*ids).distinct(), ids, "left_semi")
+        uses = uses.unionByName(named.select(*ids, F.lit(0).cast("bigint").alias("sequence")))
+    nth = F.row_number().over(Window.partitionBy(*ids).orderBy("sequence"))
     second = uses.withColumn("nth", nth).filter("nth <= 2").filter("nth = 2")
     return second.select(RECORDING, _finding(7, "transcript_already_exists").alias("f"))
 
 
-def clip_lives(rows: DataFrame) -> DataFrame:
-    """Per clip: its range, when it was added and, if ever, first deleted."""
+def clip_lives(rows: DataFrame, known: Known | None = None) -> DataFrame:
+    """Per clip: its range, when it was added and, if ever, first deleted. Clips that are known and
+    active were there from the start; they matter only where their recording gets new ones."""
     added = F.col("kind") == "clip_added"
     at = F.when(added, F.col("sequence"))
+    steps = rows.filter(F.col("kind").isin("clip_added", "clip_deleted") & F.col("clip_id").isNotNull())
+    ends = steps.select(*KEY, "sequence", "kind", "start_us", "end_us")
+    if known is not None:
+        growing = steps.filter(added).select(RECORDING).distinct()
+        there = known.clips.filter("status <> 'deleted'").join(growing, RECORDING, "left_semi")
+        ends = ends.unionByName(there.select(
+            *KEY, F.lit(0).cast("bigint").alias("sequence"), F.lit("clip_added").alias("kind"), "start_us", "end_us"
+        ))
     return (
-        rows.filter(F.col("kind").isin("clip_added", "clip_deleted"))
-        .groupBy(*KEY)
+        ends.groupBy(*KEY)
         .agg(
             F.min(at).alias("added_at"),
             F.min_by("start_us", at).alias("start_us"),
@@ -177,27 +256,49 @@ def clip_lives(rows: DataFrame) -> DataFrame:
 
 
 def _ever_overlapping(lives: DataFrame, width: int) -> DataFrame:
-    """Clips whose range meets that of any other clip of the recording, dead or alive."""
+    """Clips whose range meets that of any other clip of the recording, dead or alive, with ``island``:
+    the start of the stretch of source time that meeting ranges cover without a gap."""
     starts = lives.groupBy(RECORDING, "start_us").agg(
         F.max("end_us").alias("max_end"), F.count("*").alias("n")
     )
     seen = ordered_scan(
         starts, [RECORDING], "start_us", [MaxBefore("reach", "max_end"), Lead("next_start", "start_us")], width, share=True
     )
-    met = (F.col("reach") > F.col("start_us")) | (F.col("next_start") < F.col("max_end")) | (F.col("n") > 1)
-    return lives.join(seen.filter(met).select(RECORDING, "start_us"), [RECORDING, "start_us"], "left_semi")
+    within = F.coalesce(F.col("reach") > F.col("start_us"), F.lit(False))
+    met = within | (F.col("next_start") < F.col("max_end")) | (F.col("n") > 1)
+    shores = written(seen.filter(met).select(RECORDING, "start_us", F.when(~within, F.col("start_us")).alias("shore")), "shores")
+    placed = ordered_scan(shores, [RECORDING], "start_us", [LastSeen("shore_before", "shore")], width)
+    islands = placed.select(RECORDING, "start_us", F.coalesce("shore", "shore_before").alias("island"))
+    return lives.join(islands, [RECORDING, "start_us"])
+
+
+def _small_island_findings(small: DataFrame) -> DataFrame:
+    """Overlaps among the few clips of an island, found within one row."""
+    clip = F.struct("added_at", "deleted_at", "start_us", "end_us")
+    held = small.groupBy(RECORDING, "island").agg(F.collect_list(clip).alias("clips"))
+
+    def meets_active(x):
+        return F.exists("clips", lambda y: (
+            (y.added_at < x.added_at) & F.coalesce(y.deleted_at > x.added_at, F.lit(True)) & (y.start_us < x.end_us) & (x.start_us < y.end_us)
+        ))
+
+    at = F.array_min(F.transform(F.filter("clips", meets_active), lambda x: x.added_at))
+    return held.select(RECORDING, at.alias("sequence")).filter("sequence is not null").select(RECORDING, _finding(6, "clip_overlaps").alias("f"))
 
 
 def _tree_nodes(lives: DataFrame) -> DataFrame:
     """Each range as whole nodes of a decimal tree, and each start as one node per level.
 
     The nodes of a range tile it exactly, so a start lies in a range if and only if one
-    of the start's nodes is one of the range's nodes: containment becomes equality.
+    of the start's nodes is one of the range's nodes: containment becomes equality. A
+    recording has the levels that its longest range can fill, no others.
     """
-    levels = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("level"), F.lit(10**i).cast("bigint").alias("unit")) for i in range(TREE_LEVELS)
-    ]))
-    spread = lives.select(*KEY, "added_at", "deleted_at", "start_us", "end_us", levels.alias("n")).select("*", "n.*").drop("n")
+    longest = lives.groupBy(RECORDING).agg(F.max(F.expr("end_us - start_us")).alias("longest"))
+    spread = lives.join(longest, RECORDING).select(
+        *KEY, "added_at", "deleted_at", "start_us", "end_us",
+        # digits of the longest range, less one: the highest level with a node inside it
+        F.explode(F.sequence(F.lit(0), F.length(F.col("longest").cast("string")) - 1)).alias("level"),
+    ).withColumn("unit", F.element_at(F.array(*[F.lit(10**i).cast("bigint") for i in range(19)]), F.col("level") + 1))
     points = spread.select(
         RECORDING, "level", F.expr("start_us div unit").alias("node"), F.lit(1).alias("is_point"), "added_at", "deleted_at"
     )
@@ -214,13 +315,26 @@ def _tree_nodes(lives: DataFrame) -> DataFrame:
     ranges = inside.select(
         RECORDING, "level", F.explode(pieces).alias("node"), F.lit(0).alias("is_point"), "added_at", "deleted_at"
     )
-    # a start only matters on levels where its recording has range nodes, two or three of the nineteen
-    used = ranges.select(RECORDING, "level").distinct()
-    return points.join(used, [RECORDING, "level"], "left_semi").unionByName(ranges)
+    return points.unionByName(ranges)
 
 
-def _overlap_findings(lives: DataFrame, width: int) -> DataFrame:
-    """A clip added while an active clip of its recording overlaps it, among ``lives`` that meet another.
+def _overlap_findings(met: DataFrame, width: int) -> DataFrame:
+    """A clip added while an active clip of its recording overlaps it, among ``met`` that meet another.
+
+    Islands of a few clips, such as a clip and its halves, are settled in place; only clips of
+    larger ones are spread over a tree.
+    """
+    sizes = written(met.groupBy(RECORDING, "island").agg(F.count("*").alias("n")), "islands")
+    key = [RECORDING, "island"]
+    found = _small_island_findings(met.join(sizes.filter(F.col("n") <= ISLAND).drop("n"), key, "left_semi"))
+    large = sizes.filter(F.col("n") > ISLAND).drop("n")
+    if large.isEmpty():
+        return found
+    return found.unionByName(_tree_findings(met.join(large, key, "left_semi"), width))
+
+
+def _tree_findings(lives: DataFrame, width: int) -> DataFrame:
+    """The same over tree nodes, for any number of clips.
 
     Two ranges overlap when one's start lies in the other. On every tree node, walk
     additions and deletions in sequence order, counting active ranges and active
@@ -253,14 +367,16 @@ def _overlap_findings(lives: DataFrame, width: int) -> DataFrame:
     return seen.filter(hit).select(RECORDING, _finding(6, "clip_overlaps").alias("f"))
 
 
-def first_findings(rows: DataFrame, width: int = ORDINAL_BUCKET, time_width: int = TIME_BUCKET_US) -> DataFrame:
+def first_findings(
+    rows: DataFrame, width: int = ORDINAL_BUCKET, time_width: int = TIME_BUCKET_US, known: Known | None = None,
+) -> DataFrame:
     """(recording_id, sequence, copy, code) of the record each bad log stops at."""
     found = (
-        _log_findings(rows, width)
-        .unionByName(_clip_findings(rows, width))
-        .unionByName(_transcript_findings(rows))
+        _log_findings(rows, width, known)
+        .unionByName(_clip_findings(rows, width, known))
+        .unionByName(_transcript_findings(rows, known))
     )
-    met = written(_ever_overlapping(clip_lives(rows), time_width), "overlapping")
+    met = written(_ever_overlapping(clip_lives(rows, known), time_width), "overlapping")
     if not met.isEmpty():  # most logs never have two clips over the same time
         found = found.unionByName(_overlap_findings(met, width))
     return found.groupBy(RECORDING).agg(F.min("f").alias("f")).select(
@@ -273,14 +389,29 @@ def replay(
     position: str | None = None,
     width: int = ORDINAL_BUCKET,
     time_width: int = TIME_BUCKET_US,
+    snapshot: Replayed | None = None,
 ) -> Replayed:
     """Fold every log up to its first invalid record; that record becomes the log's reject.
 
-    The numbered records and the stops are written once: every check and every state
-    table then reads just its own columns, and text is only read for the transcripts.
+    ``events`` is read by every check and state table, each with just its own columns, so it
+    should be a table; text is only read for the transcripts. Records without a number are
+    judged after all others of their log, those without a recording belong to no log.
+
+    With ``snapshot``, the state that earlier records left, ``events`` need only hold the records
+    after: those numbered up to a recording's ``last_sequence`` are in its state and are passed
+    over. The tables then cover all recordings, ``accepted`` and ``rejects`` the new records.
     """
-    rows = written(one_row_per_sequence(events, position), "records")
-    stops = written(first_findings(rows, width, time_width), "stops")
+    owned = events.filter(F.col(RECORDING).isNotNull())
+    numbered = owned.filter("sequence is not null")
+    known = None
+    if snapshot is not None:
+        heads = snapshot.recordings.select(RECORDING, "last_sequence")
+        fresh = F.col("last_sequence").isNull() | (F.col("sequence") > F.col("last_sequence")) | (F.col("sequence") < 1)
+        numbered = numbered.join(heads, RECORDING, "left").filter(fresh).drop("last_sequence")
+        known = known_state(snapshot).of(numbered)
+        known = Known(*(written(getattr(known, n), f"known-{n}") for n in ("heads", "clips", "versions")))
+    rows = one_row_per_sequence(numbered, position)
+    stops = written(first_findings(rows, width, time_width, known), "stops")
     judged = rows.join(stops, RECORDING, "left")
     ahead = (
         F.col("stop_sequence").isNull()
@@ -288,70 +419,125 @@ def replay(
         | ((F.col("sequence") == F.col("stop_sequence")) & (F.col("stop_copy") == 1))
     )
     accepted = judged.filter(ahead).select(*EVENT_COLUMNS)
+    if snapshot is not None:
+        accepted = written(accepted, "accepted")  # the records since the snapshot: few beside the state
     rejects = judged.filter(F.col("sequence") == F.col("stop_sequence")).select(
         RECORDING, "sequence", "kind", "reason_code"
     )
-    return Replayed(
-        recordings_of(accepted), clips_of(accepted, width), transcripts_of(accepted), rejects, accepted
+    late = F.when(F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)), "event_out_of_order").otherwise("unsupported_schema")
+    unnumbered = owned.filter("sequence is null").groupBy(RECORDING).agg(F.min(F.struct("kind", late.alias("code"))).alias("f"))
+    nowhere = events.filter(F.col(RECORDING).isNull()).select(RECORDING, "sequence", "kind", F.lit("missing_field").alias("reason_code"))
+    rejects = rejects.unionByName(
+        unnumbered.join(stops, RECORDING, "left_anti").select(
+            RECORDING, F.lit(None).cast("bigint").alias("sequence"), F.col("f.kind").alias("kind"), F.col("f.code").alias("reason_code")
+        )
+    ).unionByName(nowhere)
+    tables = state_of(accepted, width) if snapshot is None else continued(snapshot, accepted, width)
+    return Replayed(tables.recordings, tables.clips, tables.transcripts, rejects, accepted)
+
+
+def state_of(accepted: DataFrame, width: int = ORDINAL_BUCKET) -> Replayed:
+    """State tables of accepted records."""
+    return Replayed(recordings_of(accepted), clips_of(accepted, width), transcripts_of(accepted), None, accepted)
+
+
+def continued(before: Replayed, accepted: DataFrame, width: int = ORDINAL_BUCKET) -> Replayed:
+    """State tables after ``accepted`` records that follow on ``before``; other recordings pass through."""
+    named = accepted.select(RECORDING).distinct()
+    after = touched_state(Replayed(*(getattr(before, n).join(named, RECORDING, "left_semi") for n in ("recordings", "clips", "transcripts"))), accepted, width)
+
+    def both(name: str) -> DataFrame:
+        new = getattr(after, name)
+        return getattr(before, name).select(*new.columns).join(named, RECORDING, "left_anti").unionByName(new)
+
+    return Replayed(both("recordings"), both("clips"), both("transcripts"), None, accepted)
+
+
+def touched_state(before: Replayed, accepted: DataFrame, width: int = ORDINAL_BUCKET) -> Replayed:
+    """State of the recordings that ``accepted`` names; ``before`` holds no others.
+
+    Rows of the state are merged key by key with what the records change, versions are added on.
+    """
+    was = before.recordings.select(RECORDING, *[F.col(c).alias(f"was_{c}") for c in ("source_kind", "source_path", "status", "failure", "last_sequence")])
+    lived = F.col("status").isNotNull()
+    recordings = recordings_of(accepted).join(was, RECORDING, "full_outer").select(
+        RECORDING, F.coalesce("was_source_kind", "source_kind").alias("source_kind"), F.coalesce("was_source_path", "source_path").alias("source_path"),
+        F.coalesce("status", "was_status").alias("status"), F.when(lived, F.col("failure")).otherwise(F.col("was_failure")).alias("failure"),
+        F.greatest("last_sequence", "was_last_sequence").alias("last_sequence"),
+    )
+    old = before.clips.select(*KEY, *[F.col(c).alias(f"was_{c}") for c in ("start_us", "end_us", "status", "failure")])
+    states = clip_states(accepted).join(old, KEY, "full_outer").select(
+        *KEY, F.coalesce("was_start_us", "start_us").alias("start_us"), F.coalesce("was_end_us", "end_us").alias("end_us"),
+        F.coalesce("status", "was_status").alias("status"),
+        F.when(F.col("failure_at").isNotNull(), F.col("failure")).otherwise(F.col("was_failure")).alias("failure"),
     )
+    clips = _placed(states, list_positions(accepted, width, before.clips))
+    versions = transcripts_of(accepted)
+    return Replayed(recordings, clips, before.transcripts.select(*versions.columns).unionByName(versions), None, accepted)
 
 
 def recordings_of(accepted: DataFrame) -> DataFrame:
     kind = F.col("kind")
     own = F.when(kind.isin(*RECORDING_KINDS), F.col("sequence"))
     made = F.when(kind == "recording_created", F.col("sequence"))
-    status = (
-        F.when(kind == "recording_created", "created")
-        .when(kind == "recording_started", "recording")
-        .when(kind == "recording_saved", "saved")
-        .when(kind == "recording_failed", "failed")
-    )
-    return accepted.groupBy(RECORDING).agg(
+    status = F.coalesce(*[F.when(kind == k, F.lit(after)) for k, after in LIFE])
+    life = accepted.filter(kind.isin(*RECORDING_KINDS)).groupBy(RECORDING).agg(
         F.min_by("source_kind", made).alias("source_kind"),
         F.min_by("source_path", made).alias("source_path"),
         F.max_by(status, own).alias("status"),
         F.max_by(F.when(kind == "recording_failed", F.col("reason")), own).alias("failure"),
-        F.max("sequence").alias("last_sequence"),
     )
+    last = accepted.groupBy(RECORDING).agg(F.max("sequence").alias("last_sequence"))
+    return last.join(life, RECORDING, "left").select(RECORDING, "source_kind", "source_path", "status", "failure", "last_sequence")
 
 
-def clips_of(accepted: DataFrame, width: int = ORDINAL_BUCKET) -> DataFrame:
-    """Clip rows with list positions; ``max_by`` keeps one candidate per clip and map task."""
-    kind = F.col("kind")
+def clip_states(accepted: DataFrame) -> DataFrame:
+    """Clip rows without list positions, from numbers alone: the aggregates hash, and reasons are
+    looked up only for clips whose last word was a failure. ``failure_at`` is the record that set or
+    cleared the failure, null if none did."""
+    kind, sequence = F.col("kind"), F.col("sequence")
     after = status_after()
-    added = F.when(kind == "clip_added", F.col("sequence"))
-    moves_failure = F.when(
-        kind.isin("clip_added", "transcription_started", "transcription_failed", "transcript_committed"), F.col("sequence")
-    )
-    state = (
-        accepted.filter(~kind.isin(*RECORDING_KINDS))
-        .groupBy(*KEY)
-        .agg(
-            F.min(added).alias("added_at"),
-            F.min_by("start_us", added).alias("start_us"),
-            F.min_by("end_us", added).alias("end_us"),
-            F.max_by(after, F.when(after.isNotNull(), F.col("sequence"))).alias("status"),
-            F.max_by(F.when(kind == "transcription_failed", F.col("reason")), moves_failure).alias("failure"),
-        )
-    )
-    return state.join(list_positions(accepted, width), KEY).select(
-        *KEY, "position", "start_us", "end_us", "status", "failure"
+    code = F.coalesce(*[F.when(after == name, F.lit(i)) for i, name in enumerate(STATUS_CODES)])
+    added = F.when(kind == "clip_added", sequence)
+    changes = kind.isin("clip_added", "transcription_started", "transcription_failed", "transcript_committed")
+    last = F.max(sequence * 8 + code)
+    state = accepted.filter(~kind.isin(*RECORDING_KINDS)).groupBy(*KEY).agg(
+        F.min_by("start_us", added).alias("start_us"),
+        F.min_by("end_us", added).alias("end_us"),
+        _decoded(last, STATUS_CODES).alias("status"),
+        F.max(F.when(changes, sequence)).alias("failure_at"),
     )
+    reasons = accepted.filter(kind == "transcription_failed").select(*KEY, sequence.alias("failure_at"), F.col("reason").alias("failure"))
+    return state.join(reasons, [*KEY, "failure_at"], "left").select(*KEY, "start_us", "end_us", "status", "failure", "failure_at")
+
 
+def _placed(states: DataFrame, positions: DataFrame) -> DataFrame:
+    return states.join(positions, KEY).select(*KEY, "position", "start_us", "end_us", "status", "failure")
 
-def list_positions(accepted: DataFrame, width: int = ORDINAL_BUCKET) -> DataFrame:
-    """Where each clip stands in its recording's list."""
+
+def clips_of(accepted: DataFrame, width: int = ORDINAL_BUCKET) -> DataFrame:
+    """Clip rows with list positions."""
+    return _placed(clip_states(accepted), list_positions(accepted, width))
+
+
+def list_positions(accepted: DataFrame, width: int = ORDINAL_BUCKET, before: DataFrame | None = None) -> DataFrame:
+    """Where each clip stands in its recording's list, of which ``before`` has the clips so far."""
     changes = accepted.filter(F.col("kind").isin("clip_added", "clip_moved")).select(
         *KEY, "sequence", "kind", "target_index"
     )
     moved = changes.filter("kind = 'clip_moved'").select(RECORDING).distinct()
-    plain = ordered_scan(
-        changes.join(moved, RECORDING, "left_anti").select(*KEY, "sequence"), [RECORDING], "sequence",
-        [SumBefore("position", F.lit(1).cast("bigint"))], width,
-    ).select(*KEY, "position")
+    walked = changes.select(*KEY, "sequence", F.when(F.col("kind") == "clip_moved", F.col("target_index")).alias("target"))
+    still = changes.join(moved, RECORDING, "left_anti").select(*KEY, "sequence", F.lit(1).cast("bigint").alias("takes"), F.lit(False).alias("old"))
+    if before is not None:
+        # the list so far counts as additions before the first record
+        walked = walked.unionByName(before.select(*KEY, (F.col("position") - UNKNOWN_LAST).alias("sequence"), F.lit(None).cast("bigint").alias("target")))
+        held = before.groupBy(RECORDING).agg(F.count("*").alias("takes")).join(moved, RECORDING, "left_anti")
+        still = still.unionByName(held.select(RECORDING, F.lit("").alias("clip_id"), F.lit(0).cast("bigint").alias("sequence"), "takes", F.lit(True).alias("old")))
+    plain = ordered_scan(still, [RECORDING], "sequence", [SumBefore("position", "takes")], width).filter("not old").select(*KEY, "position")
+    if before is not None:
+        plain = plain.unionByName(before.join(moved, RECORDING, "left_anti").select(*KEY, "position"))
     walked = (
-        changes.join(moved, RECORDING, "left_semi")
-        .select(*KEY, "sequence", F.when(F.col("kind") == "clip_moved", F.col("target_index")).alias("target"))
+        walked.join(moved, RECORDING, "left_semi")
         # by a hash of the key: Spark drops an exchange by the key itself below a join on it, and
         # adaptive reads may then split a key
         .repartition(F.xxhash64(RECORDING))
@@ -361,32 +547,71 @@ def list_positions(accepted: DataFrame, width: int = ORDINAL_BUCKET) -> DataFram
     return plain.unionByName(walked)
 
 
+class ListOrder:
+    """A list of clip ids in blocks of about the square root of its length.
+
+    An id knows its block, so a move touches two blocks and the lengths of the others.
+    """
+
+    def __init__(self):
+        self.blocks, self.home, self.size = [[]], {}, 64
+
+    def append(self, clip) -> None:
+        block = self.blocks[-1]
+        if len(block) >= self.size:
+            block = []
+            self.blocks.append(block)
+        block.append(clip)
+        self.home[clip] = block
+
+    def move(self, clip, target: int) -> None:
+        self.home[clip].remove(clip)
+        for block in self.blocks:
+            if target <= len(block):
+                break
+            target -= len(block)
+        block.insert(target, clip)
+        self.home[clip] = block
+        if len(block) > 2 * self.size:
+            self._deal()
+
+    def _deal(self) -> None:
+        """All ids in even blocks again; a block must have taken in ``size`` ids since the last time."""
+        ids = self.ids()
+        self.size = max(64, isqrt(len(ids)))
+        self.blocks = [ids[i : i + self.size] for i in range(0, len(ids), self.size)]
+        self.home = {clip: block for block in self.blocks for clip in block}
+
+    def ids(self) -> list:
+        return [clip for block in self.blocks for clip in block]
+
+
 def _walk_moves(batches):
     """Stream sorted list changes; only the current recording's clip ids are held."""
-    current, order = None, []
+    current, order = None, None
 
     def flush():
+        ids = order.ids()
         return pa.RecordBatch.from_pydict(
             {
-                "recording_id": pa.array([current] * len(order), pa.string()),
-                "clip_id": pa.array(order, pa.string()),
-                "position": pa.array(range(len(order)), pa.int64()),
+                "recording_id": pa.array([current] * len(ids), pa.string()),
+                "clip_id": pa.array(ids, pa.string()),
+                "position": pa.array(range(len(ids)), pa.int64()),
             }
         )
 
     for batch in batches:
         data = batch.to_pydict()
         for recording, clip, target in zip(data["recording_id"], data["clip_id"], data["target"]):
-            if recording != current:
-                if order:
+            if recording != current or order is None:
+                if order is not None:
                     yield flush()
-                current, order = recording, []
+                current, order = recording, ListOrder()
             if target is None:
                 order.append(clip)
             else:
-                order.remove(clip)
-                order.insert(target, clip)
-    if order:
+                order.move(clip, target)
+    if order is not None:
         yield flush()
 
 

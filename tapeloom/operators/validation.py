@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.text import is_blank
 from tapeloom.operators.clips import ORDINAL_BUCKET, RECORDING
 from tapeloom.plans.scan import Lag, ordered_scan
-from tapeloom.schemas import ASSET_KINDS, EVENT_KINDS, PROVENANCES, SAMPLE_RATE_HZ
+from tapeloom.schemas import ASSET_KINDS, CLIP_KINDS, EVENT_KINDS, PROVENANCES, SAMPLE_RATE_HZ
 
 
 def split_rejects(df: DataFrame, code: Column, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -29,8 +29,10 @@ def range_code() -> Column:
 def payload_code() -> Column:
     """First rule an event or command breaks on its own, whatever the state."""
     kind = F.col("kind")
+    unnamed = F.col(RECORDING).isNull() | (kind.isin(*CLIP_KINDS) & F.col("clip_id").isNull())
     return (
         F.when(~F.coalesce(kind.isin(*EVENT_KINDS), F.lit(False)), "unknown_kind")
+        .when(unnamed | ((kind == "transcript_committed") & F.col("transcript_id").isNull()), "missing_field")
         .when((kind == "recording_created") & (F.coalesce("source_path", F.lit("")) == ""), "empty_source_path")
         .when((kind == "recording_created") & ~F.coalesce(F.col("source_kind").isin(*ASSET_KINDS), F.lit(False)), "unknown_source_kind")
         .when((kind == "recording_failed") & is_blank("reason"), "empty_recording_failure")

@@ -274,6 +274,20 @@ def oracle_sql() -> dict[str, str]:
 
     q["command_log"] = command_fold_sql("""SELECT recording_id, CASE WHEN code IS NULL THEN last ELSE num END AS sequence, kind, CASE WHEN code IS NULL THEN clip_id END AS clip_id, code AS reason_code
         FROM (SELECT st.*, ev.sequence * 2 + ev.copy AS num, ev.clip_id FROM st JOIN ev ON ev.recording_id = st.recording_id AND ev.i = st.i)""")
+    q["replay_tail"] = fold_sql("""SELECT coalesce(a.recording_id, b.recording_id) AS recording_id, a.status, a.failure, a.last_sequence,
+          a.n_clips, a.placed, a.edited_at, a.n_failures, a.n_transcripts, a.sum_versions, b.stop_sequence, b.reason_code
+        FROM (SELECT recording_id, status, failure, last AS last_sequence, nullif(len(clips), 0) AS n_clips,
+            CAST((SELECT sum((i - 1) * clips[i].e) FROM range(1, len(clips) + 1) AS t(i)) AS BIGINT) AS placed,
+            CAST((SELECT sum(i) FROM range(1, len(clips) + 1) AS t(i) WHERE clips[i].st = 'edited') AS BIGINT) AS edited_at,
+            CASE WHEN len(clips) > 0 THEN len(list_filter(clips, lambda x: x.fail IS NOT NULL)) END AS n_failures,
+            nullif(len(texts), 0) AS n_transcripts, CAST(list_sum(list_transform(texts, lambda x: x.no)) AS BIGINT) AS sum_versions FROM fin) a
+        FULL JOIN (SELECT st.recording_id, ev.sequence AS stop_sequence, st.code AS reason_code FROM st JOIN ev ON ev.recording_id = st.recording_id AND ev.i = st.i WHERE st.code IS NOT NULL) b
+          ON a.recording_id = b.recording_id""")
+    q["command_tail"] = fold_sql("""SELECT recording_id, last + 2 * i - 1 + k AS sequence, CASE k WHEN 0 THEN 'clip_deleted' ELSE 'clip_added' END AS kind,
+          CASE k WHEN 0 THEN clips[i].id ELSE 'n' || (i - 1) END AS clip_id, NULL AS reason_code
+        FROM (SELECT recording_id, last, clips, unnest(range(1, len(clips) + 1)) AS i FROM fin) CROSS JOIN (VALUES (0), (1)) AS t(k)
+        UNION ALL SELECT recording_id, -1, 'clip_added', NULL, 'clip_overlaps' FROM fin WHERE clips[1].st = 'edited'
+        """, "sequence <= 3 + CAST(recording_id AS BIGINT) % 17")
     orders = "k AS (SELECT CAST(l_orderkey AS VARCHAR) AS recording_id, count(*) AS n FROM lineitem GROUP BY 1)"
     q["command_splits"] = f"""WITH {orders}, r AS (SELECT recording_id, n, unnest(range(n)) AS r FROM k)
         SELECT recording_id, n + 2 + 3 * r AS sequence, 'clip_deleted' AS kind, NULL AS start_us, NULL AS end_us FROM r

@@ -19,6 +19,7 @@ from tapeloom.plans import tables as T
 from tapeloom.plans.full_log import full_log
 from tapeloom.plans.once import computed_once
 from tapeloom.plans.scan import SumBefore, ordered_scan
+from tapeloom.plans.stage import written
 from tapeloom.plans.tables import RECORDING
 from tapeloom.session import fresh_folder
 from tapeloom.schemas import COMMAND_EVENTS, EVENTS_DDL, struct_type
@@ -173,43 +174,48 @@ def failure_report(spark, d):
 
 @query
 def replay_recordings(spark, d):
-    return replay.replay(T.conversation_log(spark, d)).recordings
+    return replay.replay(written(T.conversation_log(spark, d), "log")).recordings
 
 
 @query
 def replay_clips(spark, d):
-    return replay.replay(T.conversation_log(spark, d)).clips
+    return replay.replay(written(T.conversation_log(spark, d), "log")).clips
 
 
 @query
 def replay_transcripts(spark, d):
-    return replay.replay(T.conversation_log(spark, d)).transcripts
+    return replay.replay(written(T.conversation_log(spark, d), "log")).transcripts
 
 
 @query
 def replay_rejects(spark, d):
-    return replay.replay(T.conversation_log(spark, d)).rejects
+    return replay.replay(written(T.conversation_log(spark, d), "log")).rejects
+
+
+def _stored_log(spark, d) -> DataFrame:
+    """The full logs as the table that they are in use."""
+    return written(full_log(spark, d), "log")
 
 
 @query
 def replay_full_recordings(spark, d):
     """Logs with all ten kinds and every reject code, one per order."""
-    return replay.replay(full_log(spark, d)).recordings
+    return replay.replay(_stored_log(spark, d)).recordings
 
 
 @query
 def replay_full_clips(spark, d):
-    return replay.replay(full_log(spark, d)).clips
+    return replay.replay(_stored_log(spark, d)).clips
 
 
 @query
 def replay_full_transcripts(spark, d):
-    return replay.replay(full_log(spark, d)).transcripts
+    return replay.replay(_stored_log(spark, d)).transcripts
 
 
 @query
 def replay_full_rejects(spark, d):
-    return replay.replay(full_log(spark, d)).rejects
+    return replay.replay(_stored_log(spark, d)).rejects
 
 
 @query
@@ -329,7 +335,7 @@ def malformed_lines(spark, d):
 @query
 def apply_commands(spark, d):
     """User edits of every committed turn, on top of the replayed logs."""
-    state = replay.replay(T.conversation_log(spark, d))
+    state = replay.replay(written(T.conversation_log(spark, d), "log"))
     edits = T.read(spark, d, "conversations").select(
         T.text_id("conv_id"), F.concat_ws("-", "conv_id", "turn").alias("clip_id"), "turn",
         F.upper("text").alias("text"),
@@ -373,8 +379,57 @@ def _order_log(spark, d) -> DataFrame:
     return both.select(*[F.col(f.name) if f.name in both.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
 
 
+def _cut_log(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The full logs in two parts, as a table written twice would hold them: each log up to a number of its own, and the rest."""
+    log = _stored_log(spark, d)
+    early = F.col("sequence") <= F.expr("3 + cast(recording_id as bigint) % 17")
+    return log.filter(early), log.filter(~early)
+
+
+@query
+def replay_tail(spark, d):
+    """The full logs judged in two steps: state tables of the first part, then only the records after them.
+
+    Logs that broke a rule in the first part have no more to say."""
+    early, late = _cut_log(spark, d)
+    first = replay.replay(early)
+    state = replay.Replayed(*(written(getattr(first, n), n) for n in ("recordings", "clips", "transcripts")))
+    stopped = written(first.rejects, "rejects")
+    then = replay.replay(late.join(stopped, RECORDING, "left_anti"), snapshot=state)
+    held = then.clips.groupBy(RECORDING).agg(
+        F.count("*").alias("n_clips"), F.sum(F.col("position") * F.col("end_us")).alias("placed"),
+        F.sum(F.when(F.col("status") == "edited", F.col("position") + 1)).alias("edited_at"), F.count("failure").alias("n_failures"),
+    )
+    texts = then.transcripts.groupBy(RECORDING).agg(F.count("*").alias("n_transcripts"), F.sum("version_no").alias("sum_versions"))
+    bad = stopped.unionByName(then.rejects).select(RECORDING, F.col("sequence").alias("stop_sequence"), "reason_code")
+    return (
+        then.recordings.select(RECORDING, "status", "failure", "last_sequence")
+        .join(held, RECORDING, "left").join(texts, RECORDING, "left").join(bad, RECORDING, "full_outer")
+    )
+
+
+@query
+def command_tail(spark, d):
+    """Commands on state tables alone: each clip of the full logs' first part is deleted and added anew, later in the
+    source and under another id; before that, where the first clip was edited, one is asked for that would lie over it."""
+    state = replay.replay(_cut_log(spark, d)[0])
+    state = replay.Replayed(*(written(getattr(state, n), n) for n in ("recordings", "clips", "transcripts")))
+    again = state.clips.withColumns({
+        "clip_id": F.concat(F.lit("n"), "position"), "start_us": F.col("position") * 10 + 10_000_000, "end_us": F.col("position") * 10 + 10_000_010,
+    })
+    over = state.clips.filter("position = 0 and status = 'edited'").withColumn("clip_id", F.lit("over"))
+    asked = (
+        commands.delete_commands(state.clips, F.col("position") * 2)
+        .unionByName(commands.add_clip_commands(again, F.col("position") * 2 + 1))
+        .unionByName(commands.add_clip_commands(over, F.lit(-1)))
+    )
+    events, refused = commands.apply_commands(state, asked)
+    done = events.select(RECORDING, "sequence", "kind", "clip_id", F.lit(None).cast("string").alias("reason_code"))
+    return done.unionByName(refused.select(RECORDING, F.col("ordinal").alias("sequence"), "kind", F.lit(None).cast("string").alias("clip_id"), "reason_code"))
+
+
 def _command_query(spark, d, change) -> DataFrame:
-    log = _order_log(spark, d)
+    log = written(_order_log(spark, d), "log")
     held = log.filter("kind = 'clip_added'").select(RECORDING, "clip_id", "start_us", "end_us", F.lit("pending").alias("status"))
     events, refused = commands.apply_commands(log, change(held), ordinal_width=commands.TIME_ORDINALS)
     done = events.select(RECORDING, "sequence", "kind", "start_us", "end_us")
