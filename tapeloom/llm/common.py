@@ -27,6 +27,12 @@ def fold_of(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no working column has, and the new name of each."""
+    names = [f"given{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

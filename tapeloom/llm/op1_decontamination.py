@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import read
+from tapeloom.llm.common import own_names, read
 from tapeloom.plans.stage import written
 
 WINDOW, WORDS, COVERAGE = 5, 3, 0.5
@@ -192,9 +192,16 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are linked to no benchmark item."""
-    leaked = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
-    return docs.join(leaked.hint("merge"), docs["doc_id"].eqNullSafe(leaked["__leaked"]), "left_anti")
+    """The rows of ``docs``, all columns, that are linked to no benchmark item.
+
+    Each text is judged by itself, under its digest: rows that share an id, or have none, do not answer for each other.
+    """
+    own, at = own_names(docs)
+    name = F.unhex(F.sha2(F.coalesce(at["text"], F.lit("")), 256))
+    texts = own.select(name.alias("doc_id"), F.col(at["text"]).alias("text"))
+    leaked = written(contaminated(texts, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    kept = own.withColumn("name", name).join(leaked.hint("merge"), F.col("name") == F.col("leaked"), "left_anti")
+    return kept.select(*own.columns).toDF(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import add_columns, read, utf8
+from tapeloom.llm.common import add_columns, own_names, read, utf8
 from tapeloom.llm.components import components
 from tapeloom.llm.shingles import links as shingle_links
 from tapeloom.llm.shingles import with_shingles
@@ -204,6 +204,11 @@ def drop_near_duplicates(
 
     With a ``similarity``, components are those of shingles of ``words`` words at that similarity.
     """
+    own, at = own_names(docs)
+    return _stay(own, at[doc_id], at[text], similarity, words).toDF(*docs.columns)
+
+
+def _stay(docs: DataFrame, doc_id: str, text: str, similarity: float | None, words: int) -> DataFrame:
     if similarity is None:
         marked = with_fingerprint(docs, text)
         narrow = written(marked.select(F.col(doc_id).cast("bigint").alias("doc_id"), "__fp"), "marked")

@@ -34,7 +34,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 EMPTIED = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input label math menu nav noembed noframes "
+    "aside audio button canvas datalist dialog footer head iframe input label math menu nav noembed noframes "
     "noscript object script select style svg template textarea title video xmp".split()
 )
 ROLES = frozenset(
@@ -49,6 +49,11 @@ FURNITURE = (
     "copyright legal disclaimer skip-link"
 )
 _FURNITURE = re.compile(rf"(?:[\w-]*[_-])?(?:{'|'.join(FURNITURE.split())})(?:[_-][\w-]*)?")
+#: Whole names of reader comments.
+_COMMENTS = re.compile(r"(?:comments?|comment[_-]?(?:body|list|section|thread)|comments[_-](?:area|list|section|wrap|wrapper))")
+#: Parts of the names of wrappers, and the share of a page's text beyond which one, or a form, is the page itself.
+_WRAPPER = re.compile(r"(?:^|[_-])(?:wrap|wrapper|container|content|main|page|layout|site)(?:$|[_-])")
+MOSTLY = 0.6
 _BESIDE = re.compile(r"(?:has|no|with|without|is|not|hide)[_-]")
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -66,10 +71,10 @@ CLIMB = 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "empty", "inside", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "parts", "empty", "inside", "chars", "tags", "link_chars", "link_tags", "density", "wraps")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.parts, self.empty = tag, parent, [], 0
+        self.tag, self.parent, self.parts, self.empty, self.wraps = tag, parent, [], 0, tag == "form"
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         if parent is not None:
             parent.parts.append(self)
@@ -85,7 +90,7 @@ def _furniture(tag: str, attributes: str, node: Node) -> int:
     """0: content; 1: furniture, unless it holds the article; 2: never content."""
     if tag in EMPTIED:
         return 2
-    if tag == "header" and not node.inside:
+    if tag == "form" or tag == "header" and not node.inside:
         return 1
     if not attributes or tag in ("html", "body", "main"):
         return 0
@@ -97,8 +102,9 @@ def _furniture(tag: str, attributes: str, node: Node) -> int:
     names = [*found.get("class", "").split(), *found.get("id", "").split()]
     named = [n for n in names if _FURNITURE.fullmatch(n) and not _BESIDE.match(n)]
     if tag == "article" or node.inside and tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6"):
-        named = [n for n in named if "comment" in n]
-    return 2 if any("comment" in n for n in named) else int(bool(named))
+        named = [n for n in named if _COMMENTS.fullmatch(n)]
+    node.wraps = any(_WRAPPER.search(n) for n in named)
+    return 2 if any(_COMMENTS.fullmatch(n) for n in named) else int(bool(named))
 
 
 def tree(html: str) -> Node:
@@ -232,6 +238,12 @@ def main_text(html: str | None) -> str:
         if node.inside and node.empty == 1:
             node.empty = 0
     body = next((n for n in nodes if n.tag == "body"), root)
+    for node in reversed(nodes):
+        inner = (sum(map(len, p.split())) if isinstance(p, str) else p.chars for p in node.parts)
+        node.chars = 0 if node.empty == 2 else sum(inner)
+    for node in nodes:  # nor is one around nearly the whole page
+        if node.empty == 1 and node.wraps and node.chars > MOSTLY * body.chars:
+            node.empty = 0
     measure(nodes, body)
     core, most = body, -1.0
     for node in nodes:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import add_columns, fold_of, read
+from tapeloom.llm.common import add_columns, fold_of, own_names, read
 
 PLACES = 1 << 16
 ORDERS = 3
@@ -177,13 +177,16 @@ def train(
     per_language: int = 500,
     languages: int = 256,
 ) -> Model:
+    """Learn every language that occurs; more than ``languages`` of them raise, as the model would grow too large."""
     rows = docs.select(
         F.col(text).alias("text"),
         F.col(lang).cast("string").alias("lang"),
         fold_of(doc_id, 4).alias("fold"),
         F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1 << 31)).alias("draw"),
     ).filter("fold <> 2 and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = rows.groupBy("lang").count().limit(languages + 1).collect()
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} languages to learn")
     if not sizes:
         return Model([], np.zeros(PLACES, np.int32), np.zeros((1, 0), np.float32), np.zeros(0), 1.0)
     names = sorted(r["lang"] for r in sizes)
@@ -240,7 +243,9 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is recognised with score ``least`` or more."""
     known = (F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)
-    return with_language(docs, train(docs)).filter(known).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, at = own_names(docs)
+    judged = with_language(own, train(own, at["doc_id"], at["text"], at["lang"]), at["text"])
+    return judged.filter(known).select(*own.columns).toDF(*docs.columns)
 
 
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import WHITE, add_columns, read, utf8
+from tapeloom.llm.common import WHITE, add_columns, own_names, read, utf8
 from tapeloom.plans.stage import written
 
 #: Bits of a fingerprint that name the block in which filters meet, and the slot inside it.
@@ -161,6 +161,11 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay; repeated rows of the kept id give one."""
+    own, at = own_names(docs)
+    return _stay(own, at[doc_id], at[text]).toDF(*docs.columns)
+
+
+def _stay(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     found = exact_duplicates(docs, doc_id, text)
     name = [F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__name"), "n_rows"]
     # rows to take out: those that go, and repeated ones, of which one comes back

@@ -192,3 +192,18 @@ def test_pages_of_the_given_table(spark):
 def test_deep_pages_are_linear():
     assert html.main_text("<div>" * 50_000 + "x") == "x"
     assert html.main_text("<p>a" * 50_000) == " ".join("a" * 50_000)
+
+
+BODY = "".join(f"<p>Sentence {i} of the story goes on for quite a while, with many a word.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form id=f><input value=x>{BODY}<button>Go</button></form></body>",
+    f"<body><form><nav>Menu</nav><article>{BODY}</article></form></body>",
+    f'<body><div class="content-sidebar-wrap">{BODY}</div><footer>Foot</footer></body>',
+    f'<body><article class="post comment-status-open">{BODY}</article><div id="comments"><p>{"Nice one. " * 9}</p></div></body>',
+    f'<body><div>{BODY}</div><form class="newsletter"><p>Join us now</p></form><div class="nav-wrapper"><p>Home and away</p></div></body>',
+])
+def test_articles_in_odd_wrappers(page):
+    text = html.main_text(page)
+    assert text.startswith("Sentence 0 of") and text.endswith("many a word.") and text.count("Sentence") == 12
