@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +87,7 @@ _loaded: dict = {}
 
 
 def _worker_backend(key: str, factory: Callable[[], Backend]) -> Backend:
-    """One backend per worker process, however many partitions it serves."""
+    """One backend per worker process, however many partitions it serves; ``key`` names what ``factory`` makes."""
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = factory()
@@ -128,9 +130,11 @@ def call_backend(
     ``batch`` windows are held as requests at once.
     """
     names = [f.split()[0] for f in RESULTS_DDL.split(", ")]
+    # workers outlive a job: another factory, or one that holds other values, is another backend
+    key = f"{run_key} {hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()}"
 
     def run(batches):
-        backend = _worker_backend(run_key, factory)
+        backend = _worker_backend(key, factory)
         name = backend.capabilities().backend_id
         for whole in batches:
             for at in range(0, whole.num_rows, batch):

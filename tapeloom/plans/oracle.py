@@ -410,7 +410,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT vec_id, bin, round(re * re + im * im, 5) AS power FROM d"""
     q["log_mel"] = _mel_levels("SELECT recording_id, 'all#' || f // 480000 AS window_id, f % 480000 AS f, s, least(480000, n - f // 480000 * 480000) AS n FROM sig")
     q["spectrogram_stats"] = f"""SELECT recording_id, window_id, CAST(3000 AS BIGINT) AS n_frames, min(min_level) AS min_value, max(max_level) AS max_value
-        FROM ({_mel_levels("SELECT recording_id, recording_id || '-0#0' AS window_id, f, s, least(160, n) AS n FROM sig WHERE f < 160")}) GROUP BY 1, 2"""
+        FROM ({_mel_levels("SELECT recording_id, 'all#' || f // 480000 AS window_id, f % 480000 AS f, s, least(480000, n - f // 480000 * 480000) AS n FROM sig")}) GROUP BY 1, 2"""
     q["window_samples"] = """WITH l AS (SELECT CAST(l_linenumber AS VARCHAR) AS recording_id, l_partkey AS part, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
           row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) - 1 AS b FROM lineitem),
         x AS (SELECT recording_id, (b * 64 + i) // 480000 AS window_no, (cents + i * part) % 128 - 64 AS v FROM l, (SELECT unnest(range(64)) AS i))

@@ -794,9 +794,9 @@ def log_mel(spark, d):
 
 @query
 def spectrogram_stats(spark, d):
-    """Least and greatest level of each 10 ms clip, from its features."""
+    """Least and greatest level of each feature window of the whole label recordings."""
     media = T.label_media(spark, d)
-    mel, _ = features.clip_log_mel(_label_clips(media).filter("start_us = 0"), T.label_blocks(spark, d), media, T.VECTOR)
+    mel, _ = features.clip_log_mel(_whole(media), T.label_blocks(spark, d), media, T.VECTOR)
     return features.spectrogram_stats(mel).select(
         RECORDING, F.col("clip_id").alias("window_id"), "n_frames", _rounded("min_value", 3).alias("min_value"), _rounded("max_value", 3).alias("max_value")
     )
