@@ -471,6 +471,7 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT conv_id, turn * 3 + 4, 'transcript_committed' FROM conversations)
         SELECT CAST(conv_id AS VARCHAR) AS recording_id, sequence, kind,
           CASE WHEN st IS NULL OR sequence < st * 3 + 4 THEN 'accepted' WHEN sequence = st * 3 + 4 THEN 'clip_deleted' ELSE 'log_closed' END AS outcome FROM l LEFT JOIN s USING (conv_id)"""
+    q["stream_growing_logs"] = f"""SELECT kind, outcome, count(*) AS n_records, CAST(sum(sequence) AS BIGINT) AS sum_sequence, count(DISTINCT recording_id) AS n_recordings FROM ({q["stream_replay"]}) GROUP BY 1, 2"""
     q["capture_report"] = f"""WITH {packets} SELECT recording_id, 16000 AS sample_rate_hz, CAST(sum(n) AS BIGINT) AS frame_count,
         CAST(sum(n) * 1000000 // 16000 AS BIGINT) AS duration_us, bool_or(stop) AS stopped FROM p GROUP BY 1"""
     return q

@@ -28,6 +28,7 @@ from tapeloom.sources.event_log import line_json, parse_log_lines
 from tapeloom.sources.probe import parse_probe
 from tapeloom.streaming import capture
 from tapeloom.streaming.bounded import drained, table_stream
+from tapeloom.streaming.growing import growing_event_logs
 from tapeloom.streaming.replay import replay_stream
 from tapeloom.streaming.level import level_by_window
 
@@ -987,6 +988,20 @@ def stream_replay(spark, d):
     return judged.select(RECORDING, "sequence", "kind", "outcome")
 
 
+@query
+def stream_growing_logs(spark, d):
+    """Log files judged as they grow: each is written in part, drained, appended to, and drained again after a restart."""
+    log = written(T.uuid_log(spark, d).drop("line"), "log")
+    root = fresh_folder(spark, "store")
+    place = fresh_folder(spark, "judged"), fresh_folder(spark, "judged-progress")
+    for part in (log.filter("sequence < 6"), log):
+        # a log written whole has the bytes of its first part in front, as if it had been appended to
+        event_log.write_event_logs(part, root)
+        events, _ = growing_event_logs(spark, root)
+        judged = drained(replay_stream(events), "judged", place)
+    return judged.groupBy("kind", "outcome").agg(F.count("*").alias("n_records"), F.sum("sequence").alias("sum_sequence"), F.countDistinct(RECORDING).alias("n_recordings"))
+
+
 @query
 def stream_capture(spark, d):
     """Life cycles of the turns as packets: an assistant's turn ends the capture, later ones are refused."""

@@ -25,7 +25,7 @@ from tapeloom.sources.files import write_files
 _FOLDER = r"/recordings/([^/]+)/[^/]+$"
 
 
-def _owner(path) -> F.Column:
+def owner_of(path) -> F.Column:
     return F.regexp_extract(path, _FOLDER, 1)
 
 
@@ -62,9 +62,9 @@ def parse_log_lines(lines: DataFrame, uuids: bool = False) -> tuple[DataFrame, D
 
     Blank lines are skipped. A line is malformed unless it parses, holds exactly one event, and
     that event has the fields of its kind: known names, numbers from zero up, and with ``uuids``
-    ids that are UUIDs. A ``line_no`` column is kept.
+    ids that are UUIDs. A ``line_no`` or ``at_byte`` column is kept.
     """
-    kept = ["owner", "value", *(c for c in ("line_no",) if c in lines.columns)]
+    kept = ["owner", "value", *(c for c in ("line_no", "at_byte") if c in lines.columns)]
     shape = LOG_LINE_DDL + ", _corrupt string"
     parsed = lines.filter(~is_blank("value")).withColumn(
         "j", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -120,7 +120,7 @@ def read_event_log(spark: SparkSession, root: str, line_numbers: bool = False) -
         f"{root.rstrip('/')}/recordings"
     )
     owned = lines.select(
-        _owner(F.col("_metadata.file_path")).alias("owner"), "value",
+        owner_of(F.col("_metadata.file_path")).alias("owner"), "value",
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
     ).filter(is_uuid("owner"))
     return parse_log_lines(_numbered(owned) if line_numbers else owned.select("owner", "value"), uuids=True)
@@ -227,7 +227,7 @@ def read_manifests(spark: SparkSession, root: str) -> tuple[Replayed, DataFrame]
     texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").text(
         f"{root.rstrip('/')}/recordings", wholetext=True
     )
-    owned = texts.select(_owner(F.col("_metadata.file_path")).alias("owner"), "value").filter(is_uuid("owner"))
+    owned = texts.select(owner_of(F.col("_metadata.file_path")).alias("owner"), "value").filter(is_uuid("owner"))
     return parse_manifests(owned)
 
 

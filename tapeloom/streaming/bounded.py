@@ -15,10 +15,13 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as a lone file is no root
 
 
-def drained(stream: DataFrame, stem: str) -> DataFrame:
-    """All rows of ``stream``, written below the shared folder; the session's state store is put back after."""
+def drained(stream: DataFrame, stem: str, place: tuple[str, str] | None = None) -> DataFrame:
+    """All rows of ``stream``, written below the shared folder; the session's state store is put back after.
+
+    ``place`` names the folders of rows and progress; a second call with them goes on where the first one ended.
+    """
     spark = stream.sparkSession
-    out, mark = fresh_folder(spark, stem), fresh_folder(spark, f"{stem}-progress")
+    out, mark = place or (fresh_folder(spark, stem), fresh_folder(spark, f"{stem}-progress"))
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, ROCKS_DB)
     try:
