@@ -472,6 +472,13 @@ def oracle_sql() -> dict[str, str]:
         SELECT CAST(conv_id AS VARCHAR) AS recording_id, sequence, kind,
           CASE WHEN st IS NULL OR sequence < st * 3 + 4 THEN 'accepted' WHEN sequence = st * 3 + 4 THEN 'clip_deleted' ELSE 'log_closed' END AS outcome FROM l LEFT JOIN s USING (conv_id)"""
     q["stream_growing_logs"] = f"""SELECT kind, outcome, count(*) AS n_records, CAST(sum(sequence) AS BIGINT) AS sum_sequence, count(DISTINCT recording_id) AS n_recordings FROM ({q["stream_replay"]}) GROUP BY 1, 2"""
+    q["stream_commands"] = """SELECT CAST(conv_id AS VARCHAR) AS recording_id, 'created' AS status, 1 + 3 * count(*) - count(*) FILTER (WHERE role = 'system') AS last_sequence,
+        count(*) AS n_clips, count(*) FILTER (WHERE role = 'system') AS n_deleted, count(*) * (count(*) - 1) // 2 AS sum_positions,
+        nullif(count(*) FILTER (WHERE role <> 'system'), 0) AS n_transcripts, nullif(count(*) FILTER (WHERE role = 'system'), 0) AS n_refused,
+        max(CASE WHEN role = 'system' THEN 'clip_deleted' END) AS reason_code FROM conversations GROUP BY conv_id"""
+    q["stream_snapshots"] = f"""WITH {CONV_LOG} SELECT recording_id, 'created' AS status, 1 + 3 * count(*) - count(*) FILTER (WHERE stops) AS last_sequence,
+        count(*) AS n_clips, count(*) FILTER (WHERE stops) AS n_deleted, count(*) * (count(*) - 1) // 2 AS sum_positions,
+        nullif(count(*) FILTER (WHERE NOT stops), 0) AS n_transcripts FROM lt GROUP BY recording_id"""
     q["capture_report"] = f"""WITH {packets} SELECT recording_id, 16000 AS sample_rate_hz, CAST(sum(n) AS BIGINT) AS frame_count,
         CAST(sum(n) * 1000000 // 16000 AS BIGINT) AS duration_us, bool_or(stop) AS stopped FROM p GROUP BY 1"""
     return q

@@ -22,14 +22,14 @@ from tapeloom.plans.scan import SumBefore, ordered_scan
 from tapeloom.plans.stage import written
 from tapeloom.plans.tables import RECORDING
 from tapeloom.session import fresh_folder
-from tapeloom.schemas import COMMAND_EVENTS, EVENTS_DDL, struct_type
+from tapeloom.schemas import COMMAND_EVENTS, COMMANDS_DDL, EVENTS_DDL, struct_type
 from tapeloom.sources import event_log, export, media
 from tapeloom.sources.event_log import line_json, parse_log_lines
 from tapeloom.sources.probe import parse_probe
 from tapeloom.streaming import capture
-from tapeloom.streaming.bounded import drained, table_stream
+from tapeloom.streaming.bounded import drained, drained_into, table_stream
 from tapeloom.streaming.growing import growing_event_logs
-from tapeloom.streaming.replay import replay_stream
+from tapeloom.streaming.replay import command_sink, read_snapshots, replay_stream, snapshot_sink
 from tapeloom.streaming.level import level_by_window
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1002,6 +1002,46 @@ def stream_growing_logs(spark, d):
     return judged.groupBy("kind", "outcome").agg(F.count("*").alias("n_records"), F.sum("sequence").alias("sum_sequence"), F.countDistinct(RECORDING).alias("n_recordings"))
 
 
+def _conversation_commands(spark, d) -> DataFrame:
+    """Every record of the conversation logs as a command, in the logs' order."""
+    named = F.create_map(*[F.lit(x) for pair in COMMAND_EVENTS.items() for x in reversed(pair)])
+    rows = T.conversation_log(spark, d).withColumn("kind", named[F.col("kind")]).withColumnRenamed("sequence", "ordinal")
+    return rows.select(*[f.name for f in struct_type(COMMANDS_DDL)])
+
+
+def _state_totals(state: replay.Replayed) -> DataFrame:
+    held = state.clips.groupBy(RECORDING).agg(
+        F.count("*").alias("n_clips"), F.count(F.when(F.col("status") == "deleted", 1)).alias("n_deleted"), F.sum("position").alias("sum_positions"),
+    )
+    texts = state.transcripts.groupBy(RECORDING).agg(F.count("*").alias("n_transcripts"))
+    return state.recordings.select(RECORDING, "status", "last_sequence").join(held, RECORDING, "left").join(texts, RECORDING, "left")
+
+
+@query
+def stream_commands(spark, d):
+    """Commands as a stream in two runs, each on the snapshots that the one before left."""
+    asked = written(_conversation_commands(spark, d), "commands")
+    source, log, snaps, mark = (fresh_folder(spark, n) for n in ("asked", "log", "snapshots", "progress"))
+    for part in (asked.filter("ordinal < 6"), asked.filter("ordinal >= 6")):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(struct_type(COMMANDS_DDL)).parquet(source)
+        drained_into(stream, command_sink(log, snaps, compact_every=2), mark)
+    refused = spark.read.parquet(f"{log}/refused").groupBy(RECORDING).agg(F.count("*").alias("n_refused"), F.min("reason_code").alias("reason_code"))
+    return _state_totals(read_snapshots(spark, snaps)).join(refused, RECORDING, "left")
+
+
+@query
+def stream_snapshots(spark, d):
+    """Snapshots moved on batch by batch by the judged conversation logs, in two runs."""
+    log = written(T.conversation_log(spark, d), "log")
+    source, judged, snaps, mark = (fresh_folder(spark, n) for n in ("events", "judged", "snapshots", "progress"))
+    for part in (log.filter("sequence < 6"), log.filter("sequence >= 6")):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(struct_type(EVENTS_DDL)).parquet(source)
+        drained_into(replay_stream(stream), snapshot_sink(judged, snaps, compact_every=2), mark)
+    return _state_totals(read_snapshots(spark, snaps))
+
+
 @query
 def stream_capture(spark, d):
     """Life cycles of the turns as packets: an assistant's turn ends the capture, later ones are refused."""

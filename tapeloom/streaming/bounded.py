@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.session import fresh_folder
@@ -22,14 +24,22 @@ def drained(stream: DataFrame, stem: str, place: tuple[str, str] | None = None)
     """
     spark = stream.sparkSession
     out, mark = place or (fresh_folder(spark, stem), fresh_folder(spark, f"{stem}-progress"))
+    _run(stream.writeStream.format("parquet").option("path", out), spark, mark)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def drained_into(stream: DataFrame, sink: Callable[[DataFrame, int], None], mark: str) -> None:
+    """The same into a foreachBatch sink, with progress in the folder ``mark``."""
+    _run(stream.writeStream.foreachBatch(sink), stream.sparkSession, mark)
+
+
+def _run(writer, spark: SparkSession, mark: str) -> None:
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, ROCKS_DB)
     try:
-        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
-        run.trigger(availableNow=True).start().awaitTermination()
+        writer.option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     finally:
         if before is None:
             spark.conf.unset(_PROVIDER)
         else:
             spark.conf.set(_PROVIDER, before)
-    return spark.read.schema(stream.schema).parquet(out)

@@ -11,17 +11,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tapeloom.operators.clips import RECORDING
+from tapeloom.operators.commands import apply_commands
 from tapeloom.operators.fold import RecordingFold, Refused
-from tapeloom.operators.replay import Replayed, clips_of, recordings_of, transcripts_of
+from tapeloom.operators.replay import Replayed, touched_state
 from tapeloom.operators.validation import payload_code
+from tapeloom.plans.stage import written
 from tapeloom.schemas import (
-    EVENT_COLUMNS, EVENTS_DDL, N_BUCKETS, PAYLOAD, PAYLOAD_COLUMNS, SCHEMA_VERSION, struct_type,
+    CLIPS_DDL, EVENT_COLUMNS, EVENTS_DDL, N_BUCKETS, PAYLOAD, PAYLOAD_COLUMNS, RECORDINGS_DDL, SCHEMA_VERSION, TRANSCRIPTS_DDL, struct_type,
 )
+from tapeloom.sources.files import open_path
+
+# Batches between two bases of the snapshots.
+COMPACT_EVERY = 16
 
 JUDGED_DDL = EVENTS_DDL + ", outcome string"
 _HELD = ["kind", *PAYLOAD_COLUMNS, "schema_version", "problem"]
@@ -188,42 +195,123 @@ def bucket_of():
     return F.pmod(F.xxhash64(RECORDING), F.lit(N_BUCKETS)).cast("int")
 
 
-def snapshot_sink(judged_path: str, snapshot_path: str):
-    """foreachBatch writer that keeps judged records and refreshes the snapshots they touch.
+def snapshot_sink(judged_path: str, snapshot_path: str, compact_every: int = COMPACT_EVERY):
+    """foreachBatch writer that keeps judged records and moves on the snapshots they touch.
 
-    Only storage buckets with a touched recording are read back. Snapshots are versions
-    keyed by batch: a batch writes rows for its own recordings only, and a repeated batch
-    overwrites exactly what it wrote before. ``read_snapshots`` picks the latest version.
+    A batch reads the newest snapshot of its own recordings, never their history, and writes one new
+    version of them; see ``Snapshots``. A repeated batch starts from the versions before it and
+    replaces exactly what it wrote.
     """
     keep = judged_sink(judged_path)
+    store = Snapshots(snapshot_path, compact_every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         keep(batch, batch_id)
-        batch = spark.read.schema(JUDGED_DDL).parquet(f"{judged_path.rstrip('/')}/batch={batch_id}")
-        touched = batch.filter("outcome = 'accepted'").select(RECORDING).distinct()
-        buckets = [r.bucket for r in touched.select(bucket_of().alias("bucket")).distinct().collect()]
-        history = spark.read.schema(JUDGED_DDL + ", batch bigint, bucket int").parquet(judged_path)
-        accepted = history.filter(
-            F.col("bucket").isin(buckets) & (F.col("outcome") == "accepted") & (F.col("batch") <= batch_id)
-        ).join(touched, RECORDING, "left_semi")
-        for name, table in _state(accepted).items():
-            table.write.mode("overwrite").parquet(f"{snapshot_path.rstrip('/')}/{name}/batch={batch_id}")
+        judged = batch.sparkSession.read.schema(JUDGED_DDL).parquet(f"{judged_path.rstrip('/')}/batch={batch_id}")
+        accepted = judged.filter("outcome = 'accepted'").select(*EVENT_COLUMNS)
+        store.put(touched_state(store.before(accepted, batch_id), accepted), batch_id)
 
     return write
 
 
-def _state(accepted: DataFrame) -> dict[str, DataFrame]:
-    return {"recordings": recordings_of(accepted), "clips": clips_of(accepted), "transcripts": transcripts_of(accepted)}
+def command_sink(log_path: str, snapshot_path: str, compact_every: int = COMPACT_EVERY):
+    """foreachBatch writer of commands (COMMANDS_DDL): events, refusals and snapshots of each batch.
 
+    Commands meet the state that earlier batches left, events are written before the snapshot that
+    holds them, and everything of a batch lies in a folder of its own: a repeated batch finds the
+    same state and replaces what it wrote. ``ordinal`` orders the commands of a recording in a batch.
+    """
+    log, store = log_path.rstrip("/"), Snapshots(snapshot_path, compact_every)
 
-def read_snapshots(spark, snapshot_path: str) -> Replayed:
-    """Latest snapshot of every recording."""
-    root = snapshot_path.rstrip("/")
-    newest = spark.read.parquet(f"{root}/recordings").groupBy(RECORDING).agg(F.max("batch").alias("batch"))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        commands = written(batch, "batch")
+        before = store.before(commands, batch_id)
+        events, refused = apply_commands(before, commands)
+        refused.write.mode("overwrite").parquet(f"{log}/refused/batch={batch_id}")
+        events.withColumn("bucket", bucket_of()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/events/batch={batch_id}")
+        kept = batch.sparkSession.read.schema(EVENTS_DDL).parquet(f"{log}/events/batch={batch_id}")
+        store.put(touched_state(before, kept), batch_id)
+
+    return write
+
+
+_TABLES = {"recordings": RECORDINGS_DDL, "clips": CLIPS_DDL, "transcripts": TRANSCRIPTS_DDL}
 
-    def current(name: str) -> DataFrame:
-        table = spark.read.parquet(f"{root}/{name}")
-        return table.join(newest, [RECORDING, "batch"], "left_semi").drop("batch")
 
-    return Replayed(current("recordings"), current("clips"), current("transcripts"), None, None)
+class Snapshots:
+    """State tables in versions, one per batch, in storage buckets.
+
+    A version holds the recordings its batch touched, whole. Every ``compact_every`` batches the newest
+    rows of all recordings are written as a base and the versions up to it are deleted, so a reader
+    meets one base and that many versions at most.
+    """
+
+    def __init__(self, path: str, compact_every: int = COMPACT_EVERY):
+        self.path, self.compact_every = path.rstrip("/"), compact_every
+
+    def _folders(self, name: str) -> list[str]:
+        files, inner = open_path(f"{self.path}/{name}")
+        found = files.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+        return [f.base_name for f in found if f.type == fs.FileType.Directory]
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Batches of the versions or bases that are complete: recordings are written last."""
+        numbers = []
+        for folder in self._folders("recordings"):
+            files, inner = open_path(f"{self.path}/recordings/{folder}/_SUCCESS")
+            if folder.startswith(f"{kind}=") and files.get_file_info(inner).type == fs.FileType.File:
+                numbers.append(int(folder.split("=")[1]))
+        return sorted(numbers)
+
+    def newest(self, spark, before: int | None = None, buckets: list[int] | None = None) -> Replayed:
+        """Newest rows of every recording, of the batches before ``before``."""
+        base = max((n for n in self._numbers("base") if before is None or n < before), default=-1)
+        versions = [n for n in self._numbers("version") if n > base and (before is None or n < before)]
+        folders = [(n, f"version={n}") for n in versions] + ([(base, f"base={base}")] if base >= 0 else [])
+
+        def table(name: str) -> DataFrame:
+            ddl = _TABLES[name] + ", bucket int"
+            whole = spark.createDataFrame([], ddl + ", number bigint")
+            for number, folder in folders:
+                part = spark.read.schema(ddl).parquet(f"{self.path}/{name}/{folder}")
+                whole = whole.unionByName(part.withColumn("number", F.lit(number).cast("bigint")))
+            return whole if buckets is None else whole.filter(F.col("bucket").isin(buckets))
+
+        latest = table("recordings").groupBy(RECORDING).agg(F.max("number").alias("number"))
+        return Replayed(*(table(n).join(latest, [RECORDING, "number"], "left_semi").drop("number", "bucket") for n in _TABLES))
+
+    def before(self, rows: DataFrame, batch_id: int) -> Replayed:
+        """The state that a batch meets, of the recordings that ``rows`` name."""
+        named = written(rows.select(RECORDING).distinct(), "named")
+        buckets = [r.bucket for r in named.select(bucket_of().alias("bucket")).distinct().collect()]  # at most N_BUCKETS
+        state = self.newest(rows.sparkSession, batch_id, buckets)
+        return Replayed(*(written(getattr(state, n).join(named, RECORDING, "left_semi"), n) for n in _TABLES))
+
+    def put(self, state: Replayed, batch_id: int) -> None:
+        self._write(state, f"version={batch_id}")
+        if (batch_id + 1) % self.compact_every == 0:
+            self.compact(state.recordings.sparkSession, batch_id)
+
+    def _write(self, state: Replayed, folder: str) -> None:
+        for name in reversed(_TABLES):
+            table = getattr(state, name).withColumn("bucket", bucket_of())
+            table.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/{folder}")
+
+    def compact(self, spark, batch_id: int) -> None:
+        """A base of all rows before ``batch_id``; then what it replaces is deleted. The batch itself may
+        be repeated and still find the state that it met."""
+        base = batch_id - 1
+        if base < 0:
+            return
+        if base not in self._numbers("base"):
+            self._write(self.newest(spark, batch_id), f"base={base}")
+        for name in _TABLES:
+            for folder in self._folders(name):
+                if int(folder.split("=")[1]) <= base and folder != f"base={base}":
+                    files, inner = open_path(f"{self.path}/{name}/{folder}")
+                    files.delete_dir(inner)
+
+
+def read_snapshots(spark, snapshot_path: str) -> Replayed:
+    """Latest snapshot of every recording."""
+    return Snapshots(snapshot_path).newest(spark)

@@ -10,7 +10,7 @@ from tapeloom.operators.replay import replay
 from tapeloom.schemas import EVENTS_DDL, PACKETS_DDL, struct_type
 from tapeloom.streaming.capture import NO_FRAMES, assemble_capture, capture_lifecycle, decode_packets, read_capture_stream
 from tapeloom.streaming.level import level_by_window
-from tapeloom.streaming.replay import read_snapshots, replay_stream, snapshot_sink
+from tapeloom.streaming.replay import Snapshots, command_sink, read_snapshots, replay_stream, snapshot_sink
 from tests.test_replay import ev, frame, random_log
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,7 +50,7 @@ def test_stream_agrees_with_batch_replay(spark):
         frame(spark, part).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(struct_type(EVENTS_DDL)).option("maxFilesPerTrigger", 1).parquet(source)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    q = replay_stream(stream).writeStream.foreachBatch(snapshot_sink(judged, snaps)).option(
+    q = replay_stream(stream).writeStream.foreachBatch(snapshot_sink(judged, snaps, compact_every=2)).option(
         "checkpointLocation", folder()).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     assert q.exception() is None
@@ -65,6 +65,38 @@ def test_stream_agrees_with_batch_replay(spark):
     }
 
 
+def test_command_batches_can_be_repeated(spark):
+    made = dict(source_kind="audio_file", source_path="x")
+    batches = [
+        [ev("r", 1, "create_recording", **made), ev("r", 2, "add_clip", clip_id="a", start_us=0, end_us=10), ev("s", 1, "add_clip", clip_id="z", start_us=0, end_us=1)],
+        [ev("r", 1, "add_clip", clip_id="b", start_us=5, end_us=15), ev("r", 2, "delete_clip", clip_id="a"), ev("r", 3, "add_clip", clip_id="b", start_us=5, end_us=15)],
+        [ev("r", 1, "move_clip", clip_id="b", target_index=0), ev("t", 1, "create_recording", **made)],
+        [ev("r", 1, "begin_transcription", clip_id="b"), ev("r", 2, "commit_transcript", clip_id="b", transcript_id="t", provenance="raw_asr", text="x")],
+    ]
+    log, snaps = folder(), folder()
+    sink = command_sink(log, snaps, compact_every=2)
+
+    def state():
+        now = read_snapshots(spark, snaps)
+        return [sorted(map(tuple, t.collect())) for t in (now.recordings, now.clips, now.transcripts)]
+
+    for number, rows in enumerate(batches):
+        asked = frame(spark, rows).withColumnRenamed("sequence", "ordinal").drop("schema_version")
+        sink(asked, number)
+        once = state()
+        sink(asked, number)  # as after a crash before the batch was committed
+        assert state() == once
+    assert once[0] == [("r", "audio_file", "x", "created", None, 7), ("t", "audio_file", "x", "created", None, 1)]
+    assert once[1] == [("r", "a", 1, 0, 10, "deleted", None), ("r", "b", 0, 5, 15, "transcribed", None)]
+    assert once[2] == [("r", 7, "t", "b", "raw_asr", "x")]
+    refused = spark.read.parquet(f"{log}/refused").collect()
+    assert {(r.recording_id, r.batch, r.ordinal, r.reason_code) for r in refused} == {("s", 0, 1, "recording_not_found"), ("r", 1, 1, "clip_overlaps")}
+    events = spark.read.schema(EVENTS_DDL + ", batch int, bucket int").parquet(f"{log}/events")
+    again = replay(events)
+    assert [sorted(map(tuple, t.collect())) for t in (again.recordings, again.clips, again.transcripts)] == once
+    assert again.rejects.count() == 0 and sorted(Snapshots(snaps)._folders("clips")) == ["base=2", "version=3"]
+
+
 def test_gap_is_rejected_or_held(spark):
     rows = [ev("r", 1, "recording_created", source_kind="audio_file", source_path="x"),
             ev("r", 2, "recording_started"), ev("r", 4, "recording_failed", reason="late"), ev("r", 3, "recording_saved"),
