@@ -288,3 +288,21 @@ def test_document_offsets_do_not_depend_on_buckets(spark):
     assert len(whole) == 10 and all(body[r.byte_offset :].startswith(r.piece.encode()) for r in whole)
     total = document_totals(transcript_document(clips, texts, 3)).collect()
     assert [(r.transcript_count, r.byte_count) for r in total] == [(10, len(body))]
+
+
+class _Says:
+    def __init__(self, text):
+        self.text = text
+
+    def capabilities(self):
+        return X.Capabilities(self.text)
+
+    def transcribe(self, request):
+        return "raw_asr", self.text
+
+
+def test_another_factory_is_another_backend(spark):
+    ddl = "recording_id string, clip_id string, window_no bigint, clip_start_us bigint, audio_path string, samples array<float>"
+    windows = spark.createDataFrame([("r", "c", 0, 0, "p", [0.0])], ddl)
+    for text in ("first", "second", "first"):
+        assert [r.text for r in X.call_backend(windows, lambda text=text: _Says(text)).collect()] == [text]
