@@ -1,10 +1,11 @@
 """Exact deduplication through counting quotient filters.
 
 1. One pass over the texts writes a narrow table: id, 64-bit fingerprint, SHA-256 and length.
-2. Every partition builds a counting quotient filter of its fingerprints: the high bits
-   (quotient) choose the slot, the low bits (remainder) are kept in order with a count. Filters
-   of all partitions meet per block of quotients and merge by their sorted remainders, adding
-   counts. Nothing is lost: equal fingerprints, and only those, share an entry.
+2. Every partition builds a counting quotient filter of its fingerprints, a part per block of high
+   bits: quotients have an occupied bit, their remainders lie in sorted runs with run-end bits, and
+   counts above one are counters in the slots after their remainder. The filters of all partitions
+   meet per block and merge by their sorted remainders, adding counts. Nothing is lost: equal
+   fingerprints, and only those, share an entry. An entry takes 6 to 7 bytes.
 3. Fingerprints counted once are settled. Texts of all others are read again and compared byte
    for byte, by grouping on the normalised text itself; partial aggregation turns the copies
    inside a task into one row before anything moves.
@@ -30,9 +31,11 @@ from pyspark.sql import types as T
 from tapeloom.llm.common import WHITE, add_columns, own_names, read, utf8
 from tapeloom.plans.stage import written
 
-#: Bits of a fingerprint that name the block in which filters meet, and the slot inside it.
-BLOCK_BITS = 14
-QUOTIENT_BITS = 16
+#: High bits of a fingerprint name the block in which filters meet; the rest is quotient and remainder.
+BLOCK_BITS = 12
+KEY_BITS = 64 - BLOCK_BITS
+#: Entries that wait before runs of a block are merged.
+HELD = 1 << 18
 
 _BASE = "cast(36893488147419103232 as decimal(20,0))"  # 2 ** 65
 
@@ -63,64 +66,123 @@ def with_marks(df: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(df, text, _MARKS, _marks)
 
 
+def encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The counting quotient filter of rising ``keys`` (of ``KEY_BITS``) and their counts.
+
+    With 2 ** q quotients and remainders of r bits: a byte q, occupied bits (one per quotient), run-end and
+    counter bits (one per slot), then the slots. A quotient's run starts at the slot of its number, or where
+    the run before it ends; a count above one goes, less one, into the slots after its remainder,
+    which are marked as counters. Filters are built at once, so q makes them full: n entries have
+    between n / 2 and n quotients.
+    """
+    q = min(max(len(keys).bit_length() - 1, 0), KEY_BITS - 32)
+    r = KEY_BITS - q
+    low = np.uint64((1 << r) - 1)
+    quotients = (keys >> np.uint64(r)).astype(np.int64)
+    sizes = 1 + (counts > 1) + (counts > 1 << r)
+    before = np.cumsum(sizes) - sizes
+    at = before + np.maximum.accumulate(quotients - before)
+    n = int(at[-1] + sizes[-1])
+    slots, flags, occupied = np.zeros(n, np.uint64), np.zeros((2, n), np.uint8), np.zeros(1 << q, np.uint8)
+    slots[at] = keys & low
+    for digit in (1, 2):
+        more = np.flatnonzero(sizes > digit)
+        slots[at[more] + digit] = (counts[more] - 1).astype(np.uint64) >> np.uint64(r * (digit - 1)) & low
+        flags[1, at[more] + digit] = 1
+    occupied[quotients] = 1
+    last = np.flatnonzero(np.append(quotients[1:] != quotients[:-1], True))
+    flags[0, at[last] + sizes[last] - 1] = 1
+    bits = np.unpackbits(slots.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - r :]
+    return bytes([q]) + np.packbits(np.concatenate([occupied, flags.ravel(), bits.ravel()])).tobytes()
+
+
+def decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Rising keys and counts of a filter, run by run."""
+    q = data[0]
+    r = KEY_BITS - q
+    n = ((len(data) - 1) * 8 - (1 << q)) // (2 + r)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=1))
+    occupied, ends, counter, packed = np.split(bits[: (1 << q) + n * (2 + r)], np.cumsum([1 << q, n, n]))
+    wide = np.zeros((n, 64), np.uint8)
+    wide[:, 64 - r :] = packed.reshape(n, r)
+    slots = np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64)
+    occupied, ends = np.flatnonzero(occupied), np.flatnonzero(ends)
+    starts = np.maximum(occupied, np.append(0, ends[:-1] + 1))
+    lengths = ends - starts + 1
+    used = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    quotients, slots, counter = np.repeat(occupied, lengths).astype(np.uint64), slots[used], counter[used]
+    head, digits = np.flatnonzero(counter == 0), np.flatnonzero(counter)
+    entry = np.cumsum(counter == 0) - 1
+    counts = np.ones(len(head), np.int64)
+    shift = (digits - head[entry[digits]] - 1) * r
+    np.add.at(counts, entry[digits], slots[digits].astype(np.int64) << shift)
+    return quotients[head] << np.uint64(r) | slots[head], counts
+
+
+def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of all filters of a block as one, counts of equal keys added up."""
+    keys, counts = (np.concatenate(part) for part in zip(*runs))
+    order = np.argsort(keys, kind="stable")  # a merge sort that takes sorted stretches as they are
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
 def _filter(batches):
     """The counting quotient filter of one partition, a row per block."""
     prints = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
-    if not prints:
+    if not sum(map(len, prints)):
         return
     values, counts = np.unique(np.concatenate(prints), return_counts=True)
-    blocks = values >> np.uint64(64 - BLOCK_BITS)
-    starts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
+    blocks = (values >> np.uint64(KEY_BITS)).astype(np.int32)
+    keys = values & np.uint64((1 << KEY_BITS) - 1)
+    starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+    ends = np.append(starts[1:], len(values))
     for at in range(0, len(starts), 4096):
-        lo = starts[at : at + 4096]
-        hi = np.append(starts, len(values))[at + 1 : at + 1 + len(lo)]
-        yield _rows(blocks[lo], [_pack(values[a:b], counts[a:b]) for a, b in zip(lo, hi)])
-
-
-def _rows(blocks, packed):
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(blocks.astype(np.int32)),
-            *(pa.array([p[i] for p in packed], pa.binary()) for i in range(3)),
-        ],
-        names=["block", "quotients", "remainders", "counts"],
-    )
+        part = list(zip(starts[at : at + 4096], ends[at : at + 4096]))
+        packed = [encode(keys[a:b], counts[a:b]) for a, b in part]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(blocks[starts[at : at + 4096]]), pa.array(packed, pa.binary())], names=["block", "filter"]
+        )
 
 
-def _pack(values, counts):
-    """Slots, sorted remainders and counts of one block's fingerprints."""
-    below = np.uint64(64 - BLOCK_BITS - QUOTIENT_BITS)
-    quotients = (values >> below) & np.uint64((1 << QUOTIENT_BITS) - 1)
-    remainders = values & np.uint64((1 << int(below)) - 1)
-    return quotients.astype(np.uint16).tobytes(), remainders.tobytes(), counts.astype(np.int64).tobytes()
-
+def _merge(batches):
+    """Fingerprints counted more than once; the filters of a block come one after the other.
 
-def _unpack(block, quotients, remainders, counts):
-    below = np.uint64(64 - BLOCK_BITS - QUOTIENT_BITS)
-    slots = np.frombuffer(quotients, np.uint16).astype(np.uint64) << below
-    values = (np.uint64(block) << np.uint64(64 - BLOCK_BITS)) | slots | np.frombuffer(remainders, np.uint64)
-    return values, np.frombuffer(counts, np.int64)
+    Runs wait until they have as many entries as what is merged already, so each entry is
+    merged a few times only, and a task holds the entries of one block.
+    """
+    here, runs, waiting = None, [], 0
 
+    def found():
+        keys, counts = merged(runs)
+        return keys[counts > 1] | np.uint64(here) << np.uint64(KEY_BITS)
 
-def _merge(batches):
-    """Add up the filters of each block; rows come ordered by block."""
-    here, values, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
     for batch in batches:
-        found = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != here:
-                found.append(values[counts > 1])
-                here, values, counts = row[0], np.empty(0, np.uint64), np.empty(0, np.int64)
-            more, times = _unpack(*row)
-            values, where = np.unique(np.concatenate([values, more]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, times])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [values[:0]]).view(np.int64))], names=["__fp"])
-    yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1].view(np.int64))], names=["__fp"])
+        out = []
+        for block, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if block != here:
+                if runs:
+                    out.append(found())
+                here, runs, waiting = block, [], 0
+            runs.append(decode(data))
+            waiting += len(runs[-1][0])
+            if waiting > max(HELD, 2 * len(runs[0][0])):
+                runs = [merged(runs)]
+                waiting = len(runs[0][0])
+        yield _prints(out)
+    if runs:
+        yield _prints([found()])
+
+
+def _prints(parts):
+    values = np.concatenate([np.empty(0, np.uint64), *parts])
+    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["__fp"])
 
 
 def repeated_fingerprints(narrow: DataFrame) -> DataFrame:
     """Fingerprints that the merged filters count more than once."""
-    filters = narrow.select("__fp").mapInArrow(_filter, "block int, quotients binary, remainders binary, counts binary")
+    filters = narrow.select("__fp").mapInArrow(_filter, "block int, filter binary")
     return filters.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "__fp bigint")
 
 

@@ -82,6 +82,40 @@ def test_filters_merge_without_loss():
     assert sorted(merged) == sorted(all_[counts > 1])
 
 
+@pytest.mark.parametrize("n, spread", [(1, 52), (2, 52), (60, 52), (3000, 52), (3000, 12), (500, 9)])
+def test_filter_holds_keys_and_counts(n, spread):
+    """Random and crowded keys (long shifts, one run), counts of one, two, many and two counter slots."""
+    rng = np.random.default_rng(n + spread)
+    keys = np.unique(rng.integers(0, 1 << spread, n, dtype=np.uint64))
+    counts = rng.choice([1, 1, 1, 2, 3, 70_000, 1 << 53], len(keys)).astype(np.int64)
+    got, times = exact.decode(exact.encode(keys, counts))
+    assert (got == keys).all() and (times == counts).all()
+    top = np.uint64((1 << 52) - 1) - keys[::-1]  # shifted beyond the last quotient
+    got, times = exact.decode(exact.encode(top, counts))
+    assert (got == top).all() and (times == counts).all()
+
+
+def test_filter_is_smaller_than_its_fingerprints():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 4000):
+        keys = np.unique(rng.integers(0, 1 << 52, n, dtype=np.uint64))
+        assert len(exact.encode(keys, np.ones(len(keys), np.int64))) <= 8 * len(keys)
+
+
+def test_many_filters_of_a_block_merge_in_one_pass(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact, "HELD", 5_000)
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 52, 50_000, dtype=np.uint64)
+    parts = [np.unique(rng.choice(pool, 20)) for _ in range(4_000)]
+    packed = [exact.encode(p, np.ones(len(p), np.int64)) for p in parts]
+    table = pa.table({"block": pa.array([9] * len(packed), pa.int32()), "filter": pa.array(packed, pa.binary())})
+    got = np.concatenate([b.column(0).to_numpy() for b in exact._merge(table.to_batches(max_chunksize=300))])
+    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+    assert (got.view(np.uint64) == (keys[counts > 1] | np.uint64(9 << 52))).all()
+
+
 def test_groups_come_from_bytes(spark):
     """Texts are compared even where every fingerprint is suspected."""
     df = frame(spark).select("doc_id", "text")
