@@ -10,7 +10,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from tapeloom.functions.text import trim_unicode
 from tapeloom.operators import features
 from tapeloom.operators.clips import RECORDING, active, first_active_clip
 from tapeloom.operators.commands import commands_of
-from tapeloom.plans.stage import written
+from tapeloom.plans.stage import until_stopped, written
 from tapeloom.session import fresh_folder
 
 # Fixed value: what the stand-in backend answers by default.
@@ -242,8 +242,9 @@ def transcribe_in_steps(
     """Run clips in ``steps`` jobs; (written outcomes of the finished jobs, cancelled).
 
     Clips are dealt to the jobs by recording and written once, so a job reads its own clips only.
-    Progress is reported once before work and after every job; a stop request is seen between
-    jobs, and so is a failed clip with ``stop_on_error``. What is finished is kept.
+    Progress is reported once before work and after every job, from metrics that the write
+    itself observes. A stop request is seen every half second and ends the job that runs; a failed clip
+    with ``stop_on_error`` is seen between jobs. What is finished is kept.
     """
     step = F.pmod(F.xxhash64(RECORDING), F.lit(steps)).cast("int")
     dealt = fresh_folder(clips.sparkSession, "steps")
@@ -255,10 +256,15 @@ def transcribe_in_steps(
     for i in range(steps):
         if stop():
             return finished, True
-        out = written(run(dealt.filter(F.col("step") == i).drop("step")), "outcomes")
+        out = run(dealt.filter(F.col("step") == i).drop("step"))
+        seen = Observation()
+        failed = F.count("error") if stop_on_error else F.lit(0)
+        out = until_stopped(clips.sparkSession, lambda: written(out.observe(seen, F.count(F.lit(1)).alias("n"), failed.alias("failed")), "outcomes"), stop)
+        if out is None:
+            return finished, True
         finished.append(out)
-        done += out.count()
+        done += seen.get.get("n", 0)
         progress(done, total)
-        if stop_on_error and not out.filter("error is not null").isEmpty():
+        if stop_on_error and seen.get.get("failed"):
             return finished, True
     return finished, False

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.text import trim_unicode
 from tapeloom.operators.clips import ORDINAL_BUCKET, RECORDING, active, first_active_clip
 from tapeloom.plans.scan import FirstOfKey, Lag, LastOfKey, Lead, SumBefore, SumOfKey, ordered_scan
+from tapeloom.plans.stage import written
 
 
 def latest_transcript(transcripts: DataFrame) -> DataFrame:
@@ -95,14 +96,13 @@ def clip_navigation(clips: DataFrame, width: int = ORDINAL_BUCKET) -> DataFrame:
 def next_recording(recordings: DataFrame) -> DataFrame:
     """The recording after each one in id order, wrapping at the end.
 
-    Ids are bucketed by their first four bytes, which order as the ids do, so the walk over
-    all recordings is cut the same way a long recording is.
+    Spark samples the ids and cuts them into ranges of like size, whatever they begin with; a range
+    is a bucket of the scan. The cut is written, as another run may cut elsewhere.
     """
-    lead = F.substring(F.encode(RECORDING, "UTF-8"), 1, 4)
-    spread = F.conv(F.rpad(F.hex(lead), 8, "0"), 16, 10).cast("bigint")
-    keyed = recordings.select(RECORDING, F.lit(1).alias("all_rows"), spread.alias("lead_digits"))
+    ranged = recordings.select(RECORDING).repartitionByRange(RECORDING)
+    keyed = written(ranged.select(RECORDING, F.lit(1).alias("all_rows"), F.spark_partition_id().cast("bigint").alias("range_no")), "ranges")
     walked = ordered_scan(
-        keyed, ["all_rows"], "lead_digits",
+        keyed, ["all_rows"], "range_no",
         [Lead("lead_id", RECORDING), FirstOfKey("first_id", RECORDING)], 1, ties=[RECORDING],
     )
     return walked.select(RECORDING, F.coalesce("lead_id", "first_id").alias("next_recording_id"))

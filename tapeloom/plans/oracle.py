@@ -457,6 +457,13 @@ def oracle_sql() -> dict[str, str]:
         CAST(sum(n) OVER (PARTITION BY recording_id) AS BIGINT) AS total_frames, n AS n_samples FROM p WHERE n > 0
         WINDOW w AS (PARTITION BY recording_id ORDER BY turn)"""
     q["stream_blocks"] = q["capture_blocks"]
+    q["stream_placed"] = f"""WITH {packets}, b AS (SELECT recording_id, turn, n, sum(least(n, 1)) OVER w - least(n, 1) AS block_no, sum(n) OVER w - n AS first_frame FROM p
+          WINDOW w AS (PARTITION BY recording_id ORDER BY turn))
+        SELECT recording_id, CAST(turn AS BIGINT) AS packet_no, CASE WHEN turn > 5 THEN 'recording_ended' WHEN n = 0 THEN 'no_frames' ELSE 'placed' END AS outcome,
+          CASE WHEN turn <= 5 AND n > 0 THEN CAST(block_no AS BIGINT) END AS block_no, CASE WHEN turn <= 5 AND n > 0 THEN CAST(first_frame AS BIGINT) END AS first_frame,
+          CAST(NULL AS BIGINT) AS total_frames, CASE WHEN turn <= 5 AND n > 0 THEN CAST(n AS BIGINT) END AS n_samples FROM b
+        UNION ALL SELECT recording_id, NULL, CASE WHEN first_frame + n > 0 THEN 'saved' ELSE 'failed' END, CAST(block_no + least(n, 1) AS BIGINT), NULL,
+          CAST(first_frame + n AS BIGINT), NULL FROM b WHERE turn = 5"""
     q["stream_capture"] = f"""WITH {packets}, e AS (SELECT recording_id, min(turn) AS st FROM p WHERE stop GROUP BY 1),
         f AS (SELECT recording_id, CAST(sum(n) AS BIGINT) AS n FROM p JOIN e USING (recording_id) WHERE turn <= st GROUP BY 1), ids AS (SELECT DISTINCT recording_id FROM p)
         SELECT recording_id, 'recording_created' AS kind, NULL AS reason, NULL AS sample_rate_hz, NULL AS frame_count, NULL AS duration_us FROM ids

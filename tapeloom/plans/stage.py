@@ -6,7 +6,11 @@ by everything that follows, and has a known size for Spark's broadcast decision.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.session import fresh_folder
 
@@ -17,3 +21,34 @@ def written(df: DataFrame, stem: str) -> DataFrame:
     path = fresh_folder(spark, stem)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def until_stopped(spark: SparkSession, work: Callable[[], DataFrame], stop: Callable[[], bool], every_s: float = 0.5) -> DataFrame | None:
+    """What ``work`` returns, or None if ``stop`` asked for its end first; its running jobs are then cancelled.
+
+    A table that was being written is not committed, so nothing half-done can be read.
+    """
+    tag, found = f"stoppable-{uuid.uuid4()}", {}
+    context = spark.sparkContext
+
+    def go():
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
+        try:
+            found["out"] = work()
+        except BaseException as error:  # handed to the caller's thread
+            found["error"] = error
+        finally:
+            context.removeJobTag(tag)
+
+    thread = InheritableThread(target=go)
+    thread.start()
+    asked = False
+    while thread.is_alive():
+        thread.join(every_s)
+        if thread.is_alive() and (asked or stop()):
+            asked = True
+            context.cancelJobsWithTag(tag)
+    if "error" in found and not asked:
+        raise found["error"]
+    return found.get("out")

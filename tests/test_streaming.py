@@ -8,7 +8,7 @@ import numpy as np
 
 from tapeloom.operators.replay import replay
 from tapeloom.schemas import EVENTS_DDL, PACKETS_DDL, struct_type
-from tapeloom.streaming.capture import NO_FRAMES, assemble_capture, capture_lifecycle, decode_packets, read_capture_stream
+from tapeloom.streaming.capture import NO_FRAMES, assemble_capture, capture_lifecycle, decode_packets, placed_stream, read_capture_stream
 from tapeloom.streaming.level import level_by_window
 from tapeloom.streaming.replay import Snapshots, command_sink, read_snapshots, replay_stream, snapshot_sink
 from tests.test_replay import ev, frame, random_log
@@ -190,6 +190,44 @@ def test_capture(spark):
     assert sum(r.kind == "recording_started" for r in life) == 2
 
 
+def test_blocks_are_placed_as_packets_come(spark):
+    """Packets out of order, repeated, without frames or number, after the end, and over a restart."""
+    def packet(rec, number, n, stop=False):
+        return (rec, number, "pcm16", 1, 16000, False, n, np.arange(n, dtype="<i2").tobytes(), stop)
+
+    parts = [
+        [packet("a", 2, 3), packet("a", 0, 2), packet("b", 0, 0), packet("c", 1, 1), packet("a", None, 1)],
+        [packet("a", 2, 9), packet("a", 5, 1), packet("a", 1, 4), packet("a", 0, 7), packet("b", 1, 0, True)],
+        [packet("a", 3, 0), packet("a", 4, 5, True), packet("a", 6, 1), packet("b", 2, 1)],
+    ]
+    source, progress, out = folder(), folder(), folder()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    for part in parts:  # a run each, so the state is read back
+        spark.createDataFrame(part, PACKETS_DDL).coalesce(1).write.mode("append").parquet(source)
+        stream = placed_stream(decode_packets(read_capture_stream(spark, source)))
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        assert q.awaitTermination(90) and q.exception() is None
+    got = [(r.recording_id, r.packet_no, r.outcome, r.block_no, r.first_frame, r.total_frames, r.samples and len(r.samples)) for r in spark.read.parquet(out).collect()]
+    want = [
+        ("a", 0, "placed", 0, 0, None, 2), ("a", 1, "placed", 1, 2, None, 4), ("a", 2, "placed", 2, 6, None, 3), ("a", 3, "no_frames", None, None, None, None),
+        ("a", 4, "placed", 3, 9, None, 5), ("a", None, "saved", 4, None, 14, None), ("a", 2, "packet_repeated", None, None, None, None),
+        ("a", 0, "packet_repeated", None, None, None, None), ("a", 5, "recording_ended", None, None, None, None), ("a", 6, "recording_ended", None, None, None, None),
+        ("a", None, "packet_unnumbered", None, None, None, None), ("b", 0, "no_frames", None, None, None, None), ("b", 1, "no_frames", None, None, None, None),
+        ("b", None, "failed", 0, None, 0, None), ("b", 2, "recording_ended", None, None, None, None),
+    ]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_missing_packet_is_given_up(spark):
+    pcm = np.array([1, 2], "<i2").tobytes()
+    rows = [("a", i, "pcm16", 1, 16000, False, 2, pcm, i == 4) for i in (0, 2, 4)]
+    source = folder()
+    spark.createDataFrame(rows, PACKETS_DDL).coalesce(1).write.mode("append").parquet(source)
+    placed = drain(placed_stream(decode_packets(read_capture_stream(spark, source)), 500), "given_up", rows=4).collect()
+    assert sorted((r.packet_no or 9, r.outcome, r.first_frame, r.total_frames) for r in placed) == [
+        (2, "placed", 2, None), (4, "placed", 4, None), (9, "placed", 0, None), (9, "saved", None, 6)]
+
+
 def test_level_stream_matches_batch(spark):
     rows = [("a", i * 400, [0.1 * i, -0.2]) for i in range(10)]
     ddl = "recording_id string, at_us bigint, samples array<float>"

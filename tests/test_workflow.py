@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 import uuid
 
 import numpy as np
@@ -14,7 +15,7 @@ from tapeloom.operators import commands as K
 from tapeloom.operators import transcription as X
 from tapeloom.operators.fold import Refused
 from tapeloom.operators.replay import replay, state_differences
-from tapeloom.operators.views import document_totals, failure_report, latest_transcript, transcript_document
+from tapeloom.operators.views import document_totals, failure_report, latest_transcript, next_recording, transcript_document
 from tapeloom.schemas import AUDIO_BLOCKS_DDL, COMMANDS_DDL, MEDIA_META_DDL, PAYLOAD_COLUMNS
 from tapeloom.sources.event_log import append_events, in_file_order, list_recordings, read_event_log, read_events, write_event_logs, write_manifests
 from tapeloom.sources.export import export_transcripts, write_report
@@ -159,6 +160,52 @@ def test_steps_progress_and_stop(spark):
     assert not cancelled and sum(d.count() for d in done) == 20
 
 
+def test_stop_ends_a_running_job(spark):
+    """The backend of the second step would take minutes; the first step's clips stay."""
+    clips = spark.createDataFrame([(f"r{i}", "c") for i in range(40)], "recording_id string, clip_id string")
+    ddl = "recording_id string, clip_id string, error string"
+    began, seen = [], []
+
+    def slow(frames):
+        for part in frames:
+            time.sleep(300)
+            yield part.assign(error=None)
+
+    def run(part):
+        began.append(time.time())
+        return part.mapInPandas(slow, ddl) if len(began) == 2 else part.selectExpr("*", "cast(null as string) error")
+
+    done, cancelled = X.transcribe_in_steps(
+        clips, run, 4, lambda a, b: seen.append((a, b)), lambda: len(began) == 2 and time.time() > began[1] + 3)
+    assert time.time() < began[1] + 30
+    assert cancelled and len(done) == 1 and len(began) == 2
+    assert seen == [(0, 40), (done[0].count(), 40)] and spark.range(3).count() == 3
+
+
+def test_failed_clip_ends_the_steps(spark):
+    clips = spark.createDataFrame([(f"r{i}", "c") for i in range(40)], "recording_id string, clip_id string")
+    bad = clips.selectExpr("*", "if(recording_id = 'r7', 'bad', null) error")
+    done, cancelled = X.transcribe_in_steps(bad, lambda part: part, 40, stop_on_error=True)
+    assert cancelled and done[-1].filter("error = 'bad'").count() == 1
+    with pytest.raises(Exception, match="no_such_column"):
+        X.transcribe_in_steps(clips, lambda part: part.select("no_such_column"), 2)
+
+
+def test_ids_with_one_prefix_are_cut_into_ranges(spark):
+    ids = spark.range(20_000).selectExpr("concat('same-long-prefix-', lpad(id, 8, '0')) as recording_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        walked = next_recording(ids)
+        rows = sorted(map(tuple, walked.collect()))
+        names = [r[0] for r in rows]
+        assert [r[1] for r in rows] == names[1:] + names[:1]
+        ranges = ids.repartitionByRange("recording_id").groupBy(F.spark_partition_id()).count().collect()
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert len(ranges) == n and max(r["count"] for r in ranges) < 2 * 20_000 / n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def as_uuid(name):
     return str(uuid.uuid5(uuid.NAMESPACE_OID, name))
 
