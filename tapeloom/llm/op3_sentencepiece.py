@@ -13,6 +13,7 @@ changes the text, or where the text holds the marker character itself.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 from collections.abc import Iterator
@@ -248,6 +249,7 @@ _FIELDS = {
     "ids": T.StructField("ids", T.ArrayType(T.IntegerType())),
     "n_tokens": T.StructField("n_tokens", T.LongType()),
     "ids_xxh64": T.StructField("ids_xxh64", T.LongType()),
+    "decoded_sha256": T.StructField("decoded_sha256", T.StringType()),
     "restored": T.StructField("restored", T.BooleanType()),
     "parity": T.StructField("parity", T.BooleanType()),
 }
@@ -256,7 +258,7 @@ _FIELDS = {
 def with_pieces(
     df: DataFrame, outputs: list[str], model: bytes | None = None, text: str = "text", threads: int = 2
 ) -> DataFrame:
-    """Append the named outputs: ``ids, n_tokens, ids_xxh64, restored, parity``."""
+    """Append the named outputs: ``ids, n_tokens, ids_xxh64, decoded_sha256, restored, parity``."""
     model = model or default_model()
 
     def compute(column: pa.Array) -> list[pa.Array]:
@@ -276,11 +278,15 @@ def with_pieces(
             if "ids_xxh64" in found:
                 digests = np.array([xxhash.xxh64_intdigest(np.array(i, np.int32).tobytes()) for i in ids], np.uint64)
                 found["ids_xxh64"] += digests.view(np.int64).tolist()
+            if "restored" in found or "decoded_sha256" in found:
+                decoded = decode(model, ids)
+            if "decoded_sha256" in found:
+                found["decoded_sha256"] += [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
             if "restored" in found:
-                found["restored"] += [x == y for x, y in zip(decode(model, ids), part)]
+                found["restored"] += [x == y for x, y in zip(decoded, part)]
             if "parity" in found:
                 found["parity"] += [x == y for x, y in zip(library(model).encode(part, num_threads=threads), ids)]
-        kinds = {"ids": pa.list_(pa.int32()), "restored": pa.bool_(), "parity": pa.bool_()}
+        kinds = {"ids": pa.list_(pa.int32()), "decoded_sha256": pa.string(), "restored": pa.bool_(), "parity": pa.bool_()}
         return [pa.array(found[name], kinds.get(name, pa.int64())) for name in outputs]
 
     return add_columns(df, text, [_FIELDS[name] for name in outputs], compute)
@@ -306,4 +312,4 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "documents", "doc_id", "text")
-    return with_pieces(rows, ["n_tokens", "ids_xxh64", "restored", "parity"]).drop("text")
+    return with_pieces(rows, ["n_tokens", "ids", "ids_xxh64", "decoded_sha256", "restored", "parity"]).drop("text")

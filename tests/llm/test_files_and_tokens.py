@@ -207,3 +207,17 @@ BODY = "".join(f"<p>Sentence {i} of the story goes on for quite a while, with ma
 def test_articles_in_odd_wrappers(page):
     text = html.main_text(page)
     assert text.startswith("Sentence 0 of") and text.endswith("many a word.") and text.count("Sentence") == 12
+
+
+def test_query_of_pieces_returns_ids_and_what_they_decode_to(spark):
+    """Every id, and the digest of the decoded text, as the sentencepiece library gives them."""
+    folder = "/root/testdata/sf0.001"
+    library = pieces.library(pieces.default_model())
+    got = {r.doc_id: r for r in pieces.op3_sentencepiece(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        row, ids = got[d.doc_id], library.encode(d.text or "")
+        assert row.ids == ids and row.n_tokens == len(ids) and row.parity
+        text = pieces.decode(pieces.default_model(), [ids])[0]
+        assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and row.restored == (text == (d.text or ""))
