@@ -103,7 +103,7 @@ def _judge(batches):
                 if row["kind"] == "head":
                     fold.next_sequence, fold.status, fold.n_clips = row["sequence"] + 1, status_of[row["text"]], row["target_index"]
                 elif row["kind"] == "clip":
-                    fold.clips[row["clip_id"]] = (row["start_us"], row["end_us"], row["text"], None)
+                    fold.hold(row["clip_id"], row["start_us"], row["end_us"], row["text"])
                 else:
                     fold.versions[row["transcript_id"]] = 0
                 continue

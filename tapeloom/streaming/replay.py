@@ -1,7 +1,7 @@
 """Logs judged as they grow.
 
-Each recording is a key of a stateful operator; its clips and version ids are map state,
-looked up one at a time, so a long recording does not have to fit in a worker. A batch
+Each recording is a key of a stateful operator; its clips, version ids and blocks of live ranges
+are map state, looked up one at a time, so a long recording does not have to fit in a worker. A batch
 brings a key only the records that arrived since the last one. Positions and state
 tables are not kept here: they follow set-wise from the accepted records.
 """
@@ -19,6 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tapeloom.operators.clips import RECORDING
 from tapeloom.operators.commands import apply_commands
 from tapeloom.operators.fold import RecordingFold, Refused
+from tapeloom.operators.ranges import RangeBlocks
 from tapeloom.operators.replay import Replayed, touched_state
 from tapeloom.operators.validation import payload_code
 from tapeloom.plans.stage import written
@@ -49,8 +50,22 @@ class _StateMapping:
     def __setitem__(self, key, value):
         self.state.updateValue((key,), value if isinstance(value, tuple) else (value,))
 
-    def values(self):
-        return (tuple(v) for v in self.state.values())
+
+class _StateBlocks:
+    """A map state from numbers to packed blocks."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self, key):
+        return self.state.getValue((key,))[0]
+
+    def __setitem__(self, key, value):
+        self.state.updateValue((key,), (value,))
+
+    def pop(self, key, default=None):
+        if self.state.containsKey((key,)):
+            self.state.removeKey((key,))
 
 
 class LogJudge(StatefulProcessor):
@@ -72,10 +87,14 @@ class LogJudge(StatefulProcessor):
             "clips", struct_type("clip_id string"), struct_type("start_us bigint, end_us bigint, status string, failure string")
         )
         self.versions = handle.getMapState("versions", struct_type("transcript_id string"), struct_type("sequence bigint"))
+        self.directory = handle.getValueState("directory", struct_type("packed binary"))
+        self.blocks = handle.getMapState("blocks", struct_type("number bigint"), struct_type("packed binary"))
         self.early = handle.getMapState("early", struct_type("sequence bigint"), struct_type(_HELD_DDL))
 
     def _load(self):
-        fold = RecordingFold(_StateMapping(self.clips), _StateMapping(self.versions))
+        packed = self.directory.get()[0] if self.directory.exists() else b""
+        live = RangeBlocks(_StateBlocks(self.blocks), packed)
+        fold = RecordingFold(_StateMapping(self.clips), _StateMapping(self.versions), live)
         closed, held, self.timer = False, 0, 0
         if self.facts.exists():
             fold.next_sequence, fold.status, fold.failure, fold.n_clips, closed, held, self.timer = self.facts.get()
@@ -84,8 +103,10 @@ class LogJudge(StatefulProcessor):
     def _save(self, fold, closed, held):
         if closed:
             held = 0
-            for state in (self.clips, self.versions, self.early):
+            for state in (self.clips, self.versions, self.directory, self.blocks, self.early):
                 state.clear()
+        else:
+            self.directory.update((fold.live.directory(),))
         if self.timer and not held:
             self.handle.deleteTimer(self.timer)
             self.timer = 0
