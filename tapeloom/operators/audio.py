@@ -17,7 +17,9 @@ from tapeloom.functions.text import artifact_path
 from tapeloom.functions.timecode import div, duration_us, sample_ceil, sample_floor, scale_ceil
 from tapeloom.operators.clips import RECORDING, active
 from tapeloom.plans.spread import explode_span
+from tapeloom.plans.stage import written
 from tapeloom.schemas import PROFILES, SAMPLE_RATE_HZ
+from tapeloom.sources.block_store import BlockStore
 
 BLOCK_KEY = [RECORDING, "profile", "block_no"]
 # Seconds of audio in one block; every whole rate then gives blocks that stay aligned when resampled.
@@ -196,17 +198,23 @@ def cut_ranges(clips: DataFrame, media: DataFrame) -> tuple[DataFrame, DataFrame
     return good, judged.filter("reason_code is not null").select(RECORDING, "clip_id", "reason_code")
 
 
-def cut_clips(clips: DataFrame, blocks: DataFrame, media: DataFrame, block_frames: int) -> tuple[DataFrame, DataFrame]:
+def cut_clips(
+    clips: DataFrame, blocks: DataFrame | BlockStore, media: DataFrame, block_frames: int
+) -> tuple[DataFrame, DataFrame]:
     """Samples of every active clip as re-based pieces, one per block it touches, plus rejects.
 
     ``blocks`` must be uniform (see ``reblock``), which turns the range lookup into an
-    equi-join on the block number.
+    equi-join on the block number. From a ``BlockStore`` only the files that hold a clip are read,
+    and no sample is exchanged; the touched block numbers are written out first to choose the files.
     """
     ranges, rejects = cut_ranges(clips, media)
     size = F.lit(block_frames).cast("bigint")
     touched = explode_span(
         ranges, div("first_sample", size), div(F.col("stop_sample") - 1, size), "block_no", [RECORDING, "clip_id"]
     )
+    if isinstance(blocks, BlockStore):
+        touched = written(touched, "touched")
+        blocks = blocks.holding(touched)
     joined = touched.join(blocks.select(RECORDING, "profile", "block_no", "first_frame", "samples"), [RECORDING, "block_no"])
     a = F.greatest("first_sample", "first_frame")
     b = F.least(F.col("stop_sample"), F.col("first_frame") + n_samples())

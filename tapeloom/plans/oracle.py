@@ -398,6 +398,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT DISTINCT recording_id, 'original', 0, 0 FROM sig WHERE CAST(recording_id AS BIGINT) % 3 = 0"""
     q["cut_clips"] = f"""WITH {VECTORS}, {LABEL_CLIPS}, r AS (SELECT *, start_us * 16000 // 1000000 AS lo, least((end_us * 16000 + 999999) // 1000000, n) AS hi FROM lc)
         SELECT r.recording_id, r.clip_id, sig.f - r.lo AS frame_no, {_rounded('sig.s')} AS sample FROM r JOIN sig ON sig.recording_id = r.recording_id AND sig.f >= r.lo AND sig.f < r.hi"""
+    q["cut_stored"] = q["cut_clips"] + " WHERE r.start_us % 30000 = 0"
     q["cut_rejects"] = f"""WITH {LABEL_CLIPS}, c AS (SELECT CAST(l_linenumber AS VARCHAR) AS recording_id, l_orderkey * 10 AS start_us, l_orderkey * 10 + l_partkey AS end_us FROM lineitem),
         j AS (SELECT c.*, lm.n, least(start_us * 16000 // 1000000, n) AS lo, least((end_us * 16000 + 999999) // 1000000, n) AS hi FROM c LEFT JOIN lm USING (recording_id)),
         k AS (SELECT recording_id, CASE WHEN n IS NULL THEN 'recording_not_prepared' WHEN end_us <= start_us OR end_us > n * 1000000 // 16000 THEN 'invalid_clip_range' WHEN lo >= hi THEN 'empty_clip' END AS reason_code FROM j)

@@ -23,7 +23,7 @@ from tapeloom.plans.stage import written
 from tapeloom.plans.tables import RECORDING
 from tapeloom.session import fresh_folder
 from tapeloom.schemas import COMMAND_EVENTS, COMMANDS_DDL, EVENTS_DDL, struct_type
-from tapeloom.sources import event_log, export, media
+from tapeloom.sources import block_store, event_log, export, media
 from tapeloom.sources.event_log import line_json, parse_log_lines
 from tapeloom.sources.probe import parse_probe
 from tapeloom.streaming import capture
@@ -742,6 +742,19 @@ def cut_clips(spark, d):
     )
 
 
+@query
+def cut_stored(spark, d):
+    """Every third chunk of the label recordings, cut from blocks that were stored by block number."""
+    media = T.label_media(spark, d)
+    store = block_store.store_blocks(T.label_blocks(spark, d), fresh_folder(spark, "blocks"), 16)
+    again = block_store.open_blocks(spark, store.path, 16)
+    held = _label_clips(media).withColumn("status", F.when(F.col("start_us") % 30_000 == 0, "pending").otherwise("deleted"))
+    pieces, _ = audio.cut_clips(held, again, media, T.VECTOR)
+    return pieces.select(RECORDING, "clip_id", "first_frame", F.posexplode("samples").alias("i", "x")).select(
+        RECORDING, "clip_id", (F.col("first_frame") + F.col("i")).alias("frame_no"), _rounded("x").alias("sample")
+    )
+
+
 @query
 def cut_rejects(spark, d):
     """Line items as clips of the label recordings: most reach past the end."""
