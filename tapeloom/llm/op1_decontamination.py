@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Tokens are runs of letters and digits, in lower case; punctuation and symbols only separate. A
-number, a capitalised word inside a sentence, and a unit after a number become the placeholders
+Tokens are runs of letters and digits, in lower case; punctuation and symbols only separate. In
+scripts written without spaces (Han, kana, Thai, Lao) each letter is a token. A number, a capitalised word inside a sentence, and a unit after a number become the placeholders
 ``<num>``, ``<name>`` and ``<unit>``. Windows of five placeholder tokens, at least three of them
 words, are hash-joined between documents and benchmark items, so a question whose numbers, names
 or units were replaced still meets its template.
@@ -14,6 +14,10 @@ stand for the same value of the document. Template windows with a slot whose val
 count for nothing; windows that are equal word for word always count. A document is linked to an
 item when the windows found either way cover at least half of the item's windows.
 
+Items that share an instruction would join every document that has it. So only the rarest windows
+of an item look for documents, as many as a link cannot do without; what they bring together is then
+checked on all windows of the item.
+
 Before the join, a bitmap of the items' window hashes (16 bits a window, at most 16 MB) removes
 nearly all windows of documents inside the scan. It only removes windows that cannot join, and
 its size depends on the benchmark, not on the documents.
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tapeloom.llm.common import own_names, read
 from tapeloom.plans.stage import written
@@ -34,6 +39,8 @@ from tapeloom.plans.stage import written
 WINDOW, WORDS, COVERAGE = 5, 3, 0.5
 #: Marks a capitalised word, and the point or comma inside a number.
 NAME, POINT = "\ue000", "\ue001"
+#: Letters of scripts without spaces between words, as Java and RE2 both read it.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonnes "
     "pound pounds lb lbs ounce ounces oz ml l litre litres liter liters gallon gallons s ms sec second seconds min minute "
@@ -48,6 +55,7 @@ def tokens(text: Column) -> Column:
     text = F.regexp_replace(text, r"([^.!?:;\s]\s+)(\p{Lu}\p{Ll})", f"$1{NAME}$2")
     text = F.regexp_replace(text, r"([0-9])[.,]([0-9])", f"$1{POINT}$2")
     text = F.regexp_replace(F.lower(text), r"([0-9])(\p{L})", "$1 $2")
+    text = F.regexp_replace(text, f"({UNSPACED})", " $1 ")
     return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{N}}{NAME}{POINT}]+"), "")
 
 
@@ -119,8 +127,26 @@ def _bitmap(items: DataFrame) -> tuple[Column, int]:
     return every.agg(listed["bit"].alias("map")).scalar(), bits
 
 
-def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Windows of documents that equal a window of an item, with the words behind both."""
+def _rarest(items: DataFrame, coverage: float) -> DataFrame:
+    """Of each item the windows that fewest items have; a link must cover one of them.
+
+    A link covers at least ``coverage`` of n positions, so any n - ceil(coverage * n) + 1 of them meet it.
+    """
+    shared = items.groupBy("__hash").agg(F.count_distinct(F.struct("item_id")).alias("__items"))
+    spots = items.join(shared, "__hash").groupBy("item_id", "__at").agg(F.max("__items").alias("__items"))
+    each = W.partitionBy("item_id")
+    ranked = spots.select(
+        "item_id", "__at", F.row_number().over(each.orderBy("__items", "__at")).alias("__rank"), F.count("*").over(each).alias("__n")
+    )
+    kept = ranked.filter(F.col("__rank") <= F.col("__n") - F.ceil(F.lit(coverage) * F.col("__n")) + 1)
+    return _null_safe(items, kept.select("item_id", "__at"), ["item_id", "__at"], "left_semi")
+
+
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """Windows of documents that equal a window of an item, with the words behind both.
+
+    Pairs that cannot reach ``coverage`` may be left out; of the others every window is there.
+    """
     bitmap, bits = _bitmap(items)
     spread = _spread(_tokenised(docs, doc_id, text, "doc_id"), "__from")
 
@@ -130,7 +156,12 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         return F.call_function("shiftright", word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
     found = _cut(spread.filter(held("__hash") | held("__hash_plain")), "doc_id", "__from", "__ours", "__our_template")
-    return found.join(items, ["__hash", "__window"]).withColumn("__line", F.col("__from") - F.col("__at"))
+    window = ["__hash", "__window"]
+    found = written(found.join(items.select(*window).distinct(), window, "left_semi"), "windows")
+    pairs = found.select("doc_id", *window).distinct().join(_rarest(items, coverage).select("item_id", *window), window)
+    pairs = written(pairs.select("doc_id", "item_id").distinct(), "pairs")
+    asked = _null_safe(pairs, items, ["item_id"], "inner")
+    return _null_safe(asked, found, ["doc_id", *window], "inner").withColumn("__line", F.col("__from") - F.col("__at"))
 
 
 def contaminated(
@@ -144,38 +175,31 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id, item_id, matched_windows, item_windows, slots, changed_slots`` of each link.
 
-    The counts are those of whole consistent alignments of templates, as in the SQL. The link itself
-    counts every window found, so ``matched_windows`` of a copy in other case may be below half.
+    ``matched_windows`` are the item's windows found by template with consistent slots or word for
+    word; ``slots`` are the placeholders in the template windows among these.
     """
     items = written(item_windows(benchmark, item_id, item_text), "items")
-    every = written(matches(docs, items, doc_id, text), "matches")
+    every = written(matches(docs, items, doc_id, text, coverage), "matches")
     found = every.filter("__our_template and __their_template")
 
     pairs = F.arrays_zip(F.col("__window").alias("kind"), F.col("__theirs").alias("theirs"), F.col("__ours").alias("ours"))
     slots = found.select("doc_id", "item_id", "__line", "__at", F.posexplode(pairs).alias("k", "pair")).filter("pair.kind like '<%'")
     line, pair = ["doc_id", "item_id", "__line"], ["doc_id", "item_id"]
-    values = slots.groupBy(*line, F.col("pair.kind").alias("kind"), F.col("pair.theirs").alias("theirs")).agg(
-        F.min("pair.ours").alias("low"), F.max("pair.ours").alias("high")
-    )
+    spots = slots.select(*line, "__at", "k", F.col("pair.kind").alias("__kind"), F.col("pair.theirs").alias("__value"), F.col("pair.ours").alias("__own"))
     value = [*line, "__kind", "__value"]
-    breaking = written(values.filter("low <> high").select(*line, F.col("kind").alias("__kind"), F.col("theirs").alias("__value")), "breaking")
-    broken = breaking.select(*line).distinct()
-    sound = _null_safe(found, broken, line, "left_anti")
+    breaking = spots.groupBy(*value).agg(F.min("__own").alias("low"), F.max("__own").alias("high")).filter("low <> high").select(*value)
+    failed = written(_null_safe(spots, breaking, value, "left_semi").select(*line, "__at").distinct(), "failed")
     spot = F.struct("__line", F.col("__at") + F.col("k"))
-    filled = _null_safe(slots, broken, line, "left_anti").groupBy(*pair).agg(
+    filled = _null_safe(spots, failed, [*line, "__at"], "left_anti").groupBy(*pair).agg(
         F.countDistinct(spot).alias("slots"),
-        F.countDistinct(F.when(F.col("pair.ours") != F.col("pair.theirs"), spot)).alias("changed_slots"),
+        F.countDistinct(F.when(F.col("__own") != F.col("__value"), spot)).alias("changed_slots"),
     )
     plain = every.filter("not (__our_template and __their_template)")
-    # of a broken alignment, the windows without a value that breaks it
-    spots = slots.select(*line, "__at", F.col("pair.kind").alias("__kind"), F.col("pair.theirs").alias("__value"))
-    failed = _null_safe(spots, breaking, value, "left_semi").select(*line, "__at").distinct()
-    partly = _null_safe(_null_safe(found, broken, line, "left_semi"), failed, [*line, "__at"], "left_anti")
-    whole = sound.withColumn("__whole", F.col("__at")).unionByName(plain.unionByName(partly).withColumn("__whole", F.lit(None).cast("int")))
-    links = whole.groupBy(*pair).agg(F.countDistinct("__at").alias("__covered"), F.countDistinct("__whole").alias("matched_windows"))
+    sound = _null_safe(found, failed, [*line, "__at"], "left_anti").unionByName(plain)
+    links = sound.groupBy(*pair).agg(F.countDistinct("__at").alias("matched_windows"))
     totals = items.groupBy("item_id").agg(F.countDistinct("__at").alias("item_windows"))
     counted = _null_safe(_null_safe(links, totals, ["item_id"], "inner"), filled, pair, "left")
-    return counted.filter(F.col("__covered") >= coverage * F.col("item_windows")).select(
+    return counted.filter(F.col("matched_windows") >= coverage * F.col("item_windows")).select(
         *pair,
         "matched_windows",
         "item_windows",
@@ -209,46 +233,51 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TOKENS = r"""list_filter(string_split_regex(
-  regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''),
-    '([^.!?:;\s] )(\p{Lu}\p{Ll})', '\1' || chr(57344) || '\2', 'g'),
+  regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''),
+    '([^.!?:;\x09-\x0D\x20][\x09-\x0D\x20]+)(\p{Lu}\p{Ll})', '\1' || chr(57344) || '\2', 'g'),
     '([0-9])[.,]([0-9])', '\1' || chr(57345) || '\2', 'g')),
     '([0-9])(\p{L})', '\1 \2', 'g'),
-  '[^\p{L}\p{N}' || chr(57344) || chr(57345) || ']+'), lambda x: x <> '')"""
+    '(UNSPACED)', ' \1 ', 'g'),
+  '[^\p{L}\p{N}' || chr(57344) || chr(57345) || ']+'), lambda x: x <> '')""".replace("UNSPACED", UNSPACED)
 
 SQL = f"""
 WITH t AS (
   SELECT 'd' AS side, doc_id AS id, {_TOKENS} AS w FROM documents
   UNION ALL SELECT 'i', item_id, {_TOKENS} FROM benchmark
 ), c AS (
-  SELECT side, id, w, list_transform(range(1, len(w) + 1), lambda i: CASE
+  SELECT side, id, w, list_transform(w, lambda x: ltrim(x, chr(57344))) AS p, list_transform(range(1, len(w) + 1), lambda i: CASE
     WHEN w[i] >= '0' AND w[i] < ':' THEN '<num>'
     WHEN starts_with(w[i], chr(57344)) THEN '<name>'
     WHEN w[i] IN ({", ".join(f"'{u}'" for u in UNITS)}) AND i > 1 AND w[i - 1] >= '0' AND w[i - 1] < ':' THEN '<unit>'
     ELSE w[i] END) AS t
   FROM t
 ), s AS (
-  SELECT side, id, unnest(range(1, len(w) - {WINDOW - 2})) AS pos, w, t FROM c WHERE len(w) >= {WINDOW}
+  SELECT side, id, unnest(range(1, len(w) - {WINDOW - 2})) AS pos, w, p, t FROM c WHERE len(w) >= {WINDOW}
 ), v AS (
-  SELECT side, id, pos, w[pos : pos + {WINDOW - 1}] AS w, t[pos : pos + {WINDOW - 1}] AS t FROM s
+  SELECT side, id, pos, w[pos : pos + {WINDOW - 1}] AS w, p[pos : pos + {WINDOW - 1}] AS p, t[pos : pos + {WINDOW - 1}] AS t FROM s
 ), i AS (
-  SELECT id AS item_id, pos, w, t FROM v
+  SELECT id AS item_id, pos, w, p, t FROM v
   WHERE side = 'i' AND len(list_filter(t, lambda x: NOT starts_with(x, '<'))) >= {WORDS}
 ), f AS (
   SELECT v.id AS doc_id, i.item_id, v.pos - i.pos AS line, i.pos, i.t, i.w AS theirs, v.w AS ours
   FROM v JOIN i ON v.t = i.t WHERE v.side = 'd'
+), e AS (
+  SELECT v.id AS doc_id, i.item_id, i.pos FROM v JOIN i ON v.p = i.p WHERE v.side = 'd'
 ), x AS (
   SELECT doc_id, item_id, line, pos, t, theirs, ours, unnest(range(1, {WINDOW + 1})) AS k FROM f
 ), y AS (
-  SELECT doc_id, item_id, line, pos + k AS spot, t[k] AS kind, theirs[k] AS theirs, ours[k] AS ours FROM x WHERE starts_with(t[k], '<')
+  SELECT doc_id, item_id, line, pos, pos + k AS spot, t[k] AS kind, theirs[k] AS theirs, ours[k] AS ours FROM x WHERE starts_with(t[k], '<')
 ), b AS (
-  SELECT DISTINCT doc_id, item_id, line FROM (
-    SELECT doc_id, item_id, line FROM y GROUP BY doc_id, item_id, line, kind, theirs HAVING count(DISTINCT ours) > 1)
+  SELECT doc_id, item_id, line, kind, theirs FROM y GROUP BY ALL HAVING count(DISTINCT ours) > 1
+), z AS (
+  SELECT DISTINCT doc_id, item_id, line, pos FROM y SEMI JOIN b USING (doc_id, item_id, line, kind, theirs)
 ), l AS (
-  SELECT doc_id, item_id, count(DISTINCT pos) AS matched_windows FROM f ANTI JOIN b USING (doc_id, item_id, line) GROUP BY ALL
+  SELECT doc_id, item_id, count(DISTINCT pos) AS matched_windows FROM (
+    SELECT doc_id, item_id, pos FROM f ANTI JOIN z USING (doc_id, item_id, line, pos) UNION ALL SELECT doc_id, item_id, pos FROM e) GROUP BY ALL
 ), g AS (
   SELECT doc_id, item_id, count(DISTINCT (line, spot)) AS slots,
          count(DISTINCT (line, spot)) FILTER (WHERE ours <> theirs) AS changed_slots
-  FROM y ANTI JOIN b USING (doc_id, item_id, line) GROUP BY ALL
+  FROM y ANTI JOIN z USING (doc_id, item_id, line, pos) GROUP BY ALL
 ), n AS (SELECT item_id, count(DISTINCT pos) AS item_windows FROM i GROUP BY ALL)
 SELECT doc_id, item_id, matched_windows, item_windows, coalesce(slots, 0) AS slots, coalesce(changed_slots, 0) AS changed_slots
 FROM l JOIN n USING (item_id) LEFT JOIN g USING (doc_id, item_id)
