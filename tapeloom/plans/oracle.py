@@ -254,6 +254,8 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT conv_id, turn * 3 + 4, 'transcript_committed', text, NULL FROM conversations)
         SELECT CAST(conv_id AS VARCHAR) AS recording_id, kind, count(*) AS n_events, CAST(sum(sequence) AS BIGINT) AS sum_sequence,
           CAST(sum(strlen(text)) AS BIGINT) AS text_bytes, CAST(sum(start_us) AS BIGINT) AS sum_start_us FROM l GROUP BY 1, 2"""
+    q["foreign_lines"] = """SELECT CAST(conv_id + 1 AS VARCHAR) AS recording_id, turn * 3 + 4 AS sequence, 'transcript_committed' AS kind,
+        'wrong_recording' AS reason_code FROM conversations"""
     own = _uuid("'log'", "CAST(conv_id AS VARCHAR)")
     q["file_order_rejects"] = f"""SELECT {own} AS recording_id, CAST(3 AS BIGINT) AS line_no, CAST(4 AS BIGINT) AS sequence, 'transcript_committed' AS kind, 'event_out_of_order' AS reason_code
         FROM conversations WHERE conv_id % 5 = 1 AND turn = 0"""
@@ -297,6 +299,20 @@ def oracle_sql() -> dict[str, str]:
         SELECT recording_id, n + 2 + 3 * r AS sequence, 'clip_deleted' AS kind, NULL AS start_us, NULL AS end_us FROM r
         UNION ALL SELECT recording_id, n + 3 + 3 * r, 'clip_deleted', NULL, NULL FROM r
         UNION ALL SELECT recording_id, n + 4 + 3 * r, 'clip_added', r * 20, r * 20 + 20 FROM r"""
+    q["command_moves"] = f"""WITH {orders}, r AS (SELECT recording_id, n, unnest(range(n)) AS r FROM k)
+        SELECT recording_id, n + 2 + r - CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS sequence, 'clip_moved' AS kind, NULL AS start_us, NULL AS end_us FROM r WHERE r > 0 OR n % 2 = 1
+        UNION ALL SELECT recording_id, 0, 'clip_moved', -1, -1 FROM k WHERE n % 2 = 0"""
+    q["moved_clips"] = f"""WITH {orders}, r AS (SELECT recording_id, n, unnest(range(n)) AS r FROM k)
+        SELECT recording_id, 'c' || r AS clip_id, n - 1 - r AS position, r * 10 AS start_us, 'pending' AS status, 2 * n + n % 2 AS last_sequence FROM r"""
+    q["append_rejects"] = f"""WITH {TIMELINE}, n AS (SELECT *, lead(clip_id) OVER w AS nxt, lead(clip_id, 2) OVER w AS far, lead(status, 2) OVER w AS far_status,
+          row_number() OVER w - 1 AS i FROM tl WINDOW w AS (PARTITION BY recording_id ORDER BY start_us))
+        SELECT 'chain' AS asked, recording_id, clip_id AS first_clip_id, nxt AS second_clip_id, 'clip_not_active' AS reason_code FROM n WHERE nxt IS NOT NULL AND i % 2 = 1
+        UNION ALL SELECT 'pair', recording_id, clip_id, far, CASE WHEN 'failed' IN (status, far_status) THEN 'clip_not_active' ELSE 'clips_not_adjacent' END FROM n WHERE far IS NOT NULL
+        UNION ALL SELECT 'pair', recording_id, clip_id, clip_id, 'same_clip' FROM n
+        UNION ALL SELECT 'pair', recording_id, clip_id, 'gone', 'clip_not_active' FROM n"""
+    q["chunk_rejects"] = f"""WITH {LINES}, o AS (SELECT m.recording_id, duration_us, o_orderstatus AS st FROM media m JOIN orders ON CAST(o_orderkey AS VARCHAR) = m.recording_id)
+        SELECT recording_id, CASE WHEN st = 'O' AND duration_us > 0 THEN 'planned' ELSE 'invalid_chunk_duration' END AS outcome,
+          CASE WHEN st = 'O' AND duration_us > 0 THEN (duration_us - 1) // 30000000 + 1 ELSE 0 END AS n_chunks FROM o"""
     q["plan_chunks"] = f"""WITH {LINES}, k AS (SELECT recording_id, duration_us, unnest(range((duration_us - 1) // 30000000 + 1)) AS chunk_no FROM media WHERE duration_us > 0)
         SELECT recording_id, chunk_no, chunk_no * 30000000 AS start_us, least((chunk_no + 1) * 30000000, duration_us) AS end_us FROM k"""
     q["clip_timeline"] = f"WITH {TIMELINE} SELECT recording_id, clip_id, start_us, end_us, start_us + (end_us - start_us) // 2 AS middle_us FROM tl"
@@ -391,6 +407,11 @@ def oracle_sql() -> dict[str, str]:
           'store/recordings/' || recording_id || '/audio/profiles/' || stem || '.wav' AS output_path, frame_count * 1000000 // 16000 AS duration_us, frame_count FROM t, p"""
     q["resample"] = _resample(24_000)
     q["upsample"] = _resample(11_025)
+    left = "floor(greatest(least(CAST(s AS DOUBLE), 3.0), -3.0) * 10000)"
+    mono = f"CAST(({left} + floor({left} / 2)) / 65536 AS FLOAT)"
+    q["stereo_files"] = _resample(8_000).replace("sig AS (SELECT vec_id, recording_id, s,", f"sig AS (SELECT vec_id, recording_id, {mono} AS s,").replace(
+        "AS sample", "AS sample, 2 * q.n AS frame_count, 2 * q.n * 1000000 // 16000 AS duration_us"
+    )
     q["reblock"] = f"""WITH {VECTORS} SELECT recording_id, f // 100 AS block_no, f // 100 * 100 AS first_frame, n AS total_frames, count(*) AS n_samples FROM sig GROUP BY 1, 2, 3, 4"""
     q["waveform_peaks"] = f"""WITH {VECTORS} SELECT recording_id, f * least(180, n) // n AS bin, {_rounded('max(abs(s))')} AS peak FROM sig GROUP BY 1, 2"""
     q["peaks_of_empty"] = f"""WITH {VECTORS} SELECT recording_id, 'original' AS profile, f * least(7, n) // n AS bin, {_rounded('max(abs(s))')} AS peak FROM sig

@@ -25,6 +25,7 @@ from tapeloom.session import fresh_folder
 from tapeloom.schemas import COMMAND_EVENTS, COMMANDS_DDL, EVENTS_DDL, struct_type
 from tapeloom.sources import block_store, event_log, export, media
 from tapeloom.sources.event_log import line_json, parse_log_lines
+from tapeloom.sources.files import write_files
 from tapeloom.sources.probe import parse_probe
 from tapeloom.streaming import capture
 from tapeloom.streaming.bounded import drained, drained_into, table_stream
@@ -275,6 +276,16 @@ def event_lines(spark, d):
     )
 
 
+@query
+def foreign_lines(spark, d):
+    """Committed texts that stand in the log of the next conversation."""
+    lines = line_json(T.conversation_log(spark, d))
+    text = (F.col("sequence") % 3 == 1) & (F.col("sequence") > 1)
+    owner = F.when(text, (F.col(RECORDING).cast("bigint") + 1).cast("string")).otherwise(F.col(RECORDING))
+    _, bad = parse_log_lines(lines.select(owner.alias("owner"), "value"))
+    return bad.select(RECORDING, "sequence", "kind", "reason_code")
+
+
 def _log_files(spark, d) -> str:
     root = fresh_folder(spark, "store")
     event_log.write_event_logs(T.uuid_log(spark, d), root, "line")
@@ -449,6 +460,35 @@ def command_appends(spark, d):
     return _command_query(spark, d, lambda held: commands.append_commands(clips.append_clips(held, clips.adjacent_pairs(held))[0]))
 
 
+def _moves(held: DataFrame) -> DataFrame:
+    """Each clip in turn moved to the front; of recordings with an even number the first one behind the end."""
+    sized = held.join(held.groupBy(RECORDING).agg(F.count("*").alias("n")), RECORDING)
+    beyond = (F.col("start_us") == 0) & (F.col("n") % 2 == 0)
+    moves = sized.withColumn("target_index", F.when(beyond, F.col("n")).otherwise(0).cast("bigint"))
+    return commands.move_commands(moves, F.col("start_us"))
+
+
+@query
+def command_moves(spark, d):
+    """Line items moved to the front of their order, some past its end."""
+    return _command_query(spark, d, _moves)
+
+
+@query
+def moved_clips(spark, d):
+    """The same moves appended to the stored log, which is read and replayed: the list is turned round."""
+    log = written(_order_log(spark, d), "log")
+    held = log.filter("kind = 'clip_added'").select(RECORDING, "clip_id", "start_us")
+    path = fresh_folder(spark, "events")
+    event_log.append_events(log, path)
+    moved, _ = commands.apply_commands(event_log.read_events(spark, path), _moves(held), ordinal_width=commands.TIME_ORDINALS)
+    event_log.append_events(moved, path)
+    state = replay.replay(event_log.read_events(spark, path))
+    return state.clips.join(state.recordings.select(RECORDING, "last_sequence"), RECORDING).select(
+        RECORDING, "clip_id", "position", "start_us", "status", "last_sequence"
+    )
+
+
 # --- clip algebra ----------------------------------------------------------
 
 @query
@@ -512,6 +552,32 @@ def append_pairs(spark, d):
     return made
 
 
+@query
+def append_rejects(spark, d):
+    """Pairs that cannot be joined: chained, a clip with itself, one too far, with a failed one, with none."""
+    held = T.user_timeline(spark, d).withColumn("status", F.when(F.col("status") == "failed", "deleted").otherwise("pending"))
+    every = held.withColumn("status", F.lit("pending"))
+    near = clips.adjacent_pairs(every)
+    after = near.toDF(RECORDING, "second_clip_id", "third")
+    far = near.join(after, [RECORDING, "second_clip_id"]).select(RECORDING, "first_clip_id", F.col("third").alias("second_clip_id"))
+    own = every.select(RECORDING, F.col("clip_id").alias("first_clip_id"), F.col("clip_id").alias("second_clip_id"))
+    gone = own.withColumn("second_clip_id", F.lit("gone"))
+    chained = clips.append_clips(every, near)[1].select(F.lit("chain").alias("asked"), RECORDING, "first_clip_id", "second_clip_id", "reason_code")
+    refused = clips.append_clips(held, far.unionByName(own).unionByName(gone))[1]
+    return chained.unionByName(refused.select(F.lit("pair").alias("asked"), *chained.columns[1:]))
+
+
+@query
+def chunk_rejects(spark, d):
+    """Orders as recordings, those finished without a length, those in part with an unknown one."""
+    status = T.read(spark, d, "orders").select(T.text_id("o_orderkey"), "o_orderstatus")
+    length = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", F.col("duration_us"))
+    media = T.order_media(spark, d).join(status, RECORDING).withColumn("duration_us", length)
+    planned = clips.plan_chunks(media, 30_000_000).groupBy(RECORDING).agg(F.lit("planned").alias("outcome"), F.count("*").alias("n_chunks"))
+    none = clips.chunk_rejects(media).select(RECORDING, F.col("reason_code").alias("outcome"), F.lit(0).cast("bigint").alias("n_chunks"))
+    return planned.unionByName(none)
+
+
 def _planned(spark, d) -> tuple[DataFrame, DataFrame]:
     """(clips held, plan): finished orders hold the plan, partial ones another plan, open ones nothing."""
     media = T.order_media(spark, d)
@@ -960,6 +1026,33 @@ def wav_round_trip(spark, d):
     return _samples(normal).join(meta.select(RECORDING, "frame_count", "duration_us"), RECORDING).drop("profile")
 
 
+def _stereo_lines(blocks: DataFrame, root: str) -> DataFrame:
+    """Files of two 16-bit channels at 8 kHz: the samples in ten-thousandths, and half of them."""
+    little = lambda v, n: F.array_join(F.transform(
+        F.lit([0, 8, 16, 24][:n]), lambda bit: F.lpad(F.hex(F.pmod(F.floor(v / F.pow(F.lit(2.0), bit)), F.lit(256))), 2, "0")
+    ), "")
+    path = F.concat(F.lit(f"{root}/"), F.col(RECORDING), F.lit(".wav"))
+    left = lambda x: F.floor(F.greatest(F.least(x.cast("double"), F.lit(3.0)), F.lit(-3.0)) * 10_000)
+    frame = lambda x: F.concat(little(left(x), 2), little(F.floor(left(x) / 2), 2))
+    body = blocks.select(path.alias("path"), F.col("block_no").alias("part"), F.unhex(F.array_join(F.transform("samples", frame), "")).alias("data"))
+    size = F.col("total_frames") * 4
+    form = "".join(v.to_bytes(n, "little").hex() for v, n in ((16, 4), (1, 2), (2, 2), (8000, 4), (32000, 4), (4, 2), (16, 2)))
+    head = F.concat(
+        F.lit(b"RIFF".hex()), little(size + 36, 4), F.lit(b"WAVEfmt ".hex() + form + b"data".hex()), little(size, 4)
+    )
+    return blocks.filter("block_no = 0").select(path.alias("path"), F.lit(-1).cast("bigint").alias("part"), F.unhex(head).alias("data")).unionByName(body)
+
+
+@query
+def stereo_files(spark, d):
+    """Label recordings as 16-bit stereo files at 8 kHz, found and made 16 kHz mono."""
+    root = fresh_folder(spark, "stereo")
+    write_files(_stereo_lines(T.label_blocks(spark, d), root))
+    found = media.inspect_wav(media.scan_media(spark, root)).withColumn(RECORDING, F.regexp_extract("path", r"/([^/]+)\.wav$", 1))
+    normal, meta, _ = media.normalize(found, 1)
+    return _samples(normal).join(meta.select(RECORDING, "frame_count", "duration_us"), RECORDING).drop("profile")
+
+
 @query
 def block_faults(spark, d):
     """Vectors of a label numbered by their own ids: holes between nearly all of them."""
