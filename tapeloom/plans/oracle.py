@@ -263,6 +263,8 @@ def oracle_sql() -> dict[str, str]:
         FROM conversations WHERE conv_id % 5 <> 1 GROUP BY conv_id HAVING NOT bool_or(role = 'system')"""
     q["manifest_round_trip"] = f"""WITH {CONV_LOG} SELECT {own} AS recording_id, 'created' AS status, count(*) AS n_clips, CAST(sum((turn + 1) * 1000000) AS BIGINT) AS sum_end_us,
         nullif(count(*) FILTER (WHERE NOT stops), 0) AS n_transcripts, CAST(sum(strlen(text)) FILTER (WHERE NOT stops) AS BIGINT) AS text_bytes FROM lt GROUP BY conv_id"""
+    q["manifest_continued"] = f"""WITH {CONV_LOG}, m AS (SELECT conv_id, max(turn * 3 + CASE WHEN stops THEN 3 ELSE 4 END) AS last, count(*) FILTER (WHERE NOT stops) AS n FROM lt GROUP BY 1)
+        SELECT {own} AS recording_id, last + 1 AS first_new, n AS n_new, last + n AS last_sequence, 0 AS n_live FROM m WHERE n > 0"""
     q["export_reports"] = q["document_totals"]
     q["export_missing"] = f"""WITH {VERSIONS} SELECT DISTINCT recording_id, 'no_committed_transcripts' AS reason_code FROM v
         WHERE recording_id NOT IN (SELECT recording_id FROM c WHERE NOT deleted)"""

@@ -319,6 +319,20 @@ def manifest_round_trip(spark, d):
     return read.recordings.select(RECORDING, "status").join(held, RECORDING, "left").join(texts, RECORDING, "left")
 
 
+@query
+def manifest_continued(spark, d):
+    """Every clip that a manifest holds is deleted: commands go on from where its log ended."""
+    root = fresh_folder(spark, "store")
+    event_log.write_manifests(replay.replay(T.uuid_log(spark, d).drop("line")), root)
+    read, _ = event_log.read_manifests(spark, root)
+    events, _ = commands.apply_commands(read, commands.delete_commands(clips.active(read.clips), F.col("position")))
+    events = written(events, "tail")
+    now = replay.replay(events, snapshot=read)
+    added = events.groupBy(RECORDING).agg(F.min("sequence").alias("first_new"), F.count("*").alias("n_new"))
+    live = clips.active(now.clips).groupBy(RECORDING).agg(F.count("*").alias("n_live"))
+    return added.join(now.recordings.select(RECORDING, "last_sequence"), RECORDING).join(live, RECORDING, "left").na.fill({"n_live": 0})
+
+
 @query
 def export_reports(spark, d):
     """Latest texts as files, one per conversation."""

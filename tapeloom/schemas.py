@@ -105,7 +105,7 @@ LOG_LINE_DDL = (
     "provenance: string, text: string>>"
 )
 MANIFEST_DDL = (
-    "schema_version int, recording struct<"
+    "schema_version int, last_sequence bigint, recording struct<"
     f"id: string, source: {_source}, status: string, failure: string, "
     f"clips: array<struct<id: string, source_range: {_range}, status: string, failure: string>>, "
     "transcripts: array<struct<id: string, clip_id: string, provenance: string, text: string>>>"

@@ -194,7 +194,10 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_manifests(texts: DataFrame) -> tuple[Replayed, DataFrame]:
-    """``(owner, value)`` manifest texts to state tables and rejects."""
+    """``(owner, value)`` manifest texts to state tables and rejects.
+
+    A manifest without ``last_sequence`` loads, but cannot be continued.
+    """
     parsed = texts.withColumn("j", F.from_json("value", MANIFEST_DDL))
     code = (
         F.when(F.col("j.recording.id").isNull() | F.col("j.schema_version").isNull(), "invalid_manifest")
@@ -206,10 +209,10 @@ def parse_manifests(texts: DataFrame) -> tuple[Replayed, DataFrame]:
     bad = judged.filter("reason_code is not null").select(
         F.col("owner").alias(RECORDING), none.alias("sequence"), F.lit(None).cast("string").alias("kind"), "reason_code", F.col("value").alias("raw")
     )
-    good = judged.filter("reason_code is null").select(F.lower("j.recording.id").alias(RECORDING), F.col("j.recording").alias("r"))
+    good = judged.filter("reason_code is null").select(F.lower("j.recording.id").alias(RECORDING), "j.last_sequence", F.col("j.recording").alias("r"))
     recordings = good.select(
         RECORDING, F.col("r.source.kind").alias("source_kind"), F.col("r.source.path").alias("source_path"),
-        F.col("r.status").alias("status"), F.col("r.failure").alias("failure"), none.alias("last_sequence"),
+        F.col("r.status").alias("status"), F.col("r.failure").alias("failure"), "last_sequence",
     )
     clips = good.select(RECORDING, F.posexplode("r.clips").alias("position", "c")).select(
         RECORDING, F.col("c.id").alias("clip_id"), F.col("position").cast("bigint").alias("position"),
@@ -262,7 +265,9 @@ def manifest_lines(state: Replayed) -> DataFrame:
         RECORDING, F.lit(3).alias("part"), F.col("version_no").alias("line_no"),
         F.concat(version, F.when(F.col("version_no") < F.col("last"), ",").otherwise("")).alias("value"),
     )
-    tail = r.select(RECORDING, F.lit(4).alias("part"), F.lit(0).cast("bigint").alias("line_no"), F.lit("]}}").alias("value"))
+    tail = r.select(RECORDING, F.lit(4).alias("part"), F.lit(0).cast("bigint").alias("line_no"),
+        F.concat(F.lit(']},"last_sequence":'), F.coalesce(F.col("last_sequence").cast("string"), F.lit("null")), F.lit("}")).alias("value"),
+    )
     return head.unionByName(clips).unionByName(middle).unionByName(versions).unionByName(tail)
 
 

@@ -17,7 +17,7 @@ from tapeloom.operators.fold import Refused
 from tapeloom.operators.replay import replay, state_differences
 from tapeloom.operators.views import document_totals, failure_report, latest_transcript, next_recording, transcript_document
 from tapeloom.schemas import AUDIO_BLOCKS_DDL, COMMANDS_DDL, MEDIA_META_DDL, PAYLOAD_COLUMNS
-from tapeloom.sources.event_log import append_events, in_file_order, list_recordings, read_event_log, read_events, write_event_logs, write_manifests
+from tapeloom.sources.event_log import append_events, in_file_order, list_recordings, parse_manifests, read_event_log, read_events, write_event_logs, write_manifests
 from tapeloom.sources.export import export_transcripts, write_report
 from tests.test_replay import PlainFold, ev, frame, random_log
 from tests.test_streaming import folder
@@ -280,6 +280,11 @@ def test_store_round_trip(spark):
         ("d", "wrong_recording"), ("e", "unsupported_schema"), ("f", "invalid_event_line")}
     assert state_differences(listed.clips.filter(F.col("recording_id") != only), state.clips).count() == 0
     assert listed.clips.filter(F.col("recording_id") == only).count() == 2
+    last = {r.recording_id: r.last_sequence for r in listed.recordings.collect()}
+    assert last[only] == last[A] == state.recordings.filter(F.col("recording_id") == A).first().last_sequence
+    old = text.replace(f',"last_sequence":{last[A]}', "")
+    known, bad = parse_manifests(spark.createDataFrame([(A, old)], "owner string, value string"))
+    assert old != text and bad.count() == 0 and known.recordings.first().last_sequence is None
     table = folder() + "/events"
     append_events(log, table)
     assert state_differences(read_events(spark, table), log).count() == 0
