@@ -32,3 +32,10 @@ def test_probe_clocks_of_many_customers(spark, tmp_path):
     folder = str(tmp_path / "t")
     problem, n, _ = compare(spark, connect(folder), "probe_parse", REGISTRY["probe_parse"], oracle_sql()["probe_parse"], folder)
     assert problem is None and n > 0
+
+
+@pytest.mark.parametrize("name", ["stereo_files", "wav_round_trip"])
+def test_samples_are_never_broadcast(spark, name):
+    plan = final_plan(REGISTRY[name](spark, SF).filter("sample is not null")).split("== Initial Plan ==")[0]
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("BuildRight" in line for line in joins)
