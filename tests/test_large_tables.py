@@ -39,3 +39,11 @@ def test_samples_are_never_broadcast(spark, name):
     plan = final_plan(REGISTRY[name](spark, SF).filter("sample is not null")).split("== Initial Plan ==")[0]
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert joins and all("BuildRight" in line for line in joins)
+
+
+def test_runs_of_spans_stay_in_their_tasks(spark):
+    one = spark.createDataFrame([(f"r{i}", 200_000) for i in range(40)], "recording_id string, n bigint")
+    out = explode_span(one, F.lit(0), F.col("n") - 1, "at", ["recording_id"])
+    sizes = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(sizes) == 4 and sum(r["count"] for r in sizes) == 40 * 200_000
+    assert clips.plan_chunks(one.withColumn("duration_us", F.col("n")), 100_000).count() == 80
