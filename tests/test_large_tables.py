@@ -34,6 +34,20 @@ def test_probe_clocks_of_many_customers(spark, tmp_path):
     assert problem is None and n > 0
 
 
+def test_touched_blocks_are_never_broadcast(spark):
+    """One clip and one block row stand for any number of touched blocks; Spark's estimate knows neither."""
+    blocks = spark.range(2_000).select(
+        F.lit("r").alias("recording_id"), F.lit("original").alias("profile"), F.col("id").alias("block_no"), (F.col("id") * 64).alias("first_frame"),
+        F.lit(128_000).cast("bigint").alias("total_frames"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("samples"),
+    )
+    media = spark.createDataFrame([("r", 8_000_000, 128_000)], "recording_id string, duration_us bigint, frame_count bigint")
+    held = spark.createDataFrame([("r", "all", 0, 8_000_000, "pending")], CLIPS)
+    pieces, _ = audio.cut_clips(held, blocks, media, 64)
+    plan = final_plan(pieces).split("== Initial Plan ==")[0]
+    assert pieces.count() == 2_000
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "block_no" in line]
+
+
 @pytest.mark.parametrize("name", ["stereo_files", "wav_round_trip"])
 def test_samples_are_never_broadcast(spark, name):
     plan = final_plan(REGISTRY[name](spark, SF).filter("sample is not null")).split("== Initial Plan ==")[0]
