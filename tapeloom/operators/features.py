@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tapeloom.functions import spectral
 from tapeloom.functions.timecode import div
-from tapeloom.operators.audio import cut_clips
+from tapeloom.operators.audio import cut_clips, judged_ranges
 from tapeloom.operators.clips import RECORDING, active
 from tapeloom.plans.spread import explode_span
 
@@ -65,16 +65,23 @@ def assemble(pieces: DataFrame) -> DataFrame:
 def window_audio(clips: DataFrame, blocks: DataFrame, media: DataFrame, block_frames: int) -> tuple[DataFrame, DataFrame]:
     """(a row per feature window of the clips, with its samples; rejects).
 
-    A window's ``clip_id`` stays that of its clip; ``window_id`` names the window.
+    A window's ``clip_id`` stays that of its clip; ``window_id`` names the window. A clip that cannot
+    be cut is rejected whole, as one window, and none of it is cut.
     """
-    windows = clip_windows(clips)
+    judged = judged_ranges(clips, media)
+    windows = clip_windows(judged.filter("reason_code is null").withColumn("status", F.lit("pending")))
     as_clips = windows.select(
         RECORDING, F.col("window_id").alias("clip_id"), "start_us", "end_us", F.lit("pending").alias("status")
     )
-    pieces, rejects = cut_clips(as_clips, blocks, media, block_frames)
+    pieces, _ = cut_clips(as_clips, blocks, media, block_frames)  # windows of sound clips are sound
+    first = F.lit(0).cast("bigint")
+    rejects = judged.filter("reason_code is not null").select(
+        RECORDING, F.concat_ws("#", "clip_id", first).alias("window_id"), "reason_code", "clip_id", first.alias("window_no"),
+        F.col("start_us").alias("clip_start_us"), (F.col("end_us") - F.col("start_us") > WINDOW_US).alias("is_long"),
+    )
     keys = windows.select(RECORDING, "window_id", "clip_id", "window_no", "clip_start_us", "is_long")
-    named = assemble(pieces).withColumnRenamed("clip_id", "window_id").join(keys, [RECORDING, "window_id"])
-    return named, rejects.withColumnRenamed("clip_id", "window_id").join(keys, [RECORDING, "window_id"])
+    named = assemble(pieces).withColumnRenamed("clip_id", "window_id").join(keys, [RECORDING, "window_id"], "left")
+    return named, rejects
 
 
 def clip_log_mel(clips: DataFrame, blocks: DataFrame, media: DataFrame, block_frames: int) -> tuple[DataFrame, DataFrame]:

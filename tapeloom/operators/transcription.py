@@ -169,7 +169,7 @@ def clip_outcomes(results: DataFrame) -> DataFrame:
     joined = F.array_join(F.col("texts.text"), " ")
     error = F.coalesce("error", F.when(joined == "", "empty_transcript"))
     return per.select(
-        RECORDING, "clip_id", "start_us", "provenance",
+        RECORDING, "clip_id", "start_us", F.when(error.isNull(), F.col("provenance")).alias("provenance"),
         F.when(error.isNull(), joined).alias("text"), error.alias("error"), "backend_id",
     )
 

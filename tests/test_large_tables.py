@@ -34,6 +34,33 @@ def test_probe_clocks_of_many_customers(spark, tmp_path):
     assert problem is None and n > 0
 
 
+class Loud:
+    """Fails on a window that is silent, and counts what it is asked."""
+
+    def capabilities(self):
+        return transcription.Capabilities("loud")
+
+    def transcribe(self, request):
+        if not request.samples.any():
+            raise ValueError("silence")
+        return "raw_asr", "words"
+
+
+@pytest.mark.parametrize("level", [0.0, 0.5])
+def test_a_long_clip_past_the_end_fails_whole(spark, level):
+    """Forty seconds: the first of its two windows could be cut."""
+    frames = 40 * 16_000
+    blocks = spark.createDataFrame([("r", "original", i, i * 16_000, frames, [level] * 16_000) for i in range(40)], BLOCKS)
+    media = spark.createDataFrame([("r", 40_000_000, frames)], "recording_id string, duration_us bigint, frame_count bigint")
+    held = spark.createDataFrame([("r", "past", 5, 40_000_001, "pending"), ("r", "whole", 0, 40_000_000, "pending")], CLIPS)
+    out = {r.clip_id: r for r in transcription.transcribe(held, blocks, media, 16_000, Loud, run_key=f"loud{level}").collect()}
+    assert (out["past"].provenance, out["past"].text, out["past"].error, out["past"].start_us) == (None, None, "invalid_clip_range", 5)
+    want = ("raw_asr", "words words", None) if level else (None, None, "silence")
+    assert (out["whole"].provenance, out["whole"].text, out["whole"].error) == want
+    asked, refused = transcription.clip_audio(held, blocks, media, 16_000)
+    assert {r.clip_id for r in asked.collect()} == {"whole"} and [r.clip_id for r in refused.collect()] == ["past"]
+
+
 def test_touched_blocks_are_never_broadcast(spark):
     """One clip and one block row stand for any number of touched blocks; Spark's estimate knows neither."""
     blocks = spark.range(2_000).select(
