@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import tapeloom.operators.replay as replay_module
 from tapeloom.operators.fold import RecordingFold, Refused
 from tapeloom.operators.commands import apply_commands
 from tapeloom.operators.replay import ListOrder, Replayed, replay, state_differences, transition_audit
@@ -331,3 +332,32 @@ def test_retry_after_failure(spark):
     ]
     clip = check(spark, rows).clips.collect()[0]
     assert (clip.status, clip.failure) == ("transcribed", None)
+
+
+def test_short_logs_are_exchanged_by_recording_alone(spark):
+    """Numbers, life cycle and clips are judged over one exchange; no join with the repeated numbers is left."""
+    rows = [("r", i, "recording_created" if i == 1 else "clip_added", f"c{i}", None, i * 10, i * 10 + 10, None, None, None, None, "audio_file", "x", 1)
+            for i in range(1, 9)]
+    rows.append(rows[5])  # a number that is used twice, by the same record
+    log = spark.createDataFrame(rows, EVENTS_DDL)
+    held = []
+
+    def kept(df, stem):
+        held.append((stem, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, stem)
+
+    before, replay_module.written = replay_module.written, kept
+    try:
+        state = replay(log)
+    finally:
+        replay_module.written = before
+    plans = dict(held)
+    assert {"long-logs", "seen"} <= set(plans)
+    assert plans["seen"].count("Exchange hashpartitioning(recording_id") == 1 and plans["seen"].count("Exchange ") == 1
+    assert "Join" not in plans["seen"]
+    assert [r.sequence for r in state.rejects.collect()] == [6]
+    assert state.accepted.count() == 6 and state.clips.count() == 5
+    # a log that is longer than a task may hold is judged in buckets, with the same outcome
+    wide = replay(log, width=4)
+    assert [tuple(r) for r in wide.rejects.collect()] == [tuple(r) for r in state.rejects.collect()]
+    assert sorted(map(tuple, wide.clips.collect())) == sorted(map(tuple, state.clips.collect()))
