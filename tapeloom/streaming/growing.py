@@ -29,15 +29,17 @@ from tapeloom.sources.files import open_path
 LINES_DDL = "path string, at_byte bigint, value string"
 #: Bytes of a file that one task takes, and that it looks back over at once for the start of a line.
 RANGE_BYTES, LOOK_BACK = 16 << 20, 64 << 10
+#: What opening a file counts as, in bytes, when a task is given its ranges.
+OPEN_BYTES = 64 << 10
 #: Lines of one Arrow batch.
 LINES = 4_096
 
 
 @dataclass
-class _Range(InputPartition):
-    path: str
-    start: int
-    end: int
+class _Ranges(InputPartition):
+    """(path, start, end) of what one task reads: many short logs, or a part of a long one."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 def line_start(source, at: int) -> int:
@@ -84,28 +86,39 @@ class _Reader(DataSourceStreamReader):
                 self.sizes[info.path] = max(info.size, self.sizes.get(info.path, 0))
         return {"files": dict(sorted(self.sizes.items()))}
 
-    def partitions(self, start: dict, end: dict) -> list[_Range]:
-        ranges = []
+    def partitions(self, start: dict, end: dict) -> list[_Ranges]:
+        tasks, room = [], 0
         for path, size in end["files"].items():
             at = start["files"].get(path, 0)
             while at < size:
                 to = min(size, (at // RANGE_BYTES + 1) * RANGE_BYTES)
-                ranges.append(_Range(path, at, to))
+                cost = to - at + OPEN_BYTES
+                if not tasks or cost > room:
+                    tasks.append(_Ranges([]))
+                    room = RANGE_BYTES + OPEN_BYTES
+                tasks[-1].ranges.append((path, at, to))
+                room -= cost
                 at = to
-        return ranges
+        return tasks
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         store, _ = open_path(self.root)
         schema = pa.schema([("path", pa.string()), ("at_byte", pa.int64()), ("value", pa.string())])
-        with store.open_input_file(partition.path) as source:
-            held = []
-            for at, line in lines_ended_in(source, partition.start, partition.end):
-                held.append((partition.path, at, line.decode(errors="replace")))
-                if len(held) == LINES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+        held, size = [], 0
+        for path, start, end in partition.ranges:
+            with store.open_input_file(path) as source:
+                for at, line in lines_ended_in(source, start, end):
+                    held.append((path, at, line.decode(errors="replace")))
+                    size += len(line)
+                    if len(held) == LINES or size >= RANGE_BYTES:
+                        yield _batch(held, schema)
+                        held, size = [], 0
+        if held:
+            yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 class GrowingLines(DataSource):

@@ -38,34 +38,39 @@ _LONGS = {"sequence", "start_us", "end_us", "target_index", "schema_version"}
 
 
 class _StateMapping:
-    """A map state with the few mapping methods the rules use."""
+    """A map state with the few mapping methods the rules use. What a batch's records of one key name is held
+    until ``flush``, so each entry is read and written once; of a ``fresh`` key nothing has to be read."""
 
-    def __init__(self, state):
-        self.state = state
+    def __init__(self, state, fresh: bool):
+        self.state, self.fresh, self.held, self.changed = state, fresh, {}, set()
 
     def get(self, key):
-        value = self.state.getValue((key,))
-        return None if value is None else tuple(value)
+        if key not in self.held:
+            value = None if self.fresh else self.state.getValue((key,))
+            self.held[key] = None if value is None else tuple(value)
+        return self.held[key]
 
     def __setitem__(self, key, value):
-        self.state.updateValue((key,), value if isinstance(value, tuple) else (value,))
+        self.held[key] = value if isinstance(value, tuple) else (value,)
+        self.changed.add(key)
 
+    def flush(self) -> None:
+        for key in self.changed:
+            if self.held[key] is not None:
+                self.state.updateValue((key,), self.held[key])
+            elif not self.fresh and self.state.containsKey((key,)):
+                self.state.removeKey((key,))
 
-class _StateBlocks:
-    """A map state from numbers to packed blocks."""
 
-    def __init__(self, state):
-        self.state = state
+class _StateBlocks(_StateMapping):
+    """A map state from numbers to packed blocks."""
 
     def get(self, key):
-        return self.state.getValue((key,))[0]
-
-    def __setitem__(self, key, value):
-        self.state.updateValue((key,), (value,))
+        return super().get(key)[0]
 
     def pop(self, key, default=None):
-        if self.state.containsKey((key,)):
-            self.state.removeKey((key,))
+        self.held[key] = None
+        self.changed.add(key)
 
 
 class LogJudge(StatefulProcessor):
@@ -92,21 +97,30 @@ class LogJudge(StatefulProcessor):
         self.early = handle.getMapState("early", struct_type("sequence bigint"), struct_type(_HELD_DDL))
 
     def _load(self):
-        packed = self.directory.get()[0] if self.directory.exists() else b""
-        live = RangeBlocks(_StateBlocks(self.blocks), packed)
-        fold = RecordingFold(_StateMapping(self.clips), _StateMapping(self.versions), live)
+        known = self.facts.get() if self.facts.exists() else None
+        self.fresh = fresh = known is None
+        self.empty = fresh or bool(known[4])  # a closed log was cleared when it closed
+        packed = self.directory.get()[0] if not fresh and self.directory.exists() else b""
+        live = RangeBlocks(_StateBlocks(self.blocks, fresh), packed)
+        fold = RecordingFold(_StateMapping(self.clips, fresh), _StateMapping(self.versions, fresh), live)
         closed, held, self.timer = False, 0, 0
-        if self.facts.exists():
-            fold.next_sequence, fold.status, fold.failure, fold.n_clips, closed, held, self.timer = self.facts.get()
+        if known is not None:
+            fold.next_sequence, fold.status, fold.failure, fold.n_clips, closed, held, self.timer = known
         return fold, bool(closed), int(held)
 
     def _save(self, fold, closed, held):
         if closed:
             held = 0
-            for state in (self.clips, self.versions, self.directory, self.blocks, self.early):
+            # of a new key nothing was written but records that waited
+            for state in () if self.empty else (self.clips, self.versions, self.directory, self.blocks):
                 state.clear()
+            if self.patience_ms:
+                self.early.clear()
         else:
-            self.directory.update((fold.live.directory(),))
+            directory = fold.live.directory()
+            for changed in (fold.clips, fold.versions, fold.live.blocks):
+                changed.flush()
+            self.directory.update((directory,))
         if self.timer and not held:
             self.handle.deleteTimer(self.timer)
             self.timer = 0
@@ -172,20 +186,19 @@ class LogJudge(StatefulProcessor):
 
 
 def _records(part: pd.DataFrame) -> list[dict]:
-    part = part.astype(object).where(part.notna(), None)
-    rows = part.to_dict("records")
-    for row in rows:
-        for name in _LONGS:
-            if row[name] is not None:
-                row[name] = int(row[name])
-    return rows
+    columns = []
+    for name in part.columns:
+        values = [None if x is None or x != x else x for x in part[name].tolist()]
+        columns.append([None if x is None else int(x) for x in values] if name in _LONGS else values)
+    return [dict(zip(part.columns, row)) for row in zip(*columns)]
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[*EVENT_COLUMNS, "outcome"])
-    for name in _LONGS:
-        out[name] = out[name].astype("Int64")
-    return out
+    columns = {}
+    for name in [*EVENT_COLUMNS, "outcome"]:
+        values = [row[name] for row in rows]
+        columns[name] = pd.array(values, dtype="Int64") if name in _LONGS else pd.Series(values, dtype=object)
+    return pd.DataFrame(columns)
 
 
 def replay_stream(events: DataFrame, patience_ms: int = 0) -> DataFrame:

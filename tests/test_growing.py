@@ -83,3 +83,47 @@ def test_event_logs_are_judged_once(spark):
         (1, "recording_created", "accepted"), (2, "recording_started", "accepted"),
         (3, "recording_saved", "accepted"), (3, "recording_saved", "event_out_of_order")]
     assert [(r.recording_id, r.raw, r.at_byte) for r in rejects.collect()] == [(rec, "no event", len(lines[0]) + len(lines[1]) + 2)]
+
+
+def test_short_logs_share_a_task_and_long_ones_are_cut(monkeypatch):
+    monkeypatch.setattr(growing, "RANGE_BYTES", 1_000)
+    monkeypatch.setattr(growing, "OPEN_BYTES", 10)
+    root, sizes = folder(), {}
+    for i in range(300):
+        os.makedirs(f"{root}/{i:03d}")
+        with open(f"{root}/{i:03d}/log.txt", "wb") as out:
+            out.write(b"%03d\n" % i * (1 if i else 2_000))
+    reader = growing._Reader(root, "log.txt")
+    end = reader.latestOffset()
+    tasks = reader.partitions(reader.initialOffset(), end)
+    assert 8 <= len(tasks) < 20  # 8 for the long one, 299 files of 4 bytes in the others
+    assert max(sum(e - s for _, s, e in t.ranges) for t in tasks) <= 1_000
+    lines = sorted(x for t in tasks for batch in reader.read(t) for x in batch.column("value").to_pylist())
+    assert lines == sorted(["000"] * 2_000 + [f"{i:03d}" for i in range(1, 300)])
+    assert reader.partitions(end, end) == []
+
+
+def test_state_of_a_batch_is_read_and_written_once():
+    from tapeloom.streaming.replay import _StateMapping
+
+    class Counted(dict):
+        reads = writes = 0
+
+        def getValue(self, key):
+            self.reads += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.writes += 1
+            self[key] = value
+
+    state = Counted()
+    new = _StateMapping(state, fresh=True)
+    for i in range(5):
+        assert new.get("c") == (None if i == 0 else (i - 1,))
+        new["c"] = (i,)
+    new.flush()
+    assert (state.reads, state.writes) == (0, 1) and state[("c",)] == (4,)
+    later = _StateMapping(state, fresh=False)
+    assert [later.get("c"), later.get("c"), later.get("d"), later.get("d")] == [(4,), (4,), None, None]
+    assert state.reads == 2
