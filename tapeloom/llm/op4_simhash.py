@@ -15,8 +15,9 @@ no task holds an unbounded group. A task returns a spanning forest of its links,
 pairs. Components of the forest edges are those of all links.
 
 ``near_duplicates`` links by these fingerprints. ``drop_near_duplicates`` does too unless it is
-given a similarity; then it links texts whose sets of word shingles have that Jaccard similarity
-or more (``tapeloom.llm.shingles``), which two of 64 bits nearly always miss.
+given a similarity; then its links and the MinHash bands of ``tapeloom.llm.shingles`` propose pairs of
+texts, of which those stay whose sets of word shingles have that Jaccard similarity or more. Two of 64 bits
+alone miss most pairs at 0.8.
 
 Every row gets a result. Null text counts as empty. Rows that repeat an id are linked like any
 others; a null id never names a component unless all ids in it are null.
@@ -45,6 +46,8 @@ CUTS = [0, 13, 26, 39, 52, 64]
 RING = len(CUTS) - 1
 #: Members of one block of a crowded key.
 BLOCK = 2048
+#: Parts in which sets of one fingerprint are tied together.
+SLOTS = 256
 
 
 def _mask(segments: list[int]) -> int:
@@ -187,14 +190,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+def _print_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets(__fp, __print)`` that fingerprint links propose: every set is tied to one of its
+    own fingerprint, and such sets to each other as ``links`` ties the fingerprints. They are still to be checked."""
+    slot = F.pmod(F.xxhash64("__fp"), F.lit(SLOTS))  # many sets of one fingerprint must not all meet one of them
+    parts = written(sets.groupBy("__print", slot.alias("__slot")).agg(F.min("__fp").alias("__part")), "print_parts")
+    prints = written(parts.groupBy("__print").agg(F.min("__part").alias("__own")), "prints")
+    linked = links(prints.select(F.col("__print").alias("__fp")))
+    of_a = prints.select(F.col("__print").alias("a"), F.col("__own").alias("__a"))
+    of_b = prints.select(F.col("__print").alias("b"), F.col("__own").alias("__b"))
+    tied = linked.join(of_a, "a").join(of_b, "b").select("__a", "__b")
+    within = parts.join(prints, "__print").select(F.col("__own").alias("__a"), F.col("__part").alias("__b"))
+    members = sets.withColumn("__slot", slot).join(parts, ["__print", "__slot"]).select(F.col("__part").alias("__a"), F.col("__fp").alias("__b"))
+    ends = tied.unionAll(within).unionAll(members)
+    return ends.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).filter("a < b").distinct()
+
+
 def _similar(docs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, __fp)`` of each row and the classes of similar shingle sets, as ``classes`` gives them."""
-    rows = with_shingles(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text), text, words, "__fp", "__bands")
-    narrow = written(rows.select("doc_id", "__fp", "__bands"), "marked")
+    """``(doc_id, __fp)`` of each row and the classes of similar shingle sets, as ``classes`` gives them.
+
+    Fingerprint links and shared bands propose pairs; each is checked on the whole sets.
+    """
+    marked = with_fingerprint(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text), text).withColumnRenamed("__fp", "__print")
+    rows = with_shingles(marked, text, words, "__fp", "__bands")
+    narrow = written(rows.select("doc_id", "__fp", "__bands", "__print"), "marked")
+    # texts of one set may differ in their repeats, so in their fingerprints
+    prints = narrow.select("__fp", "__print").distinct()
     sets = narrow.groupBy("__fp").agg(F.min("doc_id").alias("__first"), F.first("__bands").alias("__bands"))
     distinct = written(sets, "shingle_sets")
-    found = _classes(distinct.drop("__bands"), shingle_links(docs, distinct, text, words, similarity))
-    return narrow.drop("__bands"), found
+    proposed = written(_print_pairs(prints), "print_pairs")
+    found = _classes(distinct.drop("__bands"), shingle_links(docs, distinct, text, words, similarity, proposed=proposed))
+    return narrow.drop("__bands", "__print"), found
 
 
 def drop_near_duplicates(

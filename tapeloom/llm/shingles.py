@@ -134,19 +134,31 @@ def _forests(similarity: float):
     return run
 
 
-def links(docs: DataFrame, distinct: DataFrame, text: str, words: int, similarity: float, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)`` that connect the sets ``distinct(__fp, __bands)`` of ``docs`` as all similar pairs do."""
+def links(
+    docs: DataFrame, distinct: DataFrame, text: str, words: int, similarity: float, few: int = FEW, block: int = BLOCK,
+    proposed: DataFrame | None = None,
+) -> DataFrame:
+    """Links ``(a, b)`` that connect the sets ``distinct(__fp, __bands)`` of ``docs`` as all similar pairs do.
+
+    ``proposed(a, b)``, with a < b, are pairs to check beside those that share a band.
+    """
     keyed = distinct.select("__fp", F.explode("__bands").alias("band"))
     sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     shared = written(keyed.join(sizes, "band"), "shared_bands")
-    suspects = shared.select("__fp").distinct()
+    suspects = shared.select("__fp")
+    if proposed is not None:
+        suspects = suspects.unionByName(proposed.select(F.explode(F.array("a", "b")).alias("__fp")))
+    suspects = suspects.distinct()
     texts = with_shingles(docs.select(F.col(text).alias("__text")), "__text", words, "__fp")
     again = texts.join(suspects.hint("merge"), "__fp", "left_semi").groupBy("__fp").agg(F.first("__text").alias("__text"))
     sets = written(with_shingles(again, "__text", words, "__set").drop("__text"), "suspect_sets")
 
     one = shared.filter(F.col("__n") <= few).select("band", F.col("__fp").alias("a"))
     two = one.select("band", F.col("a").alias("b"))
-    pairs = one.join(two, "band").filter("a < b").select("a", "b").distinct()
+    pairs = one.join(two, "band").filter("a < b").select("a", "b")
+    if proposed is not None:
+        pairs = pairs.unionByName(proposed)
+    pairs = pairs.distinct()
     sets_a = sets.select(F.col("__fp").alias("a"), F.col("__set").alias("__a"))
     sets_b = sets.select(F.col("__fp").alias("b"), F.col("__set").alias("__b"))
     both = pairs.join(sets_a.hint("merge"), "a").join(sets_b.hint("merge"), "b")

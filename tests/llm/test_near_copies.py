@@ -64,3 +64,29 @@ def test_crowded_bands_and_pairs_agree(spark, few, block):
         return [[y for y in range(30) if own[y] == own[x]] for x in range(30)]
 
     assert parts(want) == parts([(at[r.a], at[r.b]) for r in got])
+
+
+def test_fingerprint_links_propose_pairs_and_the_sets_decide(spark, monkeypatch):
+    from tapeloom.llm import op4_simhash
+
+    words = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:399], "last"])), (2, " ".join(words * 3)), (3, "far away from all of these"), (4, "")]
+    rows += [(10 + k, " ".join(words[k:] + words[:k])) for k in (1, 2, 3)]
+    seen = []
+
+    def kept(docs, distinct, text, words, similarity, **more):
+        seen.extend(tuple(r) for r in more["proposed"].collect())
+        return shingles.links(docs, distinct, text, words, similarity, **more)
+
+    monkeypatch.setattr(op4_simhash, "shingle_links", kept)
+    monkeypatch.setattr(shingles, "bands", lambda values: np.empty(0, np.uint64))  # only fingerprints propose
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()}
+    names = {i: shingles._name(shingles.shingles(t.encode(), 5)) for i, t in rows}
+    prints = {i: op4_simhash.fingerprint(t.encode()) for i, t in rows}
+    close = {(i, j) for i in prints for j in prints if i < j and bin(prints[i] ^ prints[j]).count("1") <= 2 and names[i] != names[j]}
+    assert close and len(seen) >= 1 and all(a < b for a, b in seen)
+    own = {i: i for i, _ in rows}
+    for i, j in close:  # every pair is far above 0.8, but the empty and the far text
+        assert jaccard(rows[[r[0] for r in rows].index(i)][1], rows[[r[0] for r in rows].index(j)][1]) >= 0.8
+        own = {k: min(own[i], own[j]) if v in (own[i], own[j]) else v for k, v in own.items()}
+    assert got == set(own.values())
