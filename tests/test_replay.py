@@ -361,3 +361,32 @@ def test_short_logs_are_exchanged_by_recording_alone(spark):
     wide = replay(log, width=4)
     assert [tuple(r) for r in wide.rejects.collect()] == [tuple(r) for r in state.rejects.collect()]
     assert sorted(map(tuple, wide.clips.collect())) == sorted(map(tuple, state.clips.collect()))
+
+
+def test_commands_are_numbered_over_one_exchange(spark):
+    """No join brings the numbers back to the commands; recordings of many commands are numbered in buckets, alike."""
+    from tapeloom.operators import commands as commands_module
+
+    rows = [ev("r", None, "create_recording", source_kind="audio_file", source_path="x")]
+    rows += [ev("r", None, "add_clip", clip_id=f"c{i}", start_us=i * 10, end_us=i * 10 + 10) for i in range(6)]
+    rows += [ev("q", None, "add_clip", clip_id="c", start_us=0, end_us=10), ev("q", None, "create_recording", source_kind="audio_file", source_path="x")]
+    asked = frame(spark, rows).drop("sequence", "schema_version").withColumn("ordinal", F.monotonically_increasing_id() * 3)
+    plans = {}
+
+    def kept(df, stem):
+        plans[stem] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, stem)
+
+    before, commands_module.written = commands_module.written, kept
+    try:
+        events, refused = apply_commands(frame(spark, []), asked)
+    finally:
+        commands_module.written = before
+    assert plans["tentative"].count("Join") == 1  # with the last numbers
+    assert "ordinal" not in "".join(x for x in plans["tentative"].splitlines() if "Exchange hashpartitioning(" in x).split("hashpartitioning(")[1].split(")")[0]
+    got = sorted((r.recording_id, r.sequence, r.kind) for r in events.collect())
+    assert got == [("q", 1, "recording_created"), ("r", 1, "recording_created"), *[("r", k, "clip_added") for k in range(2, 8)]]
+    assert [(r.recording_id, r.reason_code) for r in refused.collect()] == [("q", "recording_not_found")]
+    more, no = apply_commands(frame(spark, []), asked, width=3)
+    assert sorted((r.recording_id, r.sequence, r.kind) for r in more.collect()) == got
+    assert [r.reason_code for r in no.collect()] == ["recording_not_found"]
