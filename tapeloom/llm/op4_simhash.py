@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import add_columns, own_names, read, utf8
+from tapeloom.llm.common import ROWS, add_columns, own_names, read, utf8
 from tapeloom.llm.components import components
+from tapeloom.llm.shingles import FIELDS, shingle_marks, with_shingles
 from tapeloom.llm.shingles import links as shingle_links
-from tapeloom.llm.shingles import with_shingles
 from tapeloom.plans.stage import written
 
 SEED, WORDS, BITS, REACH = 42, 3, 64, 2
@@ -206,14 +206,21 @@ def _print_pairs(sets: DataFrame) -> DataFrame:
     return ends.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).filter("a < b").distinct()
 
 
+def _with_marks(df: DataFrame, text: str, words: int) -> DataFrame:
+    """Append fingerprint (``__print``), shingle set name and bands in one pass: a second pass over the texts would
+    be a second Python worker beside each task's first."""
+    fields = [T.StructField("__print", T.LongType()), *(T.StructField(name, FIELDS[name]) for name in ("__fp", "__bands"))]
+    sets = shingle_marks(words, "__fp", "__bands")
+    return add_columns(df, text, fields, lambda texts: [*_prints(texts), *sets(texts)])
+
+
 def _similar(docs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, __fp)`` of each row and the classes of similar shingle sets, as ``classes`` gives them.
 
     Fingerprint links and shared bands propose pairs; each is checked on the whole sets.
     """
-    marked = with_fingerprint(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text), text).withColumnRenamed("__fp", "__print")
-    rows = with_shingles(marked, text, words, "__fp", "__bands")
-    narrow = written(rows.select("doc_id", "__fp", "__bands", "__print"), "marked")
+    rows = _with_marks(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text), text, words)
+    narrow = written(rows.select("doc_id", "__fp", "__bands", "__print"), "marked", ROWS)
     # texts of one set may differ in their repeats, so in their fingerprints
     prints = narrow.select("__fp", "__print").distinct()
     sets = narrow.groupBy("__fp").agg(F.min("doc_id").alias("__first"), F.first("__bands").alias("__bands"))

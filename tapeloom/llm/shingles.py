@@ -13,6 +13,7 @@ a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.llm.common import ROWS as TEXTS
 from tapeloom.llm.common import add_columns, utf8
 from tapeloom.plans.stage import written
 
@@ -66,11 +68,11 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.uint64), *rows]).view(np.int64)))
 
 
-_FIELDS = {"__fp": T.LongType(), "__bands": T.ArrayType(T.LongType()), "__set": T.ArrayType(T.LongType())}
+FIELDS = {"__fp": T.LongType(), "__bands": T.ArrayType(T.LongType()), "__set": T.ArrayType(T.LongType())}
 
 
-def with_shingles(df: DataFrame, text: str, words: int, *outputs: str) -> DataFrame:
-    """Append the name of each text's shingle set (``__fp``), its ``__bands`` or the ``__set`` itself."""
+def shingle_marks(words: int, *outputs: str) -> Callable[[pa.Array], list[pa.Array]]:
+    """What makes the named columns of ``FIELDS`` from a column of texts."""
 
     def compute(column: pa.Array) -> list[pa.Array]:
         sets = [shingles(t, words) for t in utf8(column)]
@@ -81,7 +83,12 @@ def with_shingles(df: DataFrame, text: str, words: int, *outputs: str) -> DataFr
         }
         return [make[name]() for name in outputs]
 
-    return add_columns(df, text, [T.StructField(name, _FIELDS[name]) for name in outputs], compute)
+    return compute
+
+
+def with_shingles(df: DataFrame, text: str, words: int, *outputs: str) -> DataFrame:
+    """Append the name of each text's shingle set (``__fp``), its ``__bands`` or the ``__set`` itself."""
+    return add_columns(df, text, [T.StructField(name, FIELDS[name]) for name in outputs], shingle_marks(words, *outputs))
 
 
 def forest(names: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -151,7 +158,7 @@ def links(
     suspects = suspects.distinct()
     texts = with_shingles(docs.select(F.col(text).alias("__text")), "__text", words, "__fp")
     again = texts.join(suspects.hint("merge"), "__fp", "left_semi").groupBy("__fp").agg(F.first("__text").alias("__text"))
-    sets = written(with_shingles(again, "__text", words, "__set").drop("__text"), "suspect_sets")
+    sets = written(with_shingles(again, "__text", words, "__set").drop("__text"), "suspect_sets", TEXTS)
 
     one = shared.filter(F.col("__n") <= few).select("band", F.col("__fp").alias("a"))
     two = one.select("band", F.col("a").alias("b"))

@@ -90,3 +90,18 @@ def test_fingerprint_links_propose_pairs_and_the_sets_decide(spark, monkeypatch)
         assert jaccard(rows[[r[0] for r in rows].index(i)][1], rows[[r[0] for r in rows].index(j)][1]) >= 0.8
         own = {k: min(own[i], own[j]) if v in (own[i], own[j]) else v for k, v in own.items()}
     assert got == set(own.values())
+
+
+def test_one_pass_marks_a_text(spark):
+    from tapeloom.llm import op4_simhash
+
+    texts = [("a b c d e f g",), ("",), (None,)]
+    docs = spark.createDataFrame(texts, "text string")
+    marked = op4_simhash._with_marks(docs, "text", 5)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one Python worker a task
+    for r in marked.collect():
+        raw = (r.text or "").encode()
+        own = shingles.shingles(raw, 5)
+        assert r["__print"] % (1 << 64) == op4_simhash.fingerprint(raw) and r["__fp"] % (1 << 64) == shingles._name(own)
+        assert [b % (1 << 64) for b in r["__bands"]] == shingles.bands(own).tolist()
