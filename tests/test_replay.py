@@ -390,3 +390,25 @@ def test_commands_are_numbered_over_one_exchange(spark):
     more, no = apply_commands(frame(spark, []), asked, width=3)
     assert sorted((r.recording_id, r.sequence, r.kind) for r in more.collect()) == got
     assert [r.reason_code for r in no.collect()] == ["recording_not_found"]
+
+
+def test_list_changes_are_cut_off_at_the_stop_once_and_only_for_clips(spark, monkeypatch):
+    made = []
+
+    def kept(df, stem, *more):
+        made.append(stem)
+        return written(df, stem, *more)
+
+    monkeypatch.setattr(replay_module, "written", kept)
+    rows = [ev("r", 1, "recording_created", source_kind="audio_file", source_path="x")]
+    rows += [ev("r", 2 + k, "clip_added", clip_id=f"c{k}", start_us=10 * k, end_us=10 * k + 10) for k in range(3)]
+    rows += [ev("r", 5, "clip_moved", clip_id="c2", target_index=0), ev("r", 6, "clip_moved", clip_id="c1", target_index=9)]
+    state = replay(written(frame(spark, rows), "log"))
+    assert state.recordings.first()["last_sequence"] == 5 and "list-changes" not in made
+    clips = state.clips
+    assert made.count("list-changes") == 1 and state.clips is clips
+    plan = clips._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    reads = [line for line in plan if "Relation" in line and "source_path" in line]
+    assert len(reads) <= 2  # what became of the clips, and why some failed
+    assert [r.clip_id for r in clips.orderBy("position").collect()] == ["c2", "c0", "c1"]
+    assert [(r.sequence, r.reason_code) for r in state.rejects.collect()] == [(6, "invalid_clip_index")]
