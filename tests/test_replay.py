@@ -247,6 +247,19 @@ def test_commands_start_from_state_tables(spark):
     assert {(r.recording_id, r.status) for r in done.clips.filter("clip_id = 'b'").collect()} == {("calm", "edited"), ("torn", "processing"), ("dark", "pending")}
 
 
+def test_lists_of_many_recordings_go_back_together():
+    import pyarrow as pa
+
+    from tapeloom.operators.replay import WALKED, _walk_moves
+
+    rows = [(f"r{i:05d}", clip, target) for i in range(WALKED) for clip, target in (("a", None), ("b", None), ("b", 0))]
+    given = pa.RecordBatch.from_pydict(dict(zip(("recording_id", "clip_id", "target"), zip(*rows))))
+    out = list(_walk_moves([given.slice(i, 1_000) for i in range(0, len(rows), 1_000)]))
+    assert [len(b) for b in out] == [WALKED, WALKED]
+    found = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert found == [(f"r{i:05d}", clip, at) for i in range(WALKED) for at, clip in enumerate("ba")]
+
+
 def test_moves_in_a_long_list():
     rng = random.Random(8)
     order, plain = ListOrder(), []
