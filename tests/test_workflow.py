@@ -251,6 +251,29 @@ def test_lines_have_types_and_places(spark):
     assert listed.recordings.count() == 0 and {r.reason_code for r in listed.rejects.collect()} == {"event_out_of_order", "invalid_event_line"}
 
 
+def test_many_small_logs_are_listed_and_read_in_few_tasks(spark, tmp_path):
+    """As many tasks as files would grow the listing, a task per 32 files the reading."""
+    import uuid
+
+    ids = sorted(str(uuid.UUID(int=i)) for i in range(300))
+    for one in ids:
+        folder = tmp_path / "recordings" / one
+        folder.mkdir(parents=True)
+        (folder / "events.ndjson").write_text("".join(
+            f'{{"schema_version":1,"sequence":{n},"event":{{"{kind}":{{"recording_id":"{one}"}}}}}}\n' for n, kind in ((1, "recording_started"), (3, "recording_saved"))
+        ))
+    context = spark.sparkContext
+    context.setJobGroup("small-logs", "small logs")
+    events, bad = read_event_log(spark, str(tmp_path), line_numbers=True)
+    rejects = in_file_order(events)[1]
+    assert sorted((r.recording_id, r.line_no, r.sequence) for r in rejects.collect()) == [(one, 2, 3) for one in ids]
+    status = context.statusTracker()
+    stages = [s for job in status.getJobIdsForGroup("small-logs") for s in status.getJobInfo(job).stageIds]
+    tasks = [info.numTasks for s in stages if (info := status.getStageInfo(s))]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tasks)[-2] < 9 and sorted(tasks)[-1] <= 256
+
+
 def test_store_round_trip(spark):
     root = folder()
     rows = log_of(A) + log_of(B) + [ev(B, 6, "clip_deleted", clip_id="q"), ev(B, 7, "recording_failed", reason='said "no"\n')]
