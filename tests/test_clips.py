@@ -119,3 +119,26 @@ def test_token_cuts(spark):
     assert {r.clip_id: r.stop_reason for r in stop_reasons(df, 99).collect()} == {
         "repeat": "repeated_token_collapse", "short": "max_decode_tokens", "broken": "max_decode_tokens", "end": "end_of_text",
         "at_once": "end_of_text", "long": "max_decode_tokens", "end_in_repeat": "end_of_text"}
+
+
+def test_pairs_are_looked_up_once(spark):
+    """Chains of three lengths, some pairs named twice or turned round: the same by windows and by scans in buckets."""
+    held = spark.createDataFrame(
+        [(f"r{r}", f"c{i}", i * 10, i * 10 + 10, "deleted" if (r, i) == (2, 4) else "pending") for r in range(3) for i in range(4 + 3 * r)],
+        "recording_id string, clip_id string, start_us bigint, end_us bigint, status string",
+    )
+    named = [(f"r{r}", f"c{i}", f"c{i + 1}") for r in range(3) for i in range(3 + 3 * r)]
+    named += [("r0", "c1", "c0"), ("r1", "c2", "c3"), ("r1", "c2", "c2"), ("r2", "c0", "c5"), ("r2", "c0", "none")]
+    pairs = spark.createDataFrame(named, "recording_id string, first_clip_id string, second_clip_id string")
+    found = []
+    for most in (1_000, 4, 0):
+        made, bad = C.append_clips(held, pairs, width=30, most=most)
+        plan = bad._jdf.queryExecution().optimizedPlan().toString()
+        if most == 1_000:
+            assert "Join" not in plan  # no clip is looked up again
+        found.append((sorted(map(tuple, made.collect())), sorted(map(tuple, bad.collect()))))
+    assert found[0] == found[1] == found[2]
+    made, bad = found[0]
+    assert [r[1:3] for r in made if r[0] == "r0"] == [("c0", "c1"), ("c2", "c3")]
+    assert [r[1:] for r in bad if r[0] == "r0"] == [("c0", "c1", "clip_not_active"), ("c1", "c2", "clip_not_active")]
+    assert sorted(r[3] for r in bad if r[0] == "r2").count("clip_not_active") == 3 + 3
