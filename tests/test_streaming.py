@@ -237,3 +237,19 @@ def test_level_stream_matches_batch(spark):
     live = drain(level_by_window(stream, 1000), "level", "complete")
     batch = level_by_window(spark.createDataFrame(rows, ddl), 1000)
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_rows_with_samples_go_to_python_few_at_once(spark, tmp_path):
+    import pyarrow as pa
+
+    from tapeloom.plans.stage import BATCH
+    from tapeloom.streaming.bounded import drained, table_stream
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    given = spark.conf.get(BATCH)
+    seen = drained(table_stream(spark, str(tmp_path / "t")).mapInArrow(sizes, "n bigint"), "sizes", batch=16)
+    assert sorted(r.n for r in seen.collect()) == [4, *[16] * 6] and spark.conf.get(BATCH) == given
