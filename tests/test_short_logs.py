@@ -78,3 +78,26 @@ def test_splits_are_stored_once(spark, tmp_path, monkeypatch):
     assert not [n for n in os.listdir(tmp_path) if n.startswith("commands-")]
     events.write.parquet(f"{tmp_path}/events")
     assert left < 1.25 * size(f"{tmp_path}/events")
+
+
+def test_a_tail_and_its_state_come_from_two_passes(spark, stems):
+    """replay_tail: no table of accepted records or list changes is made, and what follows is what one replay of all gives."""
+    log = [ev("r", 1, "recording_created", source_kind="audio_file", source_path="x")]
+    log += [ev("r", 2 + k, "clip_added", clip_id=f"c{k}", start_us=10 * k, end_us=10 * k + 10) for k in range(3)]
+    log += [ev("r", 5, "clip_moved", clip_id="c2", target_index=0), ev("r", 6, "transcription_started", clip_id="c1")]
+    late = [ev("r", 7, "transcription_failed", clip_id="c1", reason="broke"), ev("r", 8, "clip_deleted", clip_id="c0"),
+            ev("r", 9, "clip_added", clip_id="n", start_us=0, end_us=10), ev("r", 10, "clip_moved", clip_id="n", target_index=1),
+            ev("r", 11, "transcription_started", clip_id="c2"),
+            ev("r", 12, "transcript_committed", clip_id="c2", transcript_id="t", provenance="user_edit", text="w"), ev("r", 13, "clip_moved", clip_id="n", target_index=9)]
+    other = [ev("q", 1, "recording_created", source_kind="audio_file", source_path="y"), ev("q", 2, "clip_added", clip_id="a", start_us=0, end_us=5)]
+    every = ("recordings", "clips", "transcripts")
+    first = replay(frame(spark, log + other), tables=every)
+    then = replay(frame(spark, late), snapshot=first, tables=every)
+    whole = replay(frame(spark, log + late + other), tables=every)
+    for name in (*every, "rejects"):
+        assert sorted(map(repr, getattr(then, name).collect())) == sorted(map(repr, getattr(whole, name).collect()))
+    assert [tuple(r) for r in then.clips.filter("recording_id = 'r'").orderBy("position").select("clip_id", "status", "failure").collect()] == [
+        ("c2", "edited", None), ("n", "pending", None), ("c0", "deleted", None), ("c1", "failed", "broke"),
+    ]
+    assert [(r.recording_id, r.sequence, r.reason_code) for r in then.rejects.collect()] == [("r", 13, "invalid_clip_index")]
+    assert not {"accepted", "list-changes", "picked", "overlapping"} & set(stems) and stems.count("seen") == 3
