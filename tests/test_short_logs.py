@@ -101,3 +101,12 @@ def test_a_tail_and_its_state_come_from_two_passes(spark, stems):
     ]
     assert [(r.recording_id, r.sequence, r.reason_code) for r in then.rejects.collect()] == [("r", 13, "invalid_clip_index")]
     assert not {"accepted", "list-changes", "picked", "overlapping"} & set(stems) and stems.count("seen") == 3
+
+
+@pytest.mark.parametrize("name,passes", [("moved_clips", 1)])
+def test_a_query_judges_its_log_once(spark, stems, name, passes):
+    """No second look at the log for list changes, repeated numbers or overlaps, and no join of the log with its stops."""
+    found = REGISTRY[name](spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert stems.count("seen") == passes and not {"list-changes", "repeated", "picked", "overlapping", "islands"} & set(stems)
+    assert "stop_sequence" not in plan or "LeftOuter" not in plan
