@@ -103,7 +103,7 @@ def test_a_tail_and_its_state_come_from_two_passes(spark, stems):
     assert not {"accepted", "list-changes", "picked", "overlapping"} & set(stems) and stems.count("seen") == 3
 
 
-@pytest.mark.parametrize("name,passes", [("moved_clips", 1), ("replay_full_rejects", 1), ("replay_full_clips", 1)])
+@pytest.mark.parametrize("name,passes", [("moved_clips", 1), ("replay_full_rejects", 1), ("replay_full_clips", 1), ("replay_full_transcripts", 1)])
 def test_a_query_judges_its_log_once(spark, stems, name, passes):
     """No second look at the log for list changes, repeated numbers or overlaps, and no join of the log with its stops."""
     found = REGISTRY[name](spark, SF)
