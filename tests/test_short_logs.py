@@ -110,3 +110,10 @@ def test_a_query_judges_its_log_once(spark, stems, name, passes):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert stems.count("seen") == passes and not {"list-changes", "repeated", "picked", "overlapping", "islands"} & set(stems)
     assert "stop_sequence" not in plan or "LeftOuter" not in plan
+
+
+def test_refused_commands_are_judged_in_the_same_pass(spark, stems):
+    """command_log: commands are neither numbered in one table, checked in others and judged in a third."""
+    found = REGISTRY["command_log"](spark, SF)
+    assert found.filter("reason_code is not null").count() > 0
+    assert stems.count("tentative") == 1 and not {"seen", "overlapping", "conflicts", "judged", "known-clips"} & set(stems)
